@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -38,7 +39,16 @@ def t_critical(df: int, coverage: float = 0.95) -> float:
     return (low + high) / 2.0
 
 
-@F.pandas_udf("double")
-def t_critical_95(df: pd.Series) -> pd.Series:
-    table = {n: t_critical(int(n)) for n in df.dropna().unique() if n >= 1}
-    return df.map(table).astype("float64")
+def t_critical_95(df: Column) -> Column:
+    """Two-sided 95 % critical value as a column: exact to 100, then an expansion in 1/df."""
+    exact = F.array(*[F.lit(t_critical(n)) for n in range(1, 101)])
+    z = NormalDist().inv_cdf(0.975)
+    terms = (
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    tail = sum((F.lit(term) / F.pow(df.cast("double"), F.lit(k)) for k, term in enumerate(terms)), F.lit(0.0))
+    return F.when(df < 1, F.lit(None)).when(df <= 100, F.get(exact, (df - 1).cast("int"))).otherwise(tail)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copycensus.functions.identity import group_id, key_id, order_key, stable_rank
+from copycensus.operators.value_table import global_summary, value_table
 from copycensus.session import join_groups, materialize
 
 
@@ -141,32 +142,84 @@ def class_table(annotated: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def conservative_cleaning(annotated: DataFrame, eligible: DataFrame) -> DataFrame:
-    """What is left after dropping ineligible classes, then every mixed group."""
-    classes = eligible.groupBy().agg(
-        F.count_if(F.col("eligible") == 1).alias("eligible_classes"),
-        F.array_join(
-            F.array_sort(F.collect_list(F.when(F.col("eligible") == 0, F.col("class_label")))), ";"
-        ).alias("excluded_classes"),
+def class_groups(values: DataFrame, consensus: str, by: list[str] | None = None) -> DataFrame:
+    """Per class: rows and groups, and how they divide into mixed and pure groups."""
+    by = by or []
+    # At most one row per class and value in each window.
+    same_value = W.partitionBy(*by, "value")
+    shared = values.where(F.col("method") == consensus).withColumn(
+        "class_count", F.count(F.lit(1)).over(same_value)
     )
-    kept = annotated.join(eligible.where("eligible = 1").select("class_label"), "class_label", "left_semi")
-    pure = F.col("group_class_count") == 1
-    counts = kept.groupBy().agg(
-        F.count(F.lit(1)).alias("eligible_original_images"),
-        F.count_if(~pure).alias("mixed_label_images_removed"),
-        F.count_if(pure).alias("safe_pool_images"),
-        # A pure group lies in one class, so its representative is in the pool.
-        F.count_if(pure & F.col("is_representative")).alias("retained_pure_groups"),
+    mixed = F.col("class_count") > 1
+    return shared.groupBy(*by, "class_label").agg(
+        F.sum("n").alias("images"), F.count(F.lit(1)).alias("groups"),
+        F.sum(F.when(mixed, F.col("n")).otherwise(0)).alias("mixed_images"),
+        F.count_if(~mixed).alias("pure_groups"),
     )
+
+
+def conservative_cleaning(classes: DataFrame, minimum: int, by: list[str] | None = None) -> DataFrame:
+    """What is left after dropping classes with too few groups, then every mixed group."""
+    kept = F.col("groups") >= minimum
+    dropped = F.collect_list(F.when(~kept, F.col("class_label")))
     excess = F.col("safe_pool_images") - F.col("retained_pure_groups")
-    one = F.lit(1).alias("_one")
     return (
-        classes.select("*", one).join(counts.select("*", one), "_one").drop("_one")
+        classes.groupBy(*(by or [])).agg(
+            F.count_if(kept).alias("eligible_classes"),
+            F.array_join(F.array_sort(dropped), ";").alias("excluded_classes"),
+            F.sum(F.when(kept, F.col("images")).otherwise(0)).alias("eligible_original_images"),
+            F.sum(F.when(kept, F.col("mixed_images")).otherwise(0)).alias("mixed_label_images_removed"),
+            # A pure group lies in one class, so class counts add up.
+            F.sum(F.when(kept, F.col("pure_groups")).otherwise(0)).alias("retained_pure_groups"),
+        )
+        .withColumn("safe_pool_images", F.col("eligible_original_images") - F.col("mixed_label_images_removed"))
         .withColumn("within_safe_pool_excess", excess)
         .withColumn("within_safe_pool_redundancy_fraction", F.try_divide(excess, F.col("safe_pool_images")))
     )
 
 
+def dataset_overview(rows: DataFrame, exact: str, consensus: str, minimum: int) -> DataFrame:
+    """One row per dataset: exact and consensus redundancy, mixed groups, conservative cleaning.
+
+    ``rows`` has a ``dataset`` column, which is one more grouping key throughout.
+    """
+    by = ["dataset"]
+    values = materialize(value_table(rows, [exact, consensus], by=by))
+    summary = global_summary(values, by)
+
+    def pick(method: str, column: str, name: str) -> Column:
+        return F.max(F.when(F.col("method") == method, F.col(column))).alias(name)
+
+    wide = summary.groupBy("dataset").agg(
+        pick(exact, "images", "images"),
+        pick(exact, "distinct_groups", "exact_groups"), pick(exact, "excess_copies", "exact_excess"),
+        pick(exact, "redundancy_fraction", "exact_redundancy_fraction"),
+        pick(consensus, "distinct_groups", "consensus_groups"), pick(consensus, "excess_copies", "consensus_excess"),
+        pick(consensus, "redundancy_fraction", "consensus_redundancy_fraction"),
+        pick(consensus, "mixed_label_groups", "mixed_label_consensus_groups"),
+        pick(consensus, "images_in_mixed_label_groups", "images_in_mixed_label_consensus_groups"),
+    )
+    # Mixed groups that hold a single exact content.
+    contents = rows.groupBy("dataset", consensus, exact, "class_label").agg(F.count(F.lit(1)).alias("n"))
+    single = (
+        contents.groupBy("dataset", consensus, exact).agg(F.count(F.lit(1)).alias("labels"))
+        .groupBy("dataset", consensus).agg(F.count(F.lit(1)).alias("contents"), F.max("labels").alias("labels"))
+        .groupBy("dataset").agg(
+            F.count_if((F.col("contents") == 1) & (F.col("labels") > 1)).alias("exact_mixed_label_consensus_groups")
+        )
+    )
+    classes = class_groups(values, consensus, by)
+    counted = classes.groupBy("dataset").agg(F.count(F.lit(1)).alias("classes"))
+    return (
+        wide.join(single, "dataset").join(counted, "dataset")
+        .join(conservative_cleaning(classes, minimum, by), "dataset")
+        .withColumn(
+            "pure_consensus_groups_after_excluding_mixed",
+            F.col("consensus_groups") - F.col("mixed_label_consensus_groups"),
+        )
+    )
+
+
 def verify_exact_groups(rows: DataFrame, key: str, payload: str, bytewise: bool = False) -> DataFrame:
     """Check that equal digests mean equal payloads; count the repeats compared.
 

@@ -161,10 +161,10 @@ def reconstruct_check(manifest: DataFrame, full: DataFrame, clean: DataFrame, re
         *[F.max(f"s{j}").alias(n) for j, n in enumerate(("m", "f", "c", "r"))]
     )
     return seen.groupBy().agg(
-        F.count_if("f = 1 and m = 0").alias("unknown_samples"),
-        F.count_if("f = 1 and c = 0 and r = 0").alias("missing_from_clean_and_removed"),
-        F.count_if("f = 0 and (c = 1 or r = 1)").alias("not_in_full"),
-        F.count_if("c = 1 and r = 1").alias("both_clean_and_removed"),
+        F.count_if(F.expr("f = 1 and m = 0")).alias("unknown_samples"),
+        F.count_if(F.expr("f = 1 and c = 0 and r = 0")).alias("missing_from_clean_and_removed"),
+        F.count_if(F.expr("f = 0 and (c = 1 or r = 1)")).alias("not_in_full"),
+        F.count_if(F.expr("c = 1 and r = 1")).alias("both_clean_and_removed"),
     )
 
 

@@ -71,6 +71,14 @@ def documents(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFram
     )
 
 
+def documents_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts beside their digests, for checks that compare the payloads themselves."""
+    rows = spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("string").alias("sample_id"), "text", canonical_text("text").alias("canonical")
+    )
+    return rows.withColumns({"file_sha256": digest("text"), "rgb_sha256": digest("canonical")})
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of 64 numbers read as 8x8 grids."""
     rows = (
