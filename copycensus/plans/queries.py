@@ -367,7 +367,8 @@ def paired_conditions(spark, sf):
 @query
 def eval_only_conditions(spark, sf):
     marked = cond.paired_conditions(
-        st.exact_manifest(spark, sf), "rgb_sha256", held_out=("evaluation",), seed=st.REMOVAL_SEED
+        st.exact_manifest(spark, sf), "rgb_sha256", held_out=("evaluation",), seed=st.REMOVAL_SEED,
+        require_exposure=False,
     )
     return marked.select("sample_id", "class_label", "partition", "exposed", "in_clean", "in_control")
 
@@ -385,7 +386,8 @@ def condition_exposure(spark, sf):
 @query
 def condition_exposure_global(spark, sf):
     marked = cond.paired_conditions(
-        st.exact_manifest(spark, sf), "rgb_sha256", held_out=("evaluation",), seed=st.REMOVAL_SEED
+        st.exact_manifest(spark, sf), "rgb_sha256", held_out=("evaluation",), seed=st.REMOVAL_SEED,
+        require_exposure=False,
     )
     return exposure.condition_exposure_global(marked, {"rgb_sha256": "native", "input_sha256": "input"})
 

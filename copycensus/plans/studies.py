@@ -142,7 +142,9 @@ def embedding_conditions(spark: SparkSession, sf: str) -> DataFrame:
         F.transform("means", lambda m: F.when(m > F.col("centre"), "1").otherwise("0")), ""
     )).drop("means", "centre")
     split = splits.stratified_split(materialize(rows), seed=SPLIT_SEED)
-    marked = cond.paired_conditions(split, "row_signature", held_out=("evaluation",), seed=REMOVAL_SEED)
+    marked = cond.paired_conditions(
+        split, "row_signature", held_out=("evaluation",), seed=REMOVAL_SEED, require_exposure=False
+    )
     return materialize(cond.condition_rows(marked, ["sample_id", "class_label", "partition", "features"]))
 
 
