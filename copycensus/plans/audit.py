@@ -10,7 +10,7 @@ from copycensus.operators import dedup, verify
 from copycensus.operators import value_table as vt
 from copycensus.session import materialize
 from copycensus.sources import folders
-from copycensus.sources.folders import _exists
+from copycensus.sources.folders import path_exists
 from copycensus.sources.tables import output_checksums, write_table
 
 
@@ -50,7 +50,7 @@ def run_audit(
     minimum_groups: int = 50, seed: int = 20260922, fmt: str = "parquet",
 ) -> DataFrame:
     """Audit a hashed sample table into a new folder; returns the metadata row."""
-    if _exists(spark, output):
+    if path_exists(spark, output):
         raise FileExistsError(f"Refusing to overwrite {output}")
     rows = materialize(rows)
     methods = list(MATCH_METHODS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from copycensus.functions.identity import consensus
 from copycensus.functions.images import image_identities
@@ -19,13 +20,21 @@ INVENTORY = T.StructType([
 ])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def unescaped(uri: Column) -> Column:
+    """A file URI with its percent escapes undone; a plus sign is no escape."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def relative_path(path: Column, root: str) -> Column:
-    """Part of a file URI below ``root``, percent escapes undone."""
+    """Part of a plain file path below ``root``."""
     plain = F.regexp_replace(path, r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
     base = root.split("://", 1)[-1].rstrip("/") if "://" in root else root.removeprefix("file:").rstrip("/")
     if "://" in root:
@@ -65,7 +74,7 @@ def class_folders(spark: SparkSession, root: str) -> DataFrame:
 def split_folders(spark: SparkSession, root: str, train: str = "train", evaluation: str = "test") -> DataFrame:
     """Files at ``split/class/file`` under the two given splits, both of which must exist."""
     for split in (train, evaluation):
-        if not _exists(spark, f"{root}/{split}"):
+        if not path_exists(spark, f"{root}/{split}"):
             raise ValueError(f"Missing split directory: {root}/{split}")
     files = _files(spark, root, [])
     rows = files.where(
@@ -88,7 +97,7 @@ def strict_layout(spark: SparkSession, root: str) -> DataFrame:
 
 def loose_folders(spark: SparkSession, root: str) -> DataFrame:
     """Image files at any depth, labelled by their folder; an absent root gives no rows."""
-    if not _exists(spark, root):
+    if not path_exists(spark, root):
         return spark.createDataFrame([], INVENTORY)
     files = _files(spark, root, []).where(F.col("_type").isin(*LOOSE_TYPES))
     base = root.rstrip("/").rsplit("/", 1)[-1]
@@ -110,7 +119,7 @@ def decoded(spark: SparkSession, root: str) -> DataFrame:
     count nor the orientation tag, so those two cannot be checked here.
     """
     scan = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-    return scan.select(relative_path(F.col("image.origin"), root).alias("sample_id"), "image")
+    return scan.select(relative_path(unescaped(F.col("image.origin")), root).alias("sample_id"), "image")
 
 
 def decode_violations(inventory: DataFrame, images: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from copycensus.sources.folders import _exists, file_digests, relative_path
+from copycensus.sources.folders import file_digests, path_exists, relative_path, unescaped
 
 
 def read_manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def read_manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
 def _run_columns(df: DataFrame, root: str) -> DataFrame:
     """Condition and seed of each row's file, from ``condition/seed_<n>/file``."""
-    below = F.split(relative_path(F.col("_metadata.file_path"), root), "/")
+    below = F.split(relative_path(unescaped(F.col("_metadata.file_path")), root), "/")
     return df.select(
         "*", F.get(below, F.size(below) - 3).alias("path_condition"),
         F.regexp_extract(F.get(below, F.size(below) - 2), r"^seed_(\d+)$", 1).cast("long").alias("path_seed"),
@@ -94,7 +94,7 @@ def freeze_table(df: DataFrame, path: str) -> None:
     """Write once; later calls must bring the same rows."""
     spark = df.sparkSession
     text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         text.write.mode("errorifexists").parquet(path)
         return
     stored = spark.read.parquet(path)
