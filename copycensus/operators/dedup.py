@@ -184,7 +184,11 @@ def dataset_overview(rows: DataFrame, exact: str, consensus: str, minimum: int)
     ``rows`` has a ``dataset`` column, which is one more grouping key throughout.
     """
     by = ["dataset"]
-    values = materialize(value_table(rows, [exact, consensus], by=by))
+    # Copies are folded once; everything below reads this smaller table.
+    folded = materialize(
+        rows.groupBy("dataset", consensus, exact, "class_label").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    values = materialize(value_table(folded, [exact, consensus], by=by, weight="copies"))
     summary = global_summary(values, by)
 
     def pick(method: str, column: str, name: str) -> Column:
@@ -200,9 +204,8 @@ def dataset_overview(rows: DataFrame, exact: str, consensus: str, minimum: int)
         pick(consensus, "images_in_mixed_label_groups", "images_in_mixed_label_consensus_groups"),
     )
     # Mixed groups that hold a single exact content.
-    contents = rows.groupBy("dataset", consensus, exact, "class_label").agg(F.count(F.lit(1)).alias("n"))
     single = (
-        contents.groupBy("dataset", consensus, exact).agg(F.count(F.lit(1)).alias("labels"))
+        folded.groupBy("dataset", consensus, exact).agg(F.count(F.lit(1)).alias("labels"))
         .groupBy("dataset", consensus).agg(F.count(F.lit(1)).alias("contents"), F.max("labels").alias("labels"))
         .groupBy("dataset").agg(
             F.count_if((F.col("contents") == 1) & (F.col("labels") > 1)).alias("exact_mixed_label_consensus_groups")

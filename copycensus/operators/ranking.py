@@ -8,6 +8,8 @@ only the rows of those buckets are ordered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,14 +21,15 @@ def boundaries(
     rows: DataFrame,
     strata: list[str],
     order: str,
-    targets: DataFrame,
+    targets: DataFrame | Callable[[DataFrame], DataFrame],
     weight: str | None = None,
     digits: int = 3,
 ) -> DataFrame:
     """Order key at which the running weight of a stratum first reaches each target.
 
     ``rows`` has the strata columns and ``order``, a unique string that starts
-    with a uniform hex rank. ``targets`` has (strata, cut, target), targets >= 1.
+    with a uniform hex rank. ``targets`` has (strata, cut, target), targets >= 1,
+    or is a function that makes that table from the (strata, total) weights.
     Returns (strata, cut, boundary, reached); a target that is never reached
     yields no row. The result has one row per target.
     """
@@ -35,16 +38,19 @@ def boundaries(
         *strata, F.col(order).alias("_order"), load.alias("_load"),
         F.substring(order, 1, digits).alias("_bucket"),
     )
-    histogram = keyed.groupBy(*strata, "_bucket").agg(F.sum("_load").alias("_sum"))
     # At most 16**digits rows per stratum.
+    histogram = materialize(keyed.groupBy(*strata, "_bucket").agg(F.sum("_load").alias("_sum")))
+    if callable(targets):
+        targets = targets(histogram.groupBy(*strata).agg(F.sum("_sum").alias("total")))
     running = W.partitionBy(*strata).orderBy("_bucket")
     before = histogram.withColumn("_upto", F.sum("_sum").over(running))
+    earlier = F.col("_upto") - F.col("_sum")
     cut_buckets = materialize(
         before.join(targets, strata)
-        .where((F.col("_upto") >= F.col("target")) & (F.col("_upto") - F.col("_sum") < F.col("target")))
-        .select(*strata, "_bucket", "cut", (F.col("target") - F.col("_upto") + F.col("_sum")).alias("_need"),
-                (F.col("_upto") - F.col("_sum")).alias("_before"))
+        .where((F.col("_upto") >= F.col("target")) & (earlier < F.col("target")))
+        .select(*strata, "_bucket", "cut", (F.col("target") - earlier).alias("_need"), earlier.alias("_before"))
     )
+    # Rows of one bucket per cut.
     inside = W.partitionBy(*strata, "cut").orderBy("_order")
     ranked = keyed.join(cut_buckets, [*strata, "_bucket"]).withColumn("_run", F.sum("_load").over(
         inside.rowsBetween(W.unboundedPreceding, W.currentRow)

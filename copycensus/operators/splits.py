@@ -66,7 +66,7 @@ def cut_targets(table: DataFrame, cuts: dict[str, Column]) -> DataFrame:
     return table.select("class_label", pairs).select("class_label", "c.*").where("target >= 1")
 
 
-def first_ranked(rows: DataFrame, order: Column, targets: DataFrame, cuts: list[str]) -> DataFrame:
+def first_ranked(rows: DataFrame, order: Column, targets, cuts: list[str]) -> DataFrame:
     """Rows with one boolean per cut: is the row within the first ``target`` of its class?"""
     keyed = rows.withColumn("_order", order)
     wide = boundaries_wide(boundaries(keyed, ["class_label"], "_order", targets), ["class_label"], cuts)
@@ -80,8 +80,11 @@ def stratified_split(
     rows: DataFrame, fit: float = 0.7, development: float = 0.2, seed: int = 20260920, clamped: bool = False
 ) -> DataFrame:
     """Assign every row of each class to fitting, development or evaluation."""
-    sizes = allocate(class_sizes(rows), fit, development, clamped)
-    targets = cut_targets(sizes, {"fit": F.col("n_fit"), "dev": F.col("n_fit") + F.col("n_dev")})
+
+    def targets(totals: DataFrame) -> DataFrame:
+        sizes = allocate(totals.withColumnRenamed("total", "class_size"), fit, development, clamped)
+        return cut_targets(sizes, {"fit": F.col("n_fit"), "dev": F.col("n_fit") + F.col("n_dev")})
+
     marked = first_ranked(rows, rank_order(seed), targets, ["fit", "dev"])
     partition = (
         F.when(F.col("within_fit"), "fitting").when(F.col("within_dev"), "development").otherwise("evaluation")

@@ -30,14 +30,19 @@ def value_table(
     methods: list[str],
     counts: dict[str, Column] | None = None,
     by: list[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Melt the identity columns and count rows per (by, method, value, class)."""
+    """Melt the identity columns and count rows per (by, method, value, class).
+
+    With ``weight``, each row stands for that many samples.
+    """
     by = by or []
+    load = [weight] if weight else []
     flags = {name: flag.cast("long") for name, flag in (counts or {}).items()}
-    narrow = rows.select(*by, "class_label", *methods, *[c.alias(n) for n, c in flags.items()])
-    melted = narrow.unpivot([*by, "class_label", *flags], methods, "method", "value")
+    narrow = rows.select(*by, "class_label", *load, *methods, *[c.alias(n) for n, c in flags.items()])
+    melted = narrow.unpivot([*by, "class_label", *load, *flags], methods, "method", "value")
     return melted.groupBy(*by, "method", "value", "class_label").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(name).alias(name) for name in flags]
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(name).alias(name) for name in flags]
     )
 
 

@@ -9,6 +9,7 @@ combination of the other keys.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copycensus.functions.identity import SIGNATURES
@@ -27,23 +28,20 @@ def _with_candidates(folded: DataFrame, combos: dict[str, Column], carry: list[s
     entries = F.explode(F.array(*[
         F.struct(F.lit(name).alias("combo"), key.alias("value")) for name, key in combos.items()
     ])).alias("k")
-    melted = materialize(
-        folded.select("class_label", "n_train", "n_eval", *carry, entries).select(
-            "class_label", "n_train", "n_eval", *carry, "k.*"
-        )
+    melted = materialize(folded).select("class_label", "n_train", "n_eval", *carry, entries).select(
+        "class_label", "n_train", "n_eval", *carry, "k.*"
     )
+    # One row per class and value; an evaluation row's own class is always among them.
     labelled = melted.groupBy("combo", "value", "class_label").agg(
         F.sum("n_train").alias("with_label"), F.count_if(F.col("n_eval") > 0).alias("probes")
     )
-    totals = materialize(labelled.groupBy("combo", "value").agg(
-        F.sum("with_label").alias("candidates"), F.sum("probes").alias("probes")
-    ).where("candidates > 0 and probes > 0"))
-    same = materialize(labelled.where("with_label > 0 and probes > 0"))
+    known = materialize(
+        labelled.withColumn("candidates", F.sum("with_label").over(W.partitionBy("combo", "value")))
+        .where("candidates > 0 and probes > 0")
+    )
     probes = melted.where("n_eval > 0").withColumn("_id", F.concat_ws("|", "combo", *carry))
-    matched = join_groups(probes, totals, ["combo", "value"], "probes", id_col="_id").drop("probes")
-    return join_groups(
-        matched, same, ["combo", "value", "class_label"], "probes", id_col="_id", how="left"
-    ).na.fill(0, ["with_label"]).drop("probes", "_id")
+    keys = ["combo", "value", "class_label"]
+    return join_groups(probes, known, keys, "probes", id_col="_id").drop("probes", "_id")
 
 
 def key_pair_stats(

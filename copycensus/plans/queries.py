@@ -280,7 +280,9 @@ def stratified_split_events(spark, sf):
 
 @query
 def stratified_split_lineitem(spark, sf):
-    return splits.stratified_split(samples.lineitems(spark, sf).select("sample_id", "class_label"), seed=st.SPLIT_SEED)
+    # The id is a digest of the whole row: write it once instead of hashing per pass.
+    rows = materialize(samples.lineitems(spark, sf).select("sample_id", "class_label"))
+    return splits.stratified_split(rows, seed=st.SPLIT_SEED)
 
 
 @query
@@ -327,7 +329,7 @@ def protocol_pair(spark, sf):
     rows = materialize(samples.documents(spark, sf, "source").select(
         "sample_id", "class_label", "rgb_sha256", "hash_consensus"
     ))
-    full, clean, _ = st.protocol_pair(rows, 5, clamped=True)
+    full, clean = st.protocol_pair(rows, 5, clamped=True)
     return (
         full.select(F.lit("full").alias("protocol"), "class_label", "partition")
         .unionByName(clean.select(F.lit("clean").alias("protocol"), "class_label", "partition"))

@@ -49,22 +49,26 @@ def consensus_groups(rows: DataFrame) -> DataFrame:
     ))
 
 
-def protocol_pair(rows: DataFrame, minimum: int, universe: str = "all", clamped: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Full and clean manifests from one grouped table, with the class eligibility.
+def safe_pool(rows: DataFrame, minimum: int, universe: str = "all") -> tuple[DataFrame, DataFrame]:
+    """Members of pure groups, flagged as representatives of eligible classes, and the classes."""
+    groups = consensus_groups(rows)
+    classes = materialize(dedup.eligible_classes(rows, groups, minimum, universe))
+    annotated = dedup.annotate(rows, F.col("hash_consensus"), groups).where("group_class_count = 1")
+    return materialize(annotated.join(classes, "class_label", "left").drop("pure_groups")), classes
+
+
+def protocol_pair(rows: DataFrame, minimum: int, universe: str = "all", clamped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Full and clean manifests from one grouped table.
 
     Full drops mixed groups; clean keeps one representative per pure group of
     the eligible classes. Both are then split.
     """
-    groups = consensus_groups(rows)
-    annotated = materialize(dedup.annotate(rows, F.col("hash_consensus"), groups))
-    classes = materialize(dedup.eligible_classes(rows, groups, minimum, universe))
-    safe = annotated.where("group_class_count = 1")
+    safe, _ = safe_pool(rows, minimum, universe)
     full = splits.stratified_split(safe, seed=SPLIT_SEED, clamped=clamped)
-    representatives = safe.where("is_representative").join(
-        classes.where("eligible = 1").select("class_label"), "class_label", "left_semi"
+    clean = splits.stratified_split(
+        safe.where("is_representative and eligible = 1"), seed=SPLIT_SEED, clamped=clamped
     )
-    clean = splits.stratified_split(representatives, seed=SPLIT_SEED, clamped=clamped)
-    return full, clean, classes
+    return full, clean
 
 
 def four_conditions(spark: SparkSession, sf: str, minimum: int = 100) -> DataFrame:
@@ -73,8 +77,9 @@ def four_conditions(spark: SparkSession, sf: str, minimum: int = 100) -> DataFra
     rows = materialize(samples.documents(spark, sf).select(
         "sample_id", "class_label", "rgb_sha256", "hash_consensus"
     ))
-    _, clean, _ = protocol_pair(rows, minimum, clamped=True)
-    clean = materialize(clean.select(*keep))
+    safe, _ = safe_pool(rows, minimum)
+    representatives = safe.where("is_representative and eligible = 1")
+    clean = materialize(splits.stratified_split(representatives, seed=SPLIT_SEED, clamped=True).select(*keep))
     everything = materialize(splits.stratified_split(rows, seed=SPLIT_SEED).select(*keep))
     full = cond.restrict_classes(everything, clean, strict=False)
     control = cond.matched_subsample(everything, clean, SELECT_SEED, RESPLIT_SEED)
