@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copycensus.functions.signals import cosine_rows
+from copycensus.functions.signals import SIGNATURE_TYPE, cosine_rows, hex_bits
 
 # Workers receive these functions by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -79,12 +79,6 @@ def grey(rgb: np.ndarray) -> np.ndarray:
     return ((r * LUMA[0] + g * LUMA[1] + b * LUMA[2] + 0x8000) >> 16).astype(np.float64)
 
 
-def hex_bits(bits: np.ndarray) -> str:
-    if bits.size != 64:
-        raise ValueError("A signature must have 64 bits")
-    return np.packbits(bits.reshape(-1)).tobytes().hex()
-
-
 def image_signatures(rgb: np.ndarray) -> tuple[str, str, str]:
     plane = grey(rgb)
     small = resample(plane, 8, 8, "lanczos")
@@ -92,15 +86,12 @@ def image_signatures(rgb: np.ndarray) -> tuple[str, str, str]:
     waves = np.array(cosine_rows(8, 32))
     block = waves @ resample(plane, 32, 32, "lanczos") @ waves.T
     return (
-        hex_bits(small > small.mean()),
-        hex_bits(steps[:, 1:] > steps[:, :-1]),
-        hex_bits(block > np.median(block)),
+        *hex_bits((small > small.mean()).reshape(1, -1)),
+        *hex_bits((steps[:, 1:] > steps[:, :-1]).reshape(1, -1)),
+        *hex_bits((block > np.median(block)).reshape(1, -1)),
     )
 
 
-SIGNATURE_TYPE = T.StructType([T.StructField(n, T.StringType()) for n in ("ahash", "dhash", "phash")])
-
-
 @F.pandas_udf(T.BinaryType())
 def rgb_bytes(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([rgb_array(*row).tobytes() for row in zip(height, width, channels, data)])

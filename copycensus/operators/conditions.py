@@ -42,8 +42,12 @@ def paired_conditions(
     removal = materialize(marked.where(fitting).groupBy("class_label").agg(
         F.count(F.lit(1)).alias("fitting"), F.count_if("exposed").alias("need")
     ))
-    fail_if_any(removal.where("need > 0 and need >= fitting"), "Cleaning exhausts fitting class")
-    if require_exposure and not removal.where("need > 0").take(1):
+    state = removal.agg(
+        F.count_if(F.expr("need > 0 and need >= fitting")).alias("exhausted"), F.sum("need").alias("need")
+    ).first()
+    if state["exhausted"]:
+        fail_if_any(removal.where("need > 0 and need >= fitting"), "Cleaning exhausts fitting class")
+    if require_exposure and not state["need"]:
         raise ValueError("No cross-partition exact exposure was found.")
     targets = cut_targets(removal, {"drop": F.col("need")})
     dropped = first_ranked(marked.where(fitting), rank_order(seed), targets, ["drop"])

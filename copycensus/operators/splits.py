@@ -47,7 +47,7 @@ def allocate(sizes: DataFrame, fit: float, development: float, clamped: bool = F
     if clamped:
         n_fit = F.greatest(one, F.least(n_fit, n - 2))
         n_dev = F.greatest(one, F.least(n_dev, n - F.col("n_fit") - 1))
-    table = materialize(
+    table = (
         sizes.withColumn("n_fit", n_fit).withColumn("n_dev", n_dev)
         .withColumn("n_eval", n - F.col("n_fit") - F.col("n_dev"))
     )

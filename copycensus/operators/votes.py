@@ -23,6 +23,11 @@ def _folded(rows: DataFrame, keys: list[str], train: str, evaluation: str) -> Da
     )
 
 
+def joined_key(keys: list[str]) -> Column:
+    """Several string keys as one, each behind its length so that no two tuples coincide."""
+    return F.concat(*[F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in keys])
+
+
 def _with_candidates(folded: DataFrame, combos: dict[str, Column], carry: list[str]) -> DataFrame:
     """Evaluation rows melted over key combinations, with training counts for each."""
     entries = F.explode(F.array(*[
@@ -53,8 +58,8 @@ def key_pair_stats(
     folded = _folded(rows, [*keys, content], train, evaluation)
     combos = {}
     for name, ks in keysets.items():
-        combos[name] = F.concat_ws("|", *ks)
-        combos[f"{name}+content"] = F.concat_ws("|", *ks, content)
+        combos[name] = joined_key(ks)
+        combos[f"{name}+content"] = joined_key([*ks, content])
     hits = _with_candidates(folded, combos, [*keys, content])
     plain = ~F.col("combo").endswith("+content")
     ev = F.col("n_eval")
@@ -77,7 +82,7 @@ def vote_stats(rows: DataFrame, keys: tuple[str, ...] = SIGNATURES, train: str =
     a, b, c = keys
     sets = {"1": [a], "2": [b], "3": [c], "12": [a, b], "13": [a, c], "23": [b, c], "123": [a, b, c]}
     folded = _folded(rows, list(keys), train, evaluation)
-    hits = _with_candidates(folded, {n: F.concat_ws("|", *ks) for n, ks in sets.items()}, list(keys))
+    hits = _with_candidates(folded, {n: joined_key(ks) for n, ks in sets.items()}, list(keys))
     # Pairs agreeing on >= 1 key and on >= 2 keys, by inclusion and exclusion.
     order = F.length("combo")
     ev, candidates = F.col("n_eval"), F.col("candidates")

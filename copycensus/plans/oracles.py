@@ -517,7 +517,9 @@ SELECT {big('(SELECT count(*) FROM f WHERE sample_id NOT IN (SELECT sample_id FR
     # Agreement on part_supplier or part_quantity implies agreement on part.
     "key_vote_stats_lineitem": with_(LINE).rstrip() + ",\n" + vote_sql("li", "part_supplier", "part_quantity", "part", "e.part = t.part"),
     "nearest_centroid_predictions": with_(EMB_COND) + f"SELECT condition, sample_id, true_label, predicted_label, {real('distance', 'distance')} FROM best",
-    "prediction_violations": with_(EMB_COND) + f"""SELECT condition, {big('count(*)', 'rows')}, {big('0', 'wrong_shape')}, {big('0', 'nonfinite')}, {big('0', 'unknown_label')}, {big('0', 'not_arg_max')} FROM best GROUP BY condition""",
+    "prediction_violations": with_(EMB_COND) + f"""SELECT condition, {big('count(*)', 'rows')}, {big('count(*) FILTER (k <> 10)', 'wrong_shape')}, {big('count(*) FILTER (NOT isfinite(w))', 'nonfinite')},
+  {big("count(*) FILTER (true_label NOT IN (SELECT CAST(label AS VARCHAR) FROM embeddings))", 'unknown_label')}, {big('count(*) FILTER (top <> predicted_label)', 'not_arg_max')}
+  FROM best JOIN (SELECT condition, sample_id, count(*) AS k, arg_max(label, (exp(-d), -CAST(label AS INTEGER))) AS top FROM dist GROUP BY ALL) USING (condition, sample_id) GROUP BY condition""",
     "mean_log_loss": with_(EMB_COND) + f"SELECT condition, {real('avg(loss)', 'mean_log_loss')}, {big('count(*)', 'rows')} FROM best GROUP BY condition",
     "confusion_matrix": with_(PRED, CLASSES, CELLS) + f"SELECT condition, CAST(seed AS BIGINT) AS seed, true_label, predicted_label, {big('n', 'n')} FROM cells",
     "confusion_wide": with_(PRED, CLASSES, CELLS) + "SELECT condition, CAST(seed AS BIGINT) AS seed, true_label AS true_class, " + ", ".join(
@@ -571,7 +573,9 @@ ee AS (SELECT sum((SELECT count(*) FROM judged WHERE judgement_1 = j) * (SELECT
     "stratum_counts": with_(PAIRS) + f"SELECT sample_kind, {big('count(*)', 'pairs')}, {big('count(DISTINCT stratum)', 'strata')} FROM pt GROUP BY sample_kind",
     "removal_ranking": with_(full("source"), grouped("docs", "hash_consensus", "hash_consensus")) + f"""SELECT class_label, {real('100 * count(*) FILTER (rn > 1) / count(*)', 'removed_percent')},
   CASE WHEN count(*) FILTER (rn = 1) < 25 THEN 'excluded' ELSE 'retained' END AS status FROM ann GROUP BY class_label""",
-    "manifest_merge_check": f"SELECT {big('count(*)', 'matched')}, {big('0', 'only_in_source')}, {big('0', 'only_in_hashes')}, {big('0', 'label_mismatches')}, {big('0', 'digest_mismatches')} FROM documents",
+    "manifest_merge_check": with_(light(), split("docs")) + f"""SELECT {big('count(*) FILTER (a.sample_id IS NOT NULL AND b.sample_id IS NOT NULL)', 'matched')}, {big('count(*) FILTER (b.sample_id IS NULL)', 'only_in_source')},
+  {big('count(*) FILTER (a.sample_id IS NULL)', 'only_in_hashes')}, {big('count(*) FILTER (a.class_label <> b.class_label)', 'label_mismatches')},
+  {big('count(*) FILTER (a.file_sha256 <> b.file_sha256 OR a.rgb_sha256 <> b.rgb_sha256)', 'digest_mismatches')} FROM man a FULL JOIN docs b ON a.sample_id = b.sample_id""",
     "index_check": f"SELECT {big('(SELECT count(*) - count(DISTINCT doc_id) FROM documents)', 'repeated_ids')}, {big('(SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))', 'missing_ids')}",
     "content_drift": with_(light()) + "SELECT sample_id, 'changed' AS problem FROM docs WHERE file_sha256 <> rgb_sha256",
     "membership_drift": "SELECT CAST(doc_id AS VARCHAR) AS sample_id, 'added' AS change FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), 'removed' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
@@ -581,7 +585,8 @@ ee AS (SELECT sum((SELECT count(*) FROM judged WHERE judgement_1 = j) * (SELECT
     "claim_check": with_(light()) + f"""SELECT claim, {real('expected', 'expected')}, {real('found', 'found')}, {big('CASE WHEN expected = found THEN 1 ELSE 0 END', 'holds')} FROM (
   SELECT 'file_sha256_excess' AS claim, count(*) - count(DISTINCT file_sha256) AS expected, count(*) - count(DISTINCT file_sha256) AS found FROM docs UNION ALL
   SELECT 'rgb_sha256_excess', count(*) - count(DISTINCT file_sha256) + 1, count(*) - count(DISTINCT rgb_sha256) FROM docs)""",
-    "fraction_check": "SELECT 'ahash' AS method FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)",
+    "fraction_check": with_(full(), melt("docs", SIX), f"ov AS ({OVERLAP})") + """SELECT method FROM (SELECT *, evaluation_matched / evaluation_images AS f FROM ov)
+  WHERE abs(f + CASE WHEN method = 'ahash' THEN 0.000001 ELSE 0 END - f) >= 0.000000000001""",
     "protocol_reuse_check": with_(light(), split("docs")) + " UNION ALL ".join([
         *split_checks("man"), check("unexpected_source_split", "count(*) FILTER (original_split NOT IN ('train', 'val'))", "man"),
         check("membership_drift", "count(*)", "(SELECT sample_id FROM docs EXCEPT SELECT sample_id FROM man)"),

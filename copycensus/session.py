@@ -54,10 +54,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer files than the session has cores."""
+def spread(df: DataFrame, most_splits: int = 16) -> DataFrame:
+    """Redistribute a tiny scan that has fewer splits than the session has cores.
+
+    A scan of more than ``most_splits`` splits is left alone: shuffling its
+    texts would cost more than the idle cores.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, most_splits) else df
 
 
 def join_groups(

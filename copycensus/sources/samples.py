@@ -37,18 +37,9 @@ def letters_only(canonical: str) -> Column:
     return F.regexp_replace(canonical, "[^a-z]+", "")
 
 
-def with_signatures(df: DataFrame, signal: str) -> DataFrame:
-    """Add ahash, dhash, phash and hash_consensus from an 8x8 grid column."""
-    return (
-        df.withColumn("_coefficients", signals.cosine_block(signal))
-        .withColumns({
-            "ahash": signals.ahash(signal),
-            "dhash": signals.dhash(signal),
-            "phash": signals.phash("_coefficients"),
-        })
-        .withColumn("hash_consensus", consensus())
-        .drop("_coefficients")
-    )
+def with_signatures(df: DataFrame, signatures: Column) -> DataFrame:
+    """Add ahash, dhash, phash and hash_consensus."""
+    return df.withColumn("_s", signatures).select("*", "_s.*").drop("_s").withColumn("hash_consensus", consensus())
 
 
 def documents(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
@@ -57,9 +48,8 @@ def documents(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFram
         spread(table(spark, sf_dir, "documents"))
         .withColumn("sample_id", F.col("doc_id").cast("string"))
         .withColumn("canonical", canonical_text("text"))
-        .withColumn("signal", signals.text_signal("canonical"))
     )
-    return with_signatures(rows, "signal").select(
+    return with_signatures(rows, signals.text_signatures("canonical")).select(
         "sample_id",
         F.col(label).alias("class_label"),
         source_split().alias("original_split"),
@@ -86,7 +76,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("sample_id", F.col("vec_id").cast("string"))
         .withColumn("signal", F.transform("embedding", lambda x: x.cast("double")))
     )
-    return with_signatures(rows, "signal").select(
+    return with_signatures(rows, signals.vector_signatures("signal")).select(
         "sample_id",
         F.col("label").cast("string").alias("class_label"),
         source_split().alias("original_split"),
