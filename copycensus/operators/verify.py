@@ -146,13 +146,15 @@ def decision_differences(recomputed: DataFrame, stored: DataFrame, keys: list[st
     )
 
 
-def _sealed(rows: DataFrame, line: Column, spread_by: Column) -> DataFrame:
-    """Two-level digest of ordered lines: per hash bucket, then over the buckets."""
-    buckets = rows.select(F.substring(spread_by, 1, 4).alias("bucket"), line.alias("line")).groupBy("bucket").agg(
+def _sealed(rows: DataFrame, line: Column, spread_by: Column, digits: int = 4) -> DataFrame:
+    """Two-level digest of ordered, distinct lines: per hash bucket, then over the buckets."""
+    buckets = rows.select(
+        F.substring(spread_by, 1, digits).alias("bucket"), line.alias("line"), F.col("copies")
+    ).groupBy("bucket").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("sealed"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum("copies").alias("n"),
     )
-    # At most 16**4 buckets reach the second level.
+    # At most 16**digits buckets reach the second level.
     return buckets.groupBy().agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "sealed"))), "\n"), 256).alias("digest"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
@@ -162,10 +164,15 @@ def _sealed(rows: DataFrame, line: Column, spread_by: Column) -> DataFrame:
 def snapshot_digest(rows: DataFrame, content: str = "file_sha256") -> DataFrame:
     """Order-free digest of the (id, content digest) lines of a corpus."""
     line = F.concat(F.lit('["'), "sample_id", F.lit('","'), content, F.lit('"]\n'))
-    return _sealed(rows, line, digest("sample_id"))
+    return _sealed(rows.withColumn("copies", F.lit(1)), line, digest("sample_id"))
 
 
 def rowset_digest(rows: DataFrame) -> DataFrame:
-    """Order-free digest of whole rows, written as JSON with sorted names."""
-    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(rows.columns)]))
-    return _sealed(rows.select(line.alias("j")), F.concat("j", F.lit("\n")), digest("j"))
+    """Order-free digest of whole rows, written as JSON with sorted names, and how often each occurs.
+
+    Equal rows are folded first, so copies of one row do not pile up in a bucket.
+    """
+    row = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(rows.columns)]))
+    folded = rows.select(row.alias("j")).groupBy("j").agg(F.count(F.lit(1)).alias("copies"))
+    line = F.concat("j", F.lit("*"), F.col("copies").cast("string"), F.lit("\n"))
+    return _sealed(folded, line, digest("j"))

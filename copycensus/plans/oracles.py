@@ -598,8 +598,8 @@ ee AS (SELECT sum((SELECT count(*) FROM judged WHERE judgement_1 = j) * (SELECT
     "settings_check": with_(EVT) + """SELECT class_label AS name, CAST(count(*) AS VARCHAR) AS stored, CAST(count(*) FILTER (original_split = 'train') AS VARCHAR) AS current
   FROM evt WHERE class_label <> 'click' GROUP BY 1 HAVING count(*) <> count(*) FILTER (original_split = 'train')""",
     "snapshot_digest": with_(light()) + sealed(snapshot_rows()),
-    "rowset_digest": with_(light(), """js AS (SELECT '{"class_label":"' || class_label || '","original_split":"' || original_split || '","rgb_sha256":"' || rgb_sha256 || '","sample_id":"' || sample_id || '"}' AS j FROM docs)""")
-    + sealed("SELECT substr(sha256(j), 1, 4) AS bucket, j || chr(10) AS line FROM js"),
+    "rowset_digest": with_(light(), """js AS (SELECT j, count(*) AS n FROM (SELECT '{"class_label":"' || class_label || '","original_split":"' || original_split || '","rgb_sha256":"' || rgb_sha256 || '","sample_id":"' || sample_id || '"}' AS j FROM docs) GROUP BY j)""")
+    + sealed("SELECT substr(sha256(j), 1, 4) AS bucket, j || '*' || n || chr(10) AS line FROM js"),
     "snapshot_agreement": with_(light(), f"sa AS ({sealed(snapshot_rows())})", f"sb AS ({sealed(snapshot_rows('rgb_sha256'))})")
     + f"SELECT {big('count(DISTINCT digest)', 'snapshots')}, {big('count(*)', 'audits')} FROM (SELECT digest FROM sa UNION ALL SELECT digest FROM sa UNION ALL SELECT digest FROM sb)",
 }

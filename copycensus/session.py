@@ -72,15 +72,21 @@ def join_groups(
     id_col: str = "sample_id",
     how: str = "inner",
     rows_per_salt: int = 1_000_000,
+    broadcast_rows: int = 10_000,
 ) -> DataFrame:
     """Attach one-row-per-key ``groups`` to ``rows`` when some keys are huge.
 
-    ``groups`` should be materialized. A key is hot if it holds more than
-    ``rows_per_salt`` rows and more than a thousandth of all rows, so fewer than
-    a thousand keys are hot whatever the data; only that list is broadcast. Rows of a hot
+    ``groups`` should be materialized. Up to ``broadcast_rows`` groups are
+    broadcast. Otherwise a key is hot if it holds more than ``rows_per_salt``
+    rows and more than a thousandth of all rows, so fewer than a thousand keys
+    are hot whatever the data, and only that list is broadcast. Rows of a hot
     key are spread over salts and its group row is repeated once per salt.
     """
-    stats = groups.agg(F.sum(size_col).alias("total"), F.max(size_col).alias("largest")).first()
+    stats = groups.agg(
+        F.count(F.lit(1)).alias("groups"), F.sum(size_col).alias("total"), F.max(size_col).alias("largest")
+    ).first()
+    if stats["groups"] <= broadcast_rows:
+        return rows.join(F.broadcast(groups), keys, how)
     threshold = max(rows_per_salt, math.ceil((stats["total"] or 0) / 1000))
     if (stats["largest"] or 0) <= threshold:
         return rows.join(groups, keys, how)
