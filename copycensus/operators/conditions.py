@@ -46,9 +46,9 @@ def paired_conditions(
         F.count_if(F.expr("need > 0 and need >= fitting")).alias("exhausted"), F.sum("need").alias("need")
     ).first()
     if state["exhausted"]:
-        fail_if_any(removal.where("need > 0 and need >= fitting"), "Cleaning exhausts fitting class")
+        fail_if_any(removal.where("need > 0 and need >= fitting"), "Removing exposed rows exhausts class")
     if require_exposure and not state["need"]:
-        raise ValueError("No cross-partition exact exposure was found.")
+        raise ValueError("No fitting row recurs in a held-out partition; nothing to clean.")
     targets = cut_targets(removal, {"drop": F.col("need")})
     dropped = first_ranked(marked.where(fitting), rank_order(seed), targets, ["drop"])
     held = marked.where(~fitting).withColumn("within_drop", F.lit(False))
@@ -90,9 +90,9 @@ def restrict_classes(full: DataFrame, clean: DataFrame, strict: bool = True) ->
     clean_labels = materialize(clean.groupBy("class_label").agg(F.count(F.lit(1)).alias("n")).select("class_label"))
     full_labels = materialize(full.groupBy("class_label").agg(F.count(F.lit(1)).alias("n")).select("class_label"))
     fail_if_any(clean_labels.join(full_labels, "class_label", "left_anti"),
-                "Clean protocol contains classes absent from the Full protocol")
+                "Classes of the clean table that the full table lacks")
     if strict and not full_labels.join(clean_labels, "class_label", "left_anti").take(1):
-        raise ValueError("Expected a strict subset of Full classes.")
+        raise ValueError("The clean table must lack at least one class of the full table.")
     return full.join(clean_labels, "class_label", "left_semi")
 
 
@@ -106,7 +106,7 @@ def matched_subsample(
     )
     available = source.groupBy("class_label").agg(F.count(F.lit(1)).alias("available"))
     targets = materialize(wanted.join(available, "class_label", "left").na.fill(0, ["available"]))
-    fail_if_any(targets.where("needed > available"), "Cannot sample enough rows from class")
+    fail_if_any(targets.where("needed > available"), "Not enough source rows in class")
     chosen = materialize(
         first_ranked(
             source.drop("partition"), rank_order(selection_seed, "select"),

@@ -84,7 +84,7 @@ def require_pure(rows: DataFrame, value: Column, groups: DataFrame) -> None:
     conflicts = mixed_groups(groups).count()
     if conflicts:
         examples = [r["examples"] for r in conflict_examples(rows, value, groups).collect()]
-        raise ValueError(f"{conflicts} duplicate groups span supplied labels; examples={examples}")
+        raise ValueError(f"{conflicts} duplicate groups carry several labels, for example {examples}")
 
 
 def pure_group_counts(groups: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def insufficient_classes(retained_counts: DataFrame, minimum: int, exclude: bool
         found = short.orderBy("class_label").collect()
         if found:
             detail = ", ".join(f"{r['class_label']}={r['retained_groups']}" for r in found)
-            raise ValueError(f"Deduplication leaves fewer than {minimum} groups for: {detail}.")
+            raise ValueError(f"Classes with fewer than {minimum} retained groups: {detail}")
     return short
 
 

@@ -95,7 +95,7 @@ def mean_log_loss(predictions: DataFrame, runs: list[str], classes: list[str]) -
     place = F.array_position(_labels(classes), F.col("true_label")).cast("int")
     loss = -F.log(F.element_at("probabilities", place))
     checked = F.when(loss.isNull() | F.isnan(loss) | (loss == float("inf")),
-                     F.raise_error(F.lit("Nonfinite loss")).cast("double")).otherwise(loss)
+                     F.raise_error(F.lit("Loss is not finite")).cast("double")).otherwise(loss)
     return predictions.groupBy(*runs).agg(F.avg(checked).alias("mean_log_loss"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -144,7 +144,7 @@ def recipe_summary(results: DataFrame) -> DataFrame:
     bad = F.col("development_loss").isNull() | F.isnan("development_loss") | (
         F.abs("development_loss") == float("inf")
     )
-    loss = F.when(bad, F.raise_error(F.lit("Incomplete or nonfinite tuning results")).cast("double")).otherwise(
+    loss = F.when(bad, F.raise_error(F.lit("Tuning losses must be present and finite")).cast("double")).otherwise(
         F.col("development_loss")
     )
     return results.groupBy("recipe_name").agg(
@@ -160,7 +160,7 @@ def select_recipe(results: DataFrame, required: list[str] | None = None) -> Data
     if required:
         present = {r["recipe_name"] for r in summary.select("recipe_name").collect()}
         if set(required) - present:
-            raise ValueError("Incomplete or nonfinite tuning results: " + ", ".join(sorted(set(required) - present)))
+            raise ValueError("Recipes without tuning results: " + ", ".join(sorted(set(required) - present)))
     best = F.struct("mean_development_loss", "recipe_name")
     return summary.groupBy().agg(
         F.min_by("recipe_name", best).alias("recipe_name"),

@@ -39,7 +39,7 @@ def allocate(sizes: DataFrame, fit: float, development: float, clamped: bool = F
     partition; clamped allocation keeps one row in each partition.
     """
     if not (0 < fit < 1 and 0 < development < 1 and fit + development < 1):
-        raise ValueError("Fractions must be positive and sum to less than one.")
+        raise ValueError("Both shares must be positive and leave a rest for evaluation.")
     n = F.col("class_size")
     n_fit = F.bround(n * F.lit(fit)).cast("long")
     n_dev = F.bround(n * F.lit(development)).cast("long")
@@ -53,7 +53,7 @@ def allocate(sizes: DataFrame, fit: float, development: float, clamped: bool = F
     )
     fail_if_any(
         table.where(F.least("n_fit", "n_dev", "n_eval") < 1),
-        "Every class must contribute to all three partitions",
+        "Too few rows to fill all three partitions in class",
     )
     return table
 
@@ -131,7 +131,7 @@ def group_development_split(
         ).withColumn("order", order_key(stable_rank(seed, F.col(key)), F.col(key)))
     )
     if groups.where("labels > 1").take(1):
-        raise ValueError("Mixed-label input identity group: resolve explicitly before splitting.")
+        raise ValueError("An identity group carries more than one label; settle that before splitting.")
     train_sizes = groups.groupBy("class_label").agg(F.sum("n_train").alias("n_train"))
     targets = materialize(train_sizes.select(
         "class_label", "n_train", F.lit("dev").alias("cut"),
@@ -144,11 +144,11 @@ def group_development_split(
     ))
     fail_if_any(
         targets.join(found, "class_label", "left_anti"),
-        "Insufficient evaluation-disjoint development images",
+        "Insufficient training-only groups for development in class",
     )
     fail_if_any(
         targets.join(found, "class_label").where("reached >= n_train"),
-        "Development selection exhausts training class",
+        "Development would take every training row of class",
     )
     cuts = found.select("class_label", "boundary")
     chosen = groups.join(cuts, "class_label").select(

@@ -31,7 +31,7 @@ def checked_merge(source: DataFrame, hashes: DataFrame, add: list[str]) -> DataF
     found = merge_check(source, hashes).first().asDict()
     bad = {k: v for k, v in found.items() if k != "matched" and v}
     if bad:
-        raise ValueError("Source and hash manifests differ: " + ", ".join(f"{k}={v}" for k, v in bad.items()))
+        raise ValueError("Manifests disagree: " + ", ".join(f"{k}={v}" for k, v in bad.items()))
     return source.join(hashes.select("sample_id", *add), "sample_id")
 
 

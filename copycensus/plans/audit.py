@@ -51,7 +51,7 @@ def run_audit(
 ) -> DataFrame:
     """Audit a hashed sample table into a new folder; returns the metadata row."""
     if path_exists(spark, output):
-        raise FileExistsError(f"Refusing to overwrite {output}")
+        raise FileExistsError(f"Output already exists: {output}")
     rows = materialize(rows)
     methods = list(MATCH_METHODS)
     values = materialize(vt.value_table(rows, methods, vt.split_counts(train, evaluation)))

@@ -56,9 +56,9 @@ def _guarded(rows: DataFrame, root: str) -> DataFrame:
     """Fail on an empty inventory or repeated ids."""
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("k")).first()
     if not seen["n"]:
-        raise ValueError(f"No supported images found under {root}")
+        raise ValueError(f"No image files below {root}")
     if seen["n"] != seen["k"]:
-        raise ValueError("Sample identifiers are not unique")
+        raise ValueError("Two files share a sample id")
     return rows
 
 
@@ -75,7 +75,7 @@ def split_folders(spark: SparkSession, root: str, train: str = "train", evaluati
     """Files at ``split/class/file`` under the two given splits, both of which must exist."""
     for split in (train, evaluation):
         if not path_exists(spark, f"{root}/{split}"):
-            raise ValueError(f"Missing split directory: {root}/{split}")
+            raise ValueError(f"Split folder not found: {root}/{split}")
     files = _files(spark, root, [])
     rows = files.where(
         (F.col("_depth") == 3) & F.col("_type").isin(*AUDIT_TYPES) & F.col("_parts")[0].isin(train, evaluation)
@@ -89,7 +89,7 @@ def strict_layout(spark: SparkSession, root: str) -> DataFrame:
     bad = files.where((F.col("_depth") != 3) | ~F.col("_parts")[0].isin("train", "val"))
     found = [r["sample_id"] for r in bad.select("sample_id").take(3)]
     if found:
-        raise ValueError(f"Expected train|val/class/image.png: {', '.join(found)}")
+        raise ValueError(f"Paths other than train|val/class/file.png: {', '.join(found)}")
     return _guarded(files.select(
         "sample_id", F.col("_parts")[0].alias("original_split"), F.col("_parts")[1].alias("class_label")
     ), root)

@@ -37,7 +37,7 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     )
     found = [f"{r['path_condition']}/seed_{r['path_seed']}" for r in wrong.select("path_condition", "path_seed").take(3)]
     if found:
-        raise ValueError(f"Metric identity mismatch: {', '.join(found)}")
+        raise ValueError(f"Fields of metrics.json disagree with the folder: {', '.join(found)}")
     if "artifacts_sha256" in runs.columns:
         as_map = F.from_json(F.to_json("artifacts_sha256"), T.MapType(T.StringType(), T.StringType()))
         runs = runs.withColumn("artifacts_sha256", as_map)
@@ -85,7 +85,7 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
     """Write a table in declared column order; an existing path is an error."""
     out = df.select(*columns) if columns else df
     if not out.columns:
-        raise ValueError(f"Cannot infer columns for {path}")
+        raise ValueError(f"No columns to write to {path}")
     writer = out.write.mode("errorifexists")
     writer.csv(path, header=True, escape='"') if fmt == "csv" else writer.format(fmt).save(path)
 
@@ -99,7 +99,7 @@ def freeze_table(df: DataFrame, path: str) -> None:
         return
     stored = spark.read.parquet(path)
     if stored.columns != text.columns or stored.exceptAll(text).take(1) or text.exceptAll(stored).take(1):
-        raise ValueError(f"Frozen manifest differs: {path}")
+        raise ValueError(f"Rows are not those frozen at {path}")
 
 
 def freeze_settings(spark: SparkSession, path: str, settings: dict) -> None:
@@ -111,7 +111,7 @@ def freeze_settings(spark: SparkSession, path: str, settings: dict) -> None:
         spark.range(1).select(F.lit(value).alias("value")).coalesce(1).write.text(path)
         return
     if json.loads(stored) != json.loads(value):
-        raise ValueError(f"Frozen settings differ: {path}. Use a new output directory.")
+        raise ValueError(f"Settings are not those frozen at {path}; choose another folder")
 
 
 def output_checksums(spark: SparkSession, root: str) -> DataFrame:
