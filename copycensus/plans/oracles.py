@@ -451,6 +451,19 @@ ORACLES: dict[str, str] = {
         split("reps", "cl", clamped=True),
     ) + f"""SELECT 'full' AS protocol, class_label, "partition", {big('count(*)', 'images')} FROM fu GROUP BY ALL UNION ALL
 SELECT 'clean', class_label, "partition", CAST(count(*) AS BIGINT) FROM cl GROUP BY ALL""",
+    "protocol_summary": with_(full("source"), grouped("docs", "hash_consensus", "hash_consensus"),
+        "pk AS (SELECT class_label, count(*) FILTER (classes = 1 AND rn = 1) >= 20 AS ok FROM ann GROUP BY 1)") + f"""SELECT {big('count(*)', 'source_images')},
+  {big('count(*) FILTER (classes > 1 AND rn = 1)', 'mixed_label_groups_excluded')}, {big('count(*) FILTER (classes > 1)', 'mixed_label_images_excluded')},
+  coalesce((SELECT string_agg(class_label, ';' ORDER BY class_label) FROM pk WHERE ok), '') AS eligible_classes, coalesce((SELECT string_agg(class_label, ';' ORDER BY class_label) FROM pk WHERE NOT ok), '') AS excluded_classes,
+  {big('count(*) FILTER (classes = 1)', 'safe_full_images')}, {big('count(*) FILTER (classes = 1 AND ok AND rn = 1)', 'clean_representatives')},
+  {big('count(*) FILTER (classes = 1 AND ok AND rn > 1)', 'consensus_excess_removed_from_eligible_safe_pool')} FROM ann JOIN pk USING (class_label)""",
+    "audit_metadata": with_(full("source"), grouped("docs", "hash_consensus", "hash_consensus"),
+        "pk AS (SELECT class_label, count(DISTINCT hash_consensus) >= 22 AS ok FROM docs GROUP BY 1)", f"sn AS ({sealed(snapshot_rows())})") + f"""SELECT
+  '{{"train":' || count(*) FILTER (original_split = 'train') || ',"val":' || count(*) FILTER (original_split = 'val') || '}}' AS original_split_counts, {big('count(*)', 'images')},
+  {big('count(DISTINCT class_label)', 'classes')}, coalesce((SELECT string_agg(class_label, ';' ORDER BY class_label) FROM pk WHERE NOT ok), '') AS classes_below_minimum,
+  {big('count(*) FILTER (rn = 1)', 'retained_representatives')}, {big('count(*) FILTER (rn > 1)', 'removed_excess_copies')}, {big('count(*) FILTER (rn = 1 AND classes > 1)', 'mixed_label_consensus_groups')},
+  {big('CASE WHEN count(*) FILTER (classes > 1) = 0 THEN 1 ELSE 0 END', 'safe_to_construct_label_preserving_clean_split')}, (SELECT digest FROM sn) AS dataset_snapshot_sha256,
+  'completed' AS status, {big('22', 'minimum_groups_per_class')}, {big(str(REPRESENTATIVE_SEED), 'representative_seed')}, {big('64', 'hash_bits')}, {big('0', 'hamming_threshold')} FROM ann""",
     "partition_overlap": with_(light(), split("docs"), melt("man", THREE)) + f"""SELECT method AS identity_key,
   {", ".join(big(f"count(*) FILTER (\"partition\" = '{a}' AND (method, value) IN (SELECT method, value FROM m WHERE \"partition\" = '{b}'))", n) for a, b, n in (
       ("development", "fitting", "development_matching_fitting_images"), ("evaluation", "fitting", "evaluation_matching_fitting_images"),

@@ -13,6 +13,7 @@ from copycensus.functions.identity import MATCH_METHODS, SIGNATURES, group_id, r
 from copycensus.operators import agreement, contrasts, dedup, exposure, learn, pairs, scores, splits, verify, votes
 from copycensus.operators import conditions as cond
 from copycensus.operators import value_table as vt
+from copycensus.plans import audit, protocol
 from copycensus.plans import studies as st
 from copycensus.session import materialize
 from copycensus.sources import samples
@@ -302,6 +303,29 @@ def group_development_split(spark, sf):
     return splits.group_development_split(rows).select("sample_id", "class_label", "partition")
 
 
+@query
+def protocol_summary(spark, sf):
+    """Metadata row of the full and clean protocols, lists joined into text."""
+    rows = materialize(samples.documents(spark, sf, "source").select(
+        "sample_id", "class_label", "rgb_sha256", "hash_consensus"
+    ))
+    safe, classes = st.safe_pool(rows, 20)
+    table = protocol.pair_metadata(rows, st.consensus_groups(rows), classes, safe)
+    return table.withColumns({c: F.array_join(c, ";") for c in ("eligible_classes", "excluded_classes")})
+
+
+@query
+def audit_metadata(spark, sf):
+    """Metadata row of a whole audit, lists and maps written as text."""
+    rows, groups = doc_groups(spark, sf, "source")
+    classes = vt.per_class_summary(vt.value_table(rows, METHODS), METHODS, "hash_consensus", 22)
+    table = audit.audit_metadata(rows, groups, classes, 22, st.REPRESENTATIVE_SEED)
+    return table.withColumns({
+        "classes_below_minimum": F.array_join("classes_below_minimum", ";"),
+        "original_split_counts": F.to_json("original_split_counts"),
+    })
+
+
 @query
 def split_violations(spark, sf):
     rows = materialize(samples.documents(spark, sf).select(

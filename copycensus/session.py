@@ -49,7 +49,8 @@ def materialize(df: DataFrame) -> DataFrame:
     planner the real size, so a join broadcasts it only if it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/copycensus-{uuid.uuid4().hex}"
+    # One folder per application, so that it can be removed when the application is done.
+    path = f"{shared_dir(spark)}/copycensus-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
