@@ -51,3 +51,24 @@ WITH said AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
+
+# Base 32 of 20 bytes: five bits at a time, read from the 160-bit string of the hexadecimal digest.
+ORACLES["op1_warc_chunks"] = r"""
+WITH r AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+    ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111']
+    [strpos('0123456789abcdef', hex[i])]), '') AS bits
+  FROM r
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda g: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + 16 * bits[5 * g + 1]::INT + 8 * bits[5 * g + 2]::INT + 4 * bits[5 * g + 3]::INT + 2 * bits[5 * g + 4]::INT + bits[5 * g + 5]::INT]), '')
+         AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""

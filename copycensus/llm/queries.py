@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copycensus.llm import bpe, chat, quality
+from copycensus.llm import bpe, chat, language, quality, token_counts, warc
 from copycensus.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,17 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_warc_chunks(spark, sf):
+    records = warc.checked_records(warc.round_trip(table(spark, sf, "pages")))
+    return records.withColumnRenamed("record_id", "page_id")
+
+
+@query
+def op4_section_tokens(spark, sf):
+    return token_counts.count_sections(table(spark, sf, "documents"))
+
+
 @query
 def op6_quality_cascade(spark, sf):
     return quality.judge(table(spark, sf, "documents").select("doc_id", "text")).select(
@@ -29,6 +40,14 @@ def op7_byte_bpe(spark, sf):
     return bpe.digest_documents(table(spark, sf, "documents"))
 
 
+@query
+def op9_nearest_centroid_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op10_chat_format(spark, sf):
     extra = spark.range(2).select(
