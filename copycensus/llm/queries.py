@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copycensus.llm import bpe, chat, language, quality, token_counts, warc
+from copycensus.llm import bpe, chat, language, near_dedup, quality, token_counts, warc
 from copycensus.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op4_section_tokens(spark, sf):
     return token_counts.count_sections(table(spark, sf, "documents"))
 
 
+@query
+def op5_bottom_k(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op6_quality_cascade(spark, sf):
     return quality.judge(table(spark, sf, "documents").select("doc_id", "text")).select(
