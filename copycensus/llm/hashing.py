@@ -90,6 +90,14 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def byte_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` bytes."""
+    powers, inverses = _grown(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * inverses[: len(data) - width + 1])
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one text at least), so that memory follows one part."""
     _, bounds = utf8(batch.column(batch.schema.get_field_index(text)))

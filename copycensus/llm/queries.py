@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copycensus.llm import bpe, chat, language, near_dedup, quality, token_counts, warc
+from copycensus.llm import bpe, chat, language, near_dedup, quality, suffix_dedup, token_counts, warc
 from copycensus.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op7_byte_bpe(spark, sf):
     return bpe.digest_documents(table(spark, sf, "documents"))
 
 
+@query
+def op8_suffix_columns(spark, sf):
+    return suffix_dedup.digests(table(spark, sf, "documents"))
+
+
 @query
 def op9_nearest_centroid_language(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
