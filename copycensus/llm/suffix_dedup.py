@@ -170,7 +170,7 @@ def _repeats(group: pa.Table) -> pa.Table:
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """``a, b, start, end``: repeated byte ranges, may overlap, of texts ``row_id, a, b, text`` with text hash (a, b)."""
+    """``a, b, start, end``: repeated byte ranges, may overlap, of texts ``a, b, text`` with text hash (a, b)."""
     kept = texts.select("a", "b", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     ranges = _segments(texts.join(wanted, ["a", "b"]).select("a", "b", "text", "found")).groupBy("task").applyInArrow(
         _repeats, "a long, b long, start long, end long, key binary")
     ranges = materialize(ranges)
-    across = ranges.where("key IS NOT NULL")
+    # A string with several anchors comes from several groups; its place counts once.
+    across = ranges.where("key IS NOT NULL").distinct()
     again = across.join(across.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     copies = classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select(
         "a", "b", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
