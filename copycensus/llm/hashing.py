@@ -90,12 +90,34 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def byte_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` bytes."""
+def byte_hashes(data: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every run of ``width`` bytes, or of those that begin at ``at``."""
     powers, inverses = _grown(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * inverses[: len(data) - width + 1])
+    if at is None:
+        return mix((sums[width:] - sums[:-width]) * inverses[: len(data) - width + 1])
+    return mix((sums[at + width] - sums[at]) * inverses[at])
+
+
+def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over every run of ``width``, by prefixes and suffixes of blocks."""
+    n = len(x)
+    if n < width:
+        return x[:0]
+    padded = np.concatenate([x, np.full(-n % width, x[-1], x.dtype)]).reshape(-1, width)
+    ahead = op.accumulate(padded, axis=1).ravel()
+    behind = op.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return op(behind[: n - width + 1], ahead[width - 1: n])
+
+
+def least_places(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places that hold the least hash of some window of ``window`` places; ties all count."""
+    if len(hashes) < window:
+        return np.flatnonzero(hashes == hashes.min()) if len(hashes) else np.zeros(0, np.int64)
+    edge = np.zeros(window - 1, np.uint64)
+    least = sliding(hashes, window, np.minimum)
+    return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), window, np.maximum) == hashes)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

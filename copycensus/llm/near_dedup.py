@@ -36,7 +36,9 @@ LEAST_SHARED = 14
 #: Sets of up to this size meet others of up to SKETCH values only, whose sketches are whole.
 SMALL_SET = 24
 #: Bytes of sets in one block; a task holds two blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Largest bit table (bytes) for the exact comparison; beyond it sets are intersected pair by pair, with the same result.
+BIT_BYTES = 64 << 20
 
 
 def shingle_set(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -117,13 +119,15 @@ def forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[root(i)])) for i in range(len(ids)) if parent[i] != i]
 
 
-def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """A bit row per set over the values that at least two of the sets hold."""
+def _bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """A bit row per set over the values that at least two of the sets hold; None if the table would be too large."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(n > 1) - 1
     common = n[at] > 1
     words = max(1, (int((n > 1).sum()) + 63) // 64)
+    if 8 * words * len(sets) > BIT_BYTES:
+        return None
     out = np.zeros((len(sets), words), np.uint64)
     at = column[at[common]]
     np.bitwise_or.at(out, (owner[common], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
@@ -165,11 +169,14 @@ def linked_pairs(sets: list[np.ndarray], first: np.ndarray, percent: int) -> np.
         if both:
             others = others[first[others] != first[i]]
         if len(others):
-            others = others[np.bitwise_count(low[i] & low[others]).sum(axis=1) >= least[i]]
+            shared = (np.bitwise_count(low[i] & low[others]).sum(axis=1) if low is not None else
+                      np.array([len(np.intersect1d(sketch[i], sketch[j])) for j in others]))
+            others = others[shared >= least[i]]
         if len(others):
             others = others[union_estimates(sketch[i], sketch[others]) >= np.minimum(least[i], LEAST_SHARED)]
         if len(others):
-            common = np.bitwise_count(whole[i] & whole[others]).sum(axis=1, dtype=np.int64)
+            common = (np.bitwise_count(whole[i] & whole[others]).sum(axis=1, dtype=np.int64) if whole is not None else
+                      np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others]))
             hit = others[100 * common >= percent * (n[i] + n[others] - common)]
             found += [(order[i], order[j]) for j in hit]
     return np.array(found, np.int64).reshape(-1, 2)
@@ -184,7 +191,8 @@ def group_links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, per
         "class_id", F.struct("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
                              (F.col("_own") <= F.col("_other")).alias("first")).alias("task"))
     wanted = tasks.groupBy("class_id").agg(F.collect_list("task").alias("tasks"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("class_id"), F.col(text).alias("text")).join(wanted, "class_id")
+    texts = docs.select(F.col(doc_id).cast("long").alias("class_id"), F.col(text).alias("text")).join(
+        wanted.hint("merge"), "class_id")  # one plan at every size: texts are sorted to their tasks, never the tasks sent to all
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copycensus.llm import bpe, chat, decontaminate, language, near_dedup, quality, suffix_dedup, token_counts, warc
+from copycensus.llm import bpe, chaining, chat, decontaminate, language, near_dedup, quality, suffix_dedup, token_counts, warc
 from copycensus.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2_simhash_windows(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op3_chained_passages(spark, sf):
+    return chaining.passages(table(spark, sf, "documents"))
+
+
 @query
 def op4_section_tokens(spark, sf):
     return token_counts.count_sections(table(spark, sf, "documents"))

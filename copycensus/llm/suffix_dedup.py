@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copycensus.llm.hashing import byte_hashes, slices, utf8
+from copycensus.llm.hashing import byte_hashes, least_places, slices, utf8
 from copycensus.session import materialize
 
 LENGTH = 400
@@ -41,33 +41,56 @@ GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 WIDE = LEFT + LENGTH
-#: Segments in one task, and of one anchor hash in one task.
+#: Segments in one task; an anchor hash with more is dealt out in parts of about SALT_SEGMENTS.
 TASK_SEGMENTS = 20_000
+SALT_SEGMENTS = 4_000
 FILL = 0xFF
 
 
-def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
-    """op over every run of ``width``, by prefixes and suffixes of blocks."""
-    n = len(x)
-    if n < width:
-        return x[:0]
-    padded = np.concatenate([x, np.full(-n % width, x[-1], x.dtype)]).reshape(-1, width)
-    ahead = op.accumulate(padded, axis=1).ravel()
-    behind = op.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[: n - width + 1], ahead[width - 1: n])
-
-
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the anchors of one text: grams that are least in some window, ties included."""
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grams = byte_hashes(data, GRAM)
-    least = _sliding(grams, GRAMS, np.minimum)
-    edge = np.zeros(GRAMS - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), GRAMS, np.maximum) == grams)
+    at = least_places(grams, GRAMS)
     return grams[at], at
 
 
+def folded(data: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors without those whose whole segment occurs before in the same text, and the byte ranges of such segments.
+
+    All strings of a segment that occurs twice repeat, so its places are ranges at once and one of them stands for all.
+    """
+    inner = np.flatnonzero((at >= LEFT) & (at + LENGTH <= len(data)))
+    if len(inner) < 2:
+        return hashes, at, np.zeros((0, 2), np.int64)
+    wide = byte_hashes(data, WIDE, at[inner] - LEFT)
+    _, first, which, n = np.unique(wide, return_index=True, return_inverse=True, return_counts=True)
+    again = inner[n[which] > 1]
+    keep = np.ones(len(at), bool)
+    keep[inner] = False
+    keep[inner[first]] = True
+    return hashes[keep], at[keep], runs(np.stack([at[again] - LEFT, at[again] + LENGTH], axis=1))
+
+
+def runs(ranges: np.ndarray) -> np.ndarray:
+    """Maximal runs of ranges (rows of start and end)."""
+    if not len(ranges):
+        return np.zeros((0, 2), np.int64)
+    x = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(x[:, 1])
+    new = np.concatenate([[True], x[1:, 0] > reach[:-1]])
+    return np.stack([x[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])], axis=1)
+
+
+def string_keys(segments: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for the strings of ``LENGTH`` bytes at the given rows and columns."""
+    keys = []
+    for salt in (0, 91):
+        keys.append(byte_hashes((segments ^ np.uint8(salt)).ravel() if salt else segments.ravel(), LENGTH, row * WIDE + at).view(np.int64))
+    return keys[0], keys[1]
+
+
 def _range_minima(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Minimum of values[left..right], both included and left <= right."""
     out = np.empty(len(left), values.dtype)
@@ -157,15 +180,16 @@ def _repeats(group: pa.Table) -> pa.Table:
     begin, end = place[row] - LEFT + start, place[row] - LEFT + stop - 1 + LENGTH
     # First of its equals: every distinct string of a salted anchor once, if it lies within the text.
     srow, sat = np.nonzero(first & salted[:, None])
-    keys = [hashlib.blake2b(segments[r, s:s + LENGTH].tobytes(), digest_size=16).digest() for r, s in zip(srow, sat, strict=True)
-            if segments[r, s] != FILL and segments[r, s + LENGTH - 1] != FILL]
-    inside = [segments[r, s] != FILL and segments[r, s + LENGTH - 1] != FILL for r, s in zip(srow, sat, strict=True)]
-    srow, sat = srow[np.array(inside, bool)], sat[np.array(inside, bool)]
+    inside = (segments[srow, sat] != FILL) & (segments[srow, sat + LENGTH - 1] != FILL)
+    srow, sat = srow[inside], sat[inside]
     sbegin = place[srow] - LEFT + sat
+    none = [None] * len(row)
+    keys = string_keys(segments, srow, sat)
     return pa.table({
         "a": np.concatenate([a[row], a[srow]]), "b": np.concatenate([b[row], b[srow]]),
         "start": np.concatenate([begin, sbegin]).astype(np.int64), "end": np.concatenate([end, sbegin + LENGTH]).astype(np.int64),
-        "key": pa.array([None] * len(row) + keys, pa.binary()),
+        "key_a": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(keys[0])]),
+        "key_b": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(keys[1])]),
     })
 
 
@@ -177,22 +201,26 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, bounds = utf8(part.column(2))
-                found = [anchors(data[bounds[i]:bounds[i + 1]]) for i in range(part.num_rows)]
+                found = [folded(x, *anchors(x)) for x in (data[bounds[i]:bounds[i + 1]] for i in range(part.num_rows))]
+                own = [[{"start": x, "end": y} for x, y in r.tolist()] for _, _, r in found]
+                found = [(h, p) for h, p, _ in found]
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h, _ in found])]).astype(np.int32))
                 pairs = pa.StructArray.from_arrays(
                     [pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p in found]))],
                     names=["hash", "place"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pairs)],
-                    names=["a", "b", "n_bytes", "found"])
+                    [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pairs),
+                     pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=["a", "b", "n_bytes", "found", "own"])
 
-    marked = kept.mapInArrow(find, "a long, b long, n_bytes long, found array<struct<hash:long,place:long>>")
+    marked = kept.mapInArrow(
+        find, "a long, b long, n_bytes long, found array<struct<hash:long,place:long>>, own array<struct<start:long,end:long>>")
     classes = materialize(marked.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("found").alias("found")))
+        F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("found").alias("found"), F.first("own").alias("own")))
     single = classes.select("a", "b", F.explode("found").alias("_f")).select("a", "b", "_f.hash", "_f.place")
     often = materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     tasks = (often.agg(F.sum("n")).first()[0] or 0) // TASK_SEGMENTS + 1
-    salts = (F.floor((F.col("n") - 1) / TASK_SEGMENTS) + 1).cast("long")
+    salts = F.when(F.col("n") > TASK_SEGMENTS, F.floor(F.col("n") / SALT_SEGMENTS) + 1).otherwise(1).cast("long")
     placed = single.join(often.withColumn("salts", salts), "hash").select(
         "a", "b", F.struct(
             "place",
@@ -202,15 +230,17 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
             (F.col("salts") > 1).alias("salted")).alias("_p"))
     wanted = placed.groupBy("a", "b").agg(F.collect_list("_p").alias("found"))
     ranges = _segments(texts.join(wanted, ["a", "b"]).select("a", "b", "text", "found")).groupBy("task").applyInArrow(
-        _repeats, "a long, b long, start long, end long, key binary")
+        _repeats, "a long, b long, start long, end long, key_a long, key_b long")
     ranges = materialize(ranges)
     # A string with several anchors comes from several groups; its place counts once.
-    across = ranges.where("key IS NOT NULL").distinct()
-    again = across.join(across.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    across = ranges.where("key_a IS NOT NULL").distinct()
+    keys = ["key_a", "key_b"]
+    again = across.join(across.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
     copies = classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select(
         "a", "b", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     columns = ["a", "b", "start", "end"]
-    return ranges.where("key IS NULL").select(*columns).union(again.select(*columns)).union(copies)
+    own = classes.select("a", "b", F.explode("own").alias("_o")).select("a", "b", "_o.start", "_o.end")
+    return ranges.where("key_a IS NULL").select(*columns).union(again.select(*columns)).union(own).union(copies)
 
 
 def with_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -227,11 +257,7 @@ def merged(ranges: list[dict] | None) -> np.ndarray:
     """Maximal runs, as rows of start and end."""
     if not ranges:
         return np.zeros((0, 2), np.int64)
-    x = np.array([(r["start"], r["end"]) for r in ranges], np.int64)
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(x[:, 1])
-    new = np.concatenate([[True], x[1:, 0] > reach[:-1]])
-    return np.stack([x[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])], axis=1)
+    return runs(np.array([(r["start"], r["end"]) for r in ranges], np.int64))
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
