@@ -42,8 +42,8 @@ GRAMS = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 WIDE = LEFT + LENGTH
 #: Segments in one task; an anchor hash with more is dealt out in parts of about SALT_SEGMENTS.
-TASK_SEGMENTS = 20_000
-SALT_SEGMENTS = 4_000
+TASK_SEGMENTS = 10_000
+SALT_SEGMENTS = 2_500
 FILL = 0xFF
 
 
@@ -83,11 +83,16 @@ def runs(ranges: np.ndarray) -> np.ndarray:
     return np.stack([x[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])], axis=1)
 
 
-def string_keys(segments: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of hash for the strings of ``LENGTH`` bytes at the given rows and columns."""
-    keys = []
-    for salt in (0, 91):
-        keys.append(byte_hashes((segments ^ np.uint8(salt)).ravel() if salt else segments.ravel(), LENGTH, row * WIDE + at).view(np.int64))
+def string_keys(segments: np.ndarray, row: np.ndarray, at: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for the strings of ``LENGTH`` bytes at the given rows (ascending) and columns; few rows at a time."""
+    keys = np.zeros((2, len(row)), np.int64)
+    for low in range(0, len(segments) if len(row) else 0, rows):
+        a, b = np.searchsorted(row, [low, low + rows])
+        if a < b:
+            flat = segments[low:low + rows].ravel()
+            starts = (row[a:b] - low) * WIDE + at[a:b]
+            keys[0, a:b] = byte_hashes(flat, LENGTH, starts).view(np.int64)
+            keys[1, a:b] = byte_hashes(flat ^ np.uint8(91), LENGTH, starts).view(np.int64)
     return keys[0], keys[1]
 
 
