@@ -125,29 +125,34 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
     return kept.mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digests of what ``encode_documents`` returns.
+def digest_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, with_ids: bool = False,
+) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked, ``token_ids``.
 
-    Taken in the same pass, so neither ids nor decoded bytes travel back.
+    The digests are those of what ``encode_documents`` returns, taken in the same pass: the ids joined by blanks, and the
+    bytes that they decode to.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kept = docs.select(doc_id, text)
-    schema = T.StructType([kept.schema[0], T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    fields = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
+    if with_ids:
+        fields.append(("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
+    schema = T.StructType([kept.schema[0], *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
             for part in slices(batch, text):
-                rows = []
+                columns = [[] for _ in fields]
                 for pre in own.encode_all([t or "" for t in part.column(1).to_pylist()]):
                     ids = [i for p in pre for i in p]
-                    rows.append((len(ids), hashlib.sha256(" ".join([own.decimal[i] for i in ids]).encode()).hexdigest(),
-                                 hashlib.sha256(own.decode(ids)).hexdigest()))
-                columns = zip(*rows, strict=True) if rows else ((), (), ())
+                    row = [len(ids), hashlib.sha256(" ".join([own.decimal[i] for i in ids]).encode()).hexdigest(),
+                           hashlib.sha256(own.decode(ids)).hexdigest(), ids]
+                    for column, value in zip(columns, row, strict=False):
+                        column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))],
-                    names=schema.names)
+                    [part.column(0), *(pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True))], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
