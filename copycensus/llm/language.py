@@ -1,6 +1,6 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is a vector of hashed byte n-grams (1 to 3 bytes, ASCII letters lowered), weighted by log counts and inverse
+A text is a vector of hashed byte n-grams (1 to 3 bytes; ASCII letters lowered, runs of other ASCII one blank), weighted by log counts and inverse
 document frequency and normalised. Document frequencies cover all training rows. Each language's centroids come from
 spherical k-means on a sample of about ``per_language`` of its training rows; that bound is the only sampling. A prediction
 is the language of the nearest centroid by cosine; ``rejected`` marks texts farther from it than its own members were.
@@ -31,7 +31,7 @@ CENTROIDS = 4
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
+_LOWER[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -45,6 +45,8 @@ def counts(column: pa.Array, features: int) -> tuple[np.ndarray, np.ndarray]:
     letters = np.zeros(len(column), bool)
     for i in range(len(column)):
         x = code[bounds[i]:bounds[i + 1]]
+        if len(x):
+            x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
         if not len(x):
             continue
         letters[i] = _ASCII_LETTER[data[bounds[i]:bounds[i + 1]]].any() or bool(

@@ -230,8 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         *keys, "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     linked = rows.drop("sketch").join(labels, keys, "left")
     return linked.select(
-        "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c) for c in ("class_id", "component_id")],
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
