@@ -41,9 +41,10 @@ GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 WIDE = LEFT + LENGTH
-#: Segments in one task; an anchor hash with more is dealt out in parts of about SALT_SEGMENTS.
+#: Segments in one task on average; an anchor hash with more than HOT_SEGMENTS is dealt out in parts of SALT_SEGMENTS.
 TASK_SEGMENTS = 10_000
-SALT_SEGMENTS = 2_500
+HOT_SEGMENTS = 40_000
+SALT_SEGMENTS = 10_000
 FILL = 0xFF
 
 
@@ -177,19 +178,25 @@ def _repeats(group: pa.Table) -> pa.Table:
     segments = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, WIDE)[own]
     a, b, place = a[own], b[own], place[own]
     salted = group.column("salted").to_numpy(zero_copy_only=False).astype(bool)[own]
-    repeated, first = repeated_columns(segments)
+    # Equal segments are sorted once; all their strings that lie within the text repeat.
+    distinct, one, which, n = np.unique(
+        segments.view(np.dtype((np.void, WIDE))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    distinct = distinct.view(np.uint8).reshape(-1, WIDE)
+    repeated, first = repeated_columns(distinct)
+    within = (distinct[:, :LEFT + 1] != FILL) & (distinct[:, LENGTH - 1:] != FILL)
+    repeated |= within & (n > 1)[:, None]
+    repeated = repeated[which]
     edge = np.zeros((len(own), 1), np.int8)
     change = np.diff(np.concatenate([edge, repeated.view(np.int8), edge], axis=1), axis=1)
     row, start = np.nonzero(change == 1)
     stop = np.nonzero(change == -1)[1]
     begin, end = place[row] - LEFT + start, place[row] - LEFT + stop - 1 + LENGTH
     # First of its equals: every distinct string of a salted anchor once, if it lies within the text.
-    srow, sat = np.nonzero(first & salted[:, None])
-    inside = (segments[srow, sat] != FILL) & (segments[srow, sat + LENGTH - 1] != FILL)
-    srow, sat = srow[inside], sat[inside]
+    srow, sat = np.nonzero(first & within & salted[one][:, None])
+    keys = string_keys(distinct, srow, sat)
+    srow = one[srow]
     sbegin = place[srow] - LEFT + sat
     none = [None] * len(row)
-    keys = string_keys(segments, srow, sat)
     return pa.table({
         "a": np.concatenate([a[row], a[srow]]), "b": np.concatenate([b[row], b[srow]]),
         "start": np.concatenate([begin, sbegin]).astype(np.int64), "end": np.concatenate([end, sbegin + LENGTH]).astype(np.int64),
@@ -225,7 +232,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     single = classes.select("a", "b", F.explode("found").alias("_f")).select("a", "b", "_f.hash", "_f.place")
     often = materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     tasks = (often.agg(F.sum("n")).first()[0] or 0) // TASK_SEGMENTS + 1
-    salts = F.when(F.col("n") > TASK_SEGMENTS, F.floor(F.col("n") / SALT_SEGMENTS) + 1).otherwise(1).cast("long")
+    salts = F.when(F.col("n") > HOT_SEGMENTS, F.floor(F.col("n") / SALT_SEGMENTS) + 1).otherwise(1).cast("long")
     placed = single.join(often.withColumn("salts", salts), "hash").select(
         "a", "b", F.struct(
             "place",

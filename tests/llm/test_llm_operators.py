@@ -368,7 +368,7 @@ def brute_repeats(texts, length=suffix_dedup.LENGTH):
 @pytest.mark.parametrize("salted", [False, True])
 def test_suffix_dedup_matches_brute_force(corpus, monkeypatch, salted):
     if salted:
-        monkeypatch.setattr(suffix_dedup, "TASK_SEGMENTS", 3)
+        monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 3)
         monkeypatch.setattr(suffix_dedup, "SALT_SEGMENTS", 2)
     small = corpus.where("coalesce(length(text), 0) < 20000")
     texts = [(r["doc_id"], r["text"] or "") for r in small.collect()]
