@@ -110,12 +110,14 @@ def _range_minima(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def repeated_columns(segments: np.ndarray, length: int = LENGTH, last_start: int = LEFT) -> tuple[np.ndarray, np.ndarray]:
+def repeated_columns(
+    segments: np.ndarray, length: int = LENGTH, last_start: int = LEFT, with_first: bool = True,
+) -> tuple[np.ndarray, np.ndarray | None]:
     """For each segment and start column up to ``last_start``: whether another segment has the same ``length`` bytes there,
-    and whether this one is the first of its equals in suffix order."""
+    and, if asked, whether this one is the first of its equals in suffix order."""
     m, wide = segments.shape
     repeated = np.zeros((m, last_start + 1), bool)
-    first = np.zeros((m, last_start + 1), bool)
+    first = np.zeros((m, last_start + 1), bool) if with_first else None
     with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as state, tempfile.TemporaryFile() as transform:
         for at in range(wide - 1, -1, -1):  # columns lie in the order in which they are read
             columns.write(np.ascontiguousarray(segments[:, at]).tobytes())
@@ -136,7 +138,8 @@ def repeated_columns(segments: np.ndarray, length: int = LENGTH, last_start: int
             if at <= last_start:
                 equal = longer >= length
                 repeated[order, at] = equal | np.append(equal[1:], False)
-                first[order, at] = ~equal
+                if with_first:
+                    first[order, at] = ~equal
     return repeated, first
 
 
@@ -168,40 +171,69 @@ def _segments(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long, place long, task long, salted boolean, segment binary")
 
 
+def _classes(segments: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row, class and class sizes of equal segments, by 128 bits of hash; few rows at a time."""
+    keys = np.zeros((len(segments), 2), np.uint64)
+    for low in range(0, len(segments), rows):
+        flat = segments[low:low + rows].ravel()
+        starts = np.arange(0, len(flat), WIDE)
+        keys[low:low + rows, 0] = byte_hashes(flat, WIDE, starts)
+        keys[low:low + rows, 1] = byte_hashes(flat ^ np.uint8(91), WIDE, starts)
+    _, one, which, n = np.unique(keys, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return one, which.ravel(), n
+
+
 def _repeats(group: pa.Table) -> pa.Table:
     """Byte ranges of repeats in one task's collection; for salted anchors also the strings to compare across tasks."""
     a, b, place = (group.column(c).to_numpy() for c in ("a", "b", "place"))
-    _, own = np.unique(np.stack([a, b, place]), axis=1, return_index=True)
-    own.sort()
+    _, own = np.unique(np.stack([a, b, place], axis=1), axis=0, return_index=True)
+    salted = group.column("salted").to_numpy(zero_copy_only=False).astype(bool)[own]
     packed = group.column("segment").combine_chunks()
     offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
-    segments = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, WIDE)[own]
+    segments = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, WIDE)
     a, b, place = a[own], b[own], place[own]
-    salted = group.column("salted").to_numpy(zero_copy_only=False).astype(bool)[own]
     # Equal segments are sorted once; all their strings that lie within the text repeat.
-    distinct, one, which, n = np.unique(
-        segments.view(np.dtype((np.void, WIDE))).ravel(), return_index=True, return_inverse=True, return_counts=True)
-    distinct = distinct.view(np.uint8).reshape(-1, WIDE)
-    repeated, first = repeated_columns(distinct)
-    within = (distinct[:, :LEFT + 1] != FILL) & (distinct[:, LENGTH - 1:] != FILL)
-    repeated |= within & (n > 1)[:, None]
-    repeated = repeated[which]
-    edge = np.zeros((len(own), 1), np.int8)
-    change = np.diff(np.concatenate([edge, repeated.view(np.int8), edge], axis=1), axis=1)
-    row, start = np.nonzero(change == 1)
-    stop = np.nonzero(change == -1)[1]
-    begin, end = place[row] - LEFT + start, place[row] - LEFT + stop - 1 + LENGTH
-    # First of its equals: every distinct string of a salted anchor once, if it lies within the text.
-    srow, sat = np.nonzero(first & within & salted[one][:, None])
+    one, which, n = _classes(segments)
+    which = which[own]
+    used, which, n = np.unique(which, return_inverse=True, return_counts=True)
+    distinct = segments[one[used]]
+    del segments, packed
+    repeated, first = repeated_columns(distinct, with_first=bool(salted.any()))
+    runs_of, begins, ends, srows, sats = [], [], [], [], []
+    edge = lambda m: np.zeros((m, 1), np.int8)
+    salted_class = np.zeros(len(distinct), bool)
+    salted_class[which[salted]] = True
+    for low in range(0, len(distinct), 2048):
+        part, block = slice(low, low + 2048), distinct[low:low + 2048]
+        within = (block[:, :LEFT + 1] != FILL) & (block[:, LENGTH - 1:] != FILL)
+        hit = repeated[part] | (within & (n[part] > 1)[:, None])
+        change = np.diff(np.concatenate([edge(len(block)), hit.view(np.int8), edge(len(block))], axis=1), axis=1)
+        row, start = np.nonzero(change == 1)
+        runs_of.append(row + low)
+        begins.append(start)
+        ends.append(np.nonzero(change == -1)[1])
+        if first is not None:
+            # First of its equals: every distinct string of a salted anchor once.
+            row, at = np.nonzero(first[part] & within & salted_class[part][:, None])
+            srows.append(row + low)
+            sats.append(at)
+    row, start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs_of, begins, ends))
+    # Every place of a segment has the segment's runs.
+    by_class = np.argsort(which, kind="stable")
+    many = n[row]
+    which_run = np.repeat(np.arange(len(row)), many)
+    behind = np.arange(len(which_run)) - np.repeat(np.cumsum(many) - many, many)
+    at = by_class[np.repeat((np.cumsum(n) - n)[row], many) + behind]
+    begin, end = place[at] - LEFT + start[which_run], place[at] - LEFT + stop[which_run] - 1 + LENGTH
+    srow, sat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (srows, sats))
     keys = string_keys(distinct, srow, sat)
-    srow = one[srow]
-    sbegin = place[srow] - LEFT + sat
-    none = [None] * len(row)
+    sat_at = by_class[(np.cumsum(n) - n)[srow]]
+    sbegin = place[sat_at] - LEFT + sat
+    none = pa.nulls(len(at), pa.int64())
     return pa.table({
-        "a": np.concatenate([a[row], a[srow]]), "b": np.concatenate([b[row], b[srow]]),
+        "a": np.concatenate([a[at], a[sat_at]]), "b": np.concatenate([b[at], b[sat_at]]),
         "start": np.concatenate([begin, sbegin]).astype(np.int64), "end": np.concatenate([end, sbegin + LENGTH]).astype(np.int64),
-        "key_a": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(keys[0])]),
-        "key_b": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(keys[1])]),
+        "key_a": pa.concat_arrays([none, pa.array(keys[0])]), "key_b": pa.concat_arrays([none, pa.array(keys[1])]),
     })
 
 
