@@ -69,15 +69,22 @@ def symbol_counts(text: str) -> np.ndarray:
     return np.bincount(codes, minlength=256)
 
 
+def _like(flags: pd.Series) -> np.ndarray:
+    """One flag per row as a table of flags for all signatures."""
+    return np.repeat(flags.to_numpy()[:, None], len(SIGNATURE_TYPE), axis=1)
+
+
 @F.pandas_udf(SIGNATURE_TYPE)
 def text_signatures(text: pd.Series) -> pd.DataFrame:
-    """Signatures of the symbol counts of whole texts."""
+    """Signatures of the symbol counts of whole texts; null for null."""
     cells = np.frombuffer(TEXT_SYMBOLS.encode("latin-1"), dtype=np.uint8)
-    counts = np.array([symbol_counts(t) for t in text]).reshape(len(text), 256)
-    return grid_signatures(counts[:, cells].astype(np.float64))
+    counts = np.array([symbol_counts(t or "") for t in text]).reshape(len(text), 256)
+    return grid_signatures(counts[:, cells].astype(np.float64)).mask(_like(text.isna()), None)
 
 
 @F.pandas_udf(SIGNATURE_TYPE)
 def vector_signatures(vector: pd.Series) -> pd.DataFrame:
-    """Signatures of 64-element vectors read as grids."""
-    return grid_signatures(np.array([np.asarray(v, dtype=np.float64) for v in vector]).reshape(len(vector), -1))
+    """Signatures of 64-element vectors read as grids; null for null."""
+    known = vector.notna().to_numpy()
+    grids = np.array([np.asarray(v, dtype=np.float64) if k else np.zeros(SIDE * SIDE) for v, k in zip(vector, known)])
+    return grid_signatures(grids.reshape(len(vector), -1)).mask(_like(vector.isna()), None)

@@ -17,7 +17,7 @@ def paired_conditions(
     manifest: DataFrame,
     identity_key: str = "input_sha256",
     held_out: tuple[str, ...] = ("development", "evaluation"),
-    seed: int = 20260921,
+    seed: int = 1402,
     require_exposure: bool = True,
 ) -> DataFrame:
     """Mark each row's membership of the three conditions.
@@ -97,7 +97,7 @@ def restrict_classes(full: DataFrame, clean: DataFrame, strict: bool = True) ->
 
 
 def matched_subsample(
-    source: DataFrame, clean: DataFrame, selection_seed: int = 20260924, split_seed: int = 20260925
+    source: DataFrame, clean: DataFrame, selection_seed: int = 1404, split_seed: int = 1405
 ) -> DataFrame:
     """Individual rows of ``source`` with the class and partition counts of ``clean``."""
     wanted = clean.groupBy("class_label").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from copycensus.session import materialize
+from copycensus.session import join_safe, materialize
 
 
 def boundaries(
@@ -46,13 +46,13 @@ def boundaries(
     before = histogram.withColumn("_upto", F.sum("_sum").over(running))
     earlier = F.col("_upto") - F.col("_sum")
     cut_buckets = materialize(
-        before.join(targets, strata)
+        join_safe(before, targets, strata)
         .where((F.col("_upto") >= F.col("target")) & (earlier < F.col("target")))
         .select(*strata, "_bucket", "cut", (F.col("target") - earlier).alias("_need"), earlier.alias("_before"))
     )
     # Rows of one bucket per cut.
     inside = W.partitionBy(*strata, "cut").orderBy("_order")
-    ranked = keyed.join(cut_buckets, [*strata, "_bucket"]).withColumn("_run", F.sum("_load").over(
+    ranked = join_safe(keyed, cut_buckets, [*strata, "_bucket"]).withColumn("_run", F.sum("_load").over(
         inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     ))
     crossing = (F.col("_run") >= F.col("_need")) & (F.col("_run") - F.col("_load") < F.col("_need"))
@@ -92,7 +92,7 @@ def positions(rows: DataFrame, groups: list[str], order: list[str], name: str =
     )
     local = W.partitionBy(*groups, "_slice").orderBy(*order)
     return (
-        sliced.join(shifts, [*groups, "_slice"])
+        join_safe(sliced, shifts, [*groups, "_slice"])
         .withColumn(name, F.row_number().over(local).cast("long") + F.col("_shift"))
         .drop("_slice", "_shift")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from copycensus.functions.identity import order_key, stable_rank
 from copycensus.operators.ranking import boundaries, boundaries_wide
-from copycensus.session import join_groups, materialize
+from copycensus.session import join_groups, join_safe, materialize
 
 PARTITIONS = ("fitting", "development", "evaluation")
 
@@ -70,14 +70,14 @@ def first_ranked(rows: DataFrame, order: Column, targets, cuts: list[str]) -> Da
     """Rows with one boolean per cut: is the row within the first ``target`` of its class?"""
     keyed = rows.withColumn("_order", order)
     wide = boundaries_wide(boundaries(keyed, ["class_label"], "_order", targets), ["class_label"], cuts)
-    joined = keyed.join(wide, "class_label", "left")
+    joined = join_safe(keyed, wide, ["class_label"], "left")
     return joined.withColumns({
         f"within_{c}": F.coalesce(F.col("_order") <= F.col(f"_cut_{c}"), F.lit(False)) for c in cuts
     }).drop("_order", *[f"_cut_{c}" for c in cuts])
 
 
 def stratified_split(
-    rows: DataFrame, fit: float = 0.7, development: float = 0.2, seed: int = 20260920, clamped: bool = False
+    rows: DataFrame, fit: float = 0.7, development: float = 0.2, seed: int = 1401, clamped: bool = False
 ) -> DataFrame:
     """Assign every row of each class to fitting, development or evaluation."""
 
@@ -92,7 +92,7 @@ def stratified_split(
     return marked.withColumn("partition", partition).drop("within_fit", "within_dev")
 
 
-def two_way_split(rows: DataFrame, test: float = 0.2, seed: int = 42, stratify: bool = True) -> DataFrame:
+def two_way_split(rows: DataFrame, test: float = 0.2, seed: int = 1406, stratify: bool = True) -> DataFrame:
     """Stratified train/val split, unstratified if a class is too small to be stratified."""
     sizes = materialize(class_sizes(rows))
     if stratify and sizes.where("class_size < 2").take(1):
@@ -112,7 +112,7 @@ def two_way_split(rows: DataFrame, test: float = 0.2, seed: int = 42, stratify:
 
 
 def group_development_split(
-    rows: DataFrame, key: str = "input_sha256", fraction: float = 0.2, seed: int = 42,
+    rows: DataFrame, key: str = "input_sha256", fraction: float = 0.2, seed: int = 1406,
     train: str = "train", evaluation: str = "val",
 ) -> DataFrame:
     """Reserve whole identity groups of training rows for development.
@@ -143,15 +143,15 @@ def group_development_split(
         targets.select("class_label", "cut", "target"), weight="size",
     ))
     fail_if_any(
-        targets.join(found, "class_label", "left_anti"),
+        join_safe(targets, found.drop("cut"), ["class_label"], "left_anti"),
         "Insufficient training-only groups for development in class",
     )
     fail_if_any(
-        targets.join(found, "class_label").where("reached >= n_train"),
+        join_safe(targets, found.drop("cut"), ["class_label"]).where("reached >= n_train"),
         "Development would take every training row of class",
     )
     cuts = found.select("class_label", "boundary")
-    chosen = groups.join(cuts, "class_label").select(
+    chosen = join_safe(groups, cuts, ["class_label"]).select(
         key, "size", ((F.col("size") == F.col("n_train")) & (F.col("order") <= F.col("boundary"))).alias("chosen")
     )
     marked = join_groups(rows, materialize(chosen), [key], "size").drop("size")

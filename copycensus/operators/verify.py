@@ -146,19 +146,24 @@ def decision_differences(recomputed: DataFrame, stored: DataFrame, keys: list[st
     )
 
 
-def _sealed(rows: DataFrame, line: Column, spread_by: Column, digits: int = 4) -> DataFrame:
-    """Two-level digest of ordered, distinct lines: per hash bucket, then over the buckets."""
-    buckets = rows.select(
-        F.substring(spread_by, 1, digits).alias("bucket"), line.alias("line"), F.col("copies")
+def _sealed(rows: DataFrame, line: Column, spread_by: Column, digits: int = 4, levels: int = 3) -> DataFrame:
+    """Digest tree of ordered, distinct lines: leaves of ``levels * digits`` hash digits, then fewer digits per level.
+
+    A node above the leaves has at most 16**digits children, and 16**(levels * digits) leaves are more than there are
+    lines, so no task gathers what grows with the table.
+    """
+    nodes = rows.select(
+        F.substring(spread_by, 1, levels * digits).alias("bucket"), line.alias("line"), F.col("copies")
     ).groupBy("bucket").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("sealed"),
         F.sum("copies").alias("n"),
     )
-    # At most 16**digits buckets reach the second level.
-    return buckets.groupBy().agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "sealed"))), "\n"), 256).alias("digest"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-    )
+    children = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "sealed"))), "\n"), 256)
+    for level in range(levels - 1, 0, -1):
+        nodes = nodes.groupBy(F.substring("bucket", 1, level * digits).alias("parent")).agg(
+            children.alias("sealed"), F.sum("n").alias("n")
+        ).withColumnRenamed("parent", "bucket")
+    return nodes.groupBy().agg(children.alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 def snapshot_digest(rows: DataFrame, content: str = "file_sha256") -> DataFrame:

@@ -23,6 +23,11 @@ def _folded(rows: DataFrame, keys: list[str], train: str, evaluation: str) -> Da
     )
 
 
+def _pairs(evaluation: Column, candidates: Column) -> Column:
+    """Product of two row counts; wide, as a value held by many rows on both sides exceeds 64 bits."""
+    return evaluation.cast("decimal(19,0)") * candidates.cast("decimal(19,0)")
+
+
 def joined_key(keys: list[str]) -> Column:
     """Several string keys as one, each behind its length so that no two tuples coincide."""
     return F.concat(*[F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in keys])
@@ -68,7 +73,7 @@ def key_pair_stats(
         .groupBy("keys")
         .agg(
             F.sum(F.when(plain, ev).otherwise(0)).alias("evaluation_matched"),
-            F.sum(F.when(plain, ev * F.col("candidates")).otherwise(0)).alias("pairs"),
+            F.sum(F.when(plain, _pairs(ev, F.col("candidates"))).otherwise(0)).alias("pairs"),
             F.sum(F.when(plain & (F.col("candidates") > F.col("with_label")), ev).otherwise(0)).alias(
                 "other_label_matched"
             ),
@@ -91,8 +96,8 @@ def vote_stats(rows: DataFrame, keys: tuple[str, ...] = SIGNATURES, train: str =
     majority_weight = F.when(order == 1, 0).when(order == 2, 1).otherwise(-2)
     per_row = hits.groupBy(*keys, "class_label").agg(
         F.max("n_eval").alias("n_eval"),
-        F.sum(ev * candidates * union_weight).alias("union_pairs"),
-        F.sum(ev * candidates * majority_weight).alias("majority_pairs"),
+        F.sum(_pairs(ev, candidates) * union_weight.cast("decimal(2,0)")).alias("union_pairs"),
+        F.sum(_pairs(ev, candidates) * majority_weight.cast("decimal(2,0)")).alias("majority_pairs"),
         F.max((order == 2).cast("int")).alias("majority"),
         F.max((other & (order == 1)).cast("int")).alias("union_other"),
         F.max((other & (order == 2)).cast("int")).alias("majority_other"),
@@ -107,7 +112,7 @@ def vote_stats(rows: DataFrame, keys: tuple[str, ...] = SIGNATURES, train: str =
     def row(name: str, *columns: str) -> Column:
         fields = ("evaluation_matched", "pairs", "other_label_matched")
         return F.struct(F.lit(name).alias("votes"), *[
-            F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f) for c, f in zip(columns, fields)
+            F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)" if f == "pairs" else "long").alias(f) for c, f in zip(columns, fields)
         ])
 
     return total.select(

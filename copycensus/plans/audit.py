@@ -47,7 +47,7 @@ def audit_metadata(rows: DataFrame, groups: DataFrame, classes: DataFrame, minim
 
 def run_audit(
     spark: SparkSession, rows: DataFrame, output: str, train: str = "train", evaluation: str = "test",
-    minimum_groups: int = 50, seed: int = 20260922, fmt: str = "parquet",
+    minimum_groups: int = 50, seed: int = 1403, fmt: str = "parquet",
 ) -> DataFrame:
     """Audit a hashed sample table into a new folder; returns the metadata row."""
     if path_exists(spark, output):
@@ -76,7 +76,7 @@ def run_audit(
     metadata = materialize(audit_metadata(rows, groups, classes, minimum_groups, seed))
     write_table(metadata, f"{output}/run_metadata", fmt="json")
     lines = materialize(output_checksums(spark, output))
-    lines.coalesce(1).orderBy("line").write.text(f"{output}/checksums")
+    lines.orderBy("name").select("line").write.text(f"{output}/checksums")
     return metadata
 
 

@@ -266,7 +266,7 @@ e2 AS (SELECT sample_id, class_label, signal AS features, array_to_string(list_t
     split("e2"), paired("row_signature", ["evaluation"]),
     """cond AS (SELECT 'full' AS condition, * FROM pc UNION ALL SELECT 'clean_exact', * FROM pc WHERE in_clean UNION ALL SELECT 'random_control', * FROM pc WHERE in_control),
 ex AS (SELECT condition, class_label, generate_subscripts(features, 1) AS i, unnest(features) AS x FROM cond WHERE "partition" = 'fitting'),
-cen AS (SELECT condition, class_label, list(mx ORDER BY i) AS centre FROM (SELECT condition, class_label, i, avg(x) AS mx FROM ex GROUP BY ALL) GROUP BY ALL),
+cen AS (SELECT condition, class_label, list(mx ORDER BY i) AS centre FROM (SELECT condition, class_label, i, avg(x) AS mx FROM ex GROUP BY substr(bucket, 1, 8)) GROUP BY substr(bucket, 1, 4)),
 dist AS (SELECT c.condition, c.sample_id, c.class_label AS true_label, n.class_label AS label,
   round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (c.features[i] - n.centre[i]) * (c.features[i] - n.centre[i])))), 6) AS d
   FROM cond c JOIN cen n ON n.condition = c.condition WHERE c."partition" = 'evaluation'),
@@ -321,7 +321,7 @@ def p3() -> str:
     return light() + f""",
 gk AS (SELECT input_sha256 AS k, any_value(class_label) AS class_label, count(*) AS size, bool_and(original_split = 'train') AS pure FROM docs GROUP BY 1),
 tr AS (SELECT class_label, greatest(1, CAST(round_even(count(*) * 0.2, 0) AS BIGINT)) AS target FROM docs WHERE original_split = 'train' GROUP BY 1),
-go AS (SELECT k, class_label, size, sum(size) OVER (PARTITION BY class_label ORDER BY {rank(42, 'k')}, k ROWS UNBOUNDED PRECEDING) AS run FROM gk WHERE pure),
+go AS (SELECT k, class_label, size, sum(size) OVER (PARTITION BY class_label ORDER BY {rank(1406, 'k')}, k ROWS UNBOUNDED PRECEDING) AS run FROM gk WHERE pure),
 ch AS (SELECT k FROM go JOIN tr USING (class_label) WHERE run - size < target),
 gd AS (SELECT *, CASE WHEN original_split = 'val' THEN 'evaluation' WHEN input_sha256 IN (SELECT k FROM ch) THEN 'development' ELSE 'fitting' END AS "partition" FROM docs)"""
 
@@ -343,13 +343,16 @@ def dev_overlap(table: str, key: str) -> str:
 
 
 def sealed(rows: str, name: str = "digest") -> str:
-    """Two-level digest over (bucket, line) rows."""
+    """Digest tree over (bucket, line) rows, with buckets of 12, 8 and 4 digits."""
+    children = "sha256(string_agg(bucket || ':' || sealed, chr(10) ORDER BY bucket)) AS sealed, sum(n) AS n"
     return f"""SELECT sha256(coalesce(string_agg(bucket || ':' || sealed, chr(10) ORDER BY bucket), '')) AS {name}, {big('sum(n)', 'rows')}
-  FROM (SELECT bucket, sha256(string_agg(line, '' ORDER BY line)) AS sealed, count(*) AS n FROM ({rows}) GROUP BY bucket)"""
+  FROM (SELECT substr(bucket, 1, 4) AS bucket, {children} FROM (SELECT substr(bucket, 1, 8) AS bucket, {children}
+    FROM (SELECT bucket, sha256(string_agg(line, '' ORDER BY line)) AS sealed, count(*) AS n FROM ({rows}) GROUP BY bucket)
+    GROUP BY substr(bucket, 1, 8)) GROUP BY substr(bucket, 1, 4))"""
 
 
 def snapshot_rows(content: str = "file_sha256") -> str:
-    return f"SELECT substr(sha256(sample_id), 1, 4) AS bucket, '[\"' || sample_id || '\",\"' || {content} || '\"]' || chr(10) AS line FROM docs"
+    return f"SELECT substr(sha256(sample_id), 1, 12) AS bucket, '[\"' || sample_id || '\",\"' || {content} || '\"]' || chr(10) AS line FROM docs"
 
 
 def overview_part(dataset: str, table: str, exact: str, consensus: str) -> str:
@@ -433,7 +436,7 @@ ORACLES: dict[str, str] = {
     "stratified_split_events": with_(EVT, split("evt")) + 'SELECT sample_id, class_label, "partition" FROM man',
     "stratified_split_lineitem": with_(LINE, split("li")) + 'SELECT sample_id, class_label, "partition" FROM man',
     "clamped_split": with_(light("source"), split("docs", clamped=True)) + 'SELECT sample_id, class_label, "partition" FROM man',
-    "split_80_20": with_(EVT) + f"""SELECT sample_id, class_label, CASE WHEN row_number() OVER (PARTITION BY class_label ORDER BY {rank(42)}, sample_id)
+    "split_80_20": with_(EVT) + f"""SELECT sample_id, class_label, CASE WHEN row_number() OVER (PARTITION BY class_label ORDER BY {rank(1406)}, sample_id)
   <= count(*) OVER (PARTITION BY class_label) - ceil(count(*) OVER (PARTITION BY class_label) * 0.2) THEN 'train' ELSE 'val' END AS "partition" FROM evt""",
     "group_development_split": with_(p3()) + 'SELECT sample_id, class_label, "partition" FROM gd',
     "split_violations": with_(p3()) + " UNION ALL ".join([
@@ -546,8 +549,8 @@ SELECT {big('(SELECT count(*) FROM f WHERE sample_id NOT IN (SELECT sample_id FR
     "recipe_summary": with_(TUNE) + f"SELECT recipe_name, {real('mean_loss', 'mean_development_loss')}, {real('mean_acc', 'mean_development_accuracy')}, {big('runs', 'runs')} FROM rec",
     "recipe_selection": with_(TUNE) + f"SELECT recipe_name, {real('mean_loss', 'mean_development_loss')}, {real('mean_acc', 'mean_development_accuracy')} FROM rec ORDER BY mean_loss, recipe_name LIMIT 1",
     "label_index": f"SELECT source AS class_label, {big('row_number() OVER (ORDER BY source) - 1', 'label_index')} FROM (SELECT DISTINCT source FROM documents)",
-    "score_recompute": with_(PRED, CLASSES, SCORES, CELLS) + f"""SELECT 'metrics' AS "check", condition || '/' || seed AS subject, 'accuracy' AS field, {real('accuracy + 0.001', 'stored')}, {real('accuracy', 'recomputed')} FROM os WHERE condition = 'full' AND seed = 42
-UNION ALL SELECT 'confusion_matrix', condition || '/' || seed || '/3/3', 'n', CAST(n + 1 AS DOUBLE), CAST(n AS DOUBLE) FROM cells WHERE condition = 'full' AND seed = 42 AND true_label = '3' AND predicted_label = '3'""",
+    "score_recompute": with_(PRED, CLASSES, SCORES, CELLS) + f"""SELECT 'metrics' AS "check", condition || '/' || seed AS subject, 'accuracy' AS field, {real('accuracy + 0.001', 'stored')}, {real('accuracy', 'recomputed')} FROM os WHERE condition = 'full' AND seed = {SEEDS[0]}
+UNION ALL SELECT 'confusion_matrix', condition || '/' || seed || '/3/3', 'n', CAST(n + 1 AS DOUBLE), CAST(n AS DOUBLE) FROM cells WHERE condition = 'full' AND seed = {SEEDS[0]} AND true_label = '3' AND predicted_label = '3'""",
     "results_union": SCORED + f"SELECT condition, seed, {', '.join(real(m, m) for m in METRICS)}, evaluation_images, sha256('state' || chr(0) || seed) AS initial_state_sha256 FROM os",
     "seed_contrasts": CONTRASTED + f"SELECT seed, contrast, metric, {real('d', 'difference_pp')} FROM df",
     "seed_contrasts_wide": CONTRASTED + "SELECT seed, " + ", ".join(
@@ -612,7 +615,7 @@ ee AS (SELECT sum((SELECT count(*) FROM judged WHERE judgement_1 = j) * (SELECT
   FROM evt WHERE class_label <> 'click' GROUP BY 1 HAVING count(*) <> count(*) FILTER (original_split = 'train')""",
     "snapshot_digest": with_(light()) + sealed(snapshot_rows()),
     "rowset_digest": with_(light(), """js AS (SELECT j, count(*) AS n FROM (SELECT '{"class_label":"' || class_label || '","original_split":"' || original_split || '","rgb_sha256":"' || rgb_sha256 || '","sample_id":"' || sample_id || '"}' AS j FROM docs) GROUP BY j)""")
-    + sealed("SELECT substr(sha256(j), 1, 4) AS bucket, j || '*' || n || chr(10) AS line FROM js"),
+    + sealed("SELECT substr(sha256(j), 1, 12) AS bucket, j || '*' || n || chr(10) AS line FROM js"),
     "snapshot_agreement": with_(light(), f"sa AS ({sealed(snapshot_rows())})", f"sb AS ({sealed(snapshot_rows('rgb_sha256'))})")
     + f"SELECT {big('count(DISTINCT digest)', 'snapshots')}, {big('count(*)', 'audits')} FROM (SELECT digest FROM sa UNION ALL SELECT digest FROM sa UNION ALL SELECT digest FROM sb)",
 }

@@ -11,11 +11,11 @@ from copycensus.sources import samples
 from copycensus.functions.identity import digest
 from copycensus.session import materialize
 
-SPLIT_SEED = 20260920
-REMOVAL_SEED = 20260921
-REPRESENTATIVE_SEED = 20260922
-SELECT_SEED, RESPLIT_SEED = 20260924, 20260925
-SEEDS = [42, 101, 7, 2024, 99]
+SPLIT_SEED = 1401
+REMOVAL_SEED = 1402
+REPRESENTATIVE_SEED = 1403
+SELECT_SEED, RESPLIT_SEED = 1404, 1405
+SEEDS = [3, 17, 29, 58, 71]
 CONDITION_NAMES = ["full", "random_control", "clean_exact"]
 CONTRASTS = {
     "full_minus_clean": ("full", "clean_exact"),

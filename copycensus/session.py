@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,15 @@ def spread(df: DataFrame, most_splits: int = 16) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, most_splits) else df
 
 
+def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join in which a null key equals a null key; the key columns are those of the left side."""
+    renamed = right.select(
+        *[F.col(f"`{k}`").alias(f"_right_{k}") for k in keys], *[F.col(f"`{c}`") for c in right.columns if c not in keys]
+    )
+    equal = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, equal, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_groups(
     rows: DataFrame,
     groups: DataFrame,
@@ -73,31 +82,21 @@ def join_groups(
     id_col: str = "sample_id",
     how: str = "inner",
     rows_per_salt: int = 1_000_000,
-    broadcast_rows: int = 10_000,
 ) -> DataFrame:
-    """Attach one-row-per-key ``groups`` to ``rows`` when some keys are huge.
+    """Attach one-row-per-key ``groups`` to ``rows`` when some keys are huge; null keys meet null keys.
 
-    ``groups`` should be materialized. Up to ``broadcast_rows`` groups are
-    broadcast. Otherwise a key is hot if it holds more than ``rows_per_salt``
-    rows and more than a thousandth of all rows, so fewer than a thousand keys
-    are hot whatever the data, and only that list is broadcast. Rows of a hot
-    key are spread over salts and its group row is repeated once per salt.
+    ``groups`` should be materialized. A key with more than ``rows_per_salt``
+    rows is hot: its rows are spread over salts of that many rows, and its
+    group row is repeated once per salt. The plan is the same at every size;
+    the list of hot keys has at most one entry per ``rows_per_salt`` rows, and
+    the planner sends it, or ``groups``, to all tasks only if it is small in bytes.
     """
-    stats = groups.agg(
-        F.count(F.lit(1)).alias("groups"), F.sum(size_col).alias("total"), F.max(size_col).alias("largest")
-    ).first()
-    if stats["groups"] <= broadcast_rows:
-        return rows.join(F.broadcast(groups), keys, how)
-    threshold = max(rows_per_salt, math.ceil((stats["total"] or 0) / 1000))
-    if (stats["largest"] or 0) <= threshold:
-        return rows.join(groups, keys, how)
-    hot = groups.where(F.col(size_col) > threshold).select(
-        *keys, (F.floor(F.col(size_col) / threshold) + 1).cast("int").alias("_salts")
-    )
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    salts = (F.floor(F.col(size_col) / rows_per_salt) + 1).cast("int")
+    hot = groups.where(F.col(size_col) > rows_per_salt).select(*keys, salts.alias("_salts"))
+    # A null id has a hash of its own, so it has a salt too.
+    salted_rows = join_safe(rows, hot, keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(id_col), "_salts").cast("int"), F.lit(0))
     ).drop("_salts")
-    salted_groups = groups.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
-    ).drop("_salts")
-    return salted_rows.join(salted_groups, [*keys, "_salt"], how).drop("_salt")
+    repeats = F.when(F.col(size_col) > rows_per_salt, salts).otherwise(1)
+    salted_groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), repeats - 1)))
+    return join_safe(salted_rows, salted_groups, [*keys, "_salt"], how).drop("_salt")

@@ -39,7 +39,7 @@ def relative_path(path: Column, root: str) -> Column:
     base = root.split("://", 1)[-1].rstrip("/") if "://" in root else root.removeprefix("file:").rstrip("/")
     if "://" in root:
         base = "/" + base.split("/", 1)[1] if "/" in base else ""
-    return F.substring(plain, len(base) + 2, 1_000_000)
+    return plain.substr(F.lit(len(base) + 2), F.length(plain))
 
 
 def _files(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:

@@ -12,20 +12,23 @@ from pyspark.sql.utils import AnalysisException
 from copycensus.sources.folders import file_digests, path_exists, relative_path, unescaped
 
 
-def read_manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with a header, every column a string; blanks stay blank strings."""
+def read_manifest(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, every column a string; blanks stay blank strings.
+
+    A file is split over tasks unless its values hold line ends (``multi_line``).
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.read.schema(schema).csv(
-        path, header=True, enforceSchema=False, escape='"', multiLine=True, nullValue="\u0000", emptyValue=""
+        path, header=True, enforceSchema=False, escape='"', multiLine=multi_line, nullValue="\u0000", emptyValue=""
     )
 
 
 def _run_columns(df: DataFrame, root: str) -> DataFrame:
-    """Condition and seed of each row's file, from ``condition/seed_<n>/file``."""
+    """Condition and seed of each row's file, from ``condition/seed_<n>/file``; no number gives a null seed."""
     below = F.split(relative_path(unescaped(F.col("_metadata.file_path")), root), "/")
     return df.select(
         "*", F.get(below, F.size(below) - 3).alias("path_condition"),
-        F.regexp_extract(F.get(below, F.size(below) - 2), r"^seed_(\d+)$", 1).cast("long").alias("path_seed"),
+        F.regexp_extract(F.get(below, F.size(below) - 2), r"^seed_(\d+)$", 1).try_cast("long").alias("path_seed"),
     )
 
 
@@ -33,7 +36,7 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """All ``condition/seed_<n>/metrics.json``; fields must agree with their path."""
     runs = _run_columns(spark.read.json(f"{root}/*/seed_*/metrics.json", multiLine=True), root)
     wrong = runs.where(
-        (F.col("condition") != F.col("path_condition")) | (F.col("seed").cast("long") != F.col("path_seed"))
+        ~F.col("condition").eqNullSafe(F.col("path_condition")) | ~F.col("seed").cast("long").eqNullSafe(F.col("path_seed"))
     )
     found = [f"{r['path_condition']}/seed_{r['path_seed']}" for r in wrong.select("path_condition", "path_seed").take(3)]
     if found:
@@ -45,8 +48,13 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_run_tables(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One CSV file per run as a single table keyed by condition and seed."""
-    table = spark.read.csv(f"{root}/*/seed_*/{name}", header=True, inferSchema=False)
+    """One CSV file per run as a single table keyed by condition and seed.
+
+    Reading fails where a file's header names other columns, or the same in another order.
+    """
+    path = f"{root}/*/seed_*/{name}"
+    columns = spark.read.csv(path, header=True, inferSchema=False).schema
+    table = spark.read.schema(columns).csv(path, header=True, enforceSchema=False)
     return (
         _run_columns(table, root)
         .withColumnRenamed("path_condition", "condition").withColumnRenamed("path_seed", "seed")
@@ -74,7 +82,7 @@ def run_artifacts(spark: SparkSession, root: str) -> DataFrame:
     parts = F.split("sample_id", "/")
     return file_digests(spark, root).where(F.size(parts) == 3).select(
         F.get(parts, F.lit(0)).alias("condition"),
-        F.regexp_extract(F.get(parts, F.lit(1)), r"^seed_(\d+)$", 1).cast("long").alias("seed"),
+        F.regexp_extract(F.get(parts, F.lit(1)), r"^seed_(\d+)$", 1).try_cast("long").alias("seed"),
         F.get(parts, F.lit(2)).alias("name"), F.col("file_sha256").alias("sha256"),
     )
 
@@ -115,8 +123,8 @@ def freeze_settings(spark: SparkSession, path: str, settings: dict) -> None:
 
 
 def output_checksums(spark: SparkSession, root: str) -> DataFrame:
-    """``sha256  name`` of every data file of an output folder, in name order."""
+    """``line`` (``sha256  name``) and ``name`` of every data file of an output folder."""
     name = F.element_at(F.split("sample_id", "/"), -1)
     return file_digests(spark, root).where(~name.rlike(r"^[._]")).select(
         F.concat("file_sha256", F.lit("  "), "sample_id").alias("line"), F.col("sample_id").alias("name")
-    ).orderBy("name").select("line")
+    )

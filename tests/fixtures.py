@@ -9,28 +9,36 @@ from pathlib import Path
 import numpy as np
 
 
-def group_split_rows() -> list[dict]:
+def orchard() -> list[dict]:
+    """Samples of three classes of unequal size in two source splits.
+
+    Of each class's training rows, two triplets and one pair share a key; one key recurs in the other split.
+    """
     rows = []
-    for c in "ab":
-        for i in range(10):
-            key = f"{c}0" if i < 2 else f"{c}{i}"
-            rows.append({"sample_id": f"train/{c}/{i}.png", "original_split": "train", "class_label": c,
+    for label, size in (("apple", 21), ("plum", 16), ("quince", 13)):
+        for i in range(size):
+            key = f"{label}-t{i // 3}" if i < 6 else f"{label}-p" if i < 8 else f"{label}-{i}"
+            rows.append({"sample_id": f"{label}/{i:02d}", "original_split": "train", "class_label": label,
+                         "rgb_sha256": key, "input_sha256": key})
+        for i in range(3):
+            key = f"{label}-8" if i == 0 else f"{label}-v{i}"
+            rows.append({"sample_id": f"{label}/v{i}", "original_split": "val", "class_label": label,
                          "rgb_sha256": key, "input_sha256": key})
-        rows.append({"sample_id": f"val/{c}/0.png", "original_split": "val", "class_label": c,
-                     "rgb_sha256": f"{c}9", "input_sha256": f"{c}9"})
     return rows
 
 
-def condition_rows() -> list[dict]:
+def partitioned_orchard() -> list[dict]:
+    """Rows already in partitions: of each class, three fitting rows recur in evaluation and one in development."""
     rows = []
-    for c in "ab":
-        keys = {"fitting": [f"{c}shared"] * 2 + [f"{c}fitting{i}" for i in range(2, 6)],
-                "development": [f"{c}development{i}" for i in range(2)],
-                "evaluation": [f"{c}shared", f"{c}evaluation1"]}
+    for label, size in (("apple", 11), ("plum", 9)):
+        keys = {
+            "fitting": [f"{label}-e0", f"{label}-e0", f"{label}-e2", f"{label}-d1"] + [f"{label}-f{i}" for i in range(4, size)],
+            "development": [f"{label}-d{i}" for i in range(3)],
+            "evaluation": [f"{label}-e{i}" for i in range(4)],
+        }
         for partition, values in keys.items():
-            for i, key in enumerate(values):
-                rows.append({"sample_id": f"{partition}/{c}/{i}.png", "class_label": c, "partition": partition,
-                             "rgb_sha256": key, "input_sha256": key})
+            rows += [{"sample_id": f"{partition[:3]}-{label}-{i}", "class_label": label, "partition": partition,
+                      "rgb_sha256": key, "input_sha256": key} for i, key in enumerate(values)]
     return rows
 
 

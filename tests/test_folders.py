@@ -14,6 +14,7 @@ from copycensus.operators import scores, verify
 from copycensus.plans import reports
 from copycensus.plans.audit import audit_folder
 from copycensus.sources import folders, tables
+from copycensus.sources.folders import relative_path
 from fixtures import write_png
 
 
@@ -170,3 +171,27 @@ def test_sinks(spark, tmp_path):
     tables.freeze_settings(spark, settings, {"lr": 0.01})
     with pytest.raises(ValueError, match="not those frozen"):
         tables.freeze_settings(spark, settings, {"lr": 0.1})
+
+
+def test_run_tables_with_other_headers_are_reported(spark, tmp_path):
+    for seed, header in ((1, "id,prob_a,prob_b"), (2, "id,prob_b,prob_a")):
+        folder = tmp_path / "full" / f"seed_{seed}"
+        folder.mkdir(parents=True)
+        (folder / "p.csv").write_text(f"{header}\nx,0.9,0.1\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        tables.read_run_tables(spark, str(tmp_path), "p.csv").collect()
+
+
+def test_folders_without_a_seed_number_are_reported(spark, tmp_path):
+    for name, seed in (("seed_3", 3), ("seed_x", 4)):
+        folder = tmp_path / "full" / name
+        folder.mkdir(parents=True)
+        (folder / "metrics.json").write_text('{"condition": "full", "seed": %d}' % seed)
+    with pytest.raises(ValueError, match="disagree"):
+        tables.read_runs(spark, str(tmp_path))
+
+
+def test_long_paths_are_whole(spark):
+    long = "/".join(["d" * 200] * 10)
+    row = spark.range(1).select(relative_path(F.lit(f"file:/root/x/{long}"), "/root/x").alias("p")).first()
+    assert row["p"] == long

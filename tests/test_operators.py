@@ -8,12 +8,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from copycensus.functions import signals
 from copycensus.functions.identity import hash_mask, stable_rank, unsafe_path
 from copycensus.functions.stats import t_critical
 from copycensus.operators import agreement, contrasts, dedup, exposure, scores, splits, verify
 from copycensus.operators import conditions as cond
 from copycensus.operators import value_table as vt
-from fixtures import condition_rows, group_split_rows
+from fixtures import orchard, partitioned_orchard
 
 
 def table(spark, rows, shuffle_seed=None):
@@ -27,48 +28,62 @@ def ids(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_group_split_keeps_all_rows_and_groups_whole(spark):
-    split = splits.group_development_split(table(spark, group_split_rows()), fraction=0.2, seed=42)
-    rows = split.collect()
-    assert len(rows) == 22
-    part = {r["sample_id"]: r["partition"] for r in rows}
-    for c in "ab":
-        assert part[f"train/{c}/9.png"] == "fitting"
-        assert part[f"train/{c}/0.png"] == part[f"train/{c}/1.png"]
-        assert sum(part[f"train/{c}/{i}.png"] == "development" for i in range(10)) in (2, 3)
+def test_group_split_is_whole_by_group_and_large_enough(spark):
+    source = orchard()
+    split = splits.group_development_split(table(spark, source), fraction=0.25, seed=8)
+    part = {r["sample_id"]: r["partition"] for r in split.collect()}
+    assert set(part) == {r["sample_id"] for r in source}
+    by_key = {}
+    for r in source:
+        if r["original_split"] == "train":
+            by_key.setdefault(r["input_sha256"], set()).add(part[r["sample_id"]])
+        else:
+            assert part[r["sample_id"]] == "evaluation"
+    assert all(len(p) == 1 for p in by_key.values())
+    for label in {r["class_label"] for r in source}:
+        train = [r for r in source if r["class_label"] == label and r["original_split"] == "train"]
+        reserved = sum(part[r["sample_id"]] == "development" for r in train)
+        # The last group taken may go beyond the share by its size less one, and no group has more than three rows.
+        assert round(0.25 * len(train)) <= reserved < round(0.25 * len(train)) + 3
+        assert by_key[f"{label}-8"] == {"fitting"}  # it recurs in the other split
     found = splits.split_violations(split, ["rgb_sha256", "input_sha256"], "val").collect()
     assert all(r["violations"] == 0 for r in found)
 
 
-def test_group_split_ignores_input_order(spark):
+@pytest.mark.parametrize("shuffle_seed", [1, 2])
+def test_group_split_is_a_function_of_the_set(spark, shuffle_seed):
     columns = ["sample_id", "partition"]
-    a = splits.group_development_split(table(spark, group_split_rows())).select(columns)
-    b = splits.group_development_split(table(spark, group_split_rows(), 3)).select(columns)
+    a = splits.group_development_split(table(spark, orchard())).select(columns)
+    b = splits.group_development_split(table(spark, orchard(), shuffle_seed).repartition(5)).select(columns)
     assert ids(a) == ids(b)
 
 
-def test_group_split_errors(spark):
-    one_group = [{**r, "input_sha256": r["class_label"]} for r in group_split_rows()]
+def test_group_split_refuses_what_it_cannot_split(spark):
     with pytest.raises(ValueError, match="Insufficient"):
-        splits.group_development_split(table(spark, one_group))
-    mixed = [{**r, "input_sha256": "x" if r["sample_id"].endswith("/3.png") else r["input_sha256"]}
-             for r in group_split_rows()]
+        splits.group_development_split(table(spark, [{**r, "input_sha256": "all of " + r["class_label"]} for r in orchard()]))
     with pytest.raises(ValueError, match="more than one label"):
-        splits.group_development_split(table(spark, mixed))
+        splits.group_development_split(table(spark, [
+            {**r, "input_sha256": "both"} if r["sample_id"] in ("apple/12", "plum/12") else r for r in orchard()]))
 
 
-def test_summary_and_overlap(spark):
-    rows = table(spark, group_split_rows())
+def test_summary_and_overlap_against_counting(spark):
+    source = orchard()
+    rows = table(spark, source)
+    groups = {}
+    for r in source:
+        groups.setdefault(r["input_sha256"], []).append(r)
+    repeated = [g for g in groups.values() if len(g) > 1]
     values = vt.value_table(rows, ["input_sha256"], vt.split_counts())
     s = vt.global_summary(values).first()
-    assert (s["images"], s["distinct_groups"], s["excess_copies"]) == (22, 18, 4)
-    assert s["redundancy_fraction"] == pytest.approx(4 / 22)
-    assert (s["nonsingleton_groups"], s["images_in_nonsingleton_groups"], s["mixed_label_groups"]) == (4, 8, 0)
+    assert (s["images"], s["distinct_groups"], s["excess_copies"]) == (len(source), len(groups), len(source) - len(groups))
+    assert s["redundancy_fraction"] == pytest.approx(1 - len(groups) / len(source))
+    assert (s["nonsingleton_groups"], s["images_in_nonsingleton_groups"], s["mixed_label_groups"]) == (
+        len(repeated), sum(map(len, repeated)), 0)
     o = vt.cross_split_overlap(values).first()
-    assert (o["evaluation_images"], o["evaluation_matched"], o["evaluation_overlap_fraction"]) == (2, 2, 1.0)
-    assert (o["same_label_matched"], o["other_label_matched"]) == (2, 0)
-    pooled = vt.value_table(rows.withColumn("original_split", F.lit("pooled")), ["input_sha256"], vt.split_counts())
-    assert vt.cross_split_overlap(pooled).count() == 0
+    assert (o["evaluation_images"], o["evaluation_matched"], o["same_label_matched"], o["other_label_matched"]) == (9, 3, 3, 0)
+    assert o["evaluation_overlap_fraction"] == pytest.approx(1 / 3)
+    one_split = vt.value_table(rows.withColumn("original_split", F.lit("all")), ["input_sha256"], vt.split_counts())
+    assert vt.cross_split_overlap(one_split).count() == 0
 
 
 def predictions(spark):
@@ -93,43 +108,76 @@ EVAL = ("evaluation",)
 
 
 def conditions(spark, rows=None, shuffle_seed=None, seed=123):
-    return cond.paired_conditions(table(spark, rows or condition_rows(), shuffle_seed), "rgb_sha256", EVAL, seed)
+    return cond.paired_conditions(table(spark, rows or partitioned_orchard(), shuffle_seed), "rgb_sha256", EVAL, seed)
 
 
-def test_paired_conditions(spark):
+def test_conditions_drop_recurring_rows_and_as_many_others(spark):
+    source = partitioned_orchard()
     marked = conditions(spark).cache()
-    fit = marked.where("partition = 'fitting'")
-    assert fit.count() == 12
-    assert marked.where("exposed").count() == 4
-    assert fit.where("in_clean").count() == fit.where("in_control").count() == 8
-    assert marked.where("partition = 'development' and in_clean and in_control").count() == 4
+    held = {r["rgb_sha256"] for r in source if r["partition"] == "evaluation"}
+    exposed = {r["sample_id"] for r in source if r["partition"] == "fitting" and r["rgb_sha256"] in held}
+    assert {r["sample_id"] for r in marked.where("exposed").collect()} == exposed and len(exposed) == 6
+    for label, size in (("apple", 11), ("plum", 9)):
+        fit = marked.where(f"partition = 'fitting' and class_label = '{label}'")
+        assert fit.count() == size and fit.where("in_clean").count() == fit.where("in_control").count() == size - 3
+    assert marked.where("partition <> 'fitting' and not (in_clean and in_control)").count() == 0
     assert all(r["violations"] == 0 for r in cond.condition_violations(marked, "rgb_sha256", EVAL).collect())
     for r in exposure.condition_exposure_global(marked, {"rgb_sha256": "native", "input_sha256": "input"}).collect():
         assert r["clean_exact_evaluation_native_matches"] == 0
-        assert r["full_evaluation_native_matches"] == 1
-        assert r["clean_exact_fitting"] == r["random_control_fitting"] == 4
-    long = cond.condition_rows(marked, ["sample_id"])
-    assert long.count() == 20 + 16 + 16
+        assert r["full_evaluation_native_matches"] == 2
+        assert r["clean_exact_fitting"] == r["random_control_fitting"] == (8 if r["class_label"] == "apple" else 6)
+    assert cond.condition_rows(marked, ["sample_id"]).count() == 3 * len(source) - 2 * len(exposed)
 
 
-def test_paired_conditions_ignore_input_order(spark):
+@pytest.mark.parametrize("shuffle_seed", [4, 6])
+def test_conditions_are_a_function_of_the_set(spark, shuffle_seed):
     columns = ["sample_id", "in_clean", "in_control"]
-    assert ids(conditions(spark).select(columns)) == ids(conditions(spark, shuffle_seed=5).select(columns))
+    assert ids(conditions(spark).select(columns)) == ids(conditions(spark, shuffle_seed=shuffle_seed).select(columns))
 
 
-def test_paired_conditions_remove_other_labels_too(spark):
-    rows = [{**r, "rgb_sha256": "ashared"} if r["sample_id"] == "fitting/b/5.png" else r for r in condition_rows()]
-    marked = conditions(spark, rows)
-    assert marked.where("partition = 'fitting' and in_clean").count() == 7
+def test_conditions_look_at_keys_and_not_at_labels(spark):
+    rows = [{**r, "rgb_sha256": "apple-e1"} if r["sample_id"] == "fit-plum-7" else r for r in partitioned_orchard()]
+    assert conditions(spark, rows).where("exposed and sample_id = 'fit-plum-7'").count() == 1
 
 
-def test_paired_conditions_errors(spark):
-    rows = [{**r, "rgb_sha256": "ashared"} if r["sample_id"].startswith("fitting/a") else r for r in condition_rows()]
+def test_conditions_refuse_empty_classes_and_nothing_to_do(spark):
+    whole = [{**r, "rgb_sha256": "plum-e0"} if r["sample_id"].startswith("fit-plum") else r for r in partitioned_orchard()]
     with pytest.raises(ValueError, match="exhausts"):
-        conditions(spark, rows)
-    alone = [{**r, "rgb_sha256": r["sample_id"]} for r in condition_rows()]
+        conditions(spark, whole)
     with pytest.raises(ValueError, match="nothing to clean"):
-        conditions(spark, alone)
+        conditions(spark, [{**r, "rgb_sha256": "only " + r["sample_id"]} for r in partitioned_orchard()])
+
+
+def test_null_keys_and_labels_lose_no_row(spark):
+    rows = [{**r, "input_sha256": None if i % 7 == 0 else r["input_sha256"], "class_label": None if i % 5 == 0 else r["class_label"]}
+            for i, r in enumerate(orchard())]
+    frame = spark.createDataFrame(rows, "sample_id string, original_split string, class_label string, rgb_sha256 string, input_sha256 string")
+    groups = dedup.duplicate_groups(frame, F.col("input_sha256"), "r", 5, content="rgb_sha256").cache()
+    assert groups.agg(F.sum("duplicate_group_size")).first()[0] == len(rows)
+    marked = dedup.annotate(frame, F.col("input_sha256"), groups).cache()
+    assert dedup.retained(marked).count() == groups.count() and dedup.retained(marked).count() + dedup.removed(marked).count() == len(rows)
+    split = splits.stratified_split(frame.select("sample_id", "class_label")).cache()
+    assert split.count() == len(rows)
+    n = sum(r["class_label"] is None for r in rows)
+    nulls = {r["partition"]: r["count"] for r in split.where("class_label is null").groupBy("partition").count().collect()}
+    assert (nulls["fitting"], nulls["development"]) == (round(n * 0.7), round(n * 0.2))
+    parts = [{**r, "rgb_sha256": None if r["rgb_sha256"].endswith(("f5", "e3")) else r["rgb_sha256"]} for r in partitioned_orchard()]
+    assert cond.paired_conditions(spark.createDataFrame(
+        parts, "sample_id string, class_label string, partition string, rgb_sha256 string, input_sha256 string"), "rgb_sha256", EVAL).count() == len(parts)
+
+
+def test_null_text_has_null_signatures(spark):
+    rows = spark.createDataFrame([(None, None), ("some text", [0.5 * i for i in range(64)])], "text string, signal array<double>")
+    for made in (signals.text_signatures("text"), signals.vector_signatures("signal")):
+        a, b = (r["s"] for r in rows.select(made.alias("s"), "text").orderBy(F.col("text").isNotNull()).collect())
+        assert (a is None or list(a) == [None] * 3) and all(len(x) == 16 for x in b)
+
+
+def test_colliding_digest_is_found_by_comparing_bytes(spark):
+    rows = spark.createDataFrame([("d", "x"), ("d", "x"), ("d", "y"), ("e", "z"), (None, "u"), (None, "v")], "digest string, payload string")
+    r = dedup.verify_exact_groups(rows, "digest", "payload").first()
+    assert (r["repeated_groups"], r["verified_repeats"], r["groups_that_differ"]) == (2, 3, 2)
+    assert dedup.verify_exact_groups(rows.where("false"), "digest", "payload").first()["verified_repeats"] == 0
 
 
 def test_strict_and_clamped_splits(spark):
@@ -288,9 +336,9 @@ def test_verification_finds_each_fault(spark):
 
 
 def test_digests_ignore_order_but_not_content(spark):
-    rows = table(spark, group_split_rows()).withColumnRenamed("rgb_sha256", "file_sha256")
-    again = table(spark, group_split_rows(), 9).withColumnRenamed("rgb_sha256", "file_sha256")
-    changed = rows.withColumn("file_sha256", F.when(F.col("sample_id") == "val/a/0.png", "q").otherwise(F.col("file_sha256")))
+    rows = table(spark, orchard()).withColumnRenamed("rgb_sha256", "file_sha256")
+    again = table(spark, orchard(), 9).withColumnRenamed("rgb_sha256", "file_sha256")
+    changed = rows.withColumn("file_sha256", F.when(F.col("sample_id") == "plum/v1", "q").otherwise(F.col("file_sha256")))
     one, two, three = (verify.snapshot_digest(d).first()["digest"] for d in (rows, again, changed))
     assert one == two != three
     assert verify.rowset_digest(rows).first() == verify.rowset_digest(again).first()

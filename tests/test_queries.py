@@ -1,4 +1,4 @@
-"""Every query against its SQL at the smallest scale, and the driver contract."""
+"""Every query of the library against its SQL at the smallest scale, and the driver contract."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, difference
+from copycensus.plans.oracles import ORACLES as SQL
+from copycensus.plans.queries import REGISTRY as QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
 # An iterative fit has no SQL equivalent.
 ROWS_ONLY = {"ml_condition_scores"}
 
@@ -24,6 +24,11 @@ def test_every_query_has_sql():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_contract_holds_the_library():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
 def test_query_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, SQL[name]) is None

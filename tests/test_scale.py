@@ -10,9 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from copycensus.operators import dedup, pairs, splits, votes
+from copycensus.operators import dedup, pairs, splits, verify, votes
 from copycensus.operators.ranking import boundaries, positions
-from copycensus.session import build_session, join_groups, materialize, shared_dir
+from copycensus.session import join_groups, materialize, shared_dir
 from copycensus.sources import samples
 
 SF = "/root/testdata/sf0.01"
@@ -32,17 +32,29 @@ def test_salted_join_equals_plain_join(spark, how):
     rows = skewed(spark)
     groups = materialize(rows.where("value != 'v1'").groupBy("value").agg(F.count(F.lit(1)).alias("size")))
     plain = join_groups(rows, groups, ["value"], "size", how=how)
-    assert "explode" not in plain._jdf.queryExecution().optimizedPlan().toString()
-    salted = join_groups(rows, groups, ["value"], "size", how=how, rows_per_salt=50, broadcast_rows=0)
-    assert "explode" in salted._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.select(plain.columns).collect()), key=str)
+    salted = join_groups(rows, groups, ["value"], "size", how=how, rows_per_salt=50)
+    expected = rows.join(groups, "value", how).select(plain.columns)
+    for found in (plain, salted):
+        assert sorted(map(tuple, found.select(plain.columns).collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def test_salted_join_deals_a_hot_key_out_evenly(spark):
+    """No salt of a hot key has far more rows than asked for, also for a key just under a thousandth of all rows."""
+    rows = spark.range(40_000).select(
+        F.col("id").cast("string").alias("sample_id"),
+        F.when(F.col("id") % 1001 == 0, "warm").when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("value"))
+    groups = materialize(rows.groupBy("value").agg(F.count(F.lit(1)).alias("size")))
+    salted = join_groups(rows, groups, ["value"], "size", rows_per_salt=20)
+    assert salted.count() == 40_000
+    salts = F.pmod(F.xxhash64("sample_id"), (F.floor(F.col("size") / 20) + 1))
+    assert salted.where("size > 20").groupBy("value", salts).count().agg(F.max("count")).first()[0] < 60
 
 
 def test_annotate_with_hot_groups(spark):
     rows = skewed(spark)
     groups = materialize(dedup.duplicate_groups(rows, F.col("value"), "r", 7))
     a = dedup.annotate(rows, F.col("value"), groups)
-    b = dedup.annotate(rows, F.col("value"), groups, rows_per_salt=100, broadcast_rows=0).select(a.columns)
+    b = dedup.annotate(rows, F.col("value"), groups, rows_per_salt=100).select(a.columns)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     kept, gone = dedup.retained(b), dedup.removed(b)
     assert kept.count() == groups.count() and kept.count() + gone.count() == rows.count()
@@ -138,7 +150,27 @@ def test_medians(spark):
     assert {r["g"]: r["x_median"] for r in pairs.group_medians(rows, "g", "x", "u").collect()} == {"g": 6.0, "h": 2.0}
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    assert shared_dir(spark) == shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path)) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    assert build_session() is not None
+def test_pair_counts_beyond_64_bits(spark, monkeypatch):
+    """5e9 rows of one value on either side."""
+    rows = spark.createDataFrame([("1", "x", s, "h", "d", "p", "c") for s in ("train", "val")],
+                                 ["sample_id", "class_label", "original_split", "ahash", "dhash", "phash", "rgb_sha256"])
+    folded = votes._folded
+    monkeypatch.setattr(votes, "_folded", lambda *a: folded(*a).withColumns({n: F.col(n) * 5_000_000_000 for n in ("n_train", "n_eval")}))
+    assert {r["votes"]: int(r["pairs"]) for r in votes.vote_stats(rows).collect()} == {
+        "at_least_one": 25 * 10**18, "at_least_two": 25 * 10**18}
+    assert int(votes.key_pair_stats(rows, {"a": ["ahash"]}).first()["pairs"]) == 25 * 10**18
+
+
+def test_digest_tree_is_free_of_order_and_partitions(spark):
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("sample_id"), F.lit("c").alias("file_sha256"))
+    a = verify.snapshot_digest(rows).first()
+    assert a == verify.snapshot_digest(rows.orderBy("sample_id").repartition(7)).first() and a["rows"] == 5000
+    assert a["digest"] != verify.snapshot_digest(rows.where("sample_id <> sha2('7', 256)")).first()["digest"]
+    assert verify.snapshot_digest(rows.where("false")).first()["rows"] == 0
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    folder = shared_dir(spark)
+    assert shared_dir(spark) == folder
+    (path,) = {f.rsplit("/", 1)[0] for f in materialize(spark.range(3)).inputFiles()}
+    assert f"{folder.removeprefix('file:').replace('//', '/')}/copycensus-" in path.removeprefix("file:").replace("//", "/")
