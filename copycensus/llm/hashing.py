@@ -90,14 +90,24 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def byte_hashes(data: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hash of every run of ``width`` bytes, or of those that begin at ``at``."""
-    powers, inverses = _grown(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
-    if at is None:
-        return mix((sums[width:] - sums[:-width]) * inverses[: len(data) - width + 1])
-    return mix((sums[at + width] - sums[at]) * inverses[at])
+class ByteRuns:
+    """Hashes of byte runs of any width, from one pass over the bytes."""
+
+    def __init__(self, data: np.ndarray):
+        powers, self.inverses = _grown(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers[: len(data)], out=self.sums[1:])
+
+    def every(self, width: int) -> np.ndarray:
+        return mix((self.sums[width:] - self.sums[:-width]) * self.inverses[: len(self.sums) - width])
+
+    def at(self, starts: np.ndarray, width: int) -> np.ndarray:
+        return mix((self.sums[starts + width] - self.sums[starts]) * self.inverses[starts])
+
+
+def byte_hashes(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Hash of the runs of ``width`` bytes that begin at ``at``."""
+    return ByteRuns(data).at(at, width)
 
 
 def sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:

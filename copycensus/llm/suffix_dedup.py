@@ -2,8 +2,9 @@
 
 Only equality over ``LENGTH`` bytes matters, so the collection is not whole texts but segments around anchors. An anchor is
 a place whose ``GRAM``-byte hash is the least of a window; every string of ``LENGTH`` bytes holds one, and equal strings hold
-it at the same offset. Anchors whose hash occurs once cannot lie in a repeat and are dropped. A segment reaches as far from
-its anchor as such a string can, and is filled up with 0xFF, which UTF-8 never has, beyond the text.
+it at the same offset. Anchors that share neither the half length on their right nor that on their left with another anchor
+of the same hash cannot lie in a repeat and are dropped. A segment reaches as far from its anchor as such a string can, and
+is filled up with 0xFF, which UTF-8 never has, beyond the text.
 
 Segments are dealt out by anchor hash, so a repeat's copies meet in one task. There the collection is sorted column by
 column from the right, one symbol per segment and round: the symbols in front of the sorted suffixes are the new part of the
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copycensus.llm.hashing import byte_hashes, least_places, slices, utf8
+from copycensus.llm.hashing import ByteRuns, byte_hashes, least_places, slices, utf8
 from copycensus.session import materialize
 
 LENGTH = 400
@@ -41,6 +42,8 @@ GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 WIDE = LEFT + LENGTH
+#: A string reaches this far from its anchor on one side at least.
+HALF = LENGTH // 2
 #: Segments in one task on average; an anchor hash with more than HOT_SEGMENTS is dealt out in parts of SALT_SEGMENTS.
 TASK_SEGMENTS = 10_000
 HOT_SEGMENTS = 40_000
@@ -48,30 +51,32 @@ SALT_SEGMENTS = 10_000
 FILL = 0xFF
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the anchors of one text: grams that are least in some window, ties included."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = byte_hashes(data, GRAM)
-    at = least_places(grams, GRAMS)
-    return grams[at], at
-
-
-def folded(data: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors without those whose whole segment occurs before in the same text, and the byte ranges of such segments.
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of one text: grams that are least in some window, ties included.
 
-    All strings of a segment that occurs twice repeat, so its places are ranges at once and one of them stands for all.
+    Rows of hash, place and the hashes of what lies right and left of it (0 where the text ends before); and byte ranges
+    that repeat for certain. Of anchors whose whole segment occurs twice in the text one is kept: all strings of such a
+    segment repeat, so its places are ranges at once.
     """
-    inner = np.flatnonzero((at >= LEFT) & (at + LENGTH <= len(data)))
-    if len(inner) < 2:
-        return hashes, at, np.zeros((0, 2), np.int64)
-    wide = byte_hashes(data, WIDE, at[inner] - LEFT)
-    _, first, which, n = np.unique(wide, return_index=True, return_inverse=True, return_counts=True)
-    again = inner[n[which] > 1]
+    none = np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64)
+    if len(data) < LENGTH:
+        return none
+    text = ByteRuns(data)
+    grams = text.every(GRAM)
+    at = least_places(grams, GRAMS)
     keep = np.ones(len(at), bool)
-    keep[inner] = False
-    keep[inner[first]] = True
-    return hashes[keep], at[keep], runs(np.stack([at[again] - LEFT, at[again] + LENGTH], axis=1))
+    again = at[:0]
+    inner = np.flatnonzero((at >= LEFT) & (at + LENGTH <= len(data)))
+    if len(inner) > 1:
+        _, first, which, n = np.unique(text.at(at[inner] - LEFT, WIDE), return_index=True, return_inverse=True, return_counts=True)
+        again = at[inner[n[which] > 1]]
+        keep[inner] = False
+        keep[inner[first]] = True
+    at = at[keep]
+    right = np.where(at + HALF <= len(data), text.at(np.minimum(at, len(data) - HALF), HALF), 0)
+    left = np.where(at >= HALF, text.at(np.maximum(at - HALF, 0), HALF) ^ np.uint64(1), 0)
+    rows = np.stack([grams[at].view(np.int64), at, right.view(np.int64), left.view(np.int64)], axis=1)
+    return rows, runs(np.stack([again - LEFT, again + LENGTH], axis=1))
 
 
 def runs(ranges: np.ndarray) -> np.ndarray:
@@ -245,24 +250,28 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, bounds = utf8(part.column(2))
-                found = [folded(x, *anchors(x)) for x in (data[bounds[i]:bounds[i + 1]] for i in range(part.num_rows))]
-                own = [[{"start": x, "end": y} for x, y in r.tolist()] for _, _, r in found]
-                found = [(h, p) for h, p, _ in found]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h, _ in found])]).astype(np.int32))
+                found = [anchors(data[bounds[i]:bounds[i + 1]]) for i in range(part.num_rows)]
+                own = [[{"start": x, "end": y} for x, y in r.tolist()] for _, r in found]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32))
+                rows = np.concatenate([x for x, _ in found])
                 pairs = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p in found]))],
-                    names=["hash", "place"])
+                    [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["hash", "place", "right", "left"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pairs),
                      pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     names=["a", "b", "n_bytes", "found", "own"])
 
     marked = kept.mapInArrow(
-        find, "a long, b long, n_bytes long, found array<struct<hash:long,place:long>>, own array<struct<start:long,end:long>>")
+        find, "a long, b long, n_bytes long, found array<struct<hash:long,place:long,right:long,left:long>>, own array<struct<start:long,end:long>>")
     classes = materialize(marked.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("found").alias("found"), F.first("own").alias("own")))
-    single = classes.select("a", "b", F.explode("found").alias("_f")).select("a", "b", "_f.hash", "_f.place")
-    often = materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    single = classes.select("a", "b", F.explode("found").alias("_f")).select("a", "b", "_f.*")
+    twice = single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A string holds all of the half on the right or on the left of its anchor; anchors that share neither are dropped.
+    sides = single.join(twice, "hash").select("a", "b", "hash", "place", F.explode(F.array("right", "left")).alias("side")).where("side <> 0")
+    shared = sides.groupBy("hash", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    single = materialize(sides.join(shared, ["hash", "side"]).select("a", "b", "hash", "place").distinct())
+    often = materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
     tasks = (often.agg(F.sum("n")).first()[0] or 0) // TASK_SEGMENTS + 1
     salts = F.when(F.col("n") > HOT_SEGMENTS, F.floor(F.col("n") / SALT_SEGMENTS) + 1).otherwise(1).cast("long")
     placed = single.join(often.withColumn("salts", salts), "hash").select(
