@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from copycensus.llm.hashing import slices, utf8
+from copycensus.session import materialize
 
 FEATURES = 4096
 PER_LANGUAGE = 500
@@ -123,7 +124,8 @@ def fit(
         idf[feature] = np.log((1 + n) / (1 + documents)) + 0.05
     idf = idf.astype(np.float32)
 
-    sizes = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+    # Written, so that the planner knows how small it is and does not shuffle the texts by language.
+    sizes = materialize(rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")))
     rank = F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(sizes, "_label").where(rank * F.col("_n") < per_language).select("_label", "_text")
 
