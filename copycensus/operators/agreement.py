@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +107,3 @@ def annotation_strata(judged: DataFrame, pairs: DataFrame, allowed: tuple[str, .
 
 def disagreements(judged: DataFrame) -> DataFrame:
     return judged.where("judgement_1 != judgement_2")
-
-
-def union_annotations(*tables: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copycensus.functions.identity import SIGNATURES, hash_mask, key_id
+from copycensus.functions.identity import SIGNATURES, key_id
 from copycensus.operators.agreement import in_groups
 from copycensus.operators.ranking import positions
 from copycensus.operators.splits import rank_order
@@ -54,13 +54,6 @@ def representative_pairs(rows: DataFrame, key: str, seed: int, keep: list[str])
     }).withColumn("stratum", F.concat_ws("|", F.col("hash_mask").cast("string"), "class_label"))
 
 
-def mask_of_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Hash-agreement mask of rows that share ``on``."""
-    return left.alias("a").join(right.alias("b"), F.col(f"a.{on}") == F.col(f"b.{on}")).select(
-        F.col(f"a.{on}"), hash_mask("a", "b").alias("hash_mask")
-    )
-
-
 def summary_predicates() -> dict[str, str]:
     return {
         "all_candidates": "sample_kind = 'candidate'",

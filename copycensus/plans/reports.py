@@ -27,20 +27,17 @@ def method_name() -> Column:
 
 def global_report(summary: DataFrame) -> DataFrame:
     return summary.select(
-        method_name().alias("Method"), thousands("distinct_groups").alias("Distinct groups"),
-        thousands("excess_copies").alias("Excess copies"),
-        percent(F.col("redundancy_fraction")).alias("Redundancy"),
-        thousands("mixed_label_groups").alias("Mixed-label groups"),
+        method_name().alias("method"), *[thousands(c).alias(c) for c in ("distinct_groups", "excess_copies")],
+        percent(F.col("redundancy_fraction")).alias("redundancy"), thousands("mixed_label_groups").alias("mixed_label_groups"),
     )
 
 
 def class_report(classes: DataFrame) -> DataFrame:
+    counts = ("original_images", "hash_consensus_groups", "consensus_removed_excess")
     return classes.select(
-        F.col("class_label").alias("Class"), thousands("original_images").alias("Images"),
-        thousands("hash_consensus_groups").alias("Tuple groups"),
-        thousands("consensus_removed_excess").alias("Within-class excess"),
-        F.format_string("%.2f%%", F.col("consensus_removed_percent")).alias("Removed"),
-        F.when(F.col("eligible_at_minimum_groups") == 1, "yes").otherwise("no").alias("Eligible"),
+        "class_label", *[thousands(c).alias(c) for c in counts],
+        F.format_string("%.2f%%", F.col("consensus_removed_percent")).alias("removed"),
+        F.when(F.col("eligible_at_minimum_groups") == 1, "yes").otherwise("no").alias("eligible"),
     )
 
 

@@ -25,11 +25,6 @@ CONTRASTS = {
 LABELS = [str(i) for i in range(10)]
 
 
-def manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by language, split 70/20/10 as individual rows."""
-    return splits.stratified_split(materialize(samples.documents(spark, sf)), seed=SPLIT_SEED)
-
-
 def exact_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """As ``manifest`` without the signature columns, which then are never computed."""
     rows = samples.documents(spark, sf).select(

@@ -100,7 +100,7 @@ def test_full_audit(spark, corpus, tmp_path):
     with pytest.raises(FileExistsError):
         audit_folder(spark, str(corpus), out, "split_class_folders", "train", "val")
     summary = spark.read.parquet(f"{out}/global_summary")
-    report = reports.markdown_lines(reports.global_report(summary).where("Method = 'Complete tuple'")).first()["line"]
+    report = reports.markdown_lines(reports.global_report(summary).where("method = 'Complete tuple'")).first()["line"]
     assert report == "| Complete tuple | 11 | 1 | 8.33% | 0 |"
 
 
