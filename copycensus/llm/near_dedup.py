@@ -10,7 +10,7 @@ forest, never all pairs, and links become components.
 
 Why nothing is lost: of two classes with similarity J >= 0.75, about J * 32 of the 32 least values of their union are in
 both sketches. ``LEAST_SHARED`` = 14 is four standard deviations below that, and sets of up to 24 shingles are handled by
-their exact overlap, so a pair is missed with a probability below 1e-4 at J = 0.75 and below 1e-6 at 0.8.
+their exact overlap, so a pair is missed with a probability below 1e-4 at J = 0.75 and near 1e-6 at 0.8.
 
 Defined cases: a null or empty text, or one without words, has no shingle and is linked with nothing; a text of fewer than
 five words has its whole sequence as one shingle; repeated rows are equal documents and each returns a row; rows without an
