@@ -130,6 +130,19 @@ def least_places(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), window, np.maximum) == hashes)
 
 
+def first_least(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that hold the first least hash of some window, and the first and the last start of those windows."""
+    least = sliding(hashes, window, np.minimum)
+    at = least_places(hashes, window)
+    values = np.unique(hashes[at])
+    n = np.int64(len(hashes))
+    keyed = np.sort(np.searchsorted(values, hashes[at]) * n + at)
+    # The first place from the window's start on that holds the window's least hash.
+    own = keyed[np.searchsorted(keyed, np.searchsorted(values, least) * n + np.arange(len(least)))] % n
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[new], new, np.append(new[1:], len(own)) - 1
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one text at least), so that memory follows one part."""
     _, bounds = utf8(batch.column(batch.schema.get_field_index(text)))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copycensus.llm.hashing import ByteRuns, byte_hashes, least_places, slices, utf8
+from copycensus.llm.hashing import ByteRuns, byte_hashes, first_least, slices, utf8
 from copycensus.session import materialize
 
 LENGTH = 400
@@ -52,18 +52,19 @@ FILL = 0xFF
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of one text: grams that are least in some window, ties included.
+    """Anchors of one text: grams that are the first least ones of some window.
 
-    Rows of hash, place and the hashes of what lies right and left of it (0 where the text ends before); and byte ranges
+    Rows of hash, place, the hashes of what lies right and left of it (0 where the text ends before), and the first and the
+    last start of the strings whose anchor it is, so that each string has one anchor; and byte ranges
     that repeat for certain. Of anchors whose whole segment occurs twice in the text one is kept: all strings of such a
     segment repeat, so its places are ranges at once.
     """
-    none = np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64)
+    none = np.zeros((0, 6), np.int64), np.zeros((0, 2), np.int64)
     if len(data) < LENGTH:
         return none
     text = ByteRuns(data)
     grams = text.every(GRAM)
-    at = least_places(grams, GRAMS)
+    at, low, high = first_least(grams, GRAMS)
     keep = np.ones(len(at), bool)
     again = at[:0]
     inner = np.flatnonzero((at >= LEFT) & (at + LENGTH <= len(data)))
@@ -72,10 +73,10 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         again = at[inner[n[which] > 1]]
         keep[inner] = False
         keep[inner[first]] = True
-    at = at[keep]
+    at, low, high = at[keep], low[keep], high[keep]
     right = np.where(at + HALF <= len(data), text.at(np.minimum(at, len(data) - HALF), HALF), 0)
     left = np.where(at >= HALF, text.at(np.maximum(at - HALF, 0), HALF) ^ np.uint64(1), 0)
-    rows = np.stack([grams[at].view(np.int64), at, right.view(np.int64), left.view(np.int64)], axis=1)
+    rows = np.stack([grams[at].view(np.int64), at, right.view(np.int64), left.view(np.int64), low, high], axis=1)
     return rows, runs(np.stack([again - LEFT, again + LENGTH], axis=1))
 
 
@@ -149,7 +150,7 @@ def repeated_columns(
 
 
 def _segments(texts: DataFrame) -> DataFrame:
-    """Rows ``a, b, place, task, salted, segment`` from texts with their lists of anchors."""
+    """Rows ``a, b, place, low, high, task, salted, segment`` from texts with their lists of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +171,10 @@ def _segments(texts: DataFrame) -> DataFrame:
                     rows = pa.array(owner[s])
                     yield pa.RecordBatch.from_arrays(
                         [part.column(part.schema.get_field_index(c)).take(rows) for c in "ab"]
-                        + [pa.array(place[s]), flat.field("task").slice(at, n), flat.field("salted").slice(at, n), packed.cast(pa.binary())],
-                        names=["a", "b", "place", "task", "salted", "segment"])
+                        + [pa.array(place[s]), flat.field("low").slice(at, n), flat.field("high").slice(at, n), flat.field("task").slice(at, n), flat.field("salted").slice(at, n), packed.cast(pa.binary())],
+                        names=["a", "b", "place", "low", "high", "task", "salted", "segment"])
 
-    return texts.mapInArrow(run, "a long, b long, place long, task long, salted boolean, segment binary")
+    return texts.mapInArrow(run, "a long, b long, place long, low long, high long, task long, salted boolean, segment binary")
 
 
 def _classes(segments: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,13 +191,13 @@ def _classes(segments: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.nda
 
 def _repeats(group: pa.Table) -> pa.Table:
     """Byte ranges of repeats in one task's collection; for salted anchors also the strings to compare across tasks."""
-    a, b, place = (group.column(c).to_numpy() for c in ("a", "b", "place"))
+    a, b, place, lowest, highest = (group.column(c).to_numpy() for c in ("a", "b", "place", "low", "high"))
     _, own = np.unique(np.stack([a, b, place], axis=1), axis=0, return_index=True)
     salted = group.column("salted").to_numpy(zero_copy_only=False).astype(bool)[own]
     packed = group.column("segment").combine_chunks()
     offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
     segments = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, WIDE)
-    a, b, place = a[own], b[own], place[own]
+    a, b, place, lowest, highest = a[own], b[own], place[own], lowest[own], highest[own]
     # Equal segments are sorted once; all their strings that lie within the text repeat.
     one, which, n = _classes(segments)
     which = which[own]
@@ -229,11 +230,17 @@ def _repeats(group: pa.Table) -> pa.Table:
     which_run = np.repeat(np.arange(len(row)), many)
     behind = np.arange(len(which_run)) - np.repeat(np.cumsum(many) - many, many)
     at = by_class[np.repeat((np.cumsum(n) - n)[row], many) + behind]
-    begin, end = place[at] - LEFT + start[which_run], place[at] - LEFT + stop[which_run] - 1 + LENGTH
+    # A string is reported by its own anchor only.
+    begin = np.maximum(place[at] - LEFT + start[which_run], lowest[at])
+    last = np.minimum(place[at] - LEFT + stop[which_run] - 1, highest[at])
+    some = begin <= last
+    at, begin, end = at[some], begin[some], last[some] + LENGTH
     srow, sat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (srows, sats))
-    keys = string_keys(distinct, srow, sat)
     sat_at = by_class[(np.cumsum(n) - n)[srow]]
     sbegin = place[sat_at] - LEFT + sat
+    some = (sbegin >= lowest[sat_at]) & (sbegin <= highest[sat_at])
+    sat_at, sbegin = sat_at[some], sbegin[some]
+    keys = string_keys(distinct, srow[some], sat[some])
     none = pa.nulls(len(at), pa.int64())
     return pa.table({
         "a": np.concatenate([a[at], a[sat_at]]), "b": np.concatenate([b[at], b[sat_at]]),
@@ -255,28 +262,29 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32))
                 rows = np.concatenate([x for x, _ in found])
                 pairs = pa.StructArray.from_arrays(
-                    [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["hash", "place", "right", "left"])
+                    [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(6)], names=["hash", "place", "right", "left", "low", "high"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pairs),
                      pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     names=["a", "b", "n_bytes", "found", "own"])
 
     marked = kept.mapInArrow(
-        find, "a long, b long, n_bytes long, found array<struct<hash:long,place:long,right:long,left:long>>, own array<struct<start:long,end:long>>")
+        find, "a long, b long, n_bytes long, found array<struct<hash:long,place:long,right:long,left:long,low:long,high:long>>, own array<struct<start:long,end:long>>")
     classes = materialize(marked.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("found").alias("found"), F.first("own").alias("own")))
     single = classes.select("a", "b", F.explode("found").alias("_f")).select("a", "b", "_f.*")
     twice = single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A string holds all of the half on the right or on the left of its anchor; anchors that share neither are dropped.
-    sides = single.join(twice, "hash").select("a", "b", "hash", "place", F.explode(F.array("right", "left")).alias("side")).where("side <> 0")
+    sides = single.join(twice, "hash").select(
+        "a", "b", "hash", "place", "low", "high", F.explode(F.array("right", "left")).alias("side")).where("side <> 0")
     shared = sides.groupBy("hash", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = materialize(sides.join(shared, ["hash", "side"]).select("a", "b", "hash", "place").distinct())
+    single = materialize(sides.join(shared, ["hash", "side"]).select("a", "b", "hash", "place", "low", "high").distinct())
     often = materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
     tasks = (often.agg(F.sum("n")).first()[0] or 0) // TASK_SEGMENTS + 1
     salts = F.when(F.col("n") > HOT_SEGMENTS, F.floor(F.col("n") / SALT_SEGMENTS) + 1).otherwise(1).cast("long")
     placed = single.join(often.withColumn("salts", salts), "hash").select(
         "a", "b", F.struct(
-            "place",
+            "place", "low", "high",
             F.when(F.col("salts") == 1, F.pmod(F.col("hash"), F.lit(tasks)))
             .otherwise(F.lit(tasks) + F.pmod(F.xxhash64("hash", F.pmod(F.xxhash64("a", "b", "place"), F.col("salts"))), F.lit(1 << 40)))
             .alias("task"),
@@ -285,8 +293,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     ranges = _segments(texts.join(wanted, ["a", "b"]).select("a", "b", "text", "found")).groupBy("task").applyInArrow(
         _repeats, "a long, b long, start long, end long, key_a long, key_b long")
     ranges = materialize(ranges)
-    # A string with several anchors comes from several groups; its place counts once.
-    across = ranges.where("key_a IS NOT NULL").distinct()
+    across = ranges.where("key_a IS NOT NULL").distinct()  # a place counts once
     keys = ["key_a", "key_b"]
     again = across.join(across.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
     copies = classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select(
