@@ -1,8 +1,11 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 Equal texts are one class. Seeds are runs of ``SEED`` words that are least by hash in a window of ``WINDOW`` places, so two
-texts that share 33 words in a row share a seed. Every occurrence of a shared seed is joined to the seed's occurrence in the
-shortest text that has it, never to all others; a seed counts at its first place in a text, so repeats within one text alone are not passages. A text's matches are chained per partner: a chain's places rise in both
+texts that share 33 words in a row share a seed. Every place of a shared seed is joined to the seed's first place in the
+shortest text that has it, never to all others; only the identical place is left out, so a passage that comes again in its own
+text and every later place of a passage have rows. Where a seed goes on in steps of equal length under ``MIN_WORDS``, as in a line
+over and over, its third and later places are matched with the place one step before: such a run is one chain, not one per
+place. A text's matches are chained per partner: a chain's places rise in both
 texts, each match adds one, the distance between matches costs ``GAP_COST`` per word, and the best predecessor comes from a
 Fenwick tree of prefix maxima. Chains are aligned with the words of both texts, through gaps by a longest common
 subsequence and outwards over single edits, and a passage counts with ``MIN_WORDS`` matched words.
@@ -145,8 +148,22 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
+def steps_back(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place (ascending) of a text's seeds: the seed's place one step before in a run of equal steps, -1 for none.
+
+    The first two places of a run have none; steps are shorter than ``MIN_WORDS``.
+    """
+    back = np.full(len(at), -1, np.int64)
+    order = np.argsort(hashes, kind="stable")
+    h, p = hashes[order], at[order]
+    step = np.where(h[1:] == h[:-1], p[1:] - p[:-1], 0)
+    third = np.flatnonzero((step[1:] == step[:-1]) & (step[1:] > 0) & (step[1:] < MIN_WORDS)) + 2
+    back[order[third]] = p[third - 1]
+    return back
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """``a, b, doc_id, n_words, seeds`` per row of ``doc_id, a, b, text``."""
+    """``a, b, doc_id, n_words, seeds`` per row of ``doc_id, a, b, text``; a seed's ``back`` is as in ``steps_back``."""
     kept = docs.select("a", "b", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +174,17 @@ def seeds(docs: DataFrame) -> DataFrame:
                 for i in range(part.num_rows):
                     s = shingles(hashes[bounds[i]:bounds[i + 1]], SEED)
                     at = least_places(s, WINDOW)
-                    at = at[np.sort(np.unique(s[at], return_index=True)[1])]  # a seed counts at its first place
-                    found.append((s[at], at))
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for _, p in found])]).astype(np.int32))
+                    found.append((s[at], at, steps_back(s[at], at)))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for _, p, _ in found])]).astype(np.int32))
                 pairs = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([s for s, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))],
-                    names=["seed", "place"])
+                    [pa.array(np.concatenate([s for s, _, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p, _ in found]).astype(np.int32)),
+                     pa.array(np.concatenate([b for _, _, b in found]).astype(np.int32))],
+                    names=["seed", "place", "back"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pairs)],
                     names=["a", "b", "doc_id", "n_words", "seeds"])
 
-    return kept.mapInArrow(run, "a long, b long, doc_id long, n_words long, seeds array<struct<seed:long,place:int>>")
+    return kept.mapInArrow(run, "a long, b long, doc_id long, n_words long, seeds array<struct<seed:long,place:int,back:int>>")
 
 
 def _chained(texts: DataFrame) -> DataFrame:
@@ -261,11 +278,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     marked = materialize(seeds(rows))
     classes = materialize(marked.groupBy("a", "b").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"), F.count(F.lit(1)).alias("copies")))
-    single = classes.select("doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.seed", "_s.place")
+    every = classes.select("doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.*")
+    single = every.where("back < 0").drop("back")
     first = single.groupBy("seed").agg(
         F.min(F.struct("n_words", "doc_id", "place")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     first = first.select("seed", F.col("_f.doc_id").alias("partner"), F.col("_f.place").alias("there"))
-    matched = single.join(first, "seed").where("doc_id <> partner")
+    matched = single.join(first, "seed").where("doc_id <> partner OR place <> there").select("doc_id", "partner", "there", "place")
+    matched = matched.union(every.where("back >= 0").select("doc_id", "doc_id", "back", "place"))
     by_doc = matched.groupBy("doc_id").agg(
         F.collect_list(F.struct("partner", "there", F.col("place").alias("here"))).alias("matches"))
     texts = rows.select("doc_id", "text")
