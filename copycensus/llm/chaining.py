@@ -1,7 +1,7 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 Equal texts are one class. Seeds are runs of ``SEED`` words that are least by hash in a window of ``WINDOW`` places, so two
-texts that share 33 words in a row share a seed. Every place of a shared seed is joined to the seed's first place in the
+texts that share 11 words in a row share a seed: an edit every 12 words leaves one between any two edits. Every place of a shared seed is joined to the seed's first place in the
 shortest text that has it, never to all others; only the identical place is left out, so a passage that comes again in its own
 text and every later place of a passage have rows. Where a seed goes on in steps of equal length under ``MIN_WORDS``, as in a line
 over and over, its third and later places are matched with the place one step before: such a run is one chain, not one per
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from copycensus.llm.hashing import least_places, shingles, slices, word_hashes
 from copycensus.session import materialize
 
-SEED = 10
-WINDOW = 24
+SEED = 7
+WINDOW = 5
 MIN_WORDS = 40
 GAP_COST = 1 / 96
 #: Words that an alignment may go beyond a chain, and equal words that must follow an edit.
@@ -123,19 +123,24 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return reach_i, reach_j, matched
 
 
-def align(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], width: int) -> tuple[int, int, int, int, int]:
-    """Bounds in a and b and matched words of the passage around chained seeds at ``places``."""
-    (i, j), matched = places[0], 0
+def blocks(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and lengths of the runs of a chain's seeds that lie on one diagonal and overlap or touch."""
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != np.diff(y)) | (np.diff(x) > width)]))
+    last = np.append(new[1:], len(x)) - 1
+    return x[new], y[new], x[last] - x[new] + width
+
+
+def align(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
+    """Bounds in a and b and matched words of the passage around chained blocks of equal words, each a place in a, one in b and a length."""
+    (i, j, _), matched = places[0], 0
     done_i, done_j = i, j
-    for p, q in places:
-        if p < done_i or q < done_j:  # overlaps the seeds so far
+    for p, q, size in places:
+        if p < done_i or q < done_j:  # overlaps the blocks so far
             skip = max(done_i - p, done_j - q)
-            p, q = p + skip, q + skip
-            if skip >= width:
+            p, q, size = p + skip, q + skip, size - skip
+            if size <= 0:
                 continue
-            size = width - skip
         else:
-            size = width
             matched += common_words(a[done_i:p], b[done_j:q])
         matched += int((a[p:p + size] == b[q:q + size]).sum())
         done_i, done_j = p + size, q + size
@@ -206,14 +211,15 @@ def _chained(texts: DataFrame) -> DataFrame:
                         for chain in chains(x, y):
                             low = max(0, y[chain[0]] - REACH)
                             high = min(len(words), y[chain[-1]] + SEED + REACH)
+                            here, there, size = blocks(np.array([y[i] for i in chain]), np.array([x[i] for i in chain]), SEED)
                             out.append({"doc_id": doc, "partner": partner, "low": low, "words": words[low:high].tobytes(),
-                                        "here": [y[i] for i in chain], "there": [x[i] for i in chain]})
+                                        "here": here.tolist(), "there": there.tolist(), "size": size.tolist()})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, pa.schema([
                         ("doc_id", pa.int64()), ("partner", pa.int64()), ("low", pa.int64()), ("words", pa.binary()),
-                        ("here", pa.list_(pa.int32())), ("there", pa.list_(pa.int32()))]))
+                        ("here", pa.list_(pa.int32())), ("there", pa.list_(pa.int32())), ("size", pa.list_(pa.int32()))]))
 
-    return texts.mapInArrow(run, "doc_id long, partner long, low long, words binary, here array<int>, there array<int>")
+    return texts.mapInArrow(run, "doc_id long, partner long, low long, words binary, here array<int>, there array<int>, size array<int>")
 
 
 def _aligned(rows: DataFrame) -> DataFrame:
@@ -230,9 +236,9 @@ def _aligned(rows: DataFrame) -> DataFrame:
                     theirs = _short(word_hashes(batch.column("text").slice(i, 1))[0])
                 own = np.frombuffer(row["words"], np.uint32)
                 low = max(0, row["there"][0] - REACH)
-                part = theirs[low:row["there"][-1] + SEED + REACH]
-                places = [(h - row["low"], t - low) for h, t in zip(row["here"], row["there"], strict=True)]
-                a, b, c, d, matched = align(own, part, places, SEED)
+                part = theirs[low:row["there"][-1] + row["size"][-1] + REACH]
+                places = [(h - row["low"], t - low, n) for h, t, n in zip(row["here"], row["there"], row["size"], strict=True)]
+                a, b, c, d, matched = align(own, part, places)
                 out.append((row["doc_id"], last, a + row["low"], b + row["low"], c + low, d + low, matched))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
@@ -275,8 +281,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumns(
         {"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(7), "text")})
-    marked = materialize(seeds(rows))
-    classes = materialize(marked.groupBy("a", "b").agg(
+    classes = materialize(seeds(rows).groupBy("a", "b").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"), F.count(F.lit(1)).alias("copies")))
     every = classes.select("doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.*")
     single = every.where("back < 0").drop("back")
@@ -291,8 +296,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     chained = materialize(_chained(texts.join(by_doc, "doc_id").select("doc_id", "text", "matches")))
     partners = texts.select(F.col("doc_id").alias("partner"), "text")
     found = _counted(_aligned(chained.join(partners, "partner").select(*chained.columns, "text")), min_words)
-    members = marked.where(F.col("n_words") >= min_words).select("a", "b", F.col("doc_id"), "n_words")
-    firsts = classes.where("copies > 1").select("a", "b", F.col("doc_id").alias("partner_id"))
+    members = rows.select("a", "b", "doc_id")
+    firsts = classes.where((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select("a", "b", "n_words", F.col("doc_id").alias("partner_id"))
     zero = F.lit(0).cast("long")
     copies = members.join(firsts, ["a", "b"]).where("doc_id <> partner_id").select(
         "doc_id", "partner_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("partner_start"),

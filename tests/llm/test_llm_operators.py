@@ -214,6 +214,26 @@ def test_passages_have_all_places_and_repeats_within_a_text(spark):
     assert all(r["matched_words"] == r["end_word"] - r["start_word"] for r in rows)
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Copies of 50 to 120 words, an edit every 12 to 20: words replaced at equal steps, or replaced, left out and put in at random places."""
+    rng = random.Random(21)
+    docs, kinds = [], {}
+    for k in range(600):
+        n, step, even = rng.choice([50, 60, 80, 120]), rng.choice([12, 15, 20]), k % 2 == 0
+        words = prose(rng, n).split()
+        edited = list(words)
+        for at in range(step - 1, n, step) if even else sorted(rng.sample(range(n), n // step), reverse=True):
+            edit = 0 if even else rng.randrange(3)
+            edited[at:at + 1] = [["edit"], [], [edited[at], "more"]][edit]
+        for d, w in ((2 * k, words), (2 * k + 1, edited)):
+            docs.append((d, " ".join([prose(rng, rng.randint(5, 90)), *w, prose(rng, rng.randint(5, 90))])))
+        kinds[k] = even
+    pairs = {frozenset((r["doc_id"], r["partner_id"])) for r in chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = Counter(even for k, even in kinds.items() if frozenset((2 * k, 2 * k + 1)) in pairs)
+    print(f"found {found[True]} of 300 with edits at equal steps, {found[False]} of 300 with edits at random places")
+    assert found[True] == 300 and found[False] >= 297
+
+
 @pytest.mark.parametrize("rule", ["first", "most"])
 def test_section_tokens(spark, corpus, rule):
     rows = token_counts.count_sections(corpus, rule=rule).collect()
