@@ -2,10 +2,12 @@
 
 Equal texts are one class. Seeds are runs of ``SEED`` words that are least by hash in a window of ``WINDOW`` places, so two
 texts that share 11 words in a row share a seed: an edit every 12 words leaves one between any two edits. Every place of a shared seed is joined to the seed's first place in the
-shortest text that has it, never to all others; only the identical place is left out, so a passage that comes again in its own
+shortest text of ``MIN_WORDS`` words or more that has it, never to all others; only the identical place is left out, so a passage that comes again in its own
 text and every later place of a passage have rows. Where a seed goes on in steps of equal length under ``MIN_WORDS``, as in a line
 over and over, its third and later places are matched with the place one step before: such a run is one chain, not one per
-place. A text's matches are chained per partner: a chain's places rise in both
+place. Runs of ``MIN_WORDS`` words, the least by hash in ``CONTEXT`` places, are seeds too: a text that quotes
+less of a passage may stand first for all its short seeds, but never for these, so two texts that share 47 words in a row meet
+in a text that has as many. A text's matches are chained per partner: a chain's places rise in both
 texts, each match adds one, the distance between matches costs ``GAP_COST`` per word, and the best predecessor comes from a
 Fenwick tree of prefix maxima. Chains are aligned with the words of both texts, through gaps by a longest common
 subsequence and outwards over single edits, and a passage counts with ``MIN_WORDS`` matched words.
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copycensus.llm.hashing import least_places, shingles, slices, word_hashes
+from copycensus.llm.hashing import least_places, mix, shingles, slices, word_hashes
 from copycensus.session import materialize
 
 SEED = 7
 WINDOW = 5
 MIN_WORDS = 40
+#: Window of the seeds of MIN_WORDS words; such a seed stands for the SEED words in its middle.
+CONTEXT = 8
 GAP_COST = 1 / 96
 #: Words that an alignment may go beyond a chain, and equal words that must follow an edit.
 REACH = 256
@@ -167,7 +171,18 @@ def steps_back(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return back
 
 
-def seeds(docs: DataFrame) -> DataFrame:
+def seed_places(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of one text's word hashes, their places and ``steps_back``; short ones first."""
+    short, long = shingles(words, SEED), shingles(words, max(min_words, SEED))
+    at, middle = least_places(short, WINDOW), least_places(long, CONTEXT)
+    seed = np.concatenate([short[at], mix(long[middle] + np.uint64(1))])
+    back = [steps_back(short[at], at), steps_back(long[middle], middle)]
+    shift = (max(min_words, SEED) - SEED) // 2
+    back[1][back[1] >= 0] += shift
+    return seed, np.concatenate([at, middle + shift]), np.concatenate(back)
+
+
+def seeds(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``a, b, doc_id, n_words, seeds`` per row of ``doc_id, a, b, text``; a seed's ``back`` is as in ``steps_back``."""
     kept = docs.select("a", "b", "doc_id", "text")
 
@@ -177,9 +192,8 @@ def seeds(docs: DataFrame) -> DataFrame:
                 hashes, _, _, bounds = word_hashes(part.column(3))
                 found = []
                 for i in range(part.num_rows):
-                    s = shingles(hashes[bounds[i]:bounds[i + 1]], SEED)
-                    at = least_places(s, WINDOW)
-                    found.append((s[at], at, steps_back(s[at], at)))
+                    words = hashes[bounds[i]:bounds[i + 1]]
+                    found.append(seed_places(words if len(words) >= min_words else words[:0], min_words))  # a shorter text has no passage
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for _, p, _ in found])]).astype(np.int32))
                 pairs = pa.StructArray.from_arrays(
                     [pa.array(np.concatenate([s for s, _, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p, _ in found]).astype(np.int32)),
@@ -281,7 +295,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumns(
         {"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(7), "text")})
-    classes = materialize(seeds(rows).groupBy("a", "b").agg(
+    classes = materialize(seeds(rows, min_words).groupBy("a", "b").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"), F.count(F.lit(1)).alias("copies")))
     every = classes.select("doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.*")
     single = every.where("back < 0").drop("back")

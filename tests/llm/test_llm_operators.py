@@ -234,6 +234,25 @@ def test_fuzzy_passages_are_found(spark):
     assert found[True] == 300 and found[False] >= 297
 
 
+def test_quotes_do_not_part_two_passages(spark):
+    """Texts that quote less than a passage, alone or among other words, come before two longer texts that share all of it."""
+    rng = random.Random(31)
+    docs, cases = [], range(400)
+    for k in cases:
+        n, quote = rng.choice([(52, 38), (50, 39), (48, 39), (47, 39)])
+        words = prose(rng, n).split()
+        at = rng.randint(0, n - quote)
+        # One quote, or two that hold all of the passage's short runs between them; in texts below or above MIN_WORDS words.
+        for j, part in enumerate([words[at:at + quote]] if k % 4 < 2 else [words[:quote], words[-quote:]]):
+            docs.append((5 * k + 3 + j, " ".join(part if k % 2 else [prose(rng, 3), *part, prose(rng, 2)])))
+        docs += [(5 * k + j, " ".join([prose(rng, rng.randint(20, 60)), *words, prose(rng, rng.randint(20, 60))])) for j in (1, 2)]
+    rows = chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    pairs = {frozenset((r["doc_id"], r["partner_id"])) for r in rows if r["matched_words"] >= chaining.MIN_WORDS}
+    found = sum(frozenset((5 * k + 1, 5 * k + 2)) in pairs for k in cases)
+    print(f"found {found} of {len(cases)} pairs beside quotes")
+    assert found == len(cases)
+
+
 @pytest.mark.parametrize("rule", ["first", "most"])
 def test_section_tokens(spark, corpus, rule):
     rows = token_counts.count_sections(corpus, rule=rule).collect()
