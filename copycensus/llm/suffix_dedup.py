@@ -290,7 +290,9 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
             .alias("task"),
             (F.col("salts") > 1).alias("salted")).alias("_p"))
     wanted = placed.groupBy("a", "b").agg(F.collect_list("_p").alias("found"))
-    ranges = _segments(texts.join(wanted, ["a", "b"]).select("a", "b", "text", "found")).groupBy("task").applyInArrow(
+    # Segments are cut once per text: copies are combined before the shuffle and never expanded.
+    distinct = kept.groupBy("a", "b").agg(F.first("text").alias("text"))
+    ranges = _segments(distinct.join(wanted, ["a", "b"]).select("a", "b", "text", "found")).groupBy("task").applyInArrow(
         _repeats, "a long, b long, start long, end long, key_a long, key_b long")
     ranges = materialize(ranges)
     across = ranges.where("key_a IS NOT NULL").distinct()  # a place counts once

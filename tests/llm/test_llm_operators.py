@@ -428,6 +428,24 @@ def test_suffix_dedup_matches_brute_force(corpus, monkeypatch, salted):
     assert sorted((tuple(r) for r in suffix_dedup.digests(small).collect()), key=str) == brute_repeats(texts)
 
 
+def test_suffix_dedup_cuts_segments_once_per_text(spark, monkeypatch):
+    rng = random.Random(41)
+    base = prose(rng, 300)
+    rows = [(i, base) for i in range(500)] + [(500, prose(rng, 40) + " " + base[:900] + " " + prose(rng, 40)), (500, base)]
+    cut, seen = suffix_dedup._segments, []
+
+    def counted(texts):
+        seen.append(cut(texts))
+        return seen[-1]
+
+    monkeypatch.setattr(suffix_dedup, "_segments", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.digests(docs).collect())
+    assert found == sorted((d, len(base) if t == base else 900) for d, t in rows)
+    made = seen[0].groupBy("a", "b", "place").count().collect()
+    assert len({(r["a"], r["b"]) for r in made}) == 2 and {r["count"] for r in made} == {1}
+
+
 def test_suffix_dedup_keeps_characters_whole(spark, corpus):
     rng = random.Random(3)
     shared = "".join(rng.choice("éüß日") for _ in range(300))
