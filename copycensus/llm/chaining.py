@@ -12,8 +12,8 @@ texts, each match adds one, the distance between matches costs ``GAP_COST`` per
 Fenwick tree of prefix maxima. Chains are aligned with the words of both texts, through gaps by a longest common
 subsequence and outwards over single edits, and a passage counts with ``MIN_WORDS`` matched words.
 
-Shorter fragments of one text that touch each other and together have as many words count too: copies of one passage may
-be represented by different texts in its parts.
+Shorter fragments of one text that touch each other and together have as many words count too, unless they lie within longer
+passages: copies of one passage may be represented by different texts in its parts.
 
 Defined cases: null, empty and short texts have no passages; equal texts of ``MIN_WORDS`` words are one passage each;
 repeated rows are equal texts; rows without an id have no passages of their own; other columns are ignored; an empty table
@@ -260,27 +260,44 @@ def _aligned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def touching(found: list[dict]) -> list[list[dict]]:
+    """Runs of passages that touch, from passages in the order of their first words."""
+    groups: list[list[dict]] = []
+    reach = -1
+    for p in found:
+        if not groups or p["start_word"] > reach:
+            groups.append([])
+            reach = -1
+        groups[-1].append(p)
+        reach = max(reach, p["end_word"])
+    return groups
+
+
+def counted(found: list[dict], min_words: int) -> list[dict]:
+    """A text's passages that are long enough, and the fragments outside of them that are in a touching run of that length."""
+    found = sorted(found, key=lambda p: (p["start_word"], p["end_word"], p["partner_id"]))
+    keep = [p for p in found if p["matched_words"] >= min_words]
+    covered = [(g[0]["start_word"], max(p["end_word"] for p in g)) for g in touching(keep)]
+    rest, at = [], 0
+    for p in found:
+        if p["matched_words"] < min_words:
+            while at < len(covered) and covered[at][1] < p["end_word"] and covered[at][1] <= p["start_word"]:
+                at += 1
+            if not any(a <= p["start_word"] and p["end_word"] <= b for a, b in covered[at:at + 1]):
+                rest.append(p)
+    for g in touching(rest):
+        if max(p["end_word"] for p in g) - g[0]["start_word"] >= min_words:
+            keep += g
+    return keep
+
+
 def _counted(passages: DataFrame, min_words: int) -> DataFrame:
     """Passages that are long enough alone or in a run of fragments that touch, by document."""
     by_doc = passages.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in passages.columns if c != "doc_id"])).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for found in batch.column(1).to_pylist():
-                found.sort(key=lambda p: (p["start_word"], p["end_word"], p["partner_id"]))
-                groups: list[list[dict]] = []
-                reach = -1
-                for p in found:
-                    if not groups or p["start_word"] > reach:
-                        groups.append([])
-                        reach = -1
-                    groups[-1].append(p)
-                    reach = max(reach, p["end_word"])
-                keep.append([
-                    p for g in groups for p in g
-                    if p["matched_words"] >= min_words or max(q["matched_words"] for q in g) < min_words
-                    <= max(q["end_word"] for q in g) - g[0]["start_word"]])
+            keep = [counted(found, min_words) for found in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, batch.schema.field(1).type)], names=["doc_id", "found"])
 
     return by_doc.mapInArrow(run, by_doc.schema).select("doc_id", F.explode("found").alias("_p")).select("doc_id", "_p.*")

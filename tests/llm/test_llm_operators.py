@@ -234,6 +234,17 @@ def test_fuzzy_passages_are_found(spark):
     assert found[True] == 300 and found[False] >= 297
 
 
+def test_fragments_beside_a_passage_count_by_their_own_span():
+    piece = lambda a, b, partner: {"start_word": a, "end_word": b, "partner_id": partner, "matched_words": b - a}
+    spans = lambda *p: sorted((x["start_word"], x["end_word"]) for x in chaining.counted([piece(a, b, i) for i, (a, b) in enumerate(p)], 40))
+    assert spans((0, 45), (45, 80), (80, 115)) == [(0, 45), (45, 80), (80, 115)]
+    assert spans((0, 35), (35, 70), (60, 105)) == [(0, 35), (35, 70), (60, 105)]
+    assert spans((0, 45), (45, 80)) == [(0, 45)]
+    assert spans((0, 100), (20, 50), (45, 80)) == [(0, 100)]
+    assert spans((0, 30), (31, 60)) == []
+    assert spans((0, 30), (21, 60)) == [(0, 30), (21, 60)]
+
+
 def test_quotes_do_not_part_two_passages(spark):
     """Texts that quote less than a passage, alone or among other words, come before two longer texts that share all of it."""
     rng = random.Random(31)
