@@ -235,6 +235,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; rows without an id stay."""
+    """The rows of ``docs`` whose document is kept, one row for each text with words.
+
+    Rows without an id are linked with nothing, but of equal texts left over, by repeated rows or without ids, one row stays:
+    the one with the least id.
+    """
     gone = near_duplicates(docs, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Null, and so never joined, for texts without words.
+    hashed = kept.withColumns({"_a": F.when(words, F.xxhash64(text)), "_b": F.xxhash64(F.lit(7), text)})
+    again = materialize(hashed.where("_a IS NOT NULL").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(*columns))
+    one = hashed.join(again, ["_a", "_b"]).groupBy("_a", "_b").agg(F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*")
+    return hashed.join(again, ["_a", "_b"], "left_anti").select(*columns).unionByName(one)

@@ -323,6 +323,19 @@ def test_near_duplicates_match_brute_force(spark, corpus, texts):
     assert near_dedup.near_duplicates(empty(corpus)).count() == 0
 
 
+def test_repeated_rows_through_near_dedup_and_suffix_dedup(spark):
+    rng = random.Random(51)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    docs = spark.createDataFrame(
+        [(1, a, "x"), (1, a, "x"), (2, a, "y"), (None, b, "x"), (None, b, "x"), (None, c, "x"), (4, c, "z"), (5, d, "x"), (6, "", "x"), (7, "", "x"), (8, None, "x"),
+         (None, None, "x")], "doc_id long, text string, source string").repartition(3)
+    once = near_dedup.deduplicated(docs).cache()
+    rows = [(1, a), (None, b), (4, c), (5, d), (6, ""), (7, ""), (8, None), (None, None)]
+    assert once.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=str) == sorted(rows, key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(once).collect()), key=str) == sorted(rows, key=str)
+
+
 @pytest.mark.parametrize("block", [None, 4000])
 def test_near_copies_of_one_text(spark, monkeypatch, block):
     """A large group of near copies, also cut into blocks that are compared in pairs, and without the bit tables."""
