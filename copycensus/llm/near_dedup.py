@@ -32,6 +32,7 @@ from copycensus.session import materialize
 
 WIDTH = 5
 SKETCH = 32
+LEAST_PERCENT = 75
 LEAST_SHARED = 14
 #: Sets of up to this size meet others of up to SKETCH values only, whose sketches are whole.
 SMALL_SET = 24
@@ -219,7 +220,12 @@ def group_links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, per
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id, kept`` per document; one document of each component is kept."""
+    """``doc_id, n_shingles, class_id, component_id, kept`` per document; one document of each component is kept.
+
+    The filters on sketches are made for ``LEAST_PERCENT``; links below it would be lost, so a lower ``percent`` is refused.
+    """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}; the sketches find links from {LEAST_PERCENT} to 100 only")
     rows = materialize(sketches(docs, doc_id, text))
     keys = ["n_shingles", "sig_a", "sig_b"]
     classes = materialize(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(

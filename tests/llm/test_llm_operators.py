@@ -336,6 +336,13 @@ def test_repeated_rows_through_near_dedup_and_suffix_dedup(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(once).collect()), key=str) == sorted(rows, key=str)
 
 
+@pytest.mark.parametrize("percent", [50, 74, 101])
+def test_near_duplicates_refuse_what_the_sketches_miss(corpus, percent):
+    for run in (near_dedup.near_duplicates, near_dedup.deduplicated):
+        with pytest.raises(ValueError, match="percent"):
+            run(corpus, percent=percent)
+
+
 @pytest.mark.parametrize("block", [None, 4000])
 def test_near_copies_of_one_text(spark, monkeypatch, block):
     """A large group of near copies, also cut into blocks that are compared in pairs, and without the bit tables."""
