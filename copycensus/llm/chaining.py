@@ -312,9 +312,16 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumns(
         {"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(7), "text")})
-    classes = materialize(seeds(rows, min_words).groupBy("a", "b").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"), F.count(F.lit(1)).alias("copies")))
-    every = classes.select("doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.*")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    classes = materialize(rows.groupBy("a", "b").agg(
+        F.min("doc_id").alias("partner_id"), F.first(n_words).alias("n_words"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    members = materialize(rows.select("a", "b", "doc_id").join(classes, ["a", "b"]).where("doc_id <> partner_id"))
+    # Seeds are made twice and never written: first only counted, then only those that occur again are kept.
+    later = members.select("a", "b", "doc_id").distinct()
+    every = seeds(rows.join(later, ["a", "b", "doc_id"], "left_anti"), min_words).select(
+        "doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.*")
+    again = every.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    every = materialize(every.join(again, "seed"))
     single = every.where("back < 0").drop("back")
     first = single.groupBy("seed").agg(
         F.min(F.struct("n_words", "doc_id", "place")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -327,10 +334,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     chained = materialize(_chained(texts.join(by_doc, "doc_id").select("doc_id", "text", "matches")))
     partners = texts.select(F.col("doc_id").alias("partner"), "text")
     found = _counted(_aligned(chained.join(partners, "partner").select(*chained.columns, "text")), min_words)
-    members = rows.select("a", "b", "doc_id")
-    firsts = classes.where((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select("a", "b", "n_words", F.col("doc_id").alias("partner_id"))
     zero = F.lit(0).cast("long")
-    copies = members.join(firsts, ["a", "b"]).where("doc_id <> partner_id").select(
+    copies = members.where(F.col("n_words") >= min_words).select(
         "doc_id", "partner_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("partner_start"),
         F.col("n_words").alias("partner_end"), F.col("n_words").alias("matched_words"))
     return found.unionByName(copies)
