@@ -72,3 +72,29 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM b
 """
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    """Every round spelled out: all distances, the least with the smallest number, floors of the means."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i])))::BIGINT"
+    steps = [f"""
+e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS c, v FROM e ORDER BY c LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (SELECT vec_id, min({{'distance': {distance}, 'c': c.c}}) AS m FROM e, c{r} AS c GROUP BY vec_id),
+a{r} AS MATERIALIZED (SELECT e.vec_id, e.v, m.c AS c, m.distance AS distance FROM e JOIN d{r} USING (vec_id))""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m{r}.v, c.v) AS v FROM c{r} AS c LEFT JOIN m{r} ON m{r}.c = c.c)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, a.c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c ON a.c = c.c
+"""
+
+
+ORACLES["op11_ptolemaic_clusters"] = _clusters()

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from copycensus.llm import bpe, chaining, chat, decontaminate, language, near_dedup, quality, suffix_dedup, token_counts, warc
+from copycensus.llm import (
+    bpe, chaining, chat, clustering, decontaminate, language, near_dedup, periodic, quality, secrets, suffix_dedup, token_counts, warc,
+)
 from copycensus.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +87,21 @@ def op10_chat_format(spark, sf):
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query
+def op11_ptolemaic_clusters(spark, sf):
+    return clustering.summarised(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_block_convolution(spark, sf):
+    return periodic.digests(table(spark, sf, "documents"))
+
+
+@query
+def op13_secret_network(spark, sf):
+    return secrets.digests(table(spark, sf, "documents"))
+
+
 @query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
