@@ -1,24 +1,26 @@
 """Removal of long byte strings that occur more than once, by column-wise suffix sorting of many segments at once.
 
-Only equality over ``LENGTH`` bytes matters, so the collection is not whole texts but segments around anchors. An anchor is
-a place whose ``GRAM``-byte hash is the least of a window; every string of ``LENGTH`` bytes holds one, and equal strings hold
-it at the same offset. Anchors that share neither the half length on their right nor that on their left with another anchor
-of the same hash cannot lie in a repeat and are dropped. A segment reaches as far from its anchor as such a string can, and
-is filled up with 0xFF, which UTF-8 never has, beyond the text.
+Only equality over a given length matters, or over several lengths in one sort, so the collection is not whole texts but
+segments around anchors. An anchor is a place whose ``GRAM``-byte hash is the first least one of a window of the shortest
+length; every string of that length holds one, equal strings hold it at the same offset, and a longer string has the anchor of
+its beginning. Anchors that share neither the half of the shortest length on their right nor that on their left with another
+anchor of the same hash cannot lie in a repeat and are dropped. A segment reaches as far from its anchor as a string of the
+longest length can, and is filled up with 0xFF, which UTF-8 never has, beyond the text.
 
 Segments are dealt out by anchor hash, so a repeat's copies meet in one task. There the collection is sorted column by
 column from the right, one symbol per segment and round: the symbols in front of the sorted suffixes are the new part of the
-Burrows-Wheeler transform, sorting them stably gives the next order (the LF step), and the common prefixes with the
-neighbours follow from range minima of the last round. Symbols, order and prefixes go through sequential files in the
-task's own temporary folder. A string repeats where a neighbour shares ``LENGTH`` bytes. A departure from the textbook form:
-a round is compared with itself only and earlier rounds are not merged in, because equal strings start in the same column.
+Burrows-Wheeler transform, which goes to an external file; read back, its symbols sorted stably give the next order (the LF
+step), and the common prefixes with the neighbours follow from range minima of the last round. Columns, transform, order and
+prefixes are sequential files in the task's own temporary folder. A string repeats where a neighbour shares its length. A
+departure from the textbook form: a round is compared with itself only and earlier rounds are not merged in, because equal
+strings start in the same column; so of the transform only the last round's part is read again.
 
 A hash with very many anchors is dealt out over several tasks; what each finds unique or first is compared across them by
 128-bit hashes of the strings themselves.
 
-Defined cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; equal texts of that length lose
-everything; repeated rows are equal texts, each with its row in the result; other columns are ignored or pass through; an
-empty table gives an empty table.
+All places of a repeat go, the first too. Defined cases: a null text is empty; texts shorter than the length lose nothing;
+equal texts of that length lose everything; repeated rows are equal texts, each with its row in the result; other columns
+pass through under any name (``without_repeats``) or are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,9 @@ from copycensus.llm.hashing import ByteRuns, byte_hashes, first_least, slices, u
 from copycensus.session import materialize
 
 LENGTH = 400
+#: A passage of 50 words: words and blanks of 243 bytes or more in 95 of 100 documents, see the README.
+PASSAGE = 200
 GRAM = 32
-#: Grams in a string, bytes in front of an anchor, bytes of a segment.
-GRAMS = LENGTH - GRAM + 1
-LEFT = LENGTH - GRAM
-WIDE = LEFT + LENGTH
-#: A string reaches this far from its anchor on one side at least.
-HALF = LENGTH // 2
 #: Segments in one task on average; an anchor hash with more than HOT_SEGMENTS is dealt out in parts of SALT_SEGMENTS.
 TASK_SEGMENTS = 10_000
 HOT_SEGMENTS = 40_000
@@ -51,7 +51,40 @@ SALT_SEGMENTS = 10_000
 FILL = 0xFF
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Shape:
+    """Lengths of the strings looked for, in ascending order, and what follows from them."""
+
+    lengths: tuple[int, ...] = (LENGTH,)
+
+    def __post_init__(self):
+        if not self.lengths or self.lengths[0] < 2 * GRAM or list(self.lengths) != sorted(set(self.lengths)):
+            raise ValueError(f"Lengths ascend from {2 * GRAM} on; got {self.lengths}.")
+
+    @cached_property
+    def least(self) -> int:
+        return self.lengths[0]
+
+    @cached_property
+    def left(self) -> int:
+        """Bytes in front of an anchor; so many places before it may be a string's start."""
+        return self.least - GRAM
+
+    @cached_property
+    def right(self) -> int:
+        return self.lengths[-1]
+
+    @cached_property
+    def wide(self) -> int:
+        return self.left + self.right
+
+    @cached_property
+    def half(self) -> int:
+        """A string reaches this far from its anchor on one side at least."""
+        return self.least // 2
+
+
+def anchors(data: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
     """Anchors of one text: grams that are the first least ones of some window.
 
     Rows of hash, place, the hashes of what lies right and left of it (0 where the text ends before), and the first and the
@@ -60,24 +93,25 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     segment repeat, so its places are ranges at once.
     """
     none = np.zeros((0, 6), np.int64), np.zeros((0, 2), np.int64)
-    if len(data) < LENGTH:
+    if len(data) < shape.least:
         return none
     text = ByteRuns(data)
     grams = text.every(GRAM)
-    at, low, high = first_least(grams, GRAMS)
+    at, low, high = first_least(grams, shape.least - GRAM + 1)
     keep = np.ones(len(at), bool)
     again = at[:0]
-    inner = np.flatnonzero((at >= LEFT) & (at + LENGTH <= len(data)))
+    inner = np.flatnonzero((at >= shape.left) & (at + shape.right <= len(data)))
     if len(inner) > 1:
-        _, first, which, n = np.unique(text.at(at[inner] - LEFT, WIDE), return_index=True, return_inverse=True, return_counts=True)
+        _, first, which, n = np.unique(text.at(at[inner] - shape.left, shape.wide), return_index=True, return_inverse=True, return_counts=True)
         again = at[inner[n[which] > 1]]
         keep[inner] = False
         keep[inner[first]] = True
     at, low, high = at[keep], low[keep], high[keep]
-    right = np.where(at + HALF <= len(data), text.at(np.minimum(at, len(data) - HALF), HALF), 0)
-    left = np.where(at >= HALF, text.at(np.maximum(at - HALF, 0), HALF) ^ np.uint64(1), 0)
+    half = shape.half
+    right = np.where(at + half <= len(data), text.at(np.minimum(at, len(data) - half), half), 0)
+    left = np.where(at >= half, text.at(np.maximum(at - half, 0), half) ^ np.uint64(1), 0)
     rows = np.stack([grams[at].view(np.int64), at, right.view(np.int64), left.view(np.int64), low, high], axis=1)
-    return rows, runs(np.stack([again - LEFT, again + LENGTH], axis=1))
+    return rows, runs(np.stack([again - shape.left, again + shape.right], axis=1))
 
 
 def runs(ranges: np.ndarray) -> np.ndarray:
@@ -90,16 +124,17 @@ def runs(ranges: np.ndarray) -> np.ndarray:
     return np.stack([x[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])], axis=1)
 
 
-def string_keys(segments: np.ndarray, row: np.ndarray, at: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of hash for the strings of ``LENGTH`` bytes at the given rows (ascending) and columns; few rows at a time."""
+def string_keys(segments: np.ndarray, row: np.ndarray, at: np.ndarray, length: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for the strings of ``length`` bytes at the given rows (ascending) and columns; few rows at a time."""
     keys = np.zeros((2, len(row)), np.int64)
+    wide = segments.shape[1]
     for low in range(0, len(segments) if len(row) else 0, rows):
         a, b = np.searchsorted(row, [low, low + rows])
         if a < b:
             flat = segments[low:low + rows].ravel()
-            starts = (row[a:b] - low) * WIDE + at[a:b]
-            keys[0, a:b] = byte_hashes(flat, LENGTH, starts).view(np.int64)
-            keys[1, a:b] = byte_hashes(flat ^ np.uint8(91), LENGTH, starts).view(np.int64)
+            starts = (row[a:b] - low) * wide + at[a:b]
+            keys[0, a:b] = byte_hashes(flat, length, starts).view(np.int64)
+            keys[1, a:b] = byte_hashes(flat ^ np.uint8(91), length, starts).view(np.int64)
     return keys[0], keys[1]
 
 
@@ -117,13 +152,13 @@ def _range_minima(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np
 
 
 def repeated_columns(
-    segments: np.ndarray, length: int = LENGTH, last_start: int = LEFT, with_first: bool = True,
-) -> tuple[np.ndarray, np.ndarray | None]:
-    """For each segment and start column up to ``last_start``: whether another segment has the same ``length`` bytes there,
+    segments: np.ndarray, lengths: tuple[int, ...], last_start: int, with_first: bool = True,
+) -> tuple[list[np.ndarray], list[np.ndarray] | None]:
+    """By length: for each segment and start column up to ``last_start``, whether another segment has the same bytes there,
     and, if asked, whether this one is the first of its equals in suffix order."""
     m, wide = segments.shape
-    repeated = np.zeros((m, last_start + 1), bool)
-    first = np.zeros((m, last_start + 1), bool) if with_first else None
+    repeated = [np.zeros((m, last_start + 1), bool) for _ in lengths]
+    first = [np.zeros((m, last_start + 1), bool) for _ in lengths] if with_first else None
     with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as state, tempfile.TemporaryFile() as transform:
         for at in range(wide - 1, -1, -1):  # columns lie in the order in which they are read
             columns.write(np.ascontiguousarray(segments[:, at]).tobytes())
@@ -132,8 +167,10 @@ def repeated_columns(
         for at in range(wide - 1, -1, -1):
             state.seek(0)
             order, common = np.frombuffer(state.read(4 * m), np.int32), np.frombuffer(state.read(2 * m), np.int16)
-            symbols = np.frombuffer(columns.read(m), np.uint8)[order]
-            transform.write(symbols.tobytes())
+            new = transform.seek(0, 2)
+            transform.write(np.frombuffer(columns.read(m), np.uint8)[order].tobytes())
+            transform.seek(new)
+            symbols = np.frombuffer(transform.read(m), np.uint8)
             step = np.argsort(symbols, kind="stable")
             order, symbols = order[step], symbols[step]
             same = np.flatnonzero((symbols[1:] == symbols[:-1]) & (symbols[1:] != FILL)) + 1
@@ -142,14 +179,15 @@ def repeated_columns(
             state.seek(0)
             state.write(order.astype(np.int32).tobytes() + longer.tobytes())
             if at <= last_start:
-                equal = longer >= length
-                repeated[order, at] = equal | np.append(equal[1:], False)
-                if with_first:
-                    first[order, at] = ~equal
+                for i, length in enumerate(lengths):
+                    equal = longer >= length
+                    repeated[i][order, at] = equal | np.append(equal[1:], False)
+                    if with_first:
+                        first[i][order, at] = ~equal
     return repeated, first
 
 
-def _segments(texts: DataFrame) -> DataFrame:
+def _segments(texts: DataFrame, shape: Shape) -> DataFrame:
     """Rows ``a, b, place, low, high, task, salted, segment`` from texts with their lists of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +200,12 @@ def _segments(texts: DataFrame) -> DataFrame:
                 low, high = bounds[owner], bounds[owner + 1]
                 for at in range(0, len(owner), 4096):
                     s = slice(at, at + 4096)
-                    index = (low[s] + place[s])[:, None] + np.arange(-LEFT, LENGTH)
+                    index = (low[s] + place[s])[:, None] + np.arange(-shape.left, shape.right)
                     inside = (index >= low[s][:, None]) & (index < high[s][:, None])
                     cut = np.where(inside, data[np.where(inside, index, 0)], FILL).astype(np.uint8)
                     n = len(cut)
                     packed = pa.Array.from_buffers(pa.large_binary(), n, [
-                        None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * WIDE), pa.py_buffer(cut)])
+                        None, pa.py_buffer(np.arange(n + 1, dtype=np.int64) * shape.wide), pa.py_buffer(cut)])
                     rows = pa.array(owner[s])
                     yield pa.RecordBatch.from_arrays(
                         [part.column(part.schema.get_field_index(c)).take(rows) for c in "ab"]
@@ -182,21 +220,21 @@ def _classes(segments: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.nda
     keys = np.zeros((len(segments), 2), np.uint64)
     for low in range(0, len(segments), rows):
         flat = segments[low:low + rows].ravel()
-        starts = np.arange(0, len(flat), WIDE)
-        keys[low:low + rows, 0] = byte_hashes(flat, WIDE, starts)
-        keys[low:low + rows, 1] = byte_hashes(flat ^ np.uint8(91), WIDE, starts)
+        starts = np.arange(0, len(flat), segments.shape[1])
+        keys[low:low + rows, 0] = byte_hashes(flat, segments.shape[1], starts)
+        keys[low:low + rows, 1] = byte_hashes(flat ^ np.uint8(91), segments.shape[1], starts)
     _, one, which, n = np.unique(keys, axis=0, return_index=True, return_inverse=True, return_counts=True)
     return one, which.ravel(), n
 
 
-def _repeats(group: pa.Table) -> pa.Table:
+def _repeats(group: pa.Table, shape: Shape) -> pa.Table:
     """Byte ranges of repeats in one task's collection; for salted anchors also the strings to compare across tasks."""
     a, b, place, lowest, highest = (group.column(c).to_numpy() for c in ("a", "b", "place", "low", "high"))
     _, own = np.unique(np.stack([a, b, place], axis=1), axis=0, return_index=True)
     salted = group.column("salted").to_numpy(zero_copy_only=False).astype(bool)[own]
     packed = group.column("segment").combine_chunks()
     offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
-    segments = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, WIDE)
+    segments = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, shape.wide)
     a, b, place, lowest, highest = a[own], b[own], place[own], lowest[own], highest[own]
     # Equal segments are sorted once; all their strings that lie within the text repeat.
     one, which, n = _classes(segments)
@@ -204,60 +242,65 @@ def _repeats(group: pa.Table) -> pa.Table:
     used, which, n = np.unique(which, return_inverse=True, return_counts=True)
     distinct = segments[one[used]]
     del segments, packed
-    repeated, first = repeated_columns(distinct, with_first=bool(salted.any()))
-    runs_of, begins, ends, srows, sats = [], [], [], [], []
-    edge = lambda m: np.zeros((m, 1), np.int8)
+    repeated, first = repeated_columns(distinct, shape.lengths, shape.left, with_first=bool(salted.any()))
     salted_class = np.zeros(len(distinct), bool)
     salted_class[which[salted]] = True
-    for low in range(0, len(distinct), 2048):
-        part, block = slice(low, low + 2048), distinct[low:low + 2048]
-        within = (block[:, :LEFT + 1] != FILL) & (block[:, LENGTH - 1:] != FILL)
-        hit = repeated[part] | (within & (n[part] > 1)[:, None])
-        change = np.diff(np.concatenate([edge(len(block)), hit.view(np.int8), edge(len(block))], axis=1), axis=1)
-        row, start = np.nonzero(change == 1)
-        runs_of.append(row + low)
-        begins.append(start)
-        ends.append(np.nonzero(change == -1)[1])
-        if first is not None:
-            # First of its equals: every distinct string of a salted anchor once.
-            row, at = np.nonzero(first[part] & within & salted_class[part][:, None])
-            srows.append(row + low)
-            sats.append(at)
-    row, start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs_of, begins, ends))
-    # Every place of a segment has the segment's runs.
     by_class = np.argsort(which, kind="stable")
-    many = n[row]
-    which_run = np.repeat(np.arange(len(row)), many)
-    behind = np.arange(len(which_run)) - np.repeat(np.cumsum(many) - many, many)
-    at = by_class[np.repeat((np.cumsum(n) - n)[row], many) + behind]
-    # A string is reported by its own anchor only.
-    begin = np.maximum(place[at] - LEFT + start[which_run], lowest[at])
-    last = np.minimum(place[at] - LEFT + stop[which_run] - 1, highest[at])
-    some = begin <= last
-    at, begin, end = at[some], begin[some], last[some] + LENGTH
-    srow, sat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (srows, sats))
-    sat_at = by_class[(np.cumsum(n) - n)[srow]]
-    sbegin = place[sat_at] - LEFT + sat
-    some = (sbegin >= lowest[sat_at]) & (sbegin <= highest[sat_at])
-    sat_at, sbegin = sat_at[some], sbegin[some]
-    keys = string_keys(distinct, srow[some], sat[some])
-    none = pa.nulls(len(at), pa.int64())
-    return pa.table({
-        "a": np.concatenate([a[at], a[sat_at]]), "b": np.concatenate([b[at], b[sat_at]]),
-        "start": np.concatenate([begin, sbegin]).astype(np.int64), "end": np.concatenate([end, sbegin + LENGTH]).astype(np.int64),
-        "key_a": pa.concat_arrays([none, pa.array(keys[0])]), "key_b": pa.concat_arrays([none, pa.array(keys[1])]),
-    })
-
-
-def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """``a, b, start, end``: repeated byte ranges, may overlap, of texts ``a, b, text`` with text hash (a, b)."""
-    kept = texts.select("a", "b", "text")
+    left, firsts = shape.left, np.cumsum(n) - n
+    edge = lambda m: np.zeros((m, 1), np.int8)
+    out = []
+    for i, length in enumerate(shape.lengths):
+        runs_of, begins, ends, srows, sats = [], [], [], [], []
+        for low in range(0, len(distinct), 2048):
+            part, block = slice(low, low + 2048), distinct[low:low + 2048]
+            within = (block[:, :left + 1] != FILL) & (block[:, length - 1:length + left] != FILL)
+            hit = repeated[i][part] | (within & (n[part] > 1)[:, None])
+            change = np.diff(np.concatenate([edge(len(block)), hit.view(np.int8), edge(len(block))], axis=1), axis=1)
+            row, start = np.nonzero(change == 1)
+            runs_of.append(row + low)
+            begins.append(start)
+            ends.append(np.nonzero(change == -1)[1])
+            if first is not None:
+                # First of its equals: every distinct string of a salted anchor once.
+                row, at = np.nonzero(first[i][part] & within & salted_class[part][:, None])
+                srows.append(row + low)
+                sats.append(at)
+        row, start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs_of, begins, ends))
+        # Every place of a segment has the segment's runs.
+        many = n[row]
+        which_run = np.repeat(np.arange(len(row)), many)
+        behind = np.arange(len(which_run)) - np.repeat(np.cumsum(many) - many, many)
+        at = by_class[np.repeat(firsts[row], many) + behind]
+        # A string is reported by its own anchor only.
+        begin = np.maximum(place[at] - left + start[which_run], lowest[at])
+        last = np.minimum(place[at] - left + stop[which_run] - 1, highest[at])
+        some = begin <= last
+        at, begin, end = at[some], begin[some], last[some] + length
+        srow, sat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (srows, sats))
+        sat_at = by_class[firsts[srow]]
+        sbegin = place[sat_at] - left + sat
+        some = (sbegin >= lowest[sat_at]) & (sbegin <= highest[sat_at])
+        sat_at, sbegin = sat_at[some], sbegin[some]
+        keys = string_keys(distinct, srow[some], sat[some], length)
+        none = pa.nulls(len(at), pa.int64())
+        out.append(pa.table({
+            "a": np.concatenate([a[at], a[sat_at]]), "b": np.concatenate([b[at], b[sat_at]]),
+            "start": np.concatenate([begin, sbegin]).astype(np.int64), "end": np.concatenate([end, sbegin + length]).astype(np.int64),
+            "length": np.full(len(at) + len(sat_at), length, np.int32),
+            "key_a": pa.concat_arrays([none, pa.array(keys[0])]), "key_b": pa.concat_arrays([none, pa.array(keys[1])]),
+        }))
+    return pa.concat_tables(out)
+
+
+def repeated_ranges(texts: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """``a, b, start, end, length``: repeated byte ranges, may overlap, of texts ``a, b, text`` with text hash (a, b)."""
+    kept, shape = texts.select("a", "b", "text"), Shape(tuple(lengths))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, bounds = utf8(part.column(2))
-                found = [anchors(data[bounds[i]:bounds[i + 1]]) for i in range(part.num_rows)]
+                found = [anchors(data[bounds[i]:bounds[i + 1]], shape) for i in range(part.num_rows)]
                 own = [[{"start": x, "end": y} for x, y in r.tolist()] for _, r in found]
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32))
                 rows = np.concatenate([x for x, _ in found])
@@ -273,53 +316,55 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     classes = materialize(marked.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("found").alias("found"), F.first("own").alias("own")))
     single = classes.select("a", "b", F.explode("found").alias("_f")).select("a", "b", "_f.*")
-    twice = single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A string holds all of the half on the right or on the left of its anchor; anchors that share neither are dropped.
-    sides = single.join(twice, "hash").select(
-        "a", "b", "hash", "place", "low", "high", F.explode(F.array("right", "left")).alias("side")).where("side <> 0")
+    twice = single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    sides = single.join(twice, "hash", "left_semi").select("a", "b", "hash", "place", "low", "high", F.explode(F.array("right", "left")).alias("side")).where("side <> 0")
     shared = sides.groupBy("hash", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     single = materialize(sides.join(shared, ["hash", "side"]).select("a", "b", "hash", "place", "low", "high").distinct())
     often = materialize(single.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
     tasks = (often.agg(F.sum("n")).first()[0] or 0) // TASK_SEGMENTS + 1
     salts = F.when(F.col("n") > HOT_SEGMENTS, F.floor(F.col("n") / SALT_SEGMENTS) + 1).otherwise(1).cast("long")
-    placed = single.join(often.withColumn("salts", salts), "hash").select(
+    # Only a hash with more than HOT_SEGMENTS anchors has salts, so this list is short and no anchor is sent to its hash.
+    hot = often.withColumn("salts", salts).where("salts > 1").drop("n")
+    salts = F.coalesce(F.col("salts"), F.lit(1).cast("long"))
+    placed = single.join(hot, "hash", "left").select(
         "a", "b", F.struct(
             "place", "low", "high",
-            F.when(F.col("salts") == 1, F.pmod(F.col("hash"), F.lit(tasks)))
-            .otherwise(F.lit(tasks) + F.pmod(F.xxhash64("hash", F.pmod(F.xxhash64("a", "b", "place"), F.col("salts"))), F.lit(1 << 40)))
+            F.when(salts == 1, F.pmod(F.col("hash"), F.lit(tasks)))
+            .otherwise(F.lit(tasks) + F.pmod(F.xxhash64("hash", F.pmod(F.xxhash64("a", "b", "place"), salts)), F.lit(1 << 40)))
             .alias("task"),
-            (F.col("salts") > 1).alias("salted")).alias("_p"))
+            (salts > 1).alias("salted")).alias("_p"))
     wanted = placed.groupBy("a", "b").agg(F.collect_list("_p").alias("found"))
     # Segments are cut once per text: copies are combined before the shuffle and never expanded.
     distinct = kept.groupBy("a", "b").agg(F.first("text").alias("text"))
-    ranges = _segments(distinct.join(wanted, ["a", "b"]).select("a", "b", "text", "found")).groupBy("task").applyInArrow(
-        _repeats, "a long, b long, start long, end long, key_a long, key_b long")
+    ranges = _segments(distinct.join(wanted, ["a", "b"]).select("a", "b", "text", "found"), shape).groupBy("task").applyInArrow(
+        lambda group: _repeats(group, shape), "a long, b long, start long, end long, length int, key_a long, key_b long")
     ranges = materialize(ranges)
     across = ranges.where("key_a IS NOT NULL").distinct()  # a place counts once
-    keys = ["key_a", "key_b"]
+    keys = ["key_a", "key_b", "length"]
     again = across.join(across.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
-    copies = classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select(
-        "a", "b", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
-    columns = ["a", "b", "start", "end"]
-    own = classes.select("a", "b", F.explode("own").alias("_o")).select("a", "b", "_o.start", "_o.end")
+    every = F.explode(F.array(*[F.lit(x) for x in shape.lengths])).alias("length")
+    copies = classes.where(F.col("copies") > 1).select("a", "b", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"), every).where("end >= length")
+    columns = ["a", "b", "start", "end", "length"]
+    own = classes.select("a", "b", F.explode("own").alias("_o")).select("a", "b", "_o.start", "_o.end", every)
     return ranges.where("key_a IS NULL").select(*columns).union(again.select(*columns)).union(own).union(copies)
 
 
-def with_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_ranges``, the repeated byte ranges of each text (null for none)."""
-    kept = docs.select(*[c for c in docs.columns if c not in ("_ranges", "_a", "_b")])
-    body = F.coalesce(F.col(text), F.lit(""))
-    hashed = kept.withColumns({"_a": F.xxhash64(body), "_b": F.xxhash64(F.lit(7), body)})
-    ranges = repeated_ranges(hashed.select(F.col("_a").alias("a"), F.col("_b").alias("b"), body.alias("text")))
-    by_text = ranges.groupBy("a", "b").agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
-    return hashed.join(by_text, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").drop("_a", "_b", "a", "b")
+def with_ranges(docs: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """``row, body, ranges``: each row as one struct, so that no name of its columns matters, its text, and the repeated byte
+    ranges of the text with their lengths (null for none)."""
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("body"))
+    body = F.coalesce(F.col("body"), F.lit(""))
+    hashed = rows.withColumns({"a": F.xxhash64(body), "b": F.xxhash64(F.lit(7), body)})
+    ranges = repeated_ranges(hashed.select("a", "b", body.alias("text")), lengths)
+    by_text = ranges.groupBy("a", "b").agg(F.collect_list(F.struct("start", "end", "length")).alias("ranges"))
+    return hashed.join(by_text, ["a", "b"], "left").select("row", "body", "ranges")
 
 
-def merged(ranges: list[dict] | None) -> np.ndarray:
-    """Maximal runs, as rows of start and end."""
-    if not ranges:
-        return np.zeros((0, 2), np.int64)
-    return runs(np.array([(r["start"], r["end"]) for r in ranges], np.int64))
+def merged(ranges: list[dict] | None, length: int) -> np.ndarray:
+    """Maximal runs of the ranges of one length, as rows of start and end."""
+    return runs(np.array([(r["start"], r["end"]) for r in ranges or [] if r["length"] == length], np.int64).reshape(-1, 2))
 
 
 def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
@@ -327,36 +372,41 @@ def kept_bytes(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join([data[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)])
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per document."""
-    rows = with_ranges(docs.select(doc_id, text), text)
-    schema = T.StructType([rows.schema[doc_id], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
-                           T.StructField("kept_sha256", T.StringType())])
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int | None = PASSAGE) -> DataFrame:
+    """``<doc_id>, n_bytes, n_removed, n_spans, kept_sha256`` per row, and from the same sort ``n_passage_bytes`` and
+    ``n_passages``: bytes and maximal runs covered by repeats of the shorter length ``passage`` (left out if it is None)."""
+    lengths = (length,) if passage is None else (passage, length)
+    rows = with_ranges(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), text, lengths).select(F.col("row").getField(doc_id).alias(doc_id), "body", "ranges")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passage_bytes", "n_passages"] if passage is not None else [])]
+    types = [T.StringType() if n == "kept_sha256" else T.LongType() for n in names]
+    schema = T.StructType([rows.schema.fields[0], *[T.StructField(n, t) for n, t in zip(names, types, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for body, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, spans = (body or "").encode(), merged(ranges)
-                out.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest()))
-            columns = [pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(4)]
+                data = (body or "").encode()
+                spans, *short = [merged(ranges, x) for x in reversed(lengths)]
+                covered = [n for x in short for n in (int((x[:, 1] - x[:, 0]).sum()), len(x))]
+                out.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest(), *covered))
+            columns = [pa.array([r[i] for r in out], pa.string() if i == 3 else pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the repeats cut from the text. Characters that are removed in part stay, so texts stay valid."""
-    rows = with_ranges(docs, text)
-    kept = rows.drop("_ranges").schema
-    at = rows.columns.index(text)
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeats of ``length`` bytes cut from the text. Characters that are removed in part stay, so texts stay valid."""
+    rows = with_ranges(docs, text, (length,)).select("row", "ranges")
+    schema = docs.schema
+    at = schema.names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for body, ranges in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            columns, texts = batch.column(0).flatten(), []
+            for body, ranges in zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if body is not None and ranges:
-                    data, spans = body.encode(), merged(ranges)
+                    data, spans = body.encode(), merged(ranges, length)
                     for s in spans:
                         while s[0] < s[1] and data[s[0]] & 0xC0 == 0x80:
                             s[0] += 1
@@ -364,8 +414,7 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                             s[1] -= 1
                     body = kept_bytes(data, spans).decode()
                 texts.append(body)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=kept.names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, kept)
+    return rows.mapInArrow(run, schema)

@@ -435,17 +435,26 @@ def test_every_piece_encodes_to_itself():
     assert [list(x) for x in own.model.encode(mapped, num_threads=1)] == [[i] for i in range(len(mapped))]
 
 
-def brute_repeats(texts, length=suffix_dedup.LENGTH):
+def covered(texts, length):
+    """Per text a mask of the bytes in a string of that length that occurs elsewhere too."""
     seen = Counter(t.encode()[i:i + length] for _, t in texts for i in range(len(t.encode()) - length + 1))
     out = []
-    for d, t in texts:
+    for _, t in texts:
         data = t.encode()
         gone = np.zeros(len(data), bool)
         for i in range(len(data) - length + 1):
             if seen[data[i:i + length]] > 1:
                 gone[i:i + length] = True
-        spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
-        out.append((d, len(data), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()))
+        out.append((gone, int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())))
+    return out
+
+
+def brute_repeats(texts, length=suffix_dedup.LENGTH, passage=suffix_dedup.PASSAGE):
+    out = []
+    for (d, t), (gone, spans), (short, passages) in zip(texts, covered(texts, length), covered(texts, passage), strict=True):
+        data = t.encode()
+        kept = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
+        out.append((d, len(data), int(gone.sum()), spans, kept, int(short.sum()), passages))
     return sorted(out, key=str)
 
 
@@ -465,8 +474,8 @@ def test_suffix_dedup_cuts_segments_once_per_text(spark, monkeypatch):
     rows = [(i, base) for i in range(500)] + [(500, prose(rng, 40) + " " + base[:900] + " " + prose(rng, 40)), (500, base)]
     cut, seen = suffix_dedup._segments, []
 
-    def counted(texts):
-        seen.append(cut(texts))
+    def counted(texts, shape):
+        seen.append(cut(texts, shape))
         return seen[-1]
 
     monkeypatch.setattr(suffix_dedup, "_segments", counted)
@@ -486,16 +495,30 @@ def test_suffix_dedup_keeps_characters_whole(spark, corpus):
     assert suffix_dedup.digests(empty(corpus)).count() == 0
 
 
+@pytest.mark.parametrize("length", [100, 200, 400])
+def test_length_of_repeats_is_a_parameter(spark, length):
+    rng = random.Random(length)
+    shared = {n: "".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (99, 100, 199, 200, 399, 400)}
+    texts = [(i, prose(rng, 30) + "\x01" + s + "\x02" + prose(rng, 30)) for i, s in enumerate([*shared.values(), *shared.values()])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.digests(docs, length=length, passage=None).collect())
+    assert found == [(d, int(g.sum()), n) for (d, _), (g, n) in zip(texts, covered(texts, length), strict=True)]
+    left = {r["doc_id"]: len(r["text"]) for r in suffix_dedup.without_repeats(docs, length=length).collect()}
+    assert left == {d: len(t) - int(g.sum()) for (d, t), (g, _) in zip(texts, covered(texts, length), strict=True)}
+    with pytest.raises(ValueError, match="Lengths"):
+        suffix_dedup.digests(docs, length=100, passage=200)
+
+
 def test_column_sort_against_plain_comparison():
     rng = np.random.default_rng(6)
     segments = rng.integers(97, 99, (60, 40)).astype(np.uint8)
     segments[5], segments[9, 10:], segments[30, 35:] = segments[4], segments[8, 10:], 0xFF
-    repeated, first = suffix_dedup.repeated_columns(segments, length=12, last_start=20)
-    for at in range(21):
-        strings = [segments[i, at:at + 12].tobytes() if not (segments[i, at:at + 12] == 0xFF).any() else (i,) for i in range(60)]
+    repeated, first = suffix_dedup.repeated_columns(segments, (5, 12), last_start=20)
+    for n, k, at in [(n, k, at) for k, n in enumerate((5, 12)) for at in range(21)]:
+        strings = [segments[i, at:at + n].tobytes() if not (segments[i, at:at + n] == 0xFF).any() else (i,) for i in range(60)]
         often = Counter(strings)
-        assert repeated[:, at].tolist() == [often[s] > 1 for s in strings]
-        assert sorted(s for s, f in zip(strings, first[:, at], strict=True) if f and often[s] > 1) == sorted({s for s in strings if often[s] > 1})
+        assert repeated[k][:, at].tolist() == [often[s] > 1 for s in strings]
+        assert sorted(s for s, f in zip(strings, first[k][:, at], strict=True) if f and often[s] > 1) == sorted({s for s in strings if often[s] > 1})
 
 
 def test_language_accuracy_on_held_out_rows(spark):

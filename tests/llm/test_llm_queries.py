@@ -18,7 +18,7 @@ from copycensus.llm import decontaminate  # noqa: E402
 from copycensus.llm.oracles import ORACLES  # noqa: E402
 from copycensus.llm.queries import REGISTRY  # noqa: E402
 from copycensus.llm.quality import judge  # noqa: E402
-from test_llm_operators import brute_items, brute_near, brute_repeats  # noqa: E402
+from test_llm_operators import brute_items, brute_near, brute_repeats, covered  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,7 +78,7 @@ def test_pipeline_stage_by_stage(spark):
 
     cut = stages["suffix_dedup"](spark, alone, SF).cache()
     assert cut.columns == columns
-    removed = {d: (n, gone) for d, n, gone, _, _ in brute_repeats(text(alone))}
+    removed = {d: (len(t.encode()), int(gone.sum())) for (d, t), (gone, _) in zip(text(alone), covered(text(alone), corpus_pipeline.REPEAT_BYTES), strict=True)}
     for d, t in text(cut):
         n, gone = removed[d]
         assert 0 <= len(t.encode()) - (n - gone) <= 6 * (gone > 0) * 50
