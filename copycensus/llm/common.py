@@ -17,3 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+
+
+def packed(docs: DataFrame, *uses: str) -> DataFrame:
+    """Each row as one struct ``row`` beside the columns that an operator uses, so that no other name matters.
+
+    ``select("row.*")`` gives the caller's columns back.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in dict.fromkeys(uses)])

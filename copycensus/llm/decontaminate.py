@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from copycensus.llm.common import packed
 from copycensus.llm.hashing import mix, shingles, slices, word_hashes
 from copycensus.session import materialize
 
@@ -210,7 +211,7 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_words, hamming``: one row per document row and item that it contains."""
     spark = docs.sparkSession
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    kept = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()),
                            T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType()),
                            T.StructField("n_words", T.LongType()), T.StructField("hamming", T.LongType())])
@@ -238,5 +239,6 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document contains no item; rows without an id stay."""
-    gone = contaminated(docs, items, doc_id, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = contaminated(docs, items, doc_id, **options).select(F.col("doc_id").alias("gone")).distinct()
+    rows = packed(docs).select("row", F.col("row").getField(doc_id).cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

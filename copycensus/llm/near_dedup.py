@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copycensus.llm.common import packed
 from copycensus.llm.components import components
 from copycensus.llm.hashing import mix, shingles, slices, word_hashes
 from copycensus.session import materialize
@@ -55,7 +56,7 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, sig_a, sig_b, sketch``: equal sets have equal counts and signatures."""
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    kept = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +193,7 @@ def group_links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, per
         "class_id", F.struct("hub", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
                              (F.col("_own") <= F.col("_other")).alias("first")).alias("task"))
     wanted = tasks.groupBy("class_id").agg(F.collect_list("task").alias("tasks"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("class_id"), F.col(text).alias("text")).join(
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("class_id"), F.col(f"`{text}`").alias("text")).join(
         wanted.hint("merge"), "class_id")  # one plan at every size: texts are sorted to their tasks, never the tasks sent to all
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +247,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     Rows without an id are linked with nothing, but of equal texts left over, by repeated rows or without ids, one row stays:
     the one with the least id.
     """
-    gone = near_duplicates(docs, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
-    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    gone = near_duplicates(docs, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("gone"))
+    rows = packed(docs).select("row", F.col("row").getField(doc_id).alias("id"), F.col("row").getField(text).alias("text"))
+    kept = rows.join(gone, F.col("id").cast("long") == F.col("gone"), "left_anti")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # Null, and so never joined, for texts without words.
-    hashed = kept.withColumns({"_a": F.when(words, F.xxhash64(text)), "_b": F.xxhash64(F.lit(7), text)})
-    again = materialize(hashed.where("_a IS NOT NULL").groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(*columns))
-    one = hashed.join(again, ["_a", "_b"]).groupBy("_a", "_b").agg(F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*")
-    return hashed.join(again, ["_a", "_b"], "left_anti").select(*columns).unionByName(one)
+    hashed = kept.select("row", "id", F.when(words, F.xxhash64("text")).alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    again = materialize(hashed.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
+    one = hashed.join(again, ["a", "b"]).groupBy("a", "b").agg(F.min_by("row", order).alias("row")).select("row")
+    return hashed.join(again, ["a", "b"], "left_anti").select("row").unionByName(one).select("row.*")

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, in column expressions only.
 
-Text statistics come first. The rules are then timed on a bounded sample, one by one, and put in the order of rejected
+Text statistics come first. The rules are then timed on a bounded sample in turn, and put in the order of rejected
 share per second; a row leaves the cascade at the first rule that rejects it, because CASE WHEN evaluates no later branch.
 The order changes the cost only: a row is kept if no rule rejects it.
 
@@ -10,13 +10,14 @@ pass through, and columns named like a statistic are replaced; an empty table gi
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copycensus.llm.common import words
+from copycensus.llm.common import packed, words
 from copycensus.session import materialize
 
 WINDOW = 8
@@ -25,6 +26,9 @@ SYMBOLS = "#*$%&|<>"
 #: the rules, never a verdict.
 SAMPLE_ROWS = 500
 SAMPLE_TEXT = 16 << 10
+#: Copies of the sample in a timed run, and timed runs of each rule.
+SAMPLE_TIMES = 4
+REPETITIONS = 3
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -81,12 +85,11 @@ def covered_words(windows: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the statistics and the helper column ``_words``."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """``row, _words`` and the statistics of each row of ``docs``; ``row`` holds the caller's columns under any name."""
+    body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    kept = docs.select(*[c for c in docs.columns if c not in STATISTICS])
-    counted = kept.withColumns({
-        "_words": words(F.col(text)), "_lines": lines,
+    counted = packed(docs).withColumn("_text", F.col("row").getField(text)).withColumns({
+        "_words": words(F.col("_text")), "_lines": lines,
         "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
     }).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn(
         "_windows", window_hashes(F.col("_words"), F.col("_hashes")))
@@ -96,7 +99,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered_words(F.col("_windows")).cast("long"),
-    }).drop("_lines", "_hashes", "_windows")
+    }).drop("_text", "_lines", "_hashes", "_windows")
 
 
 def base_failed() -> Column:
@@ -104,26 +107,37 @@ def base_failed() -> Column:
 
 
 def order_rules(docs: DataFrame, text: str, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second, best first, estimated on at most ``sample_rows`` rows.
+    """The rules by rejected share per second, best first, estimated on about ``sample_rows`` distinct texts.
 
-    The sample is taken from the first partitions and is a local table of bounded bytes; no task gathers it.
+    The sample is the short texts below a bound of their hash, from all partitions; no other text leaves its task. Its
+    rows are repeated until the costs stand out from the noise, and each rule's time is the least of ``REPETITIONS`` runs in
+    turn, above that of a rule that rejects nothing. Equal ranks, in steps of half a power of two, go by name.
     """
-    first = docs.where(F.octet_length(text) <= SAMPLE_TEXT).select(F.col(text).alias("text")).take(sample_rows)
-    local = docs.sparkSession.createDataFrame([tuple(r) for r in first], "text string")
-    sample = materialize(with_statistics(local))
-
-    def run(condition: Column) -> tuple[float, float]:
+    text = F.col(f"`{text}`")
+    short = docs.where(F.octet_length(text) <= SAMPLE_TEXT).select(F.xxhash64(text).alias("h"), text.alias("text"))
+    bound = int(min(1.0, sample_rows / max(1, docs.count())) * (1 << 62))
+    chosen = short.where(F.pmod("h", F.lit(1 << 62)) < bound).groupBy("h").agg(F.min("text").alias("text")).collect()
+    local = docs.sparkSession.createDataFrame(sorted((r["text"],) for r in chosen), "text string")
+    stats = materialize(with_statistics(local).drop("row"))
+    sample = materialize(stats.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_TIMES)))).drop("_again"))
+    share = sample.agg(*[F.avg(F.when(r.rejects, 1.0).otherwise(0.0)).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+
+    def run(condition: Column) -> float:
         start = time.perf_counter()
-        share = sample.agg(F.avg(F.when(condition, 1.0).otherwise(0.0))).first()[0] or 0.0
-        return time.perf_counter() - start, share
+        sample.agg(F.count(F.when(condition, 1))).collect()
+        return time.perf_counter() - start
 
-    run(F.lit(True))  # opens the files once, untimed
-    floor, _ = run(F.lit(True))
-    measured = {}
-    for rule in rules:
-        seconds, share = run(rule.rejects)
-        measured[rule.name] = share / max(seconds - floor, 1e-3)
-    return sorted(rules, key=lambda r: (-measured[r.name], r.name))
+    # A comparison of the words with nothing has the cost of reading them.
+    floor = F.size("_words") < 0
+    seconds = [[run(c) for c in (floor, *[r.rejects for r in rules])] for _ in range(REPETITIONS)]
+    least = [min(x) for x in zip(*seconds, strict=True)]
+
+    def rank(i: int) -> int:
+        gain = (share[i] or 0.0) / max(least[i + 1] - least[0], 0.02 * least[0])
+        return round(2 * math.log2(gain)) if gain > 0 else -10_000
+
+    order = sorted(range(len(rules)), key=lambda i: (-rank(i), rules[i].name))
+    return [rules[i] for i in order]
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -134,11 +148,18 @@ def cascade(rules: list[Rule]) -> Column:
     return verdict
 
 
-def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Add the statistics, ``base_failed``, ``kept`` and ``rejected_by``."""
+def judged(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``row`` (the caller's columns), the statistics, ``base_failed``, ``rejected_by`` and ``kept``."""
     rules = default_rules() if rules is None else rules
-    added = ("base_failed", "kept", "rejected_by")
-    rows = with_statistics(docs.select(*[c for c in docs.columns if c not in added]), text)
+    rows = with_statistics(docs, text)
     ordered = order_rules(docs, text, rules, sample_rows)
     return rows.withColumns({"base_failed": base_failed(), "rejected_by": cascade(ordered)}).withColumn(
         "kept", F.col("rejected_by").isNull()).drop("_words")
+
+
+def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Add the statistics, ``base_failed``, ``kept`` and ``rejected_by``; columns of these names are replaced, all others stay."""
+    rows = judged(docs, text, rules, sample_rows)
+    added = [c for c in rows.columns if c != "row"]
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return rows.select(*own, *added)

@@ -406,7 +406,7 @@ def test_quality_statistics(corpus):
 
 def test_quality_order_does_not_change_verdicts(corpus):
     rules = quality.default_rules()
-    rows = quality.with_statistics(corpus)
+    rows = quality.with_statistics(corpus).withColumns({"text": F.col("row.text"), "doc_id": F.col("row.doc_id")})
     one = rows.select("doc_id", quality.cascade(rules).isNull().alias("kept")).collect()
     other = rows.select("doc_id", quality.cascade(rules[::-1]).isNull().alias("kept")).collect()
     assert sorted(map(str, one)) == sorted(map(str, other))
@@ -577,3 +577,41 @@ def test_chat_parts(spark):
         (1, 0, "image", "i1", 3), (1, 1, "audio", "a", 50), (1, 2, "image", "i2", 1), (2, 0, "document", "d", 3072)]
     assert done[1]["attachment_tokens"] == 3126 and done[1]["turns"][1]["text"] == "fine!"
     assert done[2]["turns"][0]["text"] == "" and done[2]["attachment_tokens"] == 0
+
+
+CLASHING = ["a", "b", "_a", "_b", "_ranges", "_gone", "_words", "_text", "row", "x.y", "gone", "h", "kept", "id", "body", "n_words"]
+
+
+def test_columns_of_any_name_pass_through_every_stage(spark):
+    """Values, types and order of the caller's columns stay, whatever the operators call their own."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    shared = prose(rng, 80)
+    texts = [prose(rng, 120), prose(rng, 40) + " " + shared, shared + " " + prose(rng, 40), prose(rng, 60), None, ""]
+    texts.append(texts[0])
+    extra = {c: f"value of {c}" for c in CLASHING}
+    rows = [(i, t, "xx", "s", len(t or ""), *[f"{v} {i}" for v in extra.values()]) for i, t in enumerate(texts)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for stage in (near_dedup.deduplicated, suffix_dedup.without_repeats):
+        kept = stage(docs)
+        assert kept.columns == names
+        for r in kept.collect():
+            assert tuple(r)[5:] == rows[r["doc_id"]][5:]
+    judged = quality.judge(docs)
+    for r in judged.collect():
+        assert r["x.y"] == rows[r["doc_id"]][names.index("x.y")] and r["_words"] == f"value of _words {r['doc_id']}" and isinstance(r["kept"], bool)
+    for table in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == names, name
+            for r in out.collect():
+                assert tuple(r)[5:] == rows[r["doc_id"]][5:], name
+        assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == table.count()
+
+
+def test_rule_order_is_stable(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    orders = {tuple(r.name for r in quality.order_rules(docs, "text", quality.default_rules())) for _ in range(3)}
+    assert {o[0] for o in orders} == {"symbols"} and {o[-1] for o in orders} == {"word_length"}
