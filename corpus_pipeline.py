@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+Defined cases, in every stage: a null text counts as empty, and such rows, like those of fewer than 20 words, go in the first
+stage; rows without an id are told apart by their texts only; repeated rows and equal texts leave one row; very long texts are
+taken whole; other columns stay, under any name and with any value, until the last stage; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +22,7 @@ REPEAT_BYTES = suffix_dedup.PASSAGE
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
     # Written before it is filtered: a filter pushed below would evaluate the statistics once per use.
-    judged = materialize(quality.judge(docs).select(*docs.columns, F.col("kept").alias("_kept")))
-    return judged.where("_kept").drop("_kept")
+    return materialize(quality.judged(docs).select("row", "kept")).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
