@@ -1,31 +1,40 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 Equal texts are one class. Seeds are runs of ``SEED`` words that are least by hash in a window of ``WINDOW`` places, so two
-texts that share 11 words in a row share a seed: an edit every 12 words leaves one between any two edits. Every place of a shared seed is joined to the seed's first place in the
-shortest text of ``MIN_WORDS`` words or more that has it, never to all others; only the identical place is left out, so a passage that comes again in its own
-text and every later place of a passage have rows. Where a seed goes on in steps of equal length under ``MIN_WORDS``, as in a line
-over and over, its third and later places are matched with the place one step before: such a run is one chain, not one per
-place. Runs of ``MIN_WORDS`` words, the least by hash in ``CONTEXT`` places, are seeds too: a text that quotes
-less of a passage may stand first for all its short seeds, but never for these, so two texts that share 47 words in a row meet
-in a text that has as many. A text's matches are chained per partner: a chain's places rise in both
-texts, each match adds one, the distance between matches costs ``GAP_COST`` per word, and the best predecessor comes from a
-Fenwick tree of prefix maxima. Chains are aligned with the words of both texts, through gaps by a longest common
-subsequence and outwards over single edits, and a passage counts with ``MIN_WORDS`` matched words.
+texts that share 11 words in a row share a seed: an edit every 12 words leaves one between any two edits. Every place of a
+shared seed is joined to the seed's first place in the shortest text of ``MIN_WORDS`` words or more that has it, never to all
+others; only the identical place is left out, so a passage that comes again in its own text and every later place of a passage
+have rows. Where a seed goes on in steps of equal length under ``MIN_WORDS``, as in a line over and over, its third and later
+places are matched with the place one step before: such a run is one chain, not one per place. Runs of ``MIN_WORDS`` words,
+the least by hash in ``CONTEXT`` places, are seeds too: a text that quotes less of a passage may stand first for all its short
+seeds, but never for these, so two texts that share 47 words in a row meet in a text that has as many.
+
+Seeds are made once and shuffled once, as packed columns: a task packs the seeds of many texts by ranges of their hash, and a
+range's packs meet in one task, which keeps what occurs again. A seed with ``HOT_PLACES`` places or more in one pack sends only
+its least one there; its other places are dealt out on their own and joined with the seed's one first place afterwards.
+
+A text's matches are chained per partner: a chain's places rise in both texts, each match adds one, the distance between
+matches costs ``GAP_COST`` per word, and the best predecessor comes from a Fenwick tree of prefix maxima. Chains are aligned
+with the words of both texts, through gaps by a longest common subsequence and outwards over single edits until the texts
+differ, and a passage counts with ``MIN_WORDS`` matched words. An alignment that comes to the end of the words at hand is
+repeated with ``MORE`` times as many around the chain.
 
 Shorter fragments of one text that touch each other and together have as many words count too, unless they lie within longer
 passages: copies of one passage may be represented by different texts in its parts.
 
 Defined cases: null, empty and short texts have no passages; equal texts of ``MIN_WORDS`` words are one passage each;
-repeated rows are equal texts; rows without an id have no passages of their own; other columns are ignored; an empty table
-gives an empty table.
+repeated rows of one id and text count once; an id with several texts has the passages of each of them; rows without an id have
+no passages of their own; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +47,15 @@ MIN_WORDS = 40
 #: Window of the seeds of MIN_WORDS words; such a seed stands for the SEED words in its middle.
 CONTEXT = 8
 GAP_COST = 1 / 96
-#: Words that an alignment may go beyond a chain, and equal words that must follow an edit.
+#: Words at hand on both sides of a chain, how many times as many where they are not enough, and equal words that must follow an edit.
 REACH = 256
+MORE = 16
 AFTER_EDIT = 3
+#: Seeds of one pack and of one range on average, and places of a seed in a pack from which on it is dealt out.
+PACK_SEEDS = 1_000_000
+RANGE_SEEDS = 2_000_000
+HOT_PLACES = 8
+MATCHES = "array<struct<partner:long,there:int,here:int>>"
 
 
 class Fenwick:
@@ -182,63 +197,178 @@ def seed_places(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarr
     return seed, np.concatenate([at, middle + shift]), np.concatenate(back)
 
 
-def seeds(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``a, b, doc_id, n_words, seeds`` per row of ``doc_id, a, b, text``; a seed's ``back`` is as in ``steps_back``."""
-    kept = docs.select("a", "b", "doc_id", "text")
+def _packed(ids: np.ndarray, sizes: np.ndarray, seed: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int, hot: int = HOT_PLACES) -> pa.RecordBatch:
+    """One row per hash range with the seeds of many texts; one row per hot seed with all its places but the least.
+
+    A place of a hot seed that stands for others in its pack has its highest bit set.
+    """
+    order = np.argsort(seed, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], seed[order][1:] != seed[order][:-1]])) if len(seed) else np.zeros(0, np.int64)
+    many = np.diff(np.append(new, len(seed)))
+    stays, mark, rows = np.ones(len(seed), bool), np.zeros(len(seed), np.uint32), []
+    for at, n in zip(new[many >= hot].tolist(), many[many >= hot].tolist(), strict=True):
+        own = order[at:at + n]
+        own = own[np.lexsort((place[own], ids[doc[own]], sizes[doc[own]]))]
+        stays[own[1:]] = False
+        mark[own[0]] = 1 << 31
+        rows.append((int((seed[own[0]] ^ np.uint64(ids[doc[own[0]]] & 0x7FFFFFFF)) % np.uint64(ranges)), int(seed[own[0]].view(np.int64)), None, None,
+                     place[own[1:]].astype("<u4").tobytes(), ids[doc[own[1:]]].astype("<i8").tobytes(), None))
+    seed, doc, place = seed[stays], doc[stays], place[stays].astype(np.uint32) | mark[stays]
+    group = (seed % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(bounds)).tolist():
+        own = order[bounds[r]:bounds[r + 1]]
+        used, local = np.unique(doc[own], return_inverse=True)
+        rows.append((r, None, seed[own].astype("<u8").tobytes(), local.astype("<u4").tobytes(), place[own].astype("<u4").tobytes(),
+                     ids[used].astype("<i8").tobytes(), sizes[used].astype("<u4").tobytes()))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names=["range", "seed", "seeds", "docs", "places", "ids", "sizes"])
+
+
+def packed_seeds(texts: DataFrame, ranges: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """``range, seed, seeds, docs, places, ids, sizes`` as in ``_packed`` from rows ``key, text``."""
+    pack, hot = PACK_SEEDS, HOT_PLACES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, seed, doc, place = [], [], [], [], []
+        n = docs = 0
+
+        def flush() -> pa.RecordBatch:
+            out = _packed(*map(np.concatenate, (ids, sizes, seed, doc, place)), ranges, hot)
+            for x in (ids, sizes, seed, doc, place):
+                x.clear()
+            return out
+
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, _, _, bounds = word_hashes(part.column(3))
-                found = []
-                for i in range(part.num_rows):
-                    words = hashes[bounds[i]:bounds[i + 1]]
-                    found.append(seed_places(words if len(words) >= min_words else words[:0], min_words))  # a shorter text has no passage
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for _, p, _ in found])]).astype(np.int32))
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([s for s, _, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p, _ in found]).astype(np.int32)),
-                     pa.array(np.concatenate([b for _, _, b in found]).astype(np.int32))],
-                    names=["seed", "place", "back"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(ends, pairs)],
-                    names=["a", "b", "doc_id", "n_words", "seeds"])
-
-    return kept.mapInArrow(run, "a long, b long, doc_id long, n_words long, seeds array<struct<seed:long,place:int,back:int>>")
-
-
-def _chained(texts: DataFrame) -> DataFrame:
-    """Chains of each text with the words around them, from rows ``doc_id, text, matches``."""
+                hashes, _, _, bounds = word_hashes(part.column(1))
+                ids.append(part.column(0).to_numpy())
+                sizes.append(np.diff(bounds))
+                for i in np.flatnonzero(np.diff(bounds) >= min_words).tolist():  # a shorter text has no passage
+                    s, p, back = seed_places(hashes[bounds[i]:bounds[i + 1]], min_words)
+                    single = back < 0
+                    seed.append(s[single])
+                    place.append(p[single])
+                    doc.append(np.full(int(single.sum()), docs + i))
+                    n += len(seed[-1])
+                docs += part.num_rows
+                if n >= pack:
+                    yield flush()
+                    n = docs = 0
+        if n:
+            yield flush()
+
+    return texts.select("key", "text").mapInArrow(
+        run, "range int, seed long, seeds binary, docs binary, places binary, ids binary, sizes binary")
+
+
+def _matched(group: pa.Table) -> pa.Table:
+    """What occurs again in one hash range.
+
+    Kind 0: a text's places with those of the first ones. Kind 1: the first place of a hot seed. Kind 2: a hot seed's other places, as they came.
+    """
+    join = lambda name, kind: np.frombuffer(b"".join(x for x in plain.column(name).to_pylist()), kind)
+    hot = group.filter(pa.compute.is_valid(group.column("seed")))
+    plain = group.filter(pa.compute.is_null(group.column("seed")))
+    seed, place = join("seeds", "<u8"), join("places", "<u4")
+    ids, sizes = join("ids", "<i8"), join("sizes", "<u4")
+    docs = [np.frombuffer(x, "<u4").astype(np.int64) for x in plain.column("docs").to_pylist()]
+    before = np.cumsum([0, *[len(x) // 8 for x in plain.column("ids").to_pylist()]])
+    doc = np.concatenate([np.zeros(0, np.int64), *[d + b for d, b in zip(docs, before[:-1], strict=True)]])
+    marked, place = place >> 31 == 1, (place & 0x7FFFFFFF).astype(np.int64)
+    order = np.lexsort((place, ids[doc], sizes[doc], seed))
+    seed, place, key, marked = seed[order], place[order], ids[doc][order], marked[order]
+    begin = np.concatenate([[True], seed[1:] != seed[:-1]])[:len(seed)]
+    first = np.flatnonzero(begin)[np.cumsum(begin) - 1] if len(seed) else np.zeros(0, np.int64)
+    again = (key != key[first]) | (place != place[first])
+    mine = np.flatnonzero(again)
+    mine = mine[np.argsort(key[mine], kind="stable")]
+    new = np.flatnonzero(np.concatenate([[True], key[mine][1:] != key[mine][:-1]])[:len(mine)])
+    matches = pa.ListArray.from_arrays(pa.array(np.append(new, len(mine)).astype(np.int32)), pa.StructArray.from_arrays(
+        [pa.array(key[first[mine]]), pa.array(place[first[mine]].astype(np.int32)), pa.array(place[mine].astype(np.int32))],
+        names=["partner", "there", "here"]))
+    firsts = np.unique(first[marked])
+    n0, n1, n2 = len(new), len(firsts), hot.num_rows
+    lists = lambda x, kind, to: pa.array([np.frombuffer(v, kind).astype(to) for v in x.to_pylist()], pa.list_(pa.from_numpy_dtype(to)))
+    one = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(n1 + 1, dtype=np.int32)), pa.array(x, kind))
+    return pa.table({
+        "kind": pa.array(np.repeat([0, 1, 2], [n0, n1, n2]).astype(np.int32)),
+        "key": pa.concat_arrays([pa.array(key[mine][new]), pa.nulls(n1 + n2, pa.int64())]),
+        "matches": pa.concat_arrays([matches, pa.nulls(n1 + n2, matches.type)]),
+        "seed": pa.concat_arrays([pa.nulls(n0, pa.int64()), pa.array(seed[firsts].view(np.int64)), pa.concat_arrays([pa.array([], pa.int64()), *hot.column("seed").chunks])]),
+        "ids": pa.concat_arrays([pa.nulls(n0, pa.list_(pa.int64())), one(key[firsts], pa.int64()), lists(hot.column("ids"), "<i8", np.int64)]),
+        "places": pa.concat_arrays([pa.nulls(n0, pa.list_(pa.int32())), one(place[firsts].astype(np.int32), pa.int32()), lists(hot.column("places"), "<u4", np.int32)]),
+    })
+
+
+def matched_places(texts: DataFrame, n_words: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, matches`` (lists of lists) per text that has a place of a seed in common with another place; ``n_words`` sizes the ranges."""
+    ranges = int(n_words * 0.6) // RANGE_SEEDS + 1
+    found = materialize(packed_seeds(texts, ranges, min_words).groupBy("range").applyInArrow(
+        _matched, f"kind int, key long, matches {MATCHES}, seed long, ids array<long>, places array<int>"))
+    first = found.where("kind = 1").select("seed", F.get("ids", F.lit(0)).alias("partner"), F.get("places", F.lit(0)).alias("there"))
+    hot = found.where("kind = 2").join(first, "seed").select(
+        "partner", "there", F.explode(F.arrays_zip("ids", "places")).alias("_p")).select(
+        F.col("_p.ids").alias("key"), "partner", "there", F.col("_p.places").alias("here")).where("key <> partner OR here <> there")
+    hot = hot.groupBy("key").agg(F.collect_list(F.struct("partner", "there", "here")).alias("matches"))
+    return found.where("kind = 0").select("key", "matches").unionByName(hot).groupBy("key").agg(F.collect_list("matches").alias("matches"))
+
+
+def _chained(texts: DataFrame, reach: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """Chains of each text with the words around them, from rows ``key, text, matches, again``.
+
+    ``again`` null: all chains; else the numbers of those to be cut out anew.
+    """
+    columns = ["key", "chain", "partner", "low", "more", "words", "here", "there", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, _, _, bounds = word_hashes(part.column(1))
+                keys, again = part.column(0).to_pylist(), part.column(3).to_pylist()
+                lists = part.column(2)
+                ends = np.concatenate([[0], np.cumsum([sum(len(x) for x in row) for row in lists])])
+                flat = lists.flatten().flatten()
+                partner, there, here = (flat.field(c).to_numpy().astype(np.int64) for c in ("partner", "there", "here"))
                 out = []
-                for row, (doc, matches) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    words = _short(hashes[bounds[row]:bounds[row + 1]])
-                    partners: dict[int, list[tuple[int, int]]] = {}
-                    for m in matches:
-                        partners.setdefault(m["partner"], []).append((m["there"], m["here"]))
-                    for partner, pairs in partners.items():
-                        pairs = sorted(set(pairs))
-                        x, y = [p for p, _ in pairs], [q for _, q in pairs]
-                        for chain in chains(x, y):
-                            low = max(0, y[chain[0]] - REACH)
-                            high = min(len(words), y[chain[-1]] + SEED + REACH)
-                            here, there, size = blocks(np.array([y[i] for i in chain]), np.array([x[i] for i in chain]), SEED)
-                            out.append({"doc_id": doc, "partner": partner, "low": low, "words": words[low:high].tobytes(),
-                                        "here": here.tolist(), "there": there.tolist(), "size": size.tolist()})
+                for row, key in enumerate(keys):
+                    own = hashes[bounds[row]:bounds[row + 1]]
+                    words = _short(own)
+                    _, place, back = seed_places(own, min_words)
+                    step = back >= 0
+                    who = np.concatenate([partner[ends[row]:ends[row + 1]], np.full(int(step.sum()), key)])
+                    x = np.concatenate([there[ends[row]:ends[row + 1]], back[step]])
+                    y = np.concatenate([here[ends[row]:ends[row + 1]], place[step]])
+                    found = np.unique(np.stack([who, x, y], axis=1), axis=0)
+                    cuts = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0], [True]]))
+                    number = 0
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        x, y = found[a:b, 1], found[a:b, 2]
+                        # Seeds that touch on one diagonal are one chain.
+                        line = (np.diff(x) == np.diff(y)).all() and (np.diff(x) <= SEED).all()
+                        for chain in [np.arange(b - a)] if line else chains(x.tolist(), y.tolist()):
+                            number += 1
+                            if again[row] is not None and number not in again[row]:
+                                continue
+                            low = max(0, int(y[chain[0]]) - reach)
+                            high = min(len(words), int(y[chain[-1]]) + SEED + reach)
+                            p, q, size = blocks(y[chain], x[chain], SEED)
+                            out.append((key, number, int(found[a, 0]), low, len(words) - high, words[low:high].tobytes(), p, q, size))
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([
-                        ("doc_id", pa.int64()), ("partner", pa.int64()), ("low", pa.int64()), ("words", pa.binary()),
-                        ("here", pa.list_(pa.int32())), ("there", pa.list_(pa.int32())), ("size", pa.list_(pa.int32()))]))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+
+    return texts.mapInArrow(
+        run, "key long, chain int, partner long, low long, more long, words binary, here array<int>, there array<int>, size array<int>")
+
 
-    return texts.mapInArrow(run, "doc_id long, partner long, low long, words binary, here array<int>, there array<int>, size array<int>")
+PASSAGE = ["start_word", "end_word", "partner_start", "partner_end", "matched_words"]
 
 
-def _aligned(rows: DataFrame) -> DataFrame:
-    """Passages from chains joined with the partner's text."""
-    names = ["doc_id", "partner_id", "start_word", "end_word", "partner_start", "partner_end", "matched_words"]
+def _aligned(rows: DataFrame, reach: int) -> DataFrame:
+    """Passages from chains joined with the partner's text; ``short`` where the words at hand came to an end before the texts did."""
+    names = ["key", "chain", "partner", *PASSAGE, "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, theirs = None, None
@@ -249,15 +379,37 @@ def _aligned(rows: DataFrame) -> DataFrame:
                     last = row["partner"]
                     theirs = _short(word_hashes(batch.column("text").slice(i, 1))[0])
                 own = np.frombuffer(row["words"], np.uint32)
-                low = max(0, row["there"][0] - REACH)
-                part = theirs[low:row["there"][-1] + row["size"][-1] + REACH]
+                low = max(0, row["there"][0] - reach)
+                part = theirs[low:row["there"][-1] + row["size"][-1] + reach]
+                more = len(theirs) - low - len(part)
                 places = [(h - row["low"], t - low, n) for h, t, n in zip(row["here"], row["there"], row["size"], strict=True)]
                 a, b, c, d, matched = align(own, part, places)
-                out.append((row["doc_id"], last, a + row["low"], b + row["low"], c + low, d + low, matched))
+                # An edit needs AFTER_EDIT equal words behind it, so an end this close to the edge may not be the passage's.
+                near = AFTER_EDIT + 1
+                short = ((a <= near and row["low"] > 0) or (c <= near and low > 0)
+                         or (b >= len(own) - near and row["more"] > 0) or (d >= len(part) - near and more > 0))
+                out.append((row["key"], row["chain"], last, a + row["low"], b + row["low"], c + low, d + low, matched, short))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, "key long, chain int, partner long, " + ", ".join(f"{n} long" for n in PASSAGE) + ", short boolean")
+
 
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def _passages(texts: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
+    """``key, partner`` and the passage of every chain, as long as the texts go on together."""
+    partners = texts.select(F.col("key").alias("partner"), "text")
+    own = texts.join(matches, "key").select("key", "text", "matches", F.lit(None).cast("array<int>").alias("again"))
+    done, reach = [], REACH
+    while True:
+        chained = materialize(_chained(own, reach, min_words))
+        found = materialize(_aligned(chained.join(partners, "partner").select(*chained.columns, "text"), reach))
+        done.append(found.where("NOT short"))
+        again = materialize(found.where("short").groupBy("key").agg(F.collect_list("chain").alias("again")))
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("key", "partner", *PASSAGE)
+        own = texts.join(matches.join(again, "key"), "key").select("key", "text", "matches", "again")
+        reach *= MORE
 
 
 def touching(found: list[dict]) -> list[list[dict]]:
@@ -275,7 +427,7 @@ def touching(found: list[dict]) -> list[list[dict]]:
 
 def counted(found: list[dict], min_words: int) -> list[dict]:
     """A text's passages that are long enough, and the fragments outside of them that are in a touching run of that length."""
-    found = sorted(found, key=lambda p: (p["start_word"], p["end_word"], p["partner_id"]))
+    found = sorted(found, key=lambda p: (p["start_word"], p["end_word"], p["partner"]))
     keep = [p for p in found if p["matched_words"] >= min_words]
     covered = [(g[0]["start_word"], max(p["end_word"] for p in g)) for g in touching(keep)]
     rest, at = [], 0
@@ -293,14 +445,14 @@ def counted(found: list[dict], min_words: int) -> list[dict]:
 
 def _counted(passages: DataFrame, min_words: int) -> DataFrame:
     """Passages that are long enough alone or in a run of fragments that touch, by document."""
-    by_doc = passages.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in passages.columns if c != "doc_id"])).alias("found"))
+    by_doc = passages.groupBy("key").agg(F.collect_list(F.struct(*[c for c in passages.columns if c != "key"])).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [counted(found, min_words) for found in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, batch.schema.field(1).type)], names=["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, batch.schema.field(1).type)], names=["key", "found"])
 
-    return by_doc.mapInArrow(run, by_doc.schema).select("doc_id", F.explode("found").alias("_p")).select("doc_id", "_p.*")
+    return by_doc.mapInArrow(run, by_doc.schema).select("key", F.explode("found").alias("_p")).select("key", "_p.*")
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -309,33 +461,31 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     One row per passage of a class's first document and the partner that represents it; a copy of a text has one row that
     refers to the first. Word positions count from 0, ends are behind the last word.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text")).withColumns(
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text")).withColumns(
         {"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(7), "text")})
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    classes = materialize(rows.groupBy("a", "b").agg(
-        F.min("doc_id").alias("partner_id"), F.first(n_words).alias("n_words"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    members = materialize(rows.select("a", "b", "doc_id").join(classes, ["a", "b"]).where("doc_id <> partner_id"))
-    # Seeds are made twice and never written: first only counted, then only those that occur again are kept.
-    later = members.select("a", "b", "doc_id").distinct()
-    every = seeds(rows.join(later, ["a", "b", "doc_id"], "left_anti"), min_words).select(
-        "doc_id", "n_words", F.explode("seeds").alias("_s")).select("doc_id", "n_words", "_s.*")
-    again = every.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    every = materialize(every.join(again, "seed"))
-    single = every.where("back < 0").drop("back")
-    first = single.groupBy("seed").agg(
-        F.min(F.struct("n_words", "doc_id", "place")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = first.select("seed", F.col("_f.doc_id").alias("partner"), F.col("_f.place").alias("there"))
-    matched = single.join(first, "seed").where("doc_id <> partner OR place <> there").select("doc_id", "partner", "there", "place")
-    matched = matched.union(every.where("back >= 0").select("doc_id", "doc_id", "back", "place"))
-    by_doc = matched.groupBy("doc_id").agg(
-        F.collect_list(F.struct("partner", "there", F.col("place").alias("here"))).alias("matches"))
-    texts = rows.select("doc_id", "text")
-    chained = materialize(_chained(texts.join(by_doc, "doc_id").select("doc_id", "text", "matches")))
-    partners = texts.select(F.col("doc_id").alias("partner"), "text")
-    found = _counted(_aligned(chained.join(partners, "partner").select(*chained.columns, "text")), min_words)
+    pair = ["a", "b"]
+    members = materialize(rows.groupBy(*pair, "doc_id").agg(F.first(n_words).alias("n_words"), F.count(F.lit(1)).alias("n")))
+    classes = members.groupBy(*pair).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("ids")).where("ids > 1")
+    later = materialize(members.join(classes, pair).where("doc_id <> first_id").select(*pair, "doc_id", "first_id", "n_words"))
+    # Short lists as a rule, written so that the planner knows: rows that come again, and ids with several texts.
+    again = materialize(members.where("n > 1").select(*pair, "doc_id").join(later, [*pair, "doc_id"], "left_anti"))
+    skipped = materialize(later.select(*pair, "doc_id").unionByName(again))
+    several = materialize(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    one = rows.join(skipped, [*pair, "doc_id"], "left_anti").select(*pair, "doc_id", "text").unionByName(
+        rows.join(again, [*pair, "doc_id"], "left_semi").groupBy(*pair, "doc_id").agg(F.first("text").alias("text")))
+    # A class's key is its first id; where an id has several texts, a hash of both.
+    key = F.when(F.col("texts").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", *pair))
+    texts = one.join(several, "doc_id", "left").select(key.alias("key"), "text")
+    total = members.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    found = _counted(_passages(texts, matched_places(texts, total, min_words), min_words), min_words)
+    named = members.join(several, "doc_id").select(key.alias("key"), "doc_id")
+    for c, k in (("doc_id", "key"), ("partner_id", "partner")):
+        found = found.join(named.select(F.col("key").alias(k), F.col("doc_id").alias("named")), k, "left").withColumn(
+            c, F.coalesce("named", k)).drop("named")
     zero = F.lit(0).cast("long")
-    copies = members.where(F.col("n_words") >= min_words).select(
-        "doc_id", "partner_id", zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("partner_start"),
+    copies = later.where(F.col("n_words") >= min_words).select(
+        "doc_id", F.col("first_id").alias("partner_id"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("partner_start"),
         F.col("n_words").alias("partner_end"), F.col("n_words").alias("matched_words"))
-    return found.unionByName(copies)
+    return found.select("doc_id", "partner_id", *PASSAGE).unionByName(copies)

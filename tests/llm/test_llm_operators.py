@@ -235,7 +235,7 @@ def test_fuzzy_passages_are_found(spark):
 
 
 def test_fragments_beside_a_passage_count_by_their_own_span():
-    piece = lambda a, b, partner: {"start_word": a, "end_word": b, "partner_id": partner, "matched_words": b - a}
+    piece = lambda a, b, partner: {"start_word": a, "end_word": b, "partner": partner, "matched_words": b - a}
     spans = lambda *p: sorted((x["start_word"], x["end_word"]) for x in chaining.counted([piece(a, b, i) for i, (a, b) in enumerate(p)], 40))
     assert spans((0, 45), (45, 80), (80, 115)) == [(0, 45), (45, 80), (80, 115)]
     assert spans((0, 35), (35, 70), (60, 105)) == [(0, 35), (35, 70), (60, 105)]
@@ -264,6 +264,39 @@ def test_quotes_do_not_part_two_passages(spark):
     assert found == len(cases)
 
 
+def test_passages_go_on_until_the_texts_differ(spark):
+    rng = random.Random(71)
+    words = prose(rng, 2000).split()
+    docs = [(1, prose(rng, 30) + " " + " ".join(words)), (2, prose(rng, 20) + " " + " ".join(words) + " " + prose(rng, 900)), (3, " ".join(words[1000:]))]
+    rows = {(r["doc_id"], r["partner_id"]): tuple(r)[2:] for r in chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {(2, 1): (20, 2020, 30, 2030, 2000), (1, 3): (1030, 2030, 0, 1000, 1000), (2, 3): (1020, 2020, 0, 1000, 1000)}
+
+
+def test_passages_of_repeated_rows_and_of_one_id_with_two_texts(spark):
+    rng = random.Random(72)
+    shared, first, second = prose(rng, 100), prose(rng, 60), prose(rng, 90)
+    one, two = first + " " + shared, shared + " " + second
+    schema = "doc_id long, text string"
+    expected = {(2, 1, 0, 100, 60, 160, 100)}
+    for docs in ([(1, one), (2, two)], [(1, one), (1, one), (2, two), (2, two), (None, one)]):
+        rows = chaining.passages(spark.createDataFrame(docs, schema)).collect()
+        assert len(rows) == 1 and set(map(tuple, rows)) == expected
+    rows = chaining.passages(spark.createDataFrame([(1, one), (1, two), (1, one), (3, one), (4, prose(rng, 50))], schema)).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 0, 100, 60, 160, 100), (3, 1, 0, 160, 0, 160, 160)]
+
+
+def test_hot_seeds_are_dealt_out_without_loss(spark, monkeypatch):
+    """Small packs, many ranges and a seed that is hot from two places on give the rows of one range."""
+    rng = random.Random(73)
+    line, passage = prose(rng, 45), prose(rng, 90)
+    docs = [(i, prose(rng, rng.randint(5, 60)) + " " + (passage if i % 3 else line) + " " + prose(rng, 30) + (" " + line if i % 5 == 0 else "")) for i in range(120)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, chaining.passages(table).collect()))
+    for name, value in (("PACK_SEEDS", 500), ("RANGE_SEEDS", 300), ("HOT_PLACES", 2)):
+        monkeypatch.setattr(chaining, name, value)
+    assert sorted(map(tuple, chaining.passages(table).collect())) == whole and len(whole) >= 119
+
+
 @pytest.mark.parametrize("rule", ["first", "most"])
 def test_section_tokens(spark, corpus, rule):
     rows = token_counts.count_sections(corpus, rule=rule).collect()
