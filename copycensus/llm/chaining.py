@@ -1,6 +1,6 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-Equal texts are one class. Seeds are runs of ``SEED`` words that are least by hash in a window of ``WINDOW`` places, so two
+Equal texts are one class, known by a 64-bit hash of the text. A word is 32 bits of its hash. Seeds are runs of ``SEED`` words that are least by hash in a window of ``WINDOW`` places, so two
 texts that share 11 words in a row share a seed: an edit every 12 words leaves one between any two edits. Every place of a
 shared seed is joined to the seed's first place in the shortest text of ``MIN_WORDS`` words or more that has it, never to all
 others; only the identical place is left out, so a passage that comes again in its own text and every later place of a passage
@@ -17,7 +17,8 @@ A text's matches are chained per partner: a chain's places rise in both texts, e
 matches costs ``GAP_COST`` per word, and the best predecessor comes from a Fenwick tree of prefix maxima. Chains are aligned
 with the words of both texts, through gaps by a longest common subsequence and outwards over single edits until the texts
 differ, and a passage counts with ``MIN_WORDS`` matched words. An alignment that comes to the end of the words at hand is
-repeated with ``MORE`` times as many around the chain.
+repeated with ``MORE`` times as many around the chain. Texts themselves are never shuffled, only the 32-bit words of texts
+that can hold a passage, once for both sides of an alignment.
 
 Shorter fragments of one text that touch each other and together have as many words count too, unless they lie within longer
 passages: copies of one passage may be represented by different texts in its parts.
@@ -48,7 +49,7 @@ MIN_WORDS = 40
 CONTEXT = 8
 GAP_COST = 1 / 96
 #: Words at hand on both sides of a chain, how many times as many where they are not enough, and equal words that must follow an edit.
-REACH = 256
+REACH = 24
 MORE = 16
 AFTER_EDIT = 3
 #: Seeds of one pack and of one range on average, and places of a seed in a pack from which on it is dealt out.
@@ -187,7 +188,8 @@ def steps_back(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def seed_places(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds of one text's word hashes, their places and ``steps_back``; short ones first."""
+    """Seeds of one text's words, their places and ``steps_back``; short ones first."""
+    words = words.astype(np.uint64)
     short, long = shingles(words, SEED), shingles(words, max(min_words, SEED))
     at, middle = least_places(short, WINDOW), least_places(long, CONTEXT)
     seed = np.concatenate([short[at], mix(long[middle] + np.uint64(1))])
@@ -233,6 +235,7 @@ def packed_seeds(texts: DataFrame, ranges: int, min_words: int = MIN_WORDS) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, seed, doc, place = [], [], [], [], []
         n = docs = 0
+        known: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             out = _packed(*map(np.concatenate, (ids, sizes, seed, doc, place)), ranges, hot)
@@ -245,8 +248,12 @@ def packed_seeds(texts: DataFrame, ranges: int, min_words: int = MIN_WORDS) -> D
                 hashes, _, _, bounds = word_hashes(part.column(1))
                 ids.append(part.column(0).to_numpy())
                 sizes.append(np.diff(bounds))
+                keys = ids[-1].tolist()
                 for i in np.flatnonzero(np.diff(bounds) >= min_words).tolist():  # a shorter text has no passage
-                    s, p, back = seed_places(hashes[bounds[i]:bounds[i + 1]], min_words)
+                    if keys[i] in known:  # a copy in the same pack
+                        continue
+                    known.add(keys[i])
+                    s, p, back = seed_places(_short(hashes[bounds[i]:bounds[i + 1]]), min_words)
                     single = back < 0
                     seed.append(s[single])
                     place.append(p[single])
@@ -256,6 +263,7 @@ def packed_seeds(texts: DataFrame, ranges: int, min_words: int = MIN_WORDS) -> D
                 if n >= pack:
                     yield flush()
                     n = docs = 0
+                    known.clear()
         if n:
             yield flush()
 
@@ -315,8 +323,22 @@ def matched_places(texts: DataFrame, n_words: int, min_words: int = MIN_WORDS) -
     return found.where("kind = 0").select("key", "matches").unionByName(hot).groupBy("key").agg(F.collect_list("matches").alias("matches"))
 
 
+def word_table(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key, words``: the words of each class of ``key, text`` with ``min_words`` or more, copies combined before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, _, _, bounds = word_hashes(part.column(1))
+                rows = np.flatnonzero(np.diff(bounds) >= min_words)
+                words = [_short(hashes[bounds[i]:bounds[i + 1]]).tobytes() for i in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(words, pa.binary())], names=["key", "words"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
+
+
 def _chained(texts: DataFrame, reach: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """Chains of each text with the words around them, from rows ``key, text, matches, again``.
+    """Chains of each text with the words around them, from rows ``key, words, matches, again``.
 
     ``again`` null: all chains; else the numbers of those to be cut out anew.
     """
@@ -324,40 +346,35 @@ def _chained(texts: DataFrame, reach: int, min_words: int = MIN_WORDS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, _, _, bounds = word_hashes(part.column(1))
-                keys, again = part.column(0).to_pylist(), part.column(3).to_pylist()
-                lists = part.column(2)
-                ends = np.concatenate([[0], np.cumsum([sum(len(x) for x in row) for row in lists])])
-                flat = lists.flatten().flatten()
-                partner, there, here = (flat.field(c).to_numpy().astype(np.int64) for c in ("partner", "there", "here"))
-                out = []
-                for row, key in enumerate(keys):
-                    own = hashes[bounds[row]:bounds[row + 1]]
-                    words = _short(own)
-                    _, place, back = seed_places(own, min_words)
-                    step = back >= 0
-                    who = np.concatenate([partner[ends[row]:ends[row + 1]], np.full(int(step.sum()), key)])
-                    x = np.concatenate([there[ends[row]:ends[row + 1]], back[step]])
-                    y = np.concatenate([here[ends[row]:ends[row + 1]], place[step]])
-                    found = np.unique(np.stack([who, x, y], axis=1), axis=0)
-                    cuts = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0], [True]]))
-                    number = 0
-                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        x, y = found[a:b, 1], found[a:b, 2]
-                        # Seeds that touch on one diagonal are one chain.
-                        line = (np.diff(x) == np.diff(y)).all() and (np.diff(x) <= SEED).all()
-                        for chain in [np.arange(b - a)] if line else chains(x.tolist(), y.tolist()):
-                            number += 1
-                            if again[row] is not None and number not in again[row]:
-                                continue
-                            low = max(0, int(y[chain[0]]) - reach)
-                            high = min(len(words), int(y[chain[-1]]) + SEED + reach)
-                            p, q, size = blocks(y[chain], x[chain], SEED)
-                            out.append((key, number, int(found[a, 0]), low, len(words) - high, words[low:high].tobytes(), p, q, size))
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+            lists, out = batch.column(2), []
+            ends = np.concatenate([[0], np.cumsum([sum(len(x) for x in row) for row in lists])])
+            flat = lists.flatten().flatten()
+            partner, there, here = (flat.field(c).to_numpy().astype(np.int64) for c in ("partner", "there", "here"))
+            for row, (key, packed, again) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
+                words, mine = np.frombuffer(packed, np.uint32), slice(ends[row], ends[row + 1])
+                found = np.unique(np.stack([partner[mine], there[mine], here[mine]], axis=1), axis=0)
+                # Steps of equal length begin with two places that match the same one or each other.
+                if (found[:, 0] == key).any() or (found[1:, :2] == found[:-1, :2]).all(axis=1).any():
+                    _, place, back = seed_places(words, min_words)
+                    step = np.flatnonzero(back >= 0)
+                    found = np.unique(np.concatenate([found, np.stack([np.full(len(step), key), back[step], place[step]], axis=1)]), axis=0)
+                cuts = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0], [True]]))
+                number = 0
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    x, y = found[a:b, 1], found[a:b, 2]
+                    # Seeds that touch on one diagonal are one chain.
+                    line = b - a == 1 or (np.diff(x) == np.diff(y)).all() and (np.diff(x) <= SEED).all()
+                    for chain in [np.arange(b - a)] if line else chains(x.tolist(), y.tolist()):
+                        number += 1
+                        if again is not None and number not in again:
+                            continue
+                        low = max(0, int(y[chain[0]]) - reach)
+                        high = min(len(words), int(y[chain[-1]]) + SEED + reach)
+                        p, q, size = blocks(y[chain], x[chain], SEED)
+                        out.append((key, number, int(found[a, 0]), low, len(words) - high, words[low:high].tobytes(), p, q, size))
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
 
     return texts.mapInArrow(
         run, "key long, chain int, partner long, low long, more long, words binary, here array<int>, there array<int>, size array<int>")
@@ -367,17 +384,14 @@ PASSAGE = ["start_word", "end_word", "partner_start", "partner_end", "matched_wo
 
 
 def _aligned(rows: DataFrame, reach: int) -> DataFrame:
-    """Passages from chains joined with the partner's text; ``short`` where the words at hand came to an end before the texts did."""
+    """Passages from chains joined with the partner's words ``theirs``; ``short`` where the words at hand came to an end before the texts did."""
     names = ["key", "chain", "partner", *PASSAGE, "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, theirs = None, None
         for batch in batches:
             out = []
-            for i, row in enumerate(batch.drop_columns(["text"]).to_pylist()):
-                if row["partner"] != last:
-                    last = row["partner"]
-                    theirs = _short(word_hashes(batch.column("text").slice(i, 1))[0])
+            for row in batch.to_pylist():
+                theirs = np.frombuffer(row["theirs"], np.uint32)
                 own = np.frombuffer(row["words"], np.uint32)
                 low = max(0, row["there"][0] - reach)
                 part = theirs[low:row["there"][-1] + row["size"][-1] + reach]
@@ -388,7 +402,7 @@ def _aligned(rows: DataFrame, reach: int) -> DataFrame:
                 near = AFTER_EDIT + 1
                 short = ((a <= near and row["low"] > 0) or (c <= near and low > 0)
                          or (b >= len(own) - near and row["more"] > 0) or (d >= len(part) - near and more > 0))
-                out.append((row["key"], row["chain"], last, a + row["low"], b + row["low"], c + low, d + low, matched, short))
+                out.append((row["key"], row["chain"], row["partner"], a + row["low"], b + row["low"], c + low, d + low, matched, short))
             if out:
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -396,19 +410,20 @@ def _aligned(rows: DataFrame, reach: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, chain int, partner long, " + ", ".join(f"{n} long" for n in PASSAGE) + ", short boolean")
 
 
-def _passages(texts: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
+def _passages(words: DataFrame, matches: DataFrame, min_words: int) -> DataFrame:
     """``key, partner`` and the passage of every chain, as long as the texts go on together."""
-    partners = texts.select(F.col("key").alias("partner"), "text")
-    own = texts.join(matches, "key").select("key", "text", "matches", F.lit(None).cast("array<int>").alias("again"))
+    theirs = words.select(F.col("key").alias("partner"), F.col("words").alias("theirs"))
+    own = words.join(matches, "key").select("key", "words", "matches", F.lit(None).cast("array<int>").alias("again"))
     done, reach = [], REACH
     while True:
-        chained = materialize(_chained(own, reach, min_words))
-        found = materialize(_aligned(chained.join(partners, "partner").select(*chained.columns, "text"), reach))
+        # One job, so that both joins read one shuffle of the words.
+        chained = _chained(own, reach, min_words)
+        found = materialize(_aligned(chained.join(theirs, "partner").select(*chained.columns, "theirs"), reach))
         done.append(found.where("NOT short"))
         again = materialize(found.where("short").groupBy("key").agg(F.collect_list("chain").alias("again")))
         if again.isEmpty():
             return reduce(DataFrame.unionByName, done).select("key", "partner", *PASSAGE)
-        own = texts.join(matches.join(again, "key"), "key").select("key", "text", "matches", "again")
+        own = words.join(matches.join(again, "key"), "key").select("key", "words", "matches", "again")
         reach *= MORE
 
 
@@ -462,30 +477,17 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     refers to the first. Word positions count from 0, ends are behind the last word.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text")).withColumns(
-        {"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(7), "text")})
+    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(
+        F.xxhash64(body).alias("key"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    pair = ["a", "b"]
-    members = materialize(rows.groupBy(*pair, "doc_id").agg(F.first(n_words).alias("n_words"), F.count(F.lit(1)).alias("n")))
-    classes = members.groupBy(*pair).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("ids")).where("ids > 1")
-    later = materialize(members.join(classes, pair).where("doc_id <> first_id").select(*pair, "doc_id", "first_id", "n_words"))
-    # Short lists as a rule, written so that the planner knows: rows that come again, and ids with several texts.
-    again = materialize(members.where("n > 1").select(*pair, "doc_id").join(later, [*pair, "doc_id"], "left_anti"))
-    skipped = materialize(later.select(*pair, "doc_id").unionByName(again))
-    several = materialize(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
-    one = rows.join(skipped, [*pair, "doc_id"], "left_anti").select(*pair, "doc_id", "text").unionByName(
-        rows.join(again, [*pair, "doc_id"], "left_semi").groupBy(*pair, "doc_id").agg(F.first("text").alias("text")))
-    # A class's key is its first id; where an id has several texts, a hash of both.
-    key = F.when(F.col("texts").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", *pair))
-    texts = one.join(several, "doc_id", "left").select(key.alias("key"), "text")
+    members = materialize(rows.groupBy("key", "doc_id").agg(F.first(n_words).alias("n_words")).where(F.col("n_words") >= min_words))
     total = members.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    found = _counted(_passages(texts, matched_places(texts, total, min_words), min_words), min_words)
-    named = members.join(several, "doc_id").select(key.alias("key"), "doc_id")
+    found = _counted(_passages(word_table(rows, min_words), matched_places(rows, total, min_words), min_words), min_words)
+    first = members.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     for c, k in (("doc_id", "key"), ("partner_id", "partner")):
-        found = found.join(named.select(F.col("key").alias(k), F.col("doc_id").alias("named")), k, "left").withColumn(
-            c, F.coalesce("named", k)).drop("named")
-    zero = F.lit(0).cast("long")
-    copies = later.where(F.col("n_words") >= min_words).select(
-        "doc_id", F.col("first_id").alias("partner_id"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("partner_start"),
-        F.col("n_words").alias("partner_end"), F.col("n_words").alias("matched_words"))
+        found = found.join(first.select(F.col("key").alias(k), F.col("first_id").alias(c)), k)
+    zero, end = F.lit(0).cast("long"), F.col("n_words")
+    copies = members.join(first, "key").where("doc_id <> first_id").select(
+        "doc_id", F.col("first_id").alias("partner_id"), zero.alias("start_word"), end.alias("end_word"), zero.alias("partner_start"),
+        end.alias("partner_end"), end.alias("matched_words"))
     return found.select("doc_id", "partner_id", *PASSAGE).unionByName(copies)
