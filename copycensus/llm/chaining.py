@@ -49,12 +49,13 @@ MIN_WORDS = 40
 CONTEXT = 8
 GAP_COST = 1 / 96
 #: Words at hand on both sides of a chain, how many times as many where they are not enough, and equal words that must follow an edit.
-REACH = 24
+REACH = 192
 MORE = 16
 AFTER_EDIT = 3
 #: Seeds of one pack and of one range on average, and places of a seed in a pack from which on it is dealt out.
 PACK_SEEDS = 1_000_000
 RANGE_SEEDS = 2_000_000
+LEAST_RANGES = 64
 HOT_PLACES = 8
 MATCHES = "array<struct<partner:long,there:int,here:int>>"
 
@@ -312,7 +313,7 @@ def _matched(group: pa.Table) -> pa.Table:
 
 def matched_places(texts: DataFrame, n_words: int, min_words: int = MIN_WORDS) -> DataFrame:
     """``key, matches`` (lists of lists) per text that has a place of a seed in common with another place; ``n_words`` sizes the ranges."""
-    ranges = int(n_words * 0.6) // RANGE_SEEDS + 1
+    ranges = max(LEAST_RANGES, int(n_words * 0.6) // RANGE_SEEDS + 1)
     found = materialize(packed_seeds(texts, ranges, min_words).groupBy("range").applyInArrow(
         _matched, f"kind int, key long, matches {MATCHES}, seed long, ids array<long>, places array<int>"))
     first = found.where("kind = 1").select("seed", F.get("ids", F.lit(0)).alias("partner"), F.get("places", F.lit(0)).alias("there"))
