@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus.functions.identity import MATCH_METHODS
 from copycensus.operators import dedup, verify
 from copycensus.operators import value_table as vt
+from copycensus.operators.splits import fail_if_any
 from copycensus.session import materialize
 from copycensus.sources import folders
 from copycensus.sources.folders import path_exists
@@ -47,11 +50,23 @@ def audit_metadata(rows: DataFrame, groups: DataFrame, classes: DataFrame, minim
 
 def run_audit(
     spark: SparkSession, rows: DataFrame, output: str, train: str = "train", evaluation: str = "test",
-    minimum_groups: int = 50, seed: int = 1403, fmt: str = "parquet",
+    minimum_groups: int = 50, seed: int = 1403, fmt: str = "parquet", proofs: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Audit a hashed sample table into a new folder; returns the metadata row."""
+    """Audit a hashed sample table into a new folder; returns the metadata row.
+
+    ``proofs`` names the payload column of each digest: rows of equal digest are compared by payload before anything is
+    counted, groups that differ fail the audit, and the numbers of groups and repeats compared join the metadata. Payload columns
+    are not written.
+    """
     if path_exists(spark, output):
         raise FileExistsError(f"Output already exists: {output}")
+    checks = None
+    if proofs:
+        checks = materialize(reduce(DataFrame.unionByName, [
+            dedup.verify_exact_groups(rows, key, payload).select(F.lit(key).alias("identity"), "*") for key, payload in proofs.items()
+        ]))
+        fail_if_any(checks.where("groups_that_differ > 0"), "Equal digests with different payloads", "identity")
+        rows = rows.drop(*proofs.values())
     rows = materialize(rows)
     methods = list(MATCH_METHODS)
     values = materialize(vt.value_table(rows, methods, vt.split_counts(train, evaluation)))
@@ -73,7 +88,15 @@ def run_audit(
         tables["original_cross_split_overlap"] = overlap
     for name, table in tables.items():
         write_table(table, f"{output}/{name}", fmt=fmt)
-    metadata = materialize(audit_metadata(rows, groups, classes, minimum_groups, seed))
+    metadata = audit_metadata(rows, groups, classes, minimum_groups, seed)
+    if checks is not None:
+        write_table(checks, f"{output}/exact_group_checks", fmt=fmt)
+        # One row per digest.
+        counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("identity", "verified_repeats"))))
+        compared = checks.groupBy().agg(counts.alias("verified_repeats"), F.sum("repeated_groups").alias("verified_groups"))
+        one = F.lit(1).alias("_one")
+        metadata = metadata.select("*", one).join(compared.select("*", one), "_one").drop("_one")
+    metadata = materialize(metadata)
     write_table(metadata, f"{output}/run_metadata", fmt="json")
     lines = materialize(output_checksums(spark, output))
     lines.orderBy("name").select("line").write.text(f"{output}/checksums")

@@ -224,12 +224,44 @@ def condition_summary_select() -> str:
 
 
 RUNS = "runs AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', {s}, {k})" for c, k in (("full", 1), ("random_control", 2), ("clean_exact", 3)) for s in SEEDS
-) + ") r(condition, seed, k))"
-PRED = RUNS + f""",
-pred AS (SELECT condition, CAST(seed AS BIGINT) AS seed, CAST(vec_id AS VARCHAR) AS sample_id, CAST(label AS VARCHAR) AS true_label,
-  CAST(CASE WHEN instr('0123456789abcdef', substr({rank("' || seed || '", "CAST(vec_id AS VARCHAR)").replace("chr(0) || CAST", "chr(0) || condition || chr(0) || CAST")}, 1, 1)) <= k
-    THEN (label + 1) % 10 ELSE label END AS VARCHAR) AS predicted_label FROM embeddings CROSS JOIN runs)"""
+    f"('{c}', {s})" for c in ("full", "random_control", "clean_exact") for s in SEEDS
+) + ") r(condition, seed))"
+EMB = """e0 AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, CAST(label AS VARCHAR) AS class_label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS signal FROM embeddings)"""
+EMB_MARKED = ",\n".join([
+    EMB,
+    """e1 AS (SELECT *, list_transform(range(0, 8), lambda r: list_sum(signal[8*r+1:8*r+8]) / 8) AS means FROM e0),
+e2 AS (SELECT sample_id, class_label, signal AS features, array_to_string(list_transform(means, lambda x: CASE WHEN x > list_sum(means) / 8 THEN '1' ELSE '0' END), '') AS row_signature FROM e1)""",
+    split("e2"), paired("row_signature", ["evaluation"]),
+])
+EMB_COND = EMB_MARKED + ",\n" + """cond AS (SELECT 'full' AS condition, * FROM pc UNION ALL SELECT 'clean_exact', * FROM pc WHERE in_clean UNION ALL SELECT 'random_control', * FROM pc WHERE in_control),
+ex AS (SELECT condition, class_label, generate_subscripts(features, 1) AS i, unnest(features) AS x FROM cond WHERE "partition" = 'fitting'),
+cen AS (SELECT condition, class_label, list(mx ORDER BY i) AS centre FROM (SELECT condition, class_label, i, avg(x) AS mx FROM ex GROUP BY ALL) GROUP BY ALL),
+dist AS (SELECT c.condition, c.sample_id, c.class_label AS true_label, n.class_label AS label,
+  round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (c.features[i] - n.centre[i]) * (c.features[i] - n.centre[i])))), 6) AS d
+  FROM cond c JOIN cen n ON n.condition = c.condition WHERE c."partition" = 'evaluation'),
+best AS (SELECT condition, sample_id, true_label, arg_min(label, (d, label)) AS predicted_label, min(d) AS distance, sum(exp(-d)) AS w,
+  -ln(sum(CASE WHEN label = true_label THEN exp(-d) END) / sum(exp(-d))) AS loss FROM dist GROUP BY ALL)"""
+
+#: Centroids of every run and class from whole millionths; the shrinkage with the least development loss scores the evaluation rows.
+STUDY = RUNS + ",\n" + EMB_MARKED + f""",
+fx AS MATERIALIZED (SELECT sample_id, class_label, "partition", in_clean, in_control, list_transform(features, lambda x: CAST(floor(x * 1000000) AS BIGINT)) AS v FROM pc),
+mem AS (SELECT r.condition, r.seed, f.class_label, f.v FROM fx f, runs r WHERE "partition" = 'fitting'
+  AND (r.condition = 'full' OR (r.condition = 'clean_exact' AND in_clean) OR (r.condition = 'random_control' AND in_control))
+  AND substr(sha256(CAST(r.seed AS VARCHAR) || chr(0) || sample_id), 1, 1) < 'e'),
+sm AS (SELECT condition, seed, class_label, i, sum(x) AS s, count(*) AS n FROM (SELECT condition, seed, class_label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM mem) GROUP BY ALL),
+tot AS (SELECT condition, seed, i, sum(s) AS s, sum(n) AS n FROM sm GROUP BY ALL),
+cen AS MATERIALIZED (SELECT condition, seed, lam, class_label, list(x ORDER BY i) AS c FROM (
+  SELECT sm.condition, sm.seed, l.lam, sm.class_label, sm.i, ((1 - lam) * (sm.s / sm.n) + lam * (tot.s / tot.n)) / 1000000 AS x
+  FROM sm JOIN tot ON sm.condition = tot.condition AND sm.seed = tot.seed AND sm.i = tot.i, (SELECT * FROM (VALUES (CAST(0 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) l(lam)) l) GROUP BY ALL),
+dist AS MATERIALIZED (SELECT st.study, c.condition, c.seed, c.lam, f.sample_id, f."partition" AS part, f.class_label AS true_label, c.class_label AS label,
+  round(sqrt(list_sum(list_transform(range(1, st.b + 1), lambda i: (f.v[i] / 1000000 - c.c[i]) * (f.v[i] / 1000000 - c.c[i])))), 6) AS d
+  FROM fx f, cen c, (SELECT * FROM (VALUES ('all', 64), ('half', 32)) st(study, b)) st WHERE f."partition" <> 'fitting'),
+fit AS (SELECT study, condition, seed, lam, round(avg(loss), 6) AS loss FROM (
+  SELECT study, condition, seed, lam, sample_id, min(d) FILTER (label = true_label) + ln(sum(exp(-d))) AS loss FROM dist WHERE part = 'development' GROUP BY ALL) GROUP BY ALL),
+chosen AS (SELECT study, condition, seed, arg_min(lam, (loss, lam)) AS lam FROM fit GROUP BY ALL),
+scored AS MATERIALIZED (SELECT d.study, d.condition, CAST(d.seed AS BIGINT) AS seed, sample_id, true_label, arg_min(label, (d, label)) AS predicted_label, d.lam, min(d) AS distance
+  FROM dist d JOIN chosen c ON d.study = c.study AND d.condition = c.condition AND d.seed = c.seed AND d.lam = c.lam WHERE part = 'evaluation' GROUP BY ALL)"""
+PRED = STUDY + ",\npred AS MATERIALIZED (SELECT * FROM scored WHERE study = 'all')"
 CLASSES = "classes AS (SELECT * FROM (VALUES " + ", ".join(f"({q(c)})" for c in LABELS) + ") c(class_label))"
 CELLS = """cells AS (SELECT r.condition, r.seed, a.class_label AS true_label, b.class_label AS predicted_label,
   (SELECT count(*) FROM pred p WHERE p.condition = r.condition AND p.seed = r.seed AND p.true_label = a.class_label AND p.predicted_label = b.class_label) AS n
@@ -258,22 +290,6 @@ def contrast_select(t: str) -> str:
   FROM df GROUP BY contrast, metric"""
 
 
-EMB = """e0 AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, CAST(label AS VARCHAR) AS class_label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS signal FROM embeddings)"""
-EMB_COND = ",\n".join([
-    EMB,
-    """e1 AS (SELECT *, list_transform(range(0, 8), lambda r: list_sum(signal[8*r+1:8*r+8]) / 8) AS means FROM e0),
-e2 AS (SELECT sample_id, class_label, signal AS features, array_to_string(list_transform(means, lambda x: CASE WHEN x > list_sum(means) / 8 THEN '1' ELSE '0' END), '') AS row_signature FROM e1)""",
-    split("e2"), paired("row_signature", ["evaluation"]),
-    """cond AS (SELECT 'full' AS condition, * FROM pc UNION ALL SELECT 'clean_exact', * FROM pc WHERE in_clean UNION ALL SELECT 'random_control', * FROM pc WHERE in_control),
-ex AS (SELECT condition, class_label, generate_subscripts(features, 1) AS i, unnest(features) AS x FROM cond WHERE "partition" = 'fitting'),
-cen AS (SELECT condition, class_label, list(mx ORDER BY i) AS centre FROM (SELECT condition, class_label, i, avg(x) AS mx FROM ex GROUP BY ALL) GROUP BY ALL),
-dist AS (SELECT c.condition, c.sample_id, c.class_label AS true_label, n.class_label AS label,
-  round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (c.features[i] - n.centre[i]) * (c.features[i] - n.centre[i])))), 6) AS d
-  FROM cond c JOIN cen n ON n.condition = c.condition WHERE c."partition" = 'evaluation'),
-best AS (SELECT condition, sample_id, true_label, arg_min(label, (d, label)) AS predicted_label, min(d) AS distance, sum(exp(-d)) AS w,
-  -ln(sum(CASE WHEN label = true_label THEN exp(-d) END) / sum(exp(-d))) AS loss FROM dist GROUP BY ALL)""",
-])
-
 HIST = """hist AS (SELECT event_type AS recipe_name, CAST(day(ts) AS BIGINT) AS epoch, avg(value) AS loss FROM events GROUP BY ALL)"""
 TUNE = """tune AS (SELECT event_type AS recipe_name, hour(ts) AS seed, avg(value) AS loss, avg(CASE WHEN value < 10 THEN 1.0 ELSE 0.0 END) AS acc FROM events GROUP BY ALL),
 rec AS (SELECT recipe_name, avg(loss) AS mean_loss, avg(acc) AS mean_acc, count(*) AS runs FROM tune GROUP BY ALL)"""
@@ -537,6 +553,8 @@ SELECT {big('(SELECT count(*) FROM f WHERE sample_id NOT IN (SELECT sample_id FR
   {big("count(*) FILTER (true_label NOT IN (SELECT CAST(label AS VARCHAR) FROM embeddings))", 'unknown_label')}, {big('count(*) FILTER (top <> predicted_label)', 'not_arg_max')}
   FROM best JOIN (SELECT condition, sample_id, count(*) AS k, arg_max(label, (exp(-d), -CAST(label AS INTEGER))) AS top FROM dist GROUP BY ALL) USING (condition, sample_id) GROUP BY condition""",
     "mean_log_loss": with_(EMB_COND) + f"SELECT condition, {real('avg(loss)', 'mean_log_loss')}, {big('count(*)', 'rows')} FROM best GROUP BY condition",
+    "study_predictions": with_(STUDY) + f"SELECT study, condition, seed, sample_id, true_label, predicted_label, lam AS shrinkage, {real('distance', 'distance')} FROM scored",
+    "study_selection": with_(STUDY) + f"SELECT study, f.condition, CAST(f.seed AS BIGINT) AS seed, f.lam AS shrinkage, {real('loss', 'development_loss')}, CAST(f.lam = c.lam AS BIGINT) AS chosen FROM fit f JOIN chosen c USING (study, condition, seed)",
     "confusion_matrix": with_(PRED, CLASSES, CELLS) + f"SELECT condition, CAST(seed AS BIGINT) AS seed, true_label, predicted_label, {big('n', 'n')} FROM cells",
     "confusion_wide": with_(PRED, CLASSES, CELLS) + "SELECT condition, CAST(seed AS BIGINT) AS seed, true_label AS true_class, " + ", ".join(
         f"CAST(sum(n) FILTER (predicted_label = {q(c)}) AS BIGINT) AS \"{c}\"" for c in LABELS) + " FROM cells GROUP BY ALL",

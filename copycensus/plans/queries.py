@@ -208,7 +208,7 @@ def safe_pool(spark, sf):
 @query
 def pure_representatives(spark, sf):
     rows, groups = doc_groups(spark, sf, "source")
-    eligible = dedup.eligible_classes(rows, groups, 10).where("eligible = 1").select("class_label")
+    eligible = materialize(dedup.eligible_classes(rows, groups, 10).where("eligible = 1").select("class_label"))
     pure = dedup.annotate(rows, F.col("hash_consensus"), groups).where("group_class_count = 1 and is_representative")
     return pure.join(eligible, "class_label", "left_semi").select(*DEDUP_COLUMNS)
 
@@ -508,6 +508,16 @@ def nearest_centroid_predictions(spark, sf):
     return found.select("condition", "sample_id", "true_label", "predicted_label", "distance")
 
 
+@query
+def study_predictions(spark, sf):
+    return st.study_runs(spark, sf).predictions(st.RUN)
+
+
+@query
+def study_selection(spark, sf):
+    return st.study_runs(spark, sf).selection_table(st.RUN)
+
+
 @query
 def prediction_violations(spark, sf):
     found = learn.nearest_centroid(st.embedding_conditions(spark, sf), 64)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus.operators import conditions as cond
-from copycensus.operators import dedup, pairs, scores, splits
+from copycensus.operators import dedup, learn, pairs, scores, splits
 from copycensus.sources import samples
 from copycensus.functions.identity import digest
 from copycensus.session import materialize
@@ -89,25 +89,19 @@ def four_conditions(spark: SparkSession, sf: str, minimum: int = 100) -> DataFra
 FOUR = ["full_all", "full", "clean_consensus", "random_subsample"]
 
 
+#: Feature views of the embeddings: first feature and the one behind the last.
+VIEWS = {"all": (0, 64), "half": (0, 32)}
+
+
+def study_runs(spark: SparkSession, sf: str) -> learn.BatchedRuns:
+    """Nearest-centroid runs of the embeddings: three conditions, five seeds, two views."""
+    conditions = {"full": F.lit(True), "clean_exact": F.col("in_clean"), "random_control": F.col("in_control")}
+    return learn.batched_runs(embedding_marks(spark, sf), conditions, SEEDS, LABELS, 64, VIEWS)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings by condition and seed, with a hash-chosen share of wrong labels."""
-    flips = {"full": 1, "random_control": 2, "clean_exact": 3}
-    runs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("condition"), F.lit(s).cast("long").alias("seed"), F.lit(k).alias("k"))
-        for c, k in flips.items() for s in SEEDS
-    ])).alias("run")
-    rows = samples.spread(samples.table(spark, sf, "embeddings")).select("vec_id", "label", runs).select(
-        "vec_id", "label", "run.*"
-    )
-    h = F.sha2(F.concat(F.col("seed").cast("string"), F.lit("\0"), "condition", F.lit("\0"), F.col("vec_id").cast("string")), 256)
-    wrong = F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1)) <= F.col("k")
-    return rows.select(
-        "condition", "seed", F.col("vec_id").cast("string").alias("sample_id"),
-        F.col("label").cast("string").alias("true_label"),
-        F.when(wrong, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")).cast("string").alias(
-            "predicted_label"
-        ),
-    )
+    """Predictions of the evaluation rows by condition and seed, on all features."""
+    return study_runs(spark, sf).predictions(RUN).where("study = 'all'").select(*RUN, "sample_id", "true_label", "predicted_label")
 
 
 RUN = ["condition", "seed"]
@@ -124,8 +118,8 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def embedding_conditions(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings split 70/20/10, with the conditions of their row-mean signature."""
+def embedding_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings split 70/20/10, marked with the conditions of their row-mean signature."""
     rows = samples.spread(samples.table(spark, sf, "embeddings")).select(
         F.col("vec_id").cast("string").alias("sample_id"), F.col("label").cast("string").alias("class_label"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"),
@@ -142,10 +136,13 @@ def embedding_conditions(spark: SparkSession, sf: str) -> DataFrame:
         F.transform("means", lambda m: F.when(m > F.col("centre"), "1").otherwise("0")), ""
     )).drop("means", "centre")
     split = splits.stratified_split(materialize(rows), seed=SPLIT_SEED)
-    marked = cond.paired_conditions(
+    return cond.paired_conditions(
         split, "row_signature", held_out=("evaluation",), seed=REMOVAL_SEED, require_exposure=False
     )
-    return materialize(cond.condition_rows(marked, ["sample_id", "class_label", "partition", "features"]))
+
+
+def embedding_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(cond.condition_rows(embedding_marks(spark, sf), ["sample_id", "class_label", "partition", "features"]))
 
 
 def pair_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -351,3 +351,63 @@ def test_rank_and_mask(spark):
     left = spark.createDataFrame([("k", "1", "2", "3")], ["k", "ahash", "dhash", "phash"])
     right = spark.createDataFrame([("k", "1", "x", "3")], ["k", "ahash", "dhash", "phash"])
     assert left.alias("l").join(right.alias("r"), "k").select(hash_mask("l", "r")).first()[0] == 5
+
+
+def test_batched_runs_fit_and_choose_like_one_run_at_a_time(spark):
+    """Against plain averages per run; a class without fitting rows and a run that leaves out rows by a flag."""
+    import hashlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from copycensus.operators import learn
+
+    rng = np.random.default_rng(4)
+    parts = ["fitting", "fitting", "development", "evaluation"]
+    rows = [(f"s{i}", "abc"[i % 3] if i < 110 else "d", parts[i % 4] if i < 110 else "evaluation", bool(i % 5),
+             [float(x) for x in rng.normal(i % 3, 2, 6)]) for i in range(114)]
+    table = spark.createDataFrame(rows, "sample_id string, class_label string, partition string, flag boolean, features array<double>").repartition(3)
+    made = learn.batched_runs(table, {"all": F.lit(True), "some": F.col("flag")}, [3, 7], list("abcd"), 6, {"wide": (0, 6), "narrow": (2, 4)})
+    found = {(r["study"], r["condition"], r["seed"], r["sample_id"]): (r["predicted_label"], r["shrinkage"], r["distance"]) for r in made.predictions(["condition", "seed"]).collect()}
+    assert len(found) == 2 * 2 * 2 * sum(r[2] == "evaluation" for r in rows)
+    fixed = {r[0]: np.floor(np.array(r[4]) * 1e6) / 1e6 for r in rows}
+    for study, (a, b) in {"wide": (0, 6), "narrow": (2, 4)}.items():
+        for condition in ("all", "some"):
+            for seed in (3, 7):
+                used = [r for r in rows if r[2] == "fitting" and (condition == "all" or r[3]) and hashlib.sha256(f"{seed}\0{r[0]}".encode()).hexdigest()[0] < "e"]
+                whole = np.mean([fixed[r[0]] for r in used], axis=0)
+                best = None
+                for s in (0.0, 0.5):
+                    centre = {c: (1 - s) * np.mean([fixed[r[0]] for r in used if r[1] == c], axis=0) + s * whole for c in "abc"}
+                    far = lambda r: {c: round(float(np.linalg.norm(fixed[r[0]][a:b] - m[a:b])), 6) for c, m in centre.items()}  # noqa: B023, E731
+                    losses = [far(r)[r[1]] + np.log(sum(np.exp(-d) for d in far(r).values())) for r in rows if r[2] == "development"]
+                    scored = {r[0]: min((d, c) for c, d in far(r).items()) for r in rows if r[2] == "evaluation"}
+                    if best is None or round(float(np.mean(losses)), 6) < best[0]:
+                        best = (round(float(np.mean(losses)), 6), s, scored)
+                for key, (d, c) in best[2].items():
+                    label, shrinkage, distance = found[study, condition, seed, key]
+                    assert (label, shrinkage) == (c, best[1]) and abs(distance - d) < 2e-6
+
+
+def test_audit_compares_payloads_of_equal_digests(spark, tmp_path):
+    from copycensus.plans.audit import run_audit
+    from copycensus.sources import samples
+
+    docs = samples.documents(spark, "/root/testdata/sf0.001").join(
+        samples.documents_with_text(spark, "/root/testdata/sf0.001").select("sample_id", "text", "canonical"), "sample_id")
+    docs = docs.withColumn("original_split", samples.F.when(samples.F.length("sample_id") > 2, "train").otherwise("test"))
+    meta = run_audit(spark, docs, str(tmp_path / "good"), minimum_groups=2, proofs={"file_sha256": "text", "rgb_sha256": "canonical"}).first()
+    checks = {r["identity"]: r["verified_repeats"] for r in spark.read.parquet(str(tmp_path / "good" / "exact_group_checks")).collect()}
+    assert meta["verified_repeats"] == checks and checks["rgb_sha256"] >= checks["file_sha256"] > 0
+    assert "text" not in spark.read.parquet(str(tmp_path / "good" / "hashes")).columns
+    with pytest.raises(ValueError, match="different payloads"):
+        run_audit(spark, docs.withColumn("text", samples.F.col("sample_id")), str(tmp_path / "bad"), minimum_groups=2, proofs={"file_sha256": "text"})
+
+
+def test_a_missing_third_party_module_leaves_the_core_queries():
+    import subprocess
+    import sys as system
+
+    code = ("import sys; sys.modules['sentencepiece'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; "
+            "from copycensus.plans.queries import REGISTRY; assert set(e.queries()) == set(REGISTRY), 'queries'; assert len(e.oracle_sql()) >= 107")
+    subprocess.run([system.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1]))
