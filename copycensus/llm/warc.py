@@ -226,13 +226,24 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
     return files.repartition(max(1, min(files.count(), 10_000)), "path").mapInArrow(run, schema)
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with its file system: a path without a scheme lies on the session's default one, as it does for Spark's writers.
+
+    The executors' own disks are refused outside local mode, unless the setting names them as a shared mount.
+    """
+    if "://" in folder or folder.startswith("file:"):
+        return folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} has no scheme and the default file system is local: name the shared one, as in hdfs:// or file://.")
+    return ("file://" if root.startswith("file:") else root.rstrip("/")) + folder
+
+
 def round_trip(pages: DataFrame, record_id: str = "page_id", payload: str = "html", least_bytes: int = 0,
                chunk: int = CHUNK) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back as the chunk table."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = f"file://{folder}"
+    folder = f"{qualified(spark, shared_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(chunked(with_roles(pages, record_id, payload, least_bytes), chunk), folder)
     return read_archives(spark, manifest, folder, chunk)
 
