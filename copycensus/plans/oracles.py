@@ -29,7 +29,8 @@ def big(expression: str, name: str) -> str:
 
 
 def real(expression: str, name: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) AS {name}"
+    # The sum makes a zero that came from below a plain one.
+    return f"round(CAST({expression} AS DOUBLE), 6) + 0.0::DOUBLE AS {name}"
 
 
 def rank(seed: int | str, ident: str = "sample_id", purpose: str = "") -> str:
