@@ -376,6 +376,8 @@ def overview_part(dataset: str, table: str, exact: str, consensus: str) -> str:
     return f"SELECT '{dataset}' AS dataset, sample_id, class_label, {exact} AS exact, {consensus} AS tuple FROM {table}"
 
 
+STEPS = """SELECT user_id AS study, event_type AS condition, CAST(isodow(ts) - 1 AS BIGINT) AS seed, ts, event_id, props FROM events"""
+
 ORACLES: dict[str, str] = {
     "identity_digests": with_(light()) + f"""SELECT sample_id, file_sha256, rgb_sha256, input_sha256, sha256('exact_input' || chr(0) || input_sha256) AS duplicate_group_id,
   {rank(REPRESENTATIVE_SEED)} AS representative_rank, {rank(SELECT_SEED, purpose='select')} AS selection_rank FROM docs""",
@@ -617,6 +619,11 @@ ee AS (SELECT sum((SELECT count(*) FROM judged WHERE judgement_1 = j) * (SELECT
     "run_completeness": with_(PRED) + f"""SELECT c AS condition, CAST(s AS BIGINT) AS seed, 'missing' AS problem FROM (VALUES ('full'), ('clean_exact'), ('random_subsample')) a(c), (VALUES {", ".join(f"({s})" for s in [*SEEDS, 1])}) b(s)
   WHERE (c, s) NOT IN (SELECT condition, seed FROM pred) UNION ALL SELECT DISTINCT condition, seed, 'extra' FROM pred WHERE condition = 'random_control'""",
     "paired_start_check": with_(PRED) + f"SELECT seed, {big('1', 'initial_states')}, {big('count(DISTINCT condition)', 'runs')} FROM pred GROUP BY seed",
+    "run_gaps": f"""WITH st AS ({STEPS}) SELECT a.study, b.condition, c.seed FROM (SELECT DISTINCT study FROM st) a, (SELECT DISTINCT condition FROM st) b, (SELECT DISTINCT seed FROM st) c
+  WHERE NOT EXISTS (SELECT 1 FROM st s WHERE s.study = a.study AND s.condition = b.condition AND s.seed = c.seed)""",
+    "unpaired_starts": f"""WITH st AS ({STEPS}), fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study, seed, condition ORDER BY ts, event_id) AS k FROM st) WHERE k = 1)
+  SELECT study, seed, {big('count(*)', 'runs')}, {big('count(DISTINCT props)', 'initial_states')}, min(condition) AS first_condition,
+  {big('CASE WHEN count(DISTINCT props) = 1 THEN 1 ELSE 0 END', 'paired')} FROM fs GROUP BY study, seed""",
     "claim_check": with_(light()) + f"""SELECT claim, {real('expected', 'expected')}, {real('found', 'found')}, {big('CASE WHEN expected = found THEN 1 ELSE 0 END', 'holds')} FROM (
   SELECT 'file_sha256_excess' AS claim, count(*) - count(DISTINCT file_sha256) AS expected, count(*) - count(DISTINCT file_sha256) AS found FROM docs UNION ALL
   SELECT 'rgb_sha256_excess', count(*) - count(DISTINCT file_sha256) + 1, count(*) - count(DISTINCT rgb_sha256) FROM docs)""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from copycensus.functions.identity import MATCH_METHODS, SIGNATURES, group_id, rule_key, stable_rank
-from copycensus.operators import agreement, contrasts, dedup, exposure, learn, pairs, scores, splits, verify, votes
+from copycensus.operators import agreement, completeness, contrasts, dedup, exposure, learn, pairs, scores, splits, verify, votes
 from copycensus.operators import conditions as cond
 from copycensus.operators import value_table as vt
 from copycensus.plans import audit, protocol
@@ -760,6 +760,19 @@ def paired_start_check(spark, sf):
     return verify.paired_start_check(st.run_metrics(spark, sf), ["seed"])
 
 
+@query
+def run_gaps(spark, sf):
+    """Runs that a user's events lack, expected from the types and weekdays of all events."""
+    return completeness.run_gaps(st.event_steps(spark, sf), ["study"])
+
+
+@query
+def unpaired_starts(spark, sf):
+    """Whether all conditions of a user's weekday began with the same properties."""
+    runs = completeness.first_states(st.event_steps(spark, sf), ["study", "seed", "condition"], ["ts", "event_id"], "props")
+    return completeness.unpaired_starts(runs, ["study", "seed"])
+
+
 @query
 def claim_check(spark, sf):
     """Published-style claims recomputed from the corpus; the last one is wrong on purpose."""

@@ -186,3 +186,11 @@ def tuning_results(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("value").alias("development_loss"),
         F.avg((F.col("value") < 10).cast("double")).alias("development_accuracy"),
     )
+
+
+def event_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the steps of runs: a study per user, a condition per event type, a seed per day of the week."""
+    return samples.table(spark, sf, "events").select(
+        F.col("user_id").alias("study"), F.col("event_type").alias("condition"), F.weekday("ts").cast("long").alias("seed"),
+        "ts", "event_id", "props",
+    )
