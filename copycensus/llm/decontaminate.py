@@ -19,9 +19,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,6 +152,18 @@ class Items:
         return max(((self.similarity(item, words[s:s + n]), -s) for s in starts), default=(0.0, 0))
 
 
+#: The pass that this worker searches; one at most.
+_held: dict[str, Items] = {}
+
+
+def indexed(name: str, shared: Broadcast) -> Items:
+    """A pass's items, indexed once per worker and not once per task; the pass held before is let go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Items([i for i, _ in shared.value], [t for _, t in shared.value])
+    return _held[name]
+
+
 def _windows(begin: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and stop words of all windows of a size: one per stride and one at each text's end."""
     room = end - begin - size
@@ -219,11 +233,12 @@ def contaminated(
                        ("start_word", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int64())])
     found = spark.createDataFrame([], schema)
     for rows in item_passes(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(rows)
+        shared, name = spark.sparkContext.broadcast(rows), uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items([i for i, _ in shared.value], [t for _, t in shared.value])
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            own = None
             for batch in batches:
+                own = own or indexed(name, shared)
                 for part in slices(batch, "text"):
                     hashes, _, _, bounds = word_hashes(part.column(1))
                     ids, out = part.column(0).to_pylist(), []
@@ -233,7 +248,9 @@ def contaminated(
                     if out:
                         yield pa.RecordBatch.from_pylist(out, arrow)
 
-        found = found.union(kept.mapInArrow(run, schema))
+        # Written pass by pass, so that the driver and the executors hold one pass at a time.
+        found = found.union(materialize(kept.mapInArrow(run, schema)))
+        shared.unpersist()
     return found
 
 
