@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copycensus.operators.ranking import ORDERED_ROWS, rank_cuts
 from copycensus.operators.splits import (
-    PARTITIONS, count_parity, cut_targets, fail_if_any, first_ranked, rank_order,
+    PARTITIONS, count_parity, cut_targets, fail_if_any, first_ranked, rank_order, shares,
 )
-from copycensus.session import join_groups, materialize
+from copycensus.session import join_groups, join_safe, materialize
 
 
 def paired_conditions(
@@ -124,3 +125,66 @@ def matched_subsample(
 
 def require_parity(control: DataFrame, clean: DataFrame) -> None:
     fail_if_any(count_parity(control, clean, ["class_label", "partition"]), "Class counts differ")
+
+
+#: The conditions of ``group_conditions``, in order.
+GROUP_CONDITIONS = ("full_all", "full", "clean_consensus", "random_subsample")
+
+
+def group_conditions(
+    rows: DataFrame, groups: DataFrame, minimum: int, seeds: tuple[int, int, int] = (1401, 1404, 1405),
+    fit: float = 0.7, development: float = 0.2, ordered: int = ORDERED_ROWS,
+) -> DataFrame:
+    """``rows`` with one column per condition: the row's partition in it, or null where it is no member.
+
+    ``full_all`` splits every row; ``clean_consensus`` the representatives of pure ``groups`` (of ``dedup.duplicate_groups``),
+    in classes of at least ``minimum`` of them; ``full`` is ``full_all`` in those classes; ``random_subsample`` takes as many
+    individual rows of each as are clean, and splits them alike. ``seeds`` are those of both splits, of the selection and of
+    the subsample's split.
+
+    No row is copied: the cuts of all ranks come from two rounds of ``rank_cuts``, as the subsample's split ranks what the
+    first round selects. Rows of a null class belong to ``full_all`` only, rows without an id to nothing. A class too small
+    for three partitions is an error.
+    """
+    split_seed, selection_seed, resplit_seed = seeds
+    split, select, resplit = rank_order(split_seed), rank_order(selection_seed, "select"), rank_order(resplit_seed, "split")
+    label = F.get("classes", F.lit(0))
+    pure = groups.where((F.col("group_class_count") == 1) & label.isNotNull()).select(
+        label.alias("class_label"), F.col("representative_sample_id").alias("sample_id")
+    )
+    n_all, n_clean, n_split = F.col("n_all"), F.col("n_clean"), F.col("n_split")
+    eligible = (n_clean >= minimum) & F.col("class_label").isNotNull()
+    whole = _checked(n_all, *shares(n_all, fit, development))
+    clean = _checked(n_clean, *shares(n_clean, fit, development, clamped=True))
+    taken = shares(n_split, fit, development, clamped=True)
+    first = rank_cuts([(rows, {"all": split, "select": select}), (pure, {"clean": split})], ["class_label"], {
+        "all_fit": ("all", whole[0]), "all_dev": ("all", whole[1]),
+        "clean_fit": ("clean", F.when(eligible, clean[0])), "clean_dev": ("clean", F.when(eligible, clean[1])),
+        "select": ("select", F.when(eligible, n_clean)),
+    }, ordered=ordered)
+    # Ids occur once on both sides, so this join has no hot key.
+    clean_ids = pure.select(F.col("sample_id").alias("_clean_id"))
+    marked = join_safe(rows, first, ["class_label"], "left")
+    chosen = marked.where(eligible & (select <= F.col("cut_select")))
+    second = rank_cuts([(chosen.select(*rows.columns), {"split": resplit})], ["class_label"], {
+        "sub_fit": ("split", taken[0]), "sub_dev": ("split", taken[0] + taken[1]),
+    }, ordered=ordered)
+    marked = join_safe(marked, second, ["class_label"], "left")
+    marked = marked.join(clean_ids, F.col("sample_id") == F.col("_clean_id"), "left")
+    everything = F.when(split.isNotNull(), _partition(split, "all"))
+    return marked.select(
+        *rows.columns, everything.alias("full_all"), F.when(eligible, everything).alias("full"),
+        F.when(eligible & F.col("_clean_id").isNotNull(), _partition(split, "clean")).alias("clean_consensus"),
+        F.when(eligible & (select <= F.col("cut_select")), _partition(resplit, "sub")).alias("random_subsample"),
+    )
+
+
+def _checked(n: Column, n_fit: Column, n_dev: Column) -> tuple[Column, Column]:
+    """Both cuts of a split; an error where a class with rows has none for a partition."""
+    empty = (n > 0) & (F.least(n_fit, n_dev, n - n_fit - n_dev) < 1)
+    message = F.concat(F.lit("Too few rows to fill all three partitions in class: "), F.coalesce("class_label", F.lit("null")))
+    return F.when(empty, F.raise_error(message).cast("long")).otherwise(n_fit), n_fit + n_dev
+
+
+def _partition(order: Column, cut: str) -> Column:
+    return F.when(order <= F.col(f"cut_{cut}_fit"), "fitting").when(order <= F.col(f"cut_{cut}_dev"), "development").otherwise("evaluation")

@@ -168,29 +168,38 @@ def reconstruct_check(manifest: DataFrame, full: DataFrame, clean: DataFrame, re
     )
 
 
-def condition_summary(conditions: DataFrame, key: str = "hash_consensus") -> DataFrame:
-    """One row per condition: classes, sizes, distinct groups and matched held-out rows."""
-    per_key = conditions.groupBy("condition", key).agg(
-        *[F.count_if(F.col("partition") == p).alias(s) for p, s in
-          (("fitting", "f"), ("development", "d"), ("evaluation", "e"))]
+def condition_summary(table: DataFrame, names: list[str], key: str = "hash_consensus") -> DataFrame:
+    """One row per condition that has rows: classes, sizes, distinct groups and matched held-out rows.
+
+    ``table`` has one row per sample and, per condition, a column with its partition or null. All conditions are counted in
+    one pass, by key and by class.
+    """
+    parts = {"f": "fitting", "d": "development", "e": "evaluation"}
+    counts = [F.count_if(F.col(name) == p).alias(f"{name}_{s}") for name in names for s, p in parts.items()]
+    counted = table.groupingSets([[F.col(key)], [F.col("class_label")]], F.col(key), F.col("class_label")).agg(
+        (F.grouping("class_label") == 1).alias("by_key"), *counts
     )
-    sizes = per_key.groupBy("condition").agg(
-        F.sum(F.col("f") + F.col("d") + F.col("e")).alias("images"),
-        F.sum("f").alias("fitting"), F.sum("d").alias("development"), F.sum("e").alias("evaluation"),
-        F.count(F.lit(1)).alias("distinct_consensus_groups"),
-        _sum_if(F.col("f") > 0, "d").alias("development_images_matching_fitting_group"),
-        _sum_if(F.col("f") > 0, "e").alias("evaluation_images_matching_fitting_group"),
-    )
-    classes = conditions.groupBy("condition", "class_label").agg(F.count(F.lit(1)).alias("n")).groupBy(
-        "condition"
-    ).agg(F.count(F.lit(1)).alias("classes"))
-    return sizes.join(classes, "condition")
+
+    def summary(name: str) -> Column:
+        f, d, e = (F.when(F.col("by_key"), F.col(f"{name}_{s}")).otherwise(0) for s in parts)
+        rows = F.col(f"{name}_f") + F.col(f"{name}_d") + F.col(f"{name}_e")
+        return F.struct(
+            F.lit(name).alias("condition"), F.sum(f + d + e).alias("images"), F.sum(f).alias("fitting"),
+            F.sum(d).alias("development"), F.sum(e).alias("evaluation"),
+            F.count_if(F.col("by_key") & (rows > 0)).alias("distinct_consensus_groups"),
+            F.sum(F.when(f > 0, d).otherwise(0)).alias("development_images_matching_fitting_group"),
+            F.sum(F.when(f > 0, e).otherwise(0)).alias("evaluation_images_matching_fitting_group"),
+            F.count_if(~F.col("by_key") & (rows > 0)).alias("classes"),
+        ).alias(name)
+
+    one = counted.groupBy().agg(*[summary(name) for name in names])
+    return one.select(F.explode(F.array(*names)).alias("r")).select("r.*").where("images > 0")
 
 
-def condition_class_counts(conditions: DataFrame, names: list[str]) -> DataFrame:
+def condition_class_counts(table: DataFrame, names: list[str]) -> DataFrame:
     """Rows per class for every condition and partition; zero where a class is absent."""
-    return conditions.groupBy("class_label").agg(*[
-        F.count_if((F.col("condition") == name) & (F.col("partition") == p)).alias(f"{name}_{p}")
+    return table.groupBy("class_label").agg(*[
+        F.count_if(F.col(name) == p).alias(f"{name}_{p}")
         for name in names
         for p in ("fitting", "development", "evaluation")
     ])

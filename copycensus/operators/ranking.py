@@ -9,8 +9,9 @@ only the rows of those buckets are ordered.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,3 +97,79 @@ def positions(rows: DataFrame, groups: list[str], order: list[str], name: str =
         .withColumn(name, F.row_number().over(local).cast("long") + F.col("_shift"))
         .drop("_slice", "_shift")
     )
+
+
+#: Hex digits by which each pass of ``rank_cuts`` narrows a bucket, and rows that a bucket may have when it is ordered.
+PASS_DIGITS, ORDERED_ROWS = 3, 100_000
+
+
+def rank_cuts(
+    sources: list[tuple[DataFrame, dict[str, Column]]],
+    strata: list[str],
+    cuts: dict[str, tuple[str, Column]],
+    digits: int = PASS_DIGITS,
+    ordered: int = ORDERED_ROWS,
+) -> DataFrame:
+    """Boundaries of many cuts in several ranks, found together.
+
+    ``sources`` are tables with the ``strata`` columns, each with the ranks its rows take part in: a name and an order key, a
+    unique string that starts with a uniform hex rank (null: not in that rank). ``cuts`` has, per cut, a rank and the number
+    of its rows up to the cut, an expression over ``n_<rank>``, the stratum's rows in each rank.
+
+    The first pass counts all ranks by their leading digits; every further one narrows the buckets that hold a cut by
+    ``digits`` more, until they have at most ``ordered`` rows. Only those are ordered. Returns a written table with one row
+    per stratum: its columns, ``n_<rank>``, and ``cut_<name>``, null where the number is null, below 1 or beyond the rank.
+    A stratum in which no cut is found has no row.
+    """
+    ranks = sorted({rank for _, own in sources for rank in own})
+    totals = [f"n_{rank}" for rank in ranks]
+
+    def entries(width: int) -> DataFrame:
+        parts = []
+        for rows, own in sources:
+            taken = F.explode(F.array(*[F.struct(F.lit(rank).alias("_rank"), order.alias("_order")) for rank, order in own.items()]))
+            parts.append(rows.select(*strata, taken.alias("_entry")).select(*strata, "_entry.*"))
+        return reduce(DataFrame.unionByName, parts).where("_order is not null").withColumn("_bucket", F.substring("_order", 1, width))
+
+    place = [*strata, "_rank", "_bucket"]
+    counted = entries(digits).groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    # At most 16**digits rows per stratum and rank in a window.
+    counted = counted.withColumns({
+        f"n_{rank}": F.sum(F.when(F.col("_rank") == rank, F.col("_n")).otherwise(0)).over(W.partitionBy(*strata)) for rank in ranks
+    })
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("cut"), F.when(F.col("_rank") == rank, number.cast("long")).alias("_need"))
+        for name, (rank, number) in cuts.items()
+    ]))
+    held = materialize(_crossed(
+        counted.withColumn("_upto", F.sum("_n").over(W.partitionBy(*strata, "_rank").orderBy("_bucket")))
+        .withColumn("_cut", wanted).select("*", "_cut.*"), [*place, *totals],
+    ))
+    width = digits
+    while held.where(F.col("_n") > ordered).take(1):
+        # Every digit of the rank is used before equal keys are given up on.
+        if width >= 64:
+            break
+        inside = join_safe(entries(width), held.select(*place).distinct(), place, "left_semi").withColumn("_parent", F.col("_bucket"))
+        width += digits
+        finer = inside.groupBy(*strata, "_rank", "_parent", F.substring("_order", 1, width).alias("_next")).agg(
+            F.count(F.lit(1)).alias("_n")
+        ).withColumn("_upto", F.sum("_n").over(W.partitionBy(*strata, "_rank", "_parent").orderBy("_next")))
+        above = held.drop("_n").withColumnRenamed("_bucket", "_parent")
+        held = materialize(_crossed(
+            join_safe(finer, above, [*strata, "_rank", "_parent"]).withColumn("_bucket", F.col("_next")), [*place, *totals],
+        ))
+    run = W.partitionBy(*strata, "cut").orderBy("_order")
+    found = join_safe(entries(width), held, place).withColumn("_run", F.row_number().over(run)).where("_run = _need")
+    return materialize(found.groupBy(*strata).agg(
+        *[F.max(n).alias(n) for n in totals],
+        *[F.max(F.when(F.col("cut") == name, F.col("_order"))).alias(f"cut_{name}") for name in cuts],
+    ))
+
+
+def _crossed(counted: DataFrame, keep: list[str]) -> DataFrame:
+    """The bucket of each cut, with the number of its rows that are up to the cut."""
+    before = F.col("_upto") - F.col("_n")
+    return counted.where((F.col("_need") > before) & (F.col("_need") <= F.col("_upto"))).select(
+        *keep, "cut", (F.col("_need") - before).alias("_need"), "_n"
+    )

@@ -32,21 +32,27 @@ def class_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class_label").agg(F.count(F.lit(1)).alias("class_size"))
 
 
+def shares(n: Column, fit: float, development: float, clamped: bool = False) -> tuple[Column, Column]:
+    """Fitting and development rows among ``n``; ``clamped`` leaves one row to each partition."""
+    if not (0 < fit < 1 and 0 < development < 1 and fit + development < 1):
+        raise ValueError("Both shares must be positive and leave a rest for evaluation.")
+    n_fit = F.bround(n * F.lit(fit)).cast("long")
+    n_dev = F.bround(n * F.lit(development)).cast("long")
+    if clamped:
+        one = F.lit(1).cast("long")
+        n_fit = F.greatest(one, F.least(n_fit, n - 2))
+        n_dev = F.greatest(one, F.least(n_dev, n - n_fit - 1))
+    return n_fit, n_dev
+
+
 def allocate(sizes: DataFrame, fit: float, development: float, clamped: bool = False) -> DataFrame:
     """Rows per partition from class sizes, rounding halves to even.
 
     Strict allocation leaves the residual to evaluation and fails on an empty
     partition; clamped allocation keeps one row in each partition.
     """
-    if not (0 < fit < 1 and 0 < development < 1 and fit + development < 1):
-        raise ValueError("Both shares must be positive and leave a rest for evaluation.")
     n = F.col("class_size")
-    n_fit = F.bround(n * F.lit(fit)).cast("long")
-    n_dev = F.bround(n * F.lit(development)).cast("long")
-    one = F.lit(1).cast("long")
-    if clamped:
-        n_fit = F.greatest(one, F.least(n_fit, n - 2))
-        n_dev = F.greatest(one, F.least(n_dev, n - F.col("n_fit") - 1))
+    n_fit, n_dev = shares(n, fit, development, clamped)
     table = (
         sizes.withColumn("n_fit", n_fit).withColumn("n_dev", n_dev)
         .withColumn("n_eval", n - F.col("n_fit") - F.col("n_dev"))

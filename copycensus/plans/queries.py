@@ -443,12 +443,12 @@ def reconstruct_check(spark, sf):
 @query
 def matched_subsample(spark, sf):
     table = st.four_conditions(spark, sf)
-    return table.where("condition = 'random_subsample'").select("sample_id", "class_label", "partition")
+    return table.where("random_subsample is not null").select("sample_id", "class_label", F.col("random_subsample").alias("partition"))
 
 
 @query
 def condition_summary(spark, sf):
-    return exposure.condition_summary(st.four_conditions(spark, sf))
+    return exposure.condition_summary(st.four_conditions(spark, sf), st.FOUR)
 
 
 @query
@@ -458,16 +458,17 @@ def condition_class_counts(spark, sf):
 
 @query
 def exposure_fractions(spark, sf):
-    return exposure.exposure_fractions(exposure.condition_summary(st.four_conditions(spark, sf)))
+    return exposure.exposure_fractions(exposure.condition_summary(st.four_conditions(spark, sf), st.FOUR))
 
 
 @query
 def condition_parity(spark, sf):
-    table = st.four_conditions(spark, sf)
-    by = ["class_label", "partition"]
-    differing = splits.count_parity(
-        table.where("condition = 'random_subsample'"), table.where("condition = 'clean_consensus'"), by
-    )
+    table = materialize(st.four_conditions(spark, sf))
+    sides = [
+        table.where(F.col(name).isNotNull()).select("class_label", F.col(name).alias("partition"))
+        for name in ("random_subsample", "clean_consensus")
+    ]
+    differing = splits.count_parity(*sides, ["class_label", "partition"])
     return differing.groupBy().agg(F.count(F.lit(1)).alias("differing_strata"))
 
 

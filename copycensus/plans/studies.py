@@ -67,26 +67,13 @@ def protocol_pair(rows: DataFrame, minimum: int, universe: str = "all", clamped:
 
 
 def four_conditions(spark: SparkSession, sf: str, minimum: int = 100) -> DataFrame:
-    """Long table of four conditions: all classes, clean label space, clean, matched subsample."""
-    keep = ["sample_id", "class_label", "partition", "hash_consensus"]
-    rows = materialize(samples.documents(spark, sf).select(
-        "sample_id", "class_label", "rgb_sha256", "hash_consensus"
-    ))
-    safe, _ = safe_pool(rows, minimum)
-    representatives = safe.where("is_representative and eligible = 1")
-    clean = materialize(splits.stratified_split(representatives, seed=SPLIT_SEED, clamped=True).select(*keep))
-    everything = materialize(splits.stratified_split(rows, seed=SPLIT_SEED).select(*keep))
-    full = cond.restrict_classes(everything, clean, strict=False)
-    control = cond.matched_subsample(everything, clean, SELECT_SEED, RESPLIT_SEED)
-    parts = {"full_all": everything, "full": full, "clean_consensus": clean, "random_subsample": control}
-    out = None
-    for name, df in parts.items():
-        one = df.select(F.lit(name).alias("condition"), *keep)
-        out = one if out is None else out.unionByName(one)
-    return materialize(out)
-
-
-FOUR = ["full_all", "full", "clean_consensus", "random_subsample"]
+    """Documents with their partition in four conditions: all classes, clean label space, clean, matched subsample."""
+    rows = materialize(samples.documents(spark, sf).select("sample_id", "class_label", "hash_consensus"))
+    groups = materialize(dedup.duplicate_groups(rows, F.col("hash_consensus"), "hash_consensus", REPRESENTATIVE_SEED))
+    return cond.group_conditions(rows, groups, minimum, (SPLIT_SEED, SELECT_SEED, RESPLIT_SEED))
+
+
+FOUR = list(cond.GROUP_CONDITIONS)
 
 
 #: Feature views of the embeddings: first feature and the one behind the last.

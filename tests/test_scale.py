@@ -10,8 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from copycensus.operators import conditions as cond
 from copycensus.operators import dedup, pairs, splits, verify, votes
-from copycensus.operators.ranking import boundaries, positions
+from copycensus.operators.ranking import boundaries, positions, rank_cuts
 from copycensus.session import join_groups, materialize, shared_dir
 from copycensus.sources import samples
 
@@ -174,3 +175,53 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == folder
     (path,) = {f.rsplit("/", 1)[0] for f in materialize(spark.range(3)).inputFiles()}
     assert f"{folder.removeprefix('file:').replace('//', '/')}/copycensus-" in path.removeprefix("file:").replace("//", "/")
+
+
+@pytest.mark.parametrize("ordered", [1, 1000])
+def test_rank_cuts_equal_a_sort(spark, ordered):
+    """Many cuts of two ranks at once, narrowed until a bucket has one row or ordered at once."""
+    rows = spark.range(700).select(F.concat(F.lit("s"), "id").alias("sample_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).cast("string").alias("class_label"))
+    one, two = splits.rank_order(1), splits.rank_order(2, "other")
+    few = F.when(F.col("sample_id").endswith("3"), two)
+    found = rank_cuts([(rows, {"a": one}), (rows, {"b": few})], ["class_label"], {
+        "first": ("a", F.lit(1)), "half": ("a", F.floor(F.col("n_a") / 2)), "all": ("b", F.col("n_b")),
+        "none": ("b", F.lit(0)), "beyond": ("b", F.col("n_b") + 1), "cross": ("a", F.col("n_b")),
+    }, digits=1, ordered=ordered)
+    got = {r["class_label"]: r.asDict() for r in found.collect()}
+    keys = {}
+    for r in rows.select("class_label", one.alias("a"), few.alias("b")).collect():
+        keys.setdefault(r["class_label"], []).append((r["a"], r["b"]))
+    assert set(got) == set(keys) == {None, "0", "1", "2"}
+    for label, pairs in keys.items():
+        a, b = sorted(x for x, _ in pairs), sorted(x for _, x in pairs if x)
+        assert got[label] == {
+            "class_label": label, "n_a": len(a), "n_b": len(b), "cut_first": a[0], "cut_half": a[len(a) // 2 - 1], "cut_all": b[-1],
+            "cut_none": None, "cut_beyond": None, "cut_cross": a[len(b) - 1],
+        }
+
+
+def test_rank_cuts_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "sample_id string, class_label string")
+    assert rank_cuts([(rows, {"a": splits.rank_order(1)})], ["class_label"], {"x": ("a", F.lit(1))}).count() == 0
+
+
+def test_group_conditions_keep_every_row_once(spark):
+    """One row per sample whatever its conditions; a null class is in the whole only; sizes of subsample and clean agree."""
+    data = [(f"s{i}", None if i % 11 == 0 else "large" if i % 4 else "small", f"k{i // 3 if i % 5 else i}") for i in range(400)]
+    rows = spark.createDataFrame(data, "sample_id string, class_label string, hash_consensus string")
+    groups = dedup.duplicate_groups(rows, F.col("hash_consensus"), "hash_consensus", 9)
+    table = [r.asDict() for r in cond.group_conditions(rows, groups, 60, ordered=1).collect()]
+    assert sorted(r["sample_id"] for r in table) == sorted(s for s, _, _ in data)
+    pure = {g["representative_sample_id"]: g["classes"][0] for g in groups.where("group_class_count = 1").collect() if g["classes"]}
+    sizes = {c: sum(x == c for x in pure.values()) for c in ("large", "small")}
+    assert sizes["small"] < 60 <= sizes["large"]
+    for r in table:
+        large = r["class_label"] == "large"
+        assert r["full_all"] is not None and r["full"] == (r["full_all"] if large else None)
+        assert (r["clean_consensus"] is not None) == (large and r["sample_id"] in pure)
+        assert large or r["random_subsample"] is None
+    count = lambda name: {p: sum(r[name] == p for r in table) for p in splits.PARTITIONS}
+    assert count("random_subsample") == count("clean_consensus") and sum(count("clean_consensus").values()) == sizes["large"]
+    with pytest.raises(Exception, match="Too few rows"):
+        tiny = spark.createDataFrame([("a", "x", "k"), ("b", "x", "l")], rows.schema)
+        cond.group_conditions(tiny, dedup.duplicate_groups(tiny, F.col("hash_consensus"), "hash_consensus", 9), 1).collect()
