@@ -114,7 +114,8 @@ def study_aggregate(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def contrast_extremes(summary: DataFrame, contrast: str, metric: str = "accuracy") -> DataFrame:
-    """Least and greatest mean contrast over models."""
-    chosen = summary.where((F.col("contrast") == contrast) & (F.col("metric") == metric))
-    return chosen.groupBy().agg(F.min("mean_pp").alias("minimum_mean_pp"), F.max("mean_pp").alias("maximum_mean_pp"))
+def contrast_extremes(summary: DataFrame) -> DataFrame:
+    """Least and greatest mean of each contrast and metric over the studies, or models, of a ``contrast_summary``."""
+    return summary.groupBy("contrast", "metric").agg(
+        F.count(F.lit(1)).alias("studies"), F.min("mean_pp").alias("minimum_mean_pp"), F.max("mean_pp").alias("maximum_mean_pp")
+    )

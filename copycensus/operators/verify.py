@@ -75,17 +75,19 @@ def artifact_drift(runs: DataFrame, files: DataFrame, keys: list[str]) -> DataFr
     ).select(*keys, "name")
 
 
-def run_completeness(runs: DataFrame, conditions: list[str], seeds: list[int]) -> DataFrame:
-    """Expected (condition, seed) runs that are missing, and runs nobody expected."""
-    spark = runs.sparkSession
+def run_completeness(runs: DataFrame, conditions: list[str], seeds: list[int], by: list[str] | None = None) -> DataFrame:
+    """Expected (condition, seed) runs that are missing, in each group of ``by``, and runs nobody expected."""
+    by = by or []
+    keys = [*by, "condition", "seed"]
+    groups = runs.select(*by).distinct() if by else runs.sparkSession.range(1)
     expected = (
-        spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"))
-        .select("condition", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"))
+        groups.select(*by, F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"))
+        .select(*by, "condition", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("seed"))
     )
-    found = runs.select("condition", F.col("seed").cast("long").alias("seed")).distinct()
-    side = expected.withColumn("_e", F.lit(1)).join(found.withColumn("_r", F.lit(1)), ["condition", "seed"], "full")
+    found = runs.select(*by, "condition", F.col("seed").cast("long").alias("seed")).distinct()
+    side = expected.withColumn("_e", F.lit(1)).join(found.withColumn("_r", F.lit(1)), keys, "full")
     return side.where(F.col("_e").isNull() | F.col("_r").isNull()).select(
-        "condition", "seed", F.when(F.col("_r").isNull(), "missing").otherwise("extra").alias("problem")
+        *keys, F.when(F.col("_r").isNull(), "missing").otherwise("extra").alias("problem")
     )
 
 

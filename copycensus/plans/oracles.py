@@ -267,28 +267,37 @@ CLASSES = "classes AS (SELECT * FROM (VALUES " + ", ".join(f"({q(c)})" for c in
 CELLS = """cells AS (SELECT r.condition, r.seed, a.class_label AS true_label, b.class_label AS predicted_label,
   (SELECT count(*) FROM pred p WHERE p.condition = r.condition AND p.seed = r.seed AND p.true_label = a.class_label AND p.predicted_label = b.class_label) AS n
   FROM runs r, classes a, classes b)"""
-SCORES = """mg AS (SELECT r.condition, r.seed, c.class_label,
+MARGINS = """mg AS (SELECT r.condition, r.seed, c.class_label,
   (SELECT count(*) FROM pred p WHERE p.condition = r.condition AND p.seed = r.seed AND p.true_label = c.class_label) AS support,
   (SELECT count(*) FROM pred p WHERE p.condition = r.condition AND p.seed = r.seed AND p.predicted_label = c.class_label) AS positives,
   (SELECT count(*) FROM pred p WHERE p.condition = r.condition AND p.seed = r.seed AND p.true_label = c.class_label AND p.predicted_label = c.class_label) AS hits
-  FROM runs r, classes c),
-pr AS (SELECT *, CASE WHEN positives = 0 THEN 0 ELSE hits / positives END AS precision, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall FROM mg),
-cs AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr),
-os AS (SELECT condition, CAST(seed AS BIGINT) AS seed, sum(hits) / sum(support) AS accuracy, avg(f1) AS macro_f1, avg(recall) AS macro_recall,
+  FROM runs r, classes c)"""
+RATES = """pr AS (SELECT *, CASE WHEN positives = 0 THEN 0 ELSE hits / positives END AS precision, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall FROM mg),
+cs AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr)"""
+OVERALL = """os AS (SELECT condition, CAST(seed AS BIGINT) AS seed, sum(hits) / sum(support) AS accuracy, avg(f1) AS macro_f1, avg(recall) AS macro_recall,
   CAST(sum(support) AS BIGINT) AS evaluation_images FROM cs GROUP BY condition, seed)"""
+SCORES = ",\n".join([MARGINS, RATES, OVERALL])
 SCORED = with_(PRED, CLASSES, SCORES)
 DIFFS = "df AS (" + " UNION ALL ".join(
     f"SELECT a.seed, '{n}' AS contrast, '{m}' AS metric, 100 * (a.{m} - b.{m}) AS d FROM os a JOIN os b ON a.seed = b.seed AND a.condition = '{x}' AND b.condition = '{y}'"
     for n, (x, y) in CONTRASTS.items() for m in METRICS
 ) + ")"
 CONTRASTED = with_(PRED, CLASSES, SCORES, DIFFS)
+#: The same for every study.
+STUDY_SCORED = with_(STUDY, CLASSES, """mg AS (SELECT study, condition, seed, class_label, count(*) FILTER (true_label = class_label) AS support,
+  count(*) FILTER (predicted_label = class_label) AS positives, count(*) FILTER (true_label = class_label AND predicted_label = class_label) AS hits
+  FROM scored, classes GROUP BY ALL)""", RATES, OVERALL.replace("SELECT condition", "SELECT study, condition").replace("BY condition", "BY study, condition"))
+STUDY_CONTRASTED = STUDY_SCORED.rstrip() + ",\ndf AS (" + " UNION ALL ".join(
+    f"SELECT a.study, a.seed, '{n}' AS contrast, '{m}' AS metric, 100 * (a.{m} - b.{m}) AS d FROM os a JOIN os b ON a.study = b.study AND a.seed = b.seed AND a.condition = '{x}' AND b.condition = '{y}'"
+    for n, (x, y) in CONTRASTS.items() for m in METRICS
+) + ") "
 
 
-def contrast_select(t: str) -> str:
+def contrast_select(t: str, by: str = "") -> str:
     half = f"{t} * stddev_samp(d) / sqrt(count(*))"
-    return f"""SELECT contrast, metric, {big('count(*)', 'completed_seeds')}, {real('avg(d)', 'mean_pp')}, {real('stddev_samp(d)', 'sample_sd_pp')},
+    return f"""SELECT {by}contrast, metric, {big('count(*)', 'completed_seeds')}, {real('avg(d)', 'mean_pp')}, {real('stddev_samp(d)', 'sample_sd_pp')},
   {real('min(d)', 'minimum_pp')}, {real('max(d)', 'maximum_pp')}, {real(f'avg(d) - {half}', 'ci95_lower_pp')}, {real(f'avg(d) + {half}', 'ci95_upper_pp')}
-  FROM df GROUP BY contrast, metric"""
+  FROM df GROUP BY {by}contrast, metric"""
 
 
 HIST = """hist AS (SELECT event_type AS recipe_name, CAST(day(ts) AS BIGINT) AS epoch, avg(value) AS loss FROM events GROUP BY ALL)"""
@@ -586,6 +595,10 @@ UNION ALL SELECT 'confusion_matrix', condition || '/' || seed || '/3/3', 'n', CA
     "study_aggregate": SCORED + f"""SELECT condition, {real('avg(accuracy)', 'accuracy_mean')}, {real('stddev_samp(accuracy)', 'accuracy_std')}, {real('avg(macro_f1)', 'macro_f1_mean')},
   {real('stddev_samp(macro_f1)', 'macro_f1_std')} FROM os GROUP BY condition""",
     "contrast_extremes": CONTRASTED + f"SELECT contrast, {real('min(m)', 'minimum_mean_pp')}, {real('max(m)', 'maximum_mean_pp')} FROM (SELECT contrast, avg(d) AS m FROM df WHERE metric = 'accuracy' GROUP BY contrast) GROUP BY contrast",
+    "study_results": STUDY_SCORED + f"""SELECT study, condition, {real('avg(accuracy)', 'accuracy_mean')}, {real('stddev_samp(accuracy)', 'accuracy_std')}, {real('avg(macro_f1)', 'macro_f1_mean')},
+  {real('stddev_samp(macro_f1)', 'macro_f1_std')} FROM os GROUP BY study, condition""",
+    "study_contrasts": STUDY_CONTRASTED + contrast_select(repr(t_critical(4)), "study, "),
+    "study_contrast_extremes": STUDY_CONTRASTED + f"SELECT contrast, metric, {big('count(*)', 'studies')}, {real('min(m)', 'minimum_mean_pp')}, {real('max(m)', 'maximum_mean_pp')} FROM (SELECT study, contrast, metric, avg(d) AS m FROM df GROUP BY ALL) GROUP BY contrast, metric",
     "annotator_agreement": with_(ANNO, """ag AS (SELECT count(*) AS n, avg(CASE WHEN judgement_1 = judgement_2 THEN 1.0 ELSE 0.0 END) AS o FROM judged),
 w AS (SELECT DISTINCT unnest([judgement_1, judgement_2]) AS j FROM judged),
 ee AS (SELECT sum((SELECT count(*) FROM judged WHERE judgement_1 = j) * (SELECT count(*) FROM judged WHERE judgement_2 = j)) AS s FROM w)""")

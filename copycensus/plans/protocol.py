@@ -152,20 +152,26 @@ def pair_metadata(rows: DataFrame, groups: DataFrame, classes: DataFrame, safe:
 def run_tree_audit(
     spark: SparkSession, root: str, conditions: list[str], seeds: list[int],
     history: str | None = None, loss: str = "development_loss", zero_based: bool = False,
+    levels: tuple[str, ...] = ("condition", "seed"),
 ) -> DataFrame:
-    """All checks of a tree of finished runs as one table (check, subject, found); empty means pass."""
+    """All checks of a tree of finished runs as one table (check, subject, found); empty means pass.
+
+    ``levels`` are the folders down to a run. Those beside condition and seed, such as a study, are groups: each has all
+    conditions and seeds, and its runs are paired with one another only.
+    """
     from copycensus.operators import scores
     from copycensus.sources import tables
 
-    keys = ["condition", "seed"]
-    runs = materialize(tables.read_runs(spark, root))
-    predictions, classes = tables.probabilities(tables.read_run_tables(spark, root, "predictions.csv"))
+    keys, groups = list(levels), [level for level in levels if level not in ("condition", "seed")]
+    runs = materialize(tables.read_runs(spark, root, levels))
+    predictions, classes = tables.probabilities(tables.read_run_tables(spark, root, "predictions.csv", levels))
     predictions = materialize(predictions)
     stored = scores.score_violations(
-        predictions, runs, tables.read_run_tables(spark, root, "per_class.csv"),
-        tables.confusion_long(tables.read_run_tables(spark, root, "confusion_matrix.csv"), classes), keys, classes,
+        predictions, runs, tables.read_run_tables(spark, root, "per_class.csv", levels),
+        tables.confusion_long(tables.read_run_tables(spark, root, "confusion_matrix.csv", levels), classes, levels), keys, classes,
     )
-    subject = F.concat_ws("/", "condition", F.col("seed").cast("string"))
+    subject = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    paired = F.concat_ws("/", *groups, F.col("seed").cast("string"))
 
     def rows(check: str, df: DataFrame, who, found) -> DataFrame:
         return df.select(F.lit(check).alias("check"), who.alias("subject"), found.cast("string").alias("found"))
@@ -173,17 +179,17 @@ def run_tree_audit(
     shape = scores.prediction_violations(predictions, keys, classes).where(
         "wrong_shape + nonfinite + unknown_label + not_arg_max > 0"
     )
-    starts = verify.paired_start_check(runs, ["seed"]).where("initial_states != 1")
+    starts = verify.paired_start_check(runs, [*groups, "seed"]).where("initial_states != 1")
     parts = [
-        rows("run_set", verify.run_completeness(runs, conditions, seeds), subject, F.col("problem")),
+        rows("run_set", verify.run_completeness(runs, conditions, seeds, groups), subject, F.col("problem")),
         rows("predictions", shape, subject, F.lit("labels or probabilities are invalid")),
         stored.select("check", "subject", F.concat_ws(" ", "field", F.col("stored").cast("string"),
                                                       F.col("recomputed").cast("string")).alias("found")),
-        rows("artifact", verify.artifact_drift(runs, tables.run_artifacts(spark, root), keys), subject, F.col("name")),
-        rows("initial_state", starts, F.col("seed").cast("string"), F.col("initial_states")),
+        rows("artifact", verify.artifact_drift(runs, tables.run_artifacts(spark, root, levels), keys), subject, F.col("name")),
+        rows("initial_state", starts, paired, F.col("initial_states")),
     ]
     if history:
-        table = tables.read_run_tables(spark, root, history).withColumns({
+        table = tables.read_run_tables(spark, root, history, levels).withColumns({
             "epoch": F.col("epoch").cast("double").cast("long"), loss: F.col(loss).cast("double"),
         })
         late = scores.epoch_violations(table, runs, keys, loss=loss, zero_based=zero_based)

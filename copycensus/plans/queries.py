@@ -663,6 +663,26 @@ def contrast_extremes(spark, sf):
     )
 
 
+def _study_summary(spark, sf):
+    found = contrasts.seed_contrasts(materialize(st.study_metrics(spark, sf)), st.CONTRASTS, ["study"])
+    return contrasts.contrast_summary(found, ["study"])
+
+
+@query
+def study_results(spark, sf):
+    return contrasts.study_aggregate(st.study_metrics(spark, sf), ["study", "condition"])
+
+
+@query
+def study_contrasts(spark, sf):
+    return _study_summary(spark, sf).drop("seed_values_pp")
+
+
+@query
+def study_contrast_extremes(spark, sf):
+    return contrasts.contrast_extremes(_study_summary(spark, sf))
+
+
 # Agreement and pairs ---------------------------------------------------------
 
 @query

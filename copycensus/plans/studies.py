@@ -105,6 +105,15 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+STUDY_RUN = ["study", *RUN]
+
+
+def study_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Run rows of every study, that is, of every feature view."""
+    predictions = study_runs(spark, sf).predictions(RUN)
+    return scores.overall_scores(scores.class_scores(predictions, STUDY_RUN, LABELS), STUDY_RUN)
+
+
 def embedding_marks(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings split 70/20/10, marked with the conditions of their row-mean signature."""
     rows = samples.spread(samples.table(spark, sf, "embeddings")).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -23,42 +23,65 @@ def read_manifest(spark: SparkSession, path: str, columns: list[str], multi_line
     )
 
 
-def _run_columns(df: DataFrame, root: str) -> DataFrame:
-    """Condition and seed of each row's file, from ``condition/seed_<n>/file``; no number gives a null seed."""
+#: Folders from the root of a run tree down to a run.
+RUN_LEVELS = ("condition", "seed")
+
+
+def _level(parts: Column, place: Column, level: str) -> Column:
+    """The value that a folder stands for: its name, or the number of a ``seed_<n>``; no number gives a null seed."""
+    name = F.get(parts, place)
+    return F.regexp_extract(name, r"^seed_(\d+)$", 1).try_cast("long") if level == "seed" else name
+
+
+def _run_columns(df: DataFrame, root: str, levels: tuple[str, ...]) -> DataFrame:
+    """``path_<level>`` of each row's file, from the folders that it lies in."""
     below = F.split(relative_path(unescaped(F.col("_metadata.file_path")), root), "/")
-    return df.select(
-        "*", F.get(below, F.size(below) - 3).alias("path_condition"),
-        F.regexp_extract(F.get(below, F.size(below) - 2), r"^seed_(\d+)$", 1).try_cast("long").alias("path_seed"),
-    )
+    return df.select("*", *[
+        _level(below, F.size(below) - (len(levels) + 1 - i), level).alias(f"path_{level}") for i, level in enumerate(levels)
+    ])
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """All ``condition/seed_<n>/metrics.json``; fields must agree with their path."""
-    runs = _run_columns(spark.read.json(f"{root}/*/seed_*/metrics.json", multiLine=True), root)
-    wrong = runs.where(
-        ~F.col("condition").eqNullSafe(F.col("path_condition")) | ~F.col("seed").cast("long").eqNullSafe(F.col("path_seed"))
-    )
-    found = [f"{r['path_condition']}/seed_{r['path_seed']}" for r in wrong.select("path_condition", "path_seed").take(3)]
+def _run_files(root: str, levels: tuple[str, ...], name: str) -> str:
+    return "/".join([root, *["seed_*" if level == "seed" else "*" for level in levels], name])
+
+
+def read_runs(spark: SparkSession, root: str, levels: tuple[str, ...] = RUN_LEVELS) -> DataFrame:
+    """All ``metrics.json`` of a run tree of any depth, such as ``study/condition/seed_<n>``.
+
+    A field named like a level must agree with the folder; a level that no file has as a field comes from the folder.
+    """
+    runs = _run_columns(spark.read.json(_run_files(root, levels, "metrics.json"), multiLine=True), root, levels)
+    wrong = F.lit(False)
+    for level in levels:
+        wrong |= F.col(f"path_{level}").isNull()
+        if level in runs.columns:
+            value = F.col(level).cast("long" if level == "seed" else "string")
+            wrong |= ~value.eqNullSafe(F.col(f"path_{level}"))
+        else:
+            runs = runs.withColumn(level, F.col(f"path_{level}"))
+    folder = F.concat_ws("/", *[
+        F.concat(F.lit("seed_"), F.col("path_seed").cast("string")) if level == "seed" else F.col(f"path_{level}") for level in levels
+    ])
+    found = [r["folder"] for r in runs.where(wrong).select(folder.alias("folder")).take(3)]
     if found:
         raise ValueError(f"Fields of metrics.json disagree with the folder: {', '.join(found)}")
     if "artifacts_sha256" in runs.columns:
         as_map = F.from_json(F.to_json("artifacts_sha256"), T.MapType(T.StringType(), T.StringType()))
         runs = runs.withColumn("artifacts_sha256", as_map)
-    return runs.drop("path_condition", "path_seed")
+    return runs.drop(*[f"path_{level}" for level in levels])
 
 
-def read_run_tables(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One CSV file per run as a single table keyed by condition and seed.
+def read_run_tables(spark: SparkSession, root: str, name: str, levels: tuple[str, ...] = RUN_LEVELS) -> DataFrame:
+    """One CSV file per run as a single table keyed by the levels of the tree.
 
     Reading fails where a file's header names other columns, or the same in another order.
     """
-    path = f"{root}/*/seed_*/{name}"
+    path = _run_files(root, levels, name)
     columns = spark.read.csv(path, header=True, inferSchema=False).schema
-    table = spark.read.schema(columns).csv(path, header=True, enforceSchema=False)
-    return (
-        _run_columns(table, root)
-        .withColumnRenamed("path_condition", "condition").withColumnRenamed("path_seed", "seed")
-    )
+    table = _run_columns(spark.read.schema(columns).csv(path, header=True, enforceSchema=False), root, levels)
+    for level in levels:
+        table = table.withColumnRenamed(f"path_{level}", level)
+    return table
 
 
 def probabilities(predictions: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -69,21 +92,20 @@ def probabilities(predictions: DataFrame) -> tuple[DataFrame, list[str]]:
     return predictions.select(*rest, folded), [c.removeprefix("prob_") for c in columns]
 
 
-def confusion_long(wide: DataFrame, classes: list[str]) -> DataFrame:
+def confusion_long(wide: DataFrame, classes: list[str], levels: tuple[str, ...] = RUN_LEVELS) -> DataFrame:
     """Long form of a stored confusion matrix."""
-    keys = ["condition", "seed", "true_class"]
+    keys = [*levels, "true_class"]
     return wide.select(*keys, *[F.col(f"`{c}`").cast("long").alias(c) for c in classes]).unpivot(
         keys, classes, "predicted_label", "n"
     ).withColumnRenamed("true_class", "true_label")
 
 
-def run_artifacts(spark: SparkSession, root: str) -> DataFrame:
+def run_artifacts(spark: SparkSession, root: str, levels: tuple[str, ...] = RUN_LEVELS) -> DataFrame:
     """Digest of every file below each run folder."""
-    parts = F.split("sample_id", "/")
-    return file_digests(spark, root).where(F.size(parts) == 3).select(
-        F.get(parts, F.lit(0)).alias("condition"),
-        F.regexp_extract(F.get(parts, F.lit(1)), r"^seed_(\d+)$", 1).try_cast("long").alias("seed"),
-        F.get(parts, F.lit(2)).alias("name"), F.col("file_sha256").alias("sha256"),
+    parts, depth = F.split("sample_id", "/"), len(levels)
+    return file_digests(spark, root).where(F.size(parts) == depth + 1).select(
+        *[_level(parts, F.lit(i), level).alias(level) for i, level in enumerate(levels)],
+        F.get(parts, F.lit(depth)).alias("name"), F.col("file_sha256").alias("sha256"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shutil
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from copycensus.functions import images
 from copycensus.operators import scores, verify
 from copycensus.plans import reports
 from copycensus.plans.audit import audit_folder
+from copycensus.plans.protocol import run_tree_audit
 from copycensus.sources import folders, tables
 from copycensus.sources.folders import relative_path
 from fixtures import write_png
@@ -145,6 +147,24 @@ def test_run_tree(spark, runs):
     assert {(r["check"], r["field"]) for r in wrong} == {("metrics", "accuracy")} and len(wrong) == 2
 
 
+def test_run_tree_of_studies(spark, runs, tmp_path):
+    """A level above the conditions: keys from the path, gaps and changed files found in the one study that has them."""
+    for study in ("first", "second"):
+        shutil.copytree(runs, tmp_path / study)
+    levels = ("study", "condition", "seed")
+    keys = {(r["study"], r["condition"], r["seed"]) for r in tables.read_runs(spark, str(tmp_path), levels).collect()}
+    assert keys == {(s, c, n) for s in ("first", "second") for c in ("full", "clean") for n in (1, 2)}
+    audit = lambda: {tuple(r) for r in run_tree_audit(spark, str(tmp_path), ["full", "clean"], [1, 2], levels=levels).collect()}
+    assert audit() == set()
+    (tmp_path / "second" / "clean" / "seed_2" / "per_class.csv").write_text(
+        "class_label,support,precision,recall,f1\na,2,1.0,0.5,0.6666666666666666\nb,2,0.6666666666666666,0.9,0.8\n")
+    shutil.rmtree(tmp_path / "first" / "full" / "seed_1")
+    assert {r[:2] for r in audit()} == {("run_set", "first/full/1"), ("per_class", "second/clean/2/b")}
+    (tmp_path / "first" / "full" / "seed_2" / "metrics.json").write_text(json.dumps({"study": "other", "condition": "full", "seed": 2}))
+    with pytest.raises(ValueError, match="disagree with the folder"):
+        tables.read_runs(spark, str(tmp_path), levels)
+
+
 def test_run_identity_must_match_path(spark, tmp_path):
     run = tmp_path / "full" / "seed_3"
     run.mkdir(parents=True)

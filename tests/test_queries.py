@@ -41,3 +41,8 @@ def test_entry(spark):
 def test_regression_scores_every_evaluation_row(spark):
     rows = QUERIES["ml_condition_scores"](spark, SF).collect()
     assert len(rows) == 3 and len({r["evaluation_images"] for r in rows}) == 1
+
+
+def test_extremes_are_of_two_studies(spark):
+    rows = QUERIES["study_contrast_extremes"](spark, SF).collect()
+    assert {r["studies"] for r in rows} == {2} and any(r["minimum_mean_pp"] < r["maximum_mean_pp"] for r in rows)
