@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from copycensus.functions import signals
 from copycensus.operators import conditions as cond
 from copycensus.operators import dedup, exposure, splits
 from copycensus.plans.queries import REGISTRY
@@ -62,3 +64,18 @@ def test_a_missing_label_does_not_make_a_group_mixed(spark):
     assert {r["sample_id"] for r in table.where("clean_consensus is not null").collect()} == clean
     summary = {r["condition"]: r for r in exposure.condition_summary(table, list(cond.GROUP_CONDITIONS)).collect()}
     assert summary["full_all"]["classes"] == 1 and summary["random_subsample"]["images"] == len(clean)
+
+
+def test_signatures_hold_one_slice_at_a_time(spark):
+    """However many rows a batch has, grids are made of few; slices change no signature, nulls stay null."""
+    texts = pa.array([None if i % 97 == 5 else f"row {i} " * (i % 40) for i in range(1000)])
+    sizes = []
+
+    def cells(part: pa.Array):
+        sizes.append(len(part))
+        return signals._text_cells(part)
+
+    made = signals._in_slices(texts, cells)
+    assert max(sizes) <= signals.SLICE_ROWS and sum(sizes) == 1000
+    assert made.equals(signals._in_slices(texts, cells, rows=1000))
+    assert [made[i]["ahash"].as_py() is None for i in range(1000)] == [t is None for t in texts.to_pylist()]
