@@ -82,31 +82,80 @@ def key_pair_stats(
     )
 
 
-def vote_stats(rows: DataFrame, keys: tuple[str, ...] = SIGNATURES, train: str = "train", evaluation: str = "val") -> DataFrame:
-    """Evaluation rows and pairs agreeing on at least one, and at least two, of three keys."""
+#: Hash buckets by which huge values of a key are looked for, and folded rows that one of them may have (or eight times the mean).
+BUCKETS, HOT_ROWS = 1 << 14, 1_000_000
+
+
+def _add_candidates(folded: DataFrame, combos: list[list[str]], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``folded`` with, per combination of keys, its training rows ``c<i>`` and whether one has another label, ``o<i>``.
+
+    All combinations begin with the same key, so one shuffle by it brings the rows together for all of their windows. Rows
+    in the hash bucket of a huge value would lie in one task: they get aggregates, joined with salts, instead. A null key
+    agrees with nothing.
+    """
+    first = combos[0][0]
+    trains = F.when(F.col("n_train") > 0, F.col("class_label"))
+    measures = [F.sum("n_train"), F.min(trains), F.max(trains)]
+    bucket = F.pmod(F.xxhash64(first), F.lit(BUCKETS)).cast("int")
+    sizes = folded.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    limit = F.greatest(F.lit(hot_rows), 8 * F.sum("n").over(W.partitionBy()) / BUCKETS)
+    # At most an eighth of the buckets.
+    hot = [r["bucket"] for r in sizes.withColumn("limit", limit).where("n > limit").select("bucket").collect()]
+
+    def finished(rows: DataFrame, i: int) -> DataFrame:
+        known = F.greatest(*[F.col(k).isNull().cast("int") for k in combos[i]], F.lit(0)) == 0
+        other = (F.col("_lo") != F.col("class_label")) | (F.col("_hi") != F.col("class_label"))
+        return rows.withColumns({
+            f"c{i}": F.when(known, F.col("_n")).otherwise(0), f"o{i}": F.coalesce(known & other, F.lit(False)),
+        }).drop("_n", "_lo", "_hi")
+
+    cold = folded.where(~F.coalesce(bucket.isin(hot), F.lit(False))) if hot else folded
+    for i, ks in enumerate(combos):
+        together = W.partitionBy(*ks)
+        cold = finished(cold.withColumns({n: m.over(together) for n, m in zip(("_n", "_lo", "_hi"), measures)}), i)
+    if not hot:
+        return cold
+    rows = folded.where(bucket.isin(hot))
+    salted = rows.withColumn("_id", F.xxhash64(*[k for k in rows.columns]).cast("string"))
+    for i, ks in enumerate(combos):
+        totals = materialize(rows.groupBy(*ks).agg(
+            *[m.alias(n) for n, m in zip(("_n", "_lo", "_hi"), measures)], F.count(F.lit(1)).alias("_size")))
+        salted = finished(join_groups(salted, totals, ks, "_size", id_col="_id").drop("_size"), i)
+    return cold.unionByName(salted.drop("_id"))
+
+
+def vote_stats(
+    rows: DataFrame, keys: tuple[str, ...] = SIGNATURES, train: str = "train", evaluation: str = "val", hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Evaluation rows and pairs agreeing on at least one, and at least two, of three keys.
+
+    Three shuffles of the folded rows, by one key each: every combination is counted where one of its keys lies, the keys
+    that are done are left behind, and no row is copied per combination.
+    """
     a, b, c = keys
-    sets = {"1": [a], "2": [b], "3": [c], "12": [a, b], "13": [a, c], "23": [b, c], "123": [a, b, c]}
-    folded = _folded(rows, list(keys), train, evaluation)
-    hits = _with_candidates(folded, {n: joined_key(ks) for n, ks in sets.items()}, list(keys))
-    # Pairs agreeing on >= 1 key and on >= 2 keys, by inclusion and exclusion.
-    order = F.length("combo")
-    ev, candidates = F.col("n_eval"), F.col("candidates")
-    other = candidates > F.col("with_label")
-    union_weight = F.when(order == 2, -1).otherwise(1)
-    majority_weight = F.when(order == 1, 0).when(order == 2, 1).otherwise(-2)
-    per_row = hits.groupBy(*keys, "class_label").agg(
-        F.max("n_eval").alias("n_eval"),
-        F.sum(_pairs(ev, candidates) * union_weight.cast("decimal(2,0)")).alias("union_pairs"),
-        F.sum(_pairs(ev, candidates) * majority_weight.cast("decimal(2,0)")).alias("majority_pairs"),
-        F.max((order == 2).cast("int")).alias("majority"),
-        F.max((other & (order == 1)).cast("int")).alias("union_other"),
-        F.max((other & (order == 2)).cast("int")).alias("majority_other"),
-    )
+    found = materialize(_folded(rows, list(keys), train, evaluation)).withColumns({
+        # Candidates with a sign by inclusion and exclusion, for >= 1 and >= 2 agreeing keys, and what was found so far.
+        "union": F.lit(0).cast("long"), "majority": F.lit(0).cast("long"),
+        "union_other": F.lit(False), "any": F.lit(False), "two": F.lit(False), "two_other": F.lit(False),
+    })
+    for combos in ([[c], [c, a], [c, a, b], [c, b]], [[a], [a, b]], [[b]]):
+        found = _add_candidates(found, combos, hot_rows)
+        for i, ks in enumerate(combos):
+            n, other, size = F.col(f"c{i}"), F.col(f"o{i}"), len(ks)
+            found = found.withColumns({
+                "union": F.col("union") + (-n if size == 2 else n),
+                "majority": F.col("majority") + (0 if size == 1 else n if size == 2 else -2 * n),
+                "any": F.col("any") | (n > 0),
+                "union_other": F.col("union_other") | (other if size == 1 else F.lit(False)),
+                "two": F.col("two") | ((n > 0) if size == 2 else F.lit(False)),
+                "two_other": F.col("two_other") | (other if size == 2 else F.lit(False)),
+            })
+        found = found.drop(combos[0][0], *[f"{x}{i}" for i in range(len(combos)) for x in "co"])
     n = F.col("n_eval")
-    total = per_row.groupBy().agg(
-        F.sum(n).alias("u"), F.sum("union_pairs").alias("up"), F.sum(n * F.col("union_other")).alias("uo"),
-        F.sum(n * F.col("majority")).alias("m"), F.sum("majority_pairs").alias("mp"),
-        F.sum(n * F.col("majority_other")).alias("mo"),
+    where = lambda flag: F.sum(F.when(F.col(flag), n))
+    total = found.where("n_eval > 0").groupBy().agg(
+        where("any").alias("u"), F.sum(_pairs(n, F.col("union"))).alias("up"), where("union_other").alias("uo"),
+        where("two").alias("m"), F.sum(_pairs(n, F.col("majority"))).alias("mp"), where("two_other").alias("mo"),
     )
 
     def row(name: str, *columns: str) -> Column:

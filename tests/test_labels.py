@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from copycensus.functions import signals
 from copycensus.operators import conditions as cond
-from copycensus.operators import dedup, exposure, splits
+from copycensus.operators import dedup, exposure, splits, votes
 from copycensus.plans.queries import REGISTRY
 
 
@@ -79,3 +79,25 @@ def test_signatures_hold_one_slice_at_a_time(spark):
     assert max(sizes) <= signals.SLICE_ROWS and sum(sizes) == 1000
     assert made.equals(signals._in_slices(texts, cells, rows=1000))
     assert [made[i]["ahash"].as_py() is None for i in range(1000)] == [t is None for t in texts.to_pylist()]
+
+
+def test_votes_of_huge_and_ordinary_values_agree(spark):
+    """The way by windows and that by salted aggregates; nulls agree with nothing, and rows are not copied per combination."""
+    rows = spark.range(1200).select(
+        F.col("id").cast("string").alias("sample_id"), F.when(F.col("id") % 3 == 0, "train").otherwise("val").alias("original_split"),
+        F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("class_label"),
+        F.when(F.col("id") % 5 > 0, "same").otherwise(F.concat(F.lit("a"), F.col("id") % 40)).alias("ahash"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("d"), F.col("id") % 60)).alias("dhash"),
+        F.concat(F.lit("p"), F.col("id") % 90).alias("phash"),
+    ).cache()
+    data = rows.collect()
+    agree = lambda e, t: [e[k] is not None and e[k] == t[k] for k in ("ahash", "dhash", "phash")]
+    pairs = [(e, t, sum(agree(e, t))) for e in data if e["original_split"] == "val" for t in data if t["original_split"] == "train"]
+    for hot_rows in (1, 1_000_000):
+        found = {r["votes"]: r for r in votes.vote_stats(rows, hot_rows=hot_rows).collect()}
+        for name, least in (("at_least_one", 1), ("at_least_two", 2)):
+            hits = [(e, t) for e, t, v in pairs if v >= least]
+            others = {e["sample_id"] for e, t in hits if e["class_label"] != t["class_label"]}
+            assert [int(x) for x in list(found[name])[1:]] == [len({e["sample_id"] for e, _ in hits}), len(hits), len(others)]
+    plan = votes.vote_stats(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Generate" not in plan
