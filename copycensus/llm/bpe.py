@@ -24,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens remembered by a task; the memory is emptied when it is full.
-REMEMBERED = 600_000
+#: Pre-tokens remembered by a worker, besides those of one part of a batch; the memory is emptied when it is full. A worker keeps
+#: it when its task is over, beside whatever a later stage needs.
+REMEMBERED = 100_000
+#: Bytes of text in one part of a batch.
+PART_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -157,7 +160,7 @@ def digest_documents(
     return kept.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, so that memory follows one part."""
     rows = max(1, int(batch.num_rows * most / max(1, batch.column(batch.schema.get_field_index(text)).nbytes)))
     for at in range(0, batch.num_rows, rows):
