@@ -4,13 +4,14 @@ The rules find assignments, access keys and long hexadecimal runs. Any other run
 digit is a candidate. The network sees a candidate's characters with those around it and a flag for inside or outside: an embedding
 per character, one convolution, a rectifier, greatest and mean activation over the window, and one linear unit, in numpy. It
 learns from findings of the rules against candidates that no rule found, each also with its context blanked out, so that a value
-must be recognised by itself. Its scores are calibrated to probabilities on findings left out of the training, and each
-alphabet (hexadecimal digits, capitals and digits, others) has the greatest threshold that still keeps ``RECALL`` of its findings
-there. Candidates at or above their threshold become spans of kind ``network``; spans of the rules always stay.
+must be recognised by itself. Scores are calibrated to probabilities, and each alphabet (hexadecimal digits, capitals and digits,
+others) has a threshold that keeps ``RECALL`` of its findings, both by scores of networks that did not see the window. Candidates at or above their threshold become spans of kind ``network``; spans of the rules always stay.
 
-Every text is scanned once. Training takes up to ``LABELLED`` distinct windows of each kind, of at most ``LONGEST_LABELLED``
-characters, chosen by a hash of the window from all documents; that bound is the only sampling, and every candidate of any length
-is scored. With fewer than ``LEAST_LABELLED`` windows of a kind nothing is learned and no span is added.
+Every text is scanned once. Training, calibration and thresholds take every distinct window of all documents, of any length: the network learns
+from all, and beside it ``FOLDS`` networks learn from all but one fold, by a hash, whose windows they score for the other two. Windows are dealt by a hash over shards of bounded size, whose number grows with the input.
+In a round each shard goes on from the same weights over its own windows, and the weights are then averaged by the shards' sizes;
+both kinds of windows weigh the same. Calibration sums over all scores, and thresholds are exact ranks found by counts in ranges.
+The driver sees weights, sums and counts. With fewer than ``LEAST_LABELLED`` windows of a kind nothing is learned and no span is added.
 
 Defined cases: a null text is empty and has no span; repeated rows each return a row; a row without an id stays; other
 columns are ignored; an empty table gives an empty table.
@@ -44,10 +45,16 @@ ALPHABETS = (re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Z0-9]+"))
 
 #: Characters of context in front of a candidate and behind it.
 BEFORE, AFTER = 24, 8
-LABELLED = 1500
-LONGEST_LABELLED = 256
 LEAST_LABELLED = 20
 RECALL = 0.98
+#: Windows and bytes of windows in a shard, on average; passes over all windows.
+SHARD_WINDOWS, SHARD_BYTES, ROUNDS = 4000, 4 << 20, 6
+#: Parts of the windows that are scored by networks trained on the others.
+FOLDS = 4
+#: Fractions of a weight's unit in which shards are summed, so that sums are exact in any order.
+UNIT = 1 << 32
+#: Scores that are ranked in the driver; more are counted in ranges first.
+RANKED = 10_000
 
 #: Codes: 0 for nothing, 1 to 128 for ASCII, 129 for all others.
 CODES, EMBEDDED, WIDTH, FILTERS = 130, 8, 5, 16
@@ -159,8 +166,44 @@ def encoded(window: bytes, lead: int, size: int, blank: bool = False) -> tuple[n
     return (np.where(inside > 0, codes, 0) if blank else codes), inside
 
 
-def _batch_gradients(net: Network, batch: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> list[np.ndarray]:
+def _long_gradients(net: Network, window: tuple[np.ndarray, np.ndarray], label: float, weight: float) -> list[np.ndarray]:
+    """The same for one window of any length, in pieces."""
+    half, n = WIDTH // 2, len(window[0])
+    codes, inside = (np.pad(x, half) for x in window)
+
+    def pieces() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for at in range(0, n, AT_ONCE):
+            to = min(n, at + AT_ONCE) + 2 * half
+            columns = net.columns(codes[at:to], inside[at:to])
+            yield at, columns, np.maximum(columns @ net.kernel + net.bias, 0)
+
+    most, total, ties = np.zeros(FILTERS), np.zeros(FILTERS), np.zeros(FILTERS, np.int64)
+    for _, _, a in pieces():
+        most, total = np.maximum(most, a.max(axis=0)), total + a.sum(axis=0)
+    for _, _, a in pieces():
+        ties += ((a == most) & (a > 0)).sum(axis=0)
+    pooled = np.concatenate([most, total / n])
+    error = weight * (sigmoid(pooled @ net.head + net.offset) - label)
+    embedding, kernel, bias = np.zeros_like(net.embedding), np.zeros_like(net.kernel), np.zeros_like(net.bias)
+    for at, columns, a in pieces():
+        top = (a == most) & (a > 0)
+        dz = error * (top / np.maximum(ties, 1) * net.head[:FILTERS] + net.head[FILTERS:] / n) * (a > 0)
+        kernel += columns.T @ dz
+        bias += dz.sum(axis=0)
+        dcolumns = (dz @ net.kernel.T).reshape(-1, WIDTH, EMBEDDED + 1)[:, :, :EMBEDDED]
+        for k in range(WIDTH):
+            np.add.at(embedding, codes[at + k:at + k + len(dz)], dcolumns[:, k])
+    embedding[0] = 0
+    return [embedding, kernel, bias, pooled * error, np.array(error)]
+
+
+def _batch_gradients(
+    net: Network, batch: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray | None = None,
+) -> list[np.ndarray]:
     """Mean gradients of the log loss: embedding, kernel, bias, head, offset."""
+    weights = np.ones(len(batch)) if weights is None else weights
+    if len(batch) == 1 and len(batch[0][0]) > AT_ONCE:
+        return _long_gradients(net, batch[0], float(labels[0]), float(weights[0]))
     half = WIDTH // 2
     codes = np.concatenate([np.pad(c, half) for c, _ in batch])
     inside = np.concatenate([np.pad(f, half) for _, f in batch])
@@ -174,7 +217,7 @@ def _batch_gradients(net: Network, batch: list[tuple[np.ndarray, np.ndarray]], l
     begins = np.cumsum(sizes) - sizes
     most, mean = np.maximum.reduceat(a, begins), np.add.reduceat(a, begins) / sizes[:, None]
     pooled = np.concatenate([most, mean], axis=1)
-    error = (sigmoid(pooled @ net.head + net.offset) - labels) / len(batch)
+    error = weights * (sigmoid(pooled @ net.head + net.offset) - labels) / len(batch)
     top = (a == most[owner]) & (a > 0)
     ties = np.maximum(np.add.reduceat(top, begins, dtype=np.int64), 1)
     da = error[owner, None] * (top / ties[owner] * net.head[:FILTERS] + net.head[FILTERS:] / sizes[owner, None])
@@ -187,81 +230,179 @@ def _batch_gradients(net: Network, batch: list[tuple[np.ndarray, np.ndarray]], l
     return [embedding, columns.T @ dz, dz.sum(axis=0), pooled.T @ error, np.array(error.sum())]
 
 
-def trained(windows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01) -> Network:
+SHAPES = ((CODES, EMBEDDED), (WIDTH * (EMBEDDED + 1), FILTERS), (FILTERS,), (2 * FILTERS,), ())
+
+
+def fresh() -> np.ndarray:
+    """The state before training: the weights, their two running moments and the number of steps, in one row."""
     rng = np.random.default_rng(20)
-    net = Network(
-        rng.normal(0, 0.3, (CODES, EMBEDDED)), rng.normal(0, 0.2, (WIDTH * (EMBEDDED + 1), FILTERS)), np.zeros(FILTERS),
-        rng.normal(0, 0.2, 2 * FILTERS), 0.0)
-    net.embedding[0] = 0
-    values = [net.embedding, net.kernel, net.bias, net.head, np.array(net.offset)]
-    first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for low in range(0, len(order), batch):
-            own = order[low:low + batch]
-            step += 1
-            for v, m, s, g in zip(values, first, second, _batch_gradients(net, [windows[i] for i in own], labels[own]), strict=True):
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                v -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
-            net.offset = float(values[4])
-    return net
+    net = [rng.normal(0, 0.3, SHAPES[0]), rng.normal(0, 0.2, SHAPES[1]), np.zeros(SHAPES[2]), rng.normal(0, 0.2, SHAPES[3]), np.zeros(())]
+    net[0][0] = 0
+    weights = np.concatenate([v.ravel() for v in net])
+    return np.concatenate([weights, np.zeros(2 * len(weights) + 1)])
+
+
+def _parts(row: np.ndarray) -> list[np.ndarray]:
+    """The weights, or moments, of a third of a state, as views."""
+    ends = np.cumsum([int(np.prod(shape)) for shape in SHAPES])
+    return [x.reshape(shape) for x, shape in zip(np.split(row, ends[:-1]), SHAPES, strict=True)]
+
+
+def network(state: np.ndarray) -> Network:
+    values = _parts(state[:len(state) // 3])
+    return Network(*values[:4], float(values[4]))
+
+
+def _batches(order: np.ndarray, sizes: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """Runs of ``order`` of at most ``batch`` windows and ``AT_ONCE`` characters; a longer window comes alone."""
+    low = chars = 0
+    for at, i in enumerate(order):
+        if at > low and (at - low == batch or chars + sizes[i] > AT_ONCE):
+            yield order[low:at]
+            low, chars = at, 0
+        chars += sizes[i]
+    if len(order):
+        yield order[low:]
+
+
+def one_pass(state: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray | None = None,
+             seed: int = 0, batch: int = 32, rate: float = 0.01) -> np.ndarray:
+    """The state after a pass over the windows in random order."""
+    state = state.copy()
+    n = len(state) // 3
+    values, first, second = (_parts(state[k * n:(k + 1) * n]) for k in range(3))
+    sizes = np.array([len(c) for c, _ in windows])
+    for own in _batches(np.random.default_rng(seed).permutation(len(windows)), sizes, batch):
+        state[-1] += 1
+        grads = _batch_gradients(network(state), [windows[i] for i in own], labels[own], None if weights is None else weights[own])
+        for v, m, s, g in zip(values, first, second, grads, strict=True):
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            v -= rate * (m / (1 - 0.9 ** state[-1])) / (np.sqrt(s / (1 - 0.999 ** state[-1])) + 1e-8)
+    return state
+
+
+def trained(windows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = ROUNDS) -> Network:
+    state = fresh()
+    for seed in range(epochs):
+        state = one_pass(state, windows, labels, seed=seed)
+    return network(state)
+
+
+def labelled_windows(found: DataFrame) -> DataFrame:
+    """``known, window, lead, size, alphabet, fold``: every distinct window."""
+    size = (F.col("_c.end") - F.col("_c.start")).cast("int").alias("size")
+    rows = found.select(F.explode("candidates").alias("_c")).select("_c.known", "_c.window", "_c.lead", size, "_c.alphabet").distinct()
+    return rows.withColumn("_h", F.xxhash64("window", "lead", "size")).withColumn("fold", F.pmod("_h", F.lit(FOLDS)).cast("int"))
+
+
+def _both(group: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Windows with and without their context, and whether a rule found them."""
+    rows = sorted(zip(*[group.column(c).to_pylist() for c in ("window", "lead", "size", "known")], strict=True))
+    return [encoded(w, lead, size, blank) for w, lead, size, _ in rows for blank in (False, True)], np.array([float(k) for *_, k in rows for _ in range(2)])
+
+
+def after_round(states: list[np.ndarray], shards: DataFrame, n_shards: int, weight: dict[bool, float], seed: int) -> list[np.ndarray]:
+    """Of each network, all of them but the last without the fold of its number, the average of the states that its shards end with, by their numbers of windows."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        windows, labels = _both(group)
+        end = one_pass(states[key[0].as_py()], windows, labels, np.where(labels == 1, weight[True], weight[False]), seed)
+        return pa.table({"net": pa.array(np.full(len(end), key[0].as_py()), pa.int32()), "at": pa.array(np.arange(len(end)), pa.int32()),
+                         "units": pa.array([int(round(v * UNIT)) for v in end], pa.int64()), "n": pa.array(np.full(len(end), group.num_rows), pa.int64())})
+
+    nets = F.filter(F.sequence(F.lit(0), F.lit(len(states) - 1)), lambda k: k != F.col("fold"))
+    # A number of partitions of its own: groups have few bytes and much work, and would be put together in few tasks.
+    groups = shards.withColumn("net", F.explode(nets)).repartition(2 * len(states) * n_shards, "net", "shard")
+    ends = groups.groupBy("net", "shard").applyInArrow(run, "net int, at int, units long, n long")
+    total = F.sum(F.col("units").cast("decimal(20,0)") * F.col("n").cast("decimal(12,0)")).cast("decimal(38,0)")
+    out = [state.copy() for state in states]
+    for r in ends.groupBy("net", "at").agg(total.alias("s"), F.sum("n").alias("n")).collect():
+        out[r["net"]][r["at"]] = int(r["s"]) / r["n"] / UNIT
+    return out
 
 
-def calibrated(net: Network, windows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, alphabets: np.ndarray, recall: float = RECALL) -> Network:
-    """Set the slope and shift that fit labelled windows best, and the thresholds that keep ``recall`` of the findings."""
-    x = net.scores(windows)
-    # Targets a little within 0 and 1, as the findings are few; the scale of the scores is set aside so that steps are even.
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    spread = max(float(np.std(x)), 1e-6)
-    design = np.stack([x / spread, np.ones(len(x))], axis=1)
-
-    def loss(w: np.ndarray) -> float:
-        z = design @ w
-        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * (w * w).sum())
-
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = sigmoid(design @ w)
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.eye(2), design.T @ (p - target) + w)
-        size = 1.0
-        while size > 1e-6 and loss(w - size * step) > loss(w):
-            size /= 2
-        w = w - size * step
-    net.slope, net.shift = float(max(w[0], 1e-3)) / spread, float(w[1])
-    p = sigmoid(net.slope * x + net.shift)
-
-    def threshold(mine: np.ndarray) -> float:
-        values = np.sort(p[mine])
-        return float(values[int(np.floor((1 - recall) * len(values)))])
-
-    known = labels == 1
-    whole = threshold(known)
-    groups = [known & (alphabets == a) for a in range(len(ALPHABETS) + 1)]
+def fitted(scores: DataFrame) -> tuple[float, float]:
+    """The slope and shift under which scores ``x`` are likeliest probabilities of ``known``, by Newton steps over sums of all rows."""
+    known = F.col("known").cast("double")
+    n1, n, spread = scores.agg(F.sum(known), F.count(F.lit(1)), F.stddev_pop("x")).first()
+    # Targets a little within 0 and 1, as the findings may be few; the scale of the scores is set aside so that steps are even.
+    target, spread = F.when(F.col("known"), (n1 + 1) / (n1 + 2)).otherwise(1 / (n - n1 + 2)), max(float(spread), 1e-6)
+    u, w = F.col("x") / spread, np.array([1.0, 0.0])
+
+    def loss(v: np.ndarray):
+        z = u * float(v[0]) + float(v[1])
+        return F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - target * z) + float(0.5 * (v * v).sum())
+
+    for _ in range(20):
+        p = 1 / (1 + F.exp(-(u * float(w[0]) + float(w[1]))))
+        h, d = p * (1 - p), p - target
+        now, uu, u1, one, du, d1 = scores.agg(loss(w), F.sum(u * u * h), F.sum(u * h), F.sum(h), F.sum(u * d), F.sum(d)).first()
+        step = np.linalg.solve(np.array([[uu, u1], [u1, one]]) + np.eye(2), np.array([du, d1]) + w)
+        if np.abs(step).max() < 1e-6:
+            break
+        tries = scores.agg(*[loss(w - 0.5 ** k * step).alias(f"l{k}") for k in range(10)]).first()
+        better = [k for k in range(10) if tries[k] <= now]
+        if not better:
+            break
+        w = w - 0.5 ** better[0] * step
+    return float(max(w[0], 1e-3)) / spread, float(w[1])
+
+
+def value_at(scores: DataFrame, rank: int) -> float:
+    """The score ``x`` with ``rank`` scores before it in order; counts in ranges narrow it down."""
+    low, high, n = scores.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+    while n > RANKED and low < high:
+        inside = scores.where(F.col("x").between(low, high))
+        part = F.floor((F.col("x") - low) / (high - low) * 1024).alias("part")
+        for r in sorted(inside.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high, n = r["low"], r["high"], r["n"]
+    return low if low == high else sorted(r["x"] for r in scores.where(F.col("x").between(low, high)).select("x").collect())[rank]
+
+
+def calibrated(nets: list[Network], shards: DataFrame, n_shards: int, recall: float = RECALL) -> Network:
+    """The last network, with the slope and shift that fit all windows best and the thresholds that keep ``recall`` of their findings."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        columns = [group.column(c).to_pylist() for c in ("window", "lead", "size", "known", "alphabet")]
+        rows = sorted(zip(*columns, strict=True))
+        windows, labels = _both(group)
+        return pa.table({"x": pa.array(nets[key[0].as_py()].scores(windows), pa.float64()), "known": pa.array(labels == 1),
+                         "alphabet": pa.array([r[-1] for r in rows for _ in range(2)], pa.int32())})
+
+    net, scores = nets[-1], materialize(
+        shards.repartition(2 * FOLDS * n_shards, "fold", "shard").groupBy("fold", "shard").applyInArrow(run, "x double, known boolean, alphabet int"))
+    net.slope, net.shift = fitted(scores)
+    known = scores.where("known")
+    counts = {r["alphabet"]: r["n"] for r in known.groupBy("alphabet").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def threshold(mine: DataFrame, n: int) -> float:
+        return float(sigmoid(net.slope * value_at(mine, int(np.floor((1 - recall) * n))) + net.shift))
+
+    whole = threshold(known, sum(counts.values()))
     # An alphabet with few findings has the threshold of all.
-    net.thresholds = tuple(threshold(g) if g.sum() >= LEAST_LABELLED else whole for g in groups)
+    net.thresholds = tuple(
+        threshold(known.where(F.col("alphabet") == a), counts[a]) if counts.get(a, 0) >= LEAST_LABELLED else whole for a in range(len(ALPHABETS) + 1))
     return net
 
 
-def learned(found: DataFrame, labelled: int = LABELLED, recall: float = RECALL) -> Network | None:
-    """A network from the rows of ``findings``; None if there are too few labelled windows."""
-    rows = found.select(F.explode("candidates").alias("_c")).select("_c.*").where(F.length("window") <= LONGEST_LABELLED)
-    distinct = rows.groupBy("known", "window", "lead", "alphabet").agg(F.min(F.col("end") - F.col("start")).cast("int").alias("size"))
-    order = F.xxhash64("window", "lead"), F.col("window"), F.col("lead"), F.col("size")
-    sample = {known: distinct.where(F.col("known") == known).orderBy(*order).limit(labelled).collect() for known in (True, False)}
-    if min(map(len, sample.values())) < LEAST_LABELLED:
+def learned(found: DataFrame, recall: float = RECALL) -> Network | None:
+    """A network from all rows of ``findings``; None if there are too few labelled windows."""
+    windows = materialize(labelled_windows(found))
+    counts = {r["known"]: r for r in windows.groupBy("known").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("window")).alias("bytes")).collect()}
+    if len(counts) < 2 or min(r["n"] for r in counts.values()) < LEAST_LABELLED:
         return None
-    fit, hold = ([], [], []), ([], [], [])
-    for known, own in sample.items():
-        for i, r in enumerate(own):
-            for blank in (False, True):
-                part = hold if i % 4 == 0 else fit
-                part[0].append(encoded(bytes(r["window"]), r["lead"], r["size"], blank))
-                part[1].append(float(known))
-                part[2].append(r["alphabet"])
-    net = trained(fit[0], np.array(fit[1]))
-    return calibrated(net, hold[0], np.array(hold[1]), np.array(hold[2]), recall)
+    n = sum(r["n"] for r in counts.values())
+    shards = 1 + max(n // SHARD_WINDOWS, sum(r["bytes"] for r in counts.values()) // SHARD_BYTES)
+    dealt = windows.withColumn("shard", F.pmod(F.shiftright("_h", 2), F.lit(shards))).drop("_h")
+    weight = {known: n / (2 * r["n"]) for known, r in counts.items()}
+    states = [fresh()] * (FOLDS + 1)
+    for seed in range(ROUNDS):
+        states = after_round(states, dealt, shards, weight, seed)
+    return calibrated([network(state) for state in states], dealt, shards, recall)
 
 
 def with_network(found: DataFrame, net: Network | None) -> DataFrame:

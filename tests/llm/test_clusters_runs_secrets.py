@@ -346,3 +346,37 @@ def test_too_few_findings_teach_nothing(spark):
     table = spark.createDataFrame([(1, ODD[3]), (2, "a 1234567890123456 b")], "doc_id long, text string")
     assert secrets.learned(secrets.findings(table)) is None
     assert {r["doc_id"]: r["n_hex"] for r in secrets.digests(table).collect()} == {1: 1, 2: 0}
+
+
+def test_every_window_teaches(spark, monkeypatch):
+    """More windows than any bound, and a long one, are all trained on or held out, whatever the shards."""
+    texts = [f"token = {hashlib.sha256(str(i).encode()).hexdigest()[:31]}" for i in range(1700)] + [f"no {i:017d}" for i in range(1700)]
+    texts += ["secret = " + "Z9" * 400]
+    found = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).cache()
+    windows = secrets.labelled_windows(found)
+    assert windows.where("known").count() == 1701 and windows.where("NOT known").count() == 1700 and windows.where("size = 800").count() == 1
+    monkeypatch.setattr(secrets, "SHARD_WINDOWS", 1000)
+    monkeypatch.setattr(secrets, "ROUNDS", 2)
+    seen = []
+    real = secrets.after_round
+    monkeypatch.setattr(secrets, "after_round", lambda state, shards, *a: (seen.append((shards.count(), shards.select("shard").distinct().count())), real(state, shards, *a))[1])
+    once, again = secrets.learned(found), secrets.learned(found.repartition(5))
+    assert set(seen) == {(3401, 4)} and windows.select("fold").distinct().count() == secrets.FOLDS
+    assert np.array_equal(once.kernel, again.kernel) and np.allclose(once.thresholds, again.thresholds)
+
+
+def test_long_windows_teach_the_same_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    window, net = (rng.integers(1, 130, 500), (np.arange(500) > 9).astype(float)), secrets.network(secrets.fresh())
+    whole = secrets._batch_gradients(net, [window], np.array([1.0]), np.array([0.7]))
+    monkeypatch.setattr(secrets, "AT_ONCE", 64)
+    for x, y in zip(whole, secrets._batch_gradients(net, [window], np.array([1.0]), np.array([0.7])), strict=True):
+        assert np.allclose(x, y)
+
+
+def test_ranks_by_counts_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    values = [float(x) for x in np.concatenate([rng.normal(0, 1, 300), np.full(200, 0.25), [1e6, -1e6]])]
+    scores = spark.createDataFrame([(x,) for x in values], "x double").cache()
+    monkeypatch.setattr(secrets, "RANKED", 20)
+    assert [secrets.value_at(scores, k) for k in (0, 10, 300, 501)] == [sorted(values)[k] for k in (0, 10, 300, 501)]
