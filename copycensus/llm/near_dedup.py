@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copycensus.llm.common import packed
@@ -241,6 +242,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _digest(column: str, a: str, b: str) -> list[Column]:
+    """128 bits of a column, as two numbers."""
+    return [F.xxhash64(column).alias(a), F.xxhash64(F.lit(7), column).alias(b)]
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is kept, one row for each text with words.
 
@@ -248,12 +254,19 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     the one with the least id.
     """
     gone = near_duplicates(docs, doc_id, text, percent).where("NOT kept").select(F.col("doc_id").alias("gone"))
-    rows = packed(docs).select("row", F.col("row").getField(doc_id).alias("id"), F.col("row").getField(text).alias("text"))
-    kept = rows.join(gone, F.col("id").cast("long") == F.col("gone"), "left_anti")
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # Null, and so never joined, for texts without words.
-    hashed = kept.select("row", "id", F.when(words, F.xxhash64("text")).alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
-    again = materialize(hashed.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
-    one = hashed.join(again, ["a", "b"]).groupBy("a", "b").agg(F.min_by("row", order).alias("row")).select("row")
-    return hashed.join(again, ["a", "b"], "left_anti").select("row").unionByName(one).select("row.*")
+    # What stays is settled on digests of rows and texts; the rows themselves are shuffled once, to the digests that stay.
+    rows = packed(docs).select("row", *_digest("row", "row_a", "row_b"))
+    content = F.col("row").getField(text)
+    keys = rows.select(
+        F.col("row").getField(doc_id).alias("id"), "row_a", "row_b", content.alias("text"),
+        F.coalesce(content.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"),
+    ).select("id", "row_a", "row_b", "worded", *_digest("text", "text_a", "text_b"))
+    left = keys.join(gone, F.col("id").cast("long") == F.col("gone"), "left_anti")
+    # Texts without words are no copies of each other.
+    same = [F.when(F.col("worded"), F.col(f"text_{x}")).otherwise(F.col(f"row_{x}")).alias(x) for x in "ab"]
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row_a"), F.col("row_b"))
+    stay = left.groupBy("worded", *same).agg(F.min(order).alias("first")).select("worded", "first.row_a", "first.row_b")
+    # One plan at every size: the rows are sorted to their digests, never the digests sent to all.
+    copy = F.row_number().over(W.partitionBy("row_a", "row_b").orderBy("row_a"))
+    found = rows.join(stay.hint("merge"), ["row_a", "row_b"]).withColumn("copy", copy)
+    return found.where("copy = 1 OR NOT worded").select("row.*")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from copycensus.llm import bpe, chaining, chat, decontaminate, language, near_dedup, quality, suffix_dedup, token_counts, warc
 from copycensus.llm.components import components
 from copycensus.llm.hashing import shingles, word_hashes
+from copycensus.session import materialize
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -369,6 +370,20 @@ def test_repeated_rows_through_near_dedup_and_suffix_dedup(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(once).collect()), key=str) == sorted(rows, key=str)
 
 
+def test_near_dedup_shuffles_the_rows_once(spark, corpus):
+    """After the links are known, whole rows go through one shuffle; everything else is settled on digests."""
+    query = near_dedup.deduplicated(materialize(corpus))._jdf.queryExecution()
+    plan = query.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert len(sent) > 3 and sum(bool(re.search(r"\b(row|text)#", x)) for x in sent) == 1
+
+
+def test_near_dedup_keeps_repeated_rows_without_words(spark):
+    docs = spark.createDataFrame([(1, " "), (1, " "), (2, None), (2, None), (None, ""), (None, ""), (3, "a b"), (3, "a b"), (4, "a b")], "doc_id long, text string")
+    found = [tuple(r) for r in near_dedup.deduplicated(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, " "), (1, " "), (2, None), (2, None), (None, ""), (None, ""), (3, "a b")], key=str)
+
+
 @pytest.mark.parametrize("percent", [50, 74, 101])
 def test_near_duplicates_refuse_what_the_sketches_miss(corpus, percent):
     for run in (near_dedup.near_duplicates, near_dedup.deduplicated):
