@@ -101,3 +101,25 @@ def test_votes_of_huge_and_ordinary_values_agree(spark):
             assert [int(x) for x in list(found[name])[1:]] == [len({e["sample_id"] for e, _ in hits}), len(hits), len(others)]
     plan = votes.vote_stats(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_overview_with_missing_values_writes_a_row_per_class(spark, monkeypatch):
+    """Missing contents, groups and labels count as in the SQL; besides the folded rows nothing of their size is written."""
+    rows = [("a", "t1", "x"), ("a", "t1", "y"), ("b", "t2", "x"), ("c", "t2", "x"), (None, "t3", "x"), ("d", "t4", None), ("d", "t4", "x"), ("e", None, "y"), ("f", "t5", None)]
+    rows += [(f"g{i}", f"u{i}", "x") for i in range(50)]
+    written = []
+    plain = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df: written.append(plain(df)) or written[-1])
+    table = spark.createDataFrame([("s", *r) for r in rows], "dataset string, exact string, tuple string, class_label string")
+    found = dedup.dataset_overview(table, "exact", "tuple", 2).collect()
+    assert len(found) == 1
+    groups = {t: [r for r in rows if r[1] == t] for t in {r[1] for r in rows}}
+    mixed = {t for t, g in groups.items() if len({r[2] for r in g} - {None}) > 1}
+    kept = [r for r in rows if None not in r[1:] and r[2] == "x"]  # class y has one group only
+    expected = {
+        "images": len(rows), "exact_groups": len({r[0] for r in rows} - {None}), "consensus_groups": len(groups), "mixed_label_consensus_groups": 1,
+        "images_in_mixed_label_consensus_groups": 2, "exact_mixed_label_consensus_groups": 1, "classes": 2, "eligible_classes": 2, "excluded_classes": "y",
+        "eligible_original_images": len(kept), "mixed_label_images_removed": 1, "retained_pure_groups": len({r[1] for r in kept} - mixed),
+    }
+    assert {k: found[0][k] for k in expected} == expected
+    assert [df.count() for df in written[1:]] == [3]
