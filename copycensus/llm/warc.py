@@ -12,8 +12,9 @@ Files go below the shared folder, under a name with the task attempt in it; a fi
 the manifest table, so a lost executor leaves at most an unlisted file behind.
 
 Defined cases: a null payload is empty; a null id sorts behind all others and is kept; rows that repeat the smallest id of
-a payload are responses too; line ends in a url are percent-encoded; a null url gives no target header; other columns are
-ignored; an empty table gives no archive and no rows.
+a payload are responses too; line ends in a url are percent-encoded; bytes that are no UTF-8 stay as they are in a payload
+and are percent-encoded in a url; a null url gives no target header; other columns are ignored; an empty table gives no
+archive and no rows.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ def with_roles(pages: DataFrame, record_id: str = "page_id", payload: str = "htm
 
 def chunked(roles: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Chunk rows in record order within each partition; a revisit has one chunk without bytes."""
-    bytes_ = F.when(F.col("refers_to").isNull(), F.encode("payload", "UTF-8")).otherwise(F.lit(b""))
+    bytes_ = F.when(F.col("refers_to").isNull(), F.col("payload").cast("binary")).otherwise(F.lit(b""))
     last = F.floor(F.greatest(F.octet_length("_b") - 1, F.lit(0)) / F.lit(chunk)).cast("int")
     return roles.withColumn("_b", bytes_).select(
-        "record_id", "url", "payload_bytes", "sha1", "refers_to", last.alias("last_chunk"), "_b",
+        "record_id", F.col("url").cast("binary").alias("url"), "payload_bytes", "sha1", "refers_to", last.alias("last_chunk"), "_b",
         F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"),
     ).withColumn("data", F.substring("_b", F.col("chunk_no") * chunk + 1, F.lit(chunk))).drop("_b")
 
@@ -74,7 +75,8 @@ def _header(row: dict) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(row['record_id'])}",
              "WARC-Date: 1970-01-01T00:00:00Z"]
     if row["url"] is not None:
-        safe = "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in row["url"])
+        safe = "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogateescape"))
+                       for c in row["url"].decode("utf-8", "surrogateescape"))
         lines.append(f"WARC-Target-URI: {safe}")
     lines.append(f"WARC-Payload-Digest: sha1:{_base32(row['sha1'])}")
     if revisit:
@@ -85,12 +87,39 @@ def _header(row: dict) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
+def made(spark: SparkSession, folder: str) -> str:
+    """Make the folder, on the driver; returns it with its file system.
+
+    A path without a scheme lies on the session's default file system, as it does for Spark's writers.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path)
+    return fs.makeQualified(path).toString()
+
+
+def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and the path on it; Spark writes a local path plainly, so its blanks and percent signs stand for themselves."""
+    if folder.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(folder)
+
+
+def shared(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """As ``opened``, in a task: a local path is shared only if the folder that the driver has made is there."""
+    fs, root = opened(folder)
+    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
+        fs.create_dir(root, recursive=True)
+    elif fs.get_file_info(root).type != pyarrow.fs.FileType.Directory:
+        raise FileNotFoundError(f"{root} is not there: the shared folder must be one that the driver and every executor can reach.")
+    return fs, root
+
+
 def write_archives(chunks: DataFrame, folder: str, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``*.warc.gz`` files, one gzip member per record; returns the manifest ``path, records, bytes``."""
+    """Write ``*.warc.gz`` files into a folder from ``made``, one gzip member per record; returns the manifest ``path, records, bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
+        fs, root = shared(folder)
         context = TaskContext.get()
         out = member = path = None
         records = written = number = 0
@@ -208,7 +237,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
             stream.take(4)  # the two line ends behind a record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, _ = opened(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
@@ -226,24 +255,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
     return files.repartition(max(1, min(files.count(), 10_000)), "path").mapInArrow(run, schema)
 
 
-def qualified(spark, folder: str) -> str:
-    """The folder with its file system: a path without a scheme lies on the session's default one, as it does for Spark's writers.
-
-    The executors' own disks are refused outside local mode, unless the setting names them as a shared mount.
-    """
-    if "://" in folder or folder.startswith("file:"):
-        return folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
-    if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{folder} has no scheme and the default file system is local: name the shared one, as in hdfs:// or file://.")
-    return ("file://" if root.startswith("file:") else root.rstrip("/")) + folder
-
-
 def round_trip(pages: DataFrame, record_id: str = "page_id", payload: str = "html", least_bytes: int = 0,
                chunk: int = CHUNK) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back as the chunk table."""
     spark = pages.sparkSession
-    folder = f"{qualified(spark, shared_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = made(spark, f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
     manifest = write_archives(chunked(with_roles(pages, record_id, payload, least_bytes), chunk), folder)
     return read_archives(spark, manifest, folder, chunk)
 

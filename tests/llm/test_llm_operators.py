@@ -93,6 +93,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert set(least.values()) == {"response"}
 
 
+def test_warc_folder_without_a_scheme_on_a_cluster(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "a b%20c")  # as in Spark's paths, blanks and percent signs stand for themselves
+    monkeypatch.setattr(warc, "shared_dir", lambda _: folder)
+    monkeypatch.setattr("copycensus.session.shared_dir", lambda _: folder)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    pages = spark.createDataFrame([(2, "u", "same"), (1, "u", "same"), (3, "u", None)], "page_id long, url string, html string")
+    found = warc.checked_records(warc.round_trip(pages)).select("record_id", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, found)) == [(1, "response", None), (2, "revisit", 1), (3, "response", None)]
+    assert list((tmp_path / "a b%20c").glob("warc-*/*.warc.gz"))
+    with pytest.raises(FileNotFoundError, match="every executor"):
+        warc.shared(f"file:{tmp_path}/elsewhere")
+
+
+def test_warc_keeps_bytes_that_are_no_utf8(spark):
+    rows = [(1, b"http://x/\xff", b"ab\xff\xfecd"), (2, b"u", b"\xed\xa0\x80")]
+    pages = spark.createDataFrame(rows, "page_id long, url binary, html binary").select(
+        "page_id", F.col("url").cast("string"), F.col("html").cast("string"))
+    chunks = warc.round_trip(pages).cache()
+    assert {r["record_id"]: bytes(r["data"]) for r in chunks.collect()} == {i: data for i, _, data in rows}
+    assert sorted(tuple(r)[:3] for r in warc.checked_records(chunks).collect()) == [
+        (i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode()) for i, _, data in rows]
+    assert chunks.where("record_id = 1").first()["url"] == "http://x/%FF"
+
+
 def brute_items(texts, items):
     """Best weighted shingle similarity of each item with the windows of its length."""
     cut = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
