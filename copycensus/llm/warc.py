@@ -5,8 +5,8 @@ Python: the writer appends chunk after chunk to a gzip member, and the reader in
 with the bytes and the SHA-1 so far. A record's last chunk row carries its full length and digest.
 
 Equal payloads are written once, as a ``response`` of the smallest id; the others are ``revisit`` records that refer to
-it. Groups of equal payloads are found from digests by a partial aggregate; the join back is a sort-merge join that
-adaptive execution splits where a payload has very many copies.
+it. Groups of equal payloads are found from digests by a partial aggregate; after the join back the copies of a payload are
+in one task, unless the groups are few enough to be broadcast.
 
 Files go below the shared folder, under a name with the task attempt in it; a file counts only once its task's row is in
 the manifest table, so a lost executor leaves at most an unlisted file behind.
